@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 def parse_vector(text: Column) -> Column:
     """Numbers of a comma-separated string; blank parts are skipped."""
-    parts = F.filter(F.transform(F.split(text, ","), F.trim), lambda part: part != "")
+    parts = F.filter(F.transform(F.split(text, ","), lambda part: F.trim(part)), lambda part: part != "")
     return F.transform(parts, lambda part: part.cast("double"))
 
 

@@ -25,13 +25,17 @@ TOP = 10
 SHOWN_CHARS = 50
 RANK_ERROR = 0.05
 
-PROFILE_SCHEMA = T.StructType.fromDDL(
-    "name string, type string, entries long, null_count long, unique_count long, mean double, stddev double, "
-    "min double, max double, q1 double, median double, q3 double, iqr double, hist_bins array<double>, "
-    "hist_counts array<long>, top_categories array<struct<value: string, count: long>>, shape array<int>, "
-    "len_min int, len_max int, len_mean double, len_std double, val_min double, val_max double, val_mean double, "
-    "val_std double, val_median double, val_sparsity double"
-)
+PROFILE_FIELDS = {
+    "name": "string", "type": "string", "entries": "long", "null_count": "long", "unique_count": "long",
+    "mean": "double", "stddev": "double", "min": "double", "max": "double",
+    "q1": "double", "median": "double", "q3": "double", "iqr": "double",
+    "hist_bins": "array<double>", "hist_counts": "array<long>",
+    "top_categories": "array<struct<value: string, count: long>>",
+    "shape": "array<int>", "len_min": "int", "len_max": "int", "len_mean": "double", "len_std": "double",
+    "val_min": "double", "val_max": "double", "val_mean": "double", "val_std": "double",
+    "val_median": "double", "val_sparsity": "double",
+}
+PROFILE_SCHEMA = ", ".join(f"{name} {kind}" for name, kind in PROFILE_FIELDS.items())
 
 
 def _wide(df: DataFrame, columns: Sequence[str], measures) -> DataFrame:
@@ -241,7 +245,7 @@ def array_values(df: DataFrame, column: str, sample: float | None = None) -> Dat
     flat = q(column)
     for _ in range(_depth(kind) - 1):
         flat = F.flatten(flat)
-    rows = df.select(F.explode(flat).cast("double").alias("v"))
+    rows = df.select(F.explode(flat).alias("v")).select(F.col("v").cast("double"))
     return rows if sample is None else rows.sample(sample)
 
 
@@ -322,7 +326,7 @@ def profile(df: DataFrame, approximate_unique: bool = False) -> DataFrame:
 
     rows = []
     for c in df.columns:
-        row: dict = dict.fromkeys(PROFILE_SCHEMA.fieldNames())
+        row: dict = dict.fromkeys(PROFILE_FIELDS)
         row.update(name=c, type=type_of(df, c).simpleString(), entries=stats[("", "rows")], null_count=stats[(c, "null_count")])
         if c in numeric or c in strings:
             if approximate_unique:

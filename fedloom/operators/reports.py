@@ -198,6 +198,16 @@ def leaderboard_ranked(report: DataFrame, tasks: DataFrame) -> DataFrame:
     return row_numbers(rows, order, "rank", by=["task_id"]).drop("_worse")
 
 
+def leaderboard_rows(ranked: DataFrame) -> DataFrame:
+    """The columns of the exported leaderboard."""
+    yes = lambda flag: F.when(flag, "Yes").otherwise("No")
+    return ranked.select(
+        "task_id", "rank", F.col("admin_username").alias("client_name"), "model_name", "metric", "metric_value",
+        yes(F.coalesce("meets_benchmark", F.lit(False))).alias("meets_benchmark"),
+        F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("date"), yes(F.col("is_benchmark")).alias("is_benchmark"),
+    )
+
+
 def leaderboard_timeline(report: DataFrame, tasks: DataFrame) -> DataFrame:
     """Sessions and benchmark by date with a month/year label."""
     rows = with_benchmark(report, tasks)

@@ -111,7 +111,7 @@ def score_importance(df: DataFrame, columns: Sequence[str], importances: Sequenc
 
 def pick_landmarks(df: DataFrame, features: str, key: str, count: int = 15) -> list[list[float]]:
     """A repeatable choice of landmark rows: the lowest hashes of the key."""
-    order = [F.xxhash64(q(key)).asc(), q(key).asc()]
+    order = [F.md5(q(key).cast("string")).asc(), q(key).asc()]
     return [list(r[0]) for r in df.orderBy(*order).limit(count).select(q(features).cast("array<double>")).collect()]
 
 

@@ -18,7 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.columns import q
 
 # Marks in the name of a file that is still being written.
-IN_PROGRESS = r"_COPYING_$|__PROCESSING__$"
+IN_PROGRESS = r"(_COPYING_|__PROCESSING__)(/|$)"
 FILES_PER_BATCH = 1000
 
 
@@ -26,6 +26,7 @@ def watch(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parq
           files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
     """Stream of the files below a folder; each file is read once."""
     reader = spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", files_per_batch)
+    reader = reader.option("recursiveFileLookup", True)
     if fmt == "csv":
         reader = reader.option("header", True)
     if pattern:
@@ -49,12 +50,12 @@ def stream_ingest(spark: SparkSession, uploads: str, schema: T.StructType, raw_d
                   fmt: str = "parquet", pattern: str | None = None) -> DataFrame:
     """Land new files in the raw zone.
 
-    Files that carry a mark of being in progress are left out: pick finished
-    ones through ``pattern`` (for example ``*.parquet``); the name test below
-    covers folders without a common suffix.
+    A file still being written does not end in ``.parquet`` or ``.csv``, so the
+    name pattern leaves it out unread; folders marked as in progress are left
+    out by their path.  Both come in under their final name later.
     """
-    arrived = watch(spark, uploads, schema, fmt, pattern)
-    finished = arrived.filter(~F.col("_metadata.file_name").rlike(IN_PROGRESS))
+    arrived = watch(spark, uploads, schema, fmt, pattern or f"*.{fmt}")
+    finished = arrived.filter(~F.col("_metadata.file_path").rlike(IN_PROGRESS))
     land(finished.select(*[q(c) for c in arrived.columns]), raw_dir, checkpoint)
     return spark.read.schema(schema).parquet(raw_dir)
 
