@@ -53,10 +53,11 @@ def ingest_dataset(spark, d):
     return rounded(report.select("name", "entries", "null_count", "unique_count", "mean", "stddev", "min", "max"), 4)
 
 
-@query("publish_processed")
+@query("publish_processed", with_("gaps", _profile_sql("gaps", ["l_linenumber", "l_quantity", "l_tax"], ["l_returnflag"])))
 def publish_processed(spark, d):
-    report, _ = tables.publish_processed(inputs.gaps(spark, d), "gaps", scratch_path(spark, "processed"))
-    return report
+    rows = inputs.gaps(spark, d).select("l_linenumber", "l_quantity", "l_tax", "l_returnflag")
+    report, _ = tables.publish_processed(rows, "gaps", scratch_path(spark, "processed"))
+    return rounded(report.select("name", "entries", "null_count", "unique_count", "mean", "stddev", "min", "max"), 4)
 
 
 MERGED = """SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority, NULL::VARCHAR AS state FROM orders
@@ -98,23 +99,17 @@ def export_features(spark, d):
 @query("read_client_params", """SELECT vec_id AS client_id, 2 AS round_number, len(embedding)::BIGINT AS numbers
     FROM embeddings WHERE vec_id % 3 + 1 = 2""")
 def read_client_params(spark, d):
-    """Documents are written one folder per client, read back, and one round is kept."""
+    """Documents are written as JSON lines, read back, and one round is kept."""
     root = scratch_path(spark, "clients")
     documents = inputs.parameters(spark, d)
-    per_client = documents.repartition("client_id")
-    _write_json(per_client.selectExpr("client_id", "from_json(document, 'weights array<array<double>>, output struct<bias: array<double>>') AS d").select("client_id", "d.*"), f"{root}/params")
-    _write_json(per_client.selectExpr("client_id", "'2024-01-01T00:00:00' AS submission_time", "client_id AS user_id", "round AS round_number"), f"{root}/metadata")
-    read = tables.read_client_params(spark, root, 2)
+    parsed = F.from_json("document", "weights array<array<double>>, output struct<bias: array<double>>")
+    documents.select("client_id", parsed.alias("parameters")).write.json(f"{root}/params")
+    documents.selectExpr("client_id", "'2024-01-01T00:00:00' AS submission_time", "client_id AS user_id", "round AS round_number").write.json(f"{root}/metadata")
+    read = tables.read_client_params(spark, root, 2, layout="lines")
     weights = F.from_json("parameters", "weights array<array<double>>")["weights"]
     return read.select("client_id", "round_number", F.size(F.flatten(weights)).cast("long").alias("numbers"))
 
 
-def _write_json(df, path):
-    """One file per client; the folder carries the client's id."""
-    df.write.partitionBy("client_id").json(path)
-
-
-RANKED_COLUMNS = "task_id, rank, session_id, organisation_name, model_name, metric_value, meets_benchmark, admin_username, is_benchmark"
 RANKED = ("sessions", "users", "tasks", "results", "latest", "board", "report", "marked", "ranked")
 
 

@@ -101,9 +101,27 @@ def array_insights(spark, d):
     return P.array_insights(_grids(spark, d), "flat")
 
 
-@query("profile")
+def _report_sql(c: str) -> str:
+    if c in NUMERIC:
+        counts = f"(SELECT string_agg(count::VARCHAR, ',' ORDER BY bin) FROM ({HISTOGRAM}))"
+        return f"""SELECT '{{c}}' AS name, '{{t}}' AS type, count(*) AS entries, count(*) - count({{c}}) AS null_count,
+            count(DISTINCT {{c}}) + max(({{c}} IS NULL)::INT) AS unique_count, round(avg({{c}}), 5) AS mean, round(stddev_samp({{c}}), 5) AS stddev,
+            min({{c}})::DOUBLE AS min, max({{c}})::DOUBLE AS max, quantile_disc({{c}}, 0.25)::DOUBLE AS q1, quantile_disc({{c}}, 0.5)::DOUBLE AS median,
+            quantile_disc({{c}}, 0.75)::DOUBLE AS q3, {counts} AS hist_counts, '' AS top FROM gaps"""
+    top = "(SELECT string_agg(coalesce(v, 'NULL') || ':' || n, ',' ORDER BY n DESC, v NULLS FIRST) FROM (SELECT {c} AS v, count(*) AS n FROM gaps GROUP BY 1))"
+    unique, top = ("count(DISTINCT {c}) + max(({c} IS NULL)::INT)", top) if c in STRINGS else ("-1", "''")
+    return f"""SELECT '{{c}}', '{{t}}', count(*), count(*) - count({{c}}), {unique}, {', '.join(['NULL'] * 7)}, '', {top} FROM gaps"""
+
+
+@query("profile", with_("gaps", "SELECT * FROM (" + " UNION ALL ".join(_report_sql(c).replace("{c}", c).replace("{t}", GAPS[c]) for c in GAPS) + ")"))
 def profile(spark, d):
-    return P.profile(inputs.gaps(spark, d))
+    """The whole report at rank error 0, with its arrays written out as text."""
+    report = P.profile(inputs.gaps(spark, d), relative_error=0)
+    top = F.transform("top_categories", lambda x: F.concat_ws(":", F.coalesce(x["value"], F.lit("NULL")), x["count"].cast("string")))
+    return rounded(report.select(
+        "name", "type", "entries", "null_count", F.coalesce("unique_count", F.lit(-1)).alias("unique_count"), "mean", "stddev", "min", "max",
+        "q1", "median", "q3", F.concat_ws(",", F.col("hist_counts").cast("array<string>")).alias("hist_counts"), F.concat_ws(",", top).alias("top"),
+    ), 5)
 
 
 LABELLED = ["l_quantity", "l_extendedprice", "l_discount"]

@@ -30,6 +30,10 @@ def _nest(flat: Column, shape: list[int]) -> Column:
     )
 
 
+def array_literal(values: Sequence[float]) -> Column:
+    return F.array(*[F.lit(float(v)) for v in values])
+
+
 def dot(a: Column, b: Column) -> Column:
     """Inner product of two arrays."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)

@@ -17,12 +17,21 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.metrics import metrics_report
+from ..functions.metrics import argmax_class, metrics_report, sign_class
+from ..functions.vectors import array_literal, dot
 from ..session import materialize
 from .columns import as_double, fit, q
-from .scoring import landmark_features, pick_landmarks
+from .scoring import landmark_features, pick_landmarks, score_svm
 
 FEATURES = "_features"
+MODELS_AT_ONCE = 4
+
+
+def _added_prediction(fitted, df: DataFrame, name: str) -> DataFrame:
+    """The input with only the prediction added."""
+    out = fitted.transform(df)
+    added = [c for c in out.columns if c not in df.columns and c != "prediction"]
+    return out.drop(*added).withColumnRenamed("prediction", name)
 
 
 @dataclass
@@ -40,9 +49,11 @@ class Model:
         return self.pipeline.stages[-1]
 
     def predict(self, df: DataFrame, name: str = "prediction") -> DataFrame:
-        out = self.pipeline.transform(df)
-        added = [c for c in out.columns if c not in df.columns and c != "prediction"]
-        return out.drop(*added).withColumnRenamed("prediction", name)
+        if isinstance(self.fitted, C.OneVsRestModel):
+            # its own transform runs Python per row; the margins are plain expressions
+            found = self.parameters()
+            return df.withColumn(name, score_svm(self.inputs, found["weights"], found["biases"]).cast("double"))
+        return _added_prediction(self.pipeline, df, name)
 
     def evaluate(self, df: DataFrame, metrics: Sequence[str]) -> DataFrame:
         scored = self.predict(df).select(q(self.label).cast("double").alias("label"), F.col("prediction").cast("double").alias("prediction"))
@@ -90,7 +101,7 @@ def logistic_regression(df: DataFrame, inputs: Sequence[str], label: str, **opti
 def linear_svm(df: DataFrame, inputs: Sequence[str], label: str, binary: bool = True, **options) -> Model:
     """Linear support vectors; several classes by one against the rest."""
     svc = C.LinearSVC(featuresCol=FEATURES, labelCol=label, **options)
-    stage = svc if binary else C.OneVsRest(classifier=svc, featuresCol=FEATURES, labelCol=label)
+    stage = svc if binary else C.OneVsRest(classifier=svc, featuresCol=FEATURES, labelCol=label, parallelism=MODELS_AT_ONCE)
     return _train("linear_svm", df, inputs, label, [stage])
 
 
@@ -127,10 +138,11 @@ class LandmarkModel:
     fitted: object
 
     def predict(self, df: DataFrame, name: str = "prediction") -> DataFrame:
-        vectors = array_to_vector(landmark_features(q(self.features), self.landmarks, **self.kernel))
-        out = self.fitted.transform(df.withColumn(FEATURES, vectors))
-        added = [c for c in out.columns if c not in df.columns and c != "prediction"]
-        return out.drop(*added).withColumnRenamed("prediction", name)
+        kernels = landmark_features(q(self.features), self.landmarks, **self.kernel)
+        models = self.fitted.models if isinstance(self.fitted, C.OneVsRestModel) else [self.fitted]
+        margins = [dot(F.col(FEATURES), array_literal(m.coefficients)) + F.lit(float(m.intercept)) for m in models]
+        found = sign_class(margins[0]) if len(margins) == 1 else argmax_class(F.array(*margins))
+        return df.withColumn(FEATURES, kernels).withColumn(name, found.cast("double")).drop(FEATURES)
 
 
 def landmark_svm(df: DataFrame, features: str, label: str, key: str, landmarks: int = 15, binary: bool = True,
@@ -140,7 +152,7 @@ def landmark_svm(df: DataFrame, features: str, label: str, key: str, landmarks:
     vectors = array_to_vector(landmark_features(q(features), chosen, **kernel))
     table = materialize(df.select(vectors.alias(FEATURES), q(label).cast("double").alias(label)))
     svc = C.LinearSVC(featuresCol=FEATURES, labelCol=label, **options)
-    stage = svc if binary else C.OneVsRest(classifier=svc, featuresCol=FEATURES, labelCol=label)
+    stage = svc if binary else C.OneVsRest(classifier=svc, featuresCol=FEATURES, labelCol=label, parallelism=MODELS_AT_ONCE)
     return LandmarkModel(features, label, chosen, kernel, stage.fit(table))
 
 

@@ -24,6 +24,7 @@ BINS = 10
 TOP = 10
 SHOWN_CHARS = 50
 RANK_ERROR = 0.05
+QUARTILES = [0.25, 0.5, 0.75]
 
 PROFILE_FIELDS = {
     "name": "string", "type": "string", "entries": "long", "null_count": "long", "unique_count": "long",
@@ -38,10 +39,11 @@ PROFILE_FIELDS = {
 PROFILE_SCHEMA = ", ".join(f"{name} {kind}" for name, kind in PROFILE_FIELDS.items())
 
 
-def _wide(df: DataFrame, columns: Sequence[str], measures) -> DataFrame:
+def _wide(df: DataFrame, columns: Sequence[str], measures, constants=lambda c: {}) -> DataFrame:
     """One aggregate over all columns, turned into one row per column.
 
-    ``measures(column)`` gives ``{name: aggregate}``; all columns share the names.
+    ``measures(column)`` gives ``{name: aggregate}`` and ``constants(column)``
+    ``{name: literal}``; all columns share the names.
     """
     if not columns:
         raise ValueError("no column of the needed type")
@@ -49,7 +51,10 @@ def _wide(df: DataFrame, columns: Sequence[str], measures) -> DataFrame:
     slots = {key: f"s{i}" for i, key in enumerate(wanted)}
     wide = df.agg(*[e.alias(slots[k]) for k, e in wanted.items()])
     names = list(measures(columns[0]))
-    rows = [F.struct(F.lit(c).alias("name"), *[F.col(slots[(c, n)]).alias(n) for n in names]) for c in columns]
+    rows = [
+        F.struct(F.lit(c).alias("name"), *[F.lit(v).alias(n) for n, v in constants(c).items()], *[F.col(slots[(c, n)]).alias(n) for n in names])
+        for c in columns
+    ]
     return wide.select(F.inline(F.array(*rows)))
 
 
@@ -59,15 +64,11 @@ def _nulls(df: DataFrame, c: str) -> Column:
 
 def profile_counts(df: DataFrame) -> DataFrame:
     """Entries (all rows) and NULLs of every column, with the table's width."""
-    rows = _wide(df, df.columns, lambda c: {
-        "type": F.first(F.lit(type_of(df, c).simpleString())),
-        "entries": F.count(F.lit(1)),
-        "null_count": _nulls(df, c),
-    })
-    return rows.select(
-        "name", F.coalesce("type", F.lit("")).alias("type"), "entries", "null_count",
-        F.lit(len(df.columns)).alias("num_columns"),
+    rows = _wide(
+        df, df.columns, lambda c: {"entries": F.count(F.lit(1)), "null_count": _nulls(df, c)},
+        lambda c: {"type": type_of(df, c).simpleString()},
     )
+    return rows.withColumn("num_columns", F.lit(len(df.columns)))
 
 
 def _moments(df: DataFrame, c: str) -> dict[str, Column]:
@@ -293,24 +294,29 @@ def array_insights(df: DataFrame, column: str) -> DataFrame:
 
 def histogram_labels(histogram: DataFrame) -> DataFrame:
     """Display text of each edge: ``low-high`` with two decimals, ``edge+`` for the last one."""
-    last = F.row_number().over(W.partitionBy("name").orderBy(F.desc("bin"))) == 1
-    closing = histogram.withColumn("last", last).filter("last").select("name", (F.col("bin") + 1).alias("edge"), F.format_string("%.2f+", "high").alias("label"))
-    ranges = histogram.select("name", F.col("bin").alias("edge"), F.format_string("%.2f-%.2f", "low", "high").alias("label"))
-    return ranges.unionByName(closing)
+    own = F.struct(F.col("bin").alias("edge"), F.format_string("%.2f-%.2f", "low", "high").alias("label"))
+    closing = F.struct((F.col("bin") + 1).alias("edge"), F.format_string("%.2f+", "high").alias("label"))
+    last = F.col("bin") == F.max("bin").over(W.partitionBy("name"))
+    labels = F.when(last, F.array(own, closing)).otherwise(F.array(own))
+    return histogram.withColumn("labels", labels).select("name", F.inline("labels"))
 
 
-def profile(df: DataFrame, approximate_unique: bool = False) -> DataFrame:
-    """The whole report; everything brought to the driver has a few values per column."""
+def profile(df: DataFrame, approximate_unique: bool = False, relative_error: float = RANK_ERROR) -> DataFrame:
+    """The whole report; everything brought to the driver has a few values per column.
+
+    ``relative_error`` is the rank error of the quartiles; 0 asks for exact
+    ranks, which cost a few more scans.
+    """
     numeric, strings, arrays = numeric_columns(df), string_columns(df), array_columns(df)
     wanted: dict = {("", "rows"): F.count(F.lit(1))}
     for c in df.columns:
         wanted[(c, "null_count")] = _nulls(df, c)
-    accuracy = math.ceil(1 / RANK_ERROR)
     for c in numeric:
         x = as_double(df, c)
         wanted.update({(c, n): e for n, e in _moments(df, c).items()})
         wanted[(c, "low")], wanted[(c, "high")] = F.min(x), F.max(x)
-        wanted[(c, "quartiles")] = F.percentile_approx(x, [0.25, 0.5, 0.75], accuracy)
+        if relative_error:
+            wanted[(c, "quartiles")] = F.percentile_approx(x, QUARTILES, math.ceil(1 / relative_error))
     for c in arrays:
         wanted.update({(c, n): e for n, e in _length_measures(c).items()})
         wanted[(c, "shape")] = F.first(row_shape(q(c), _depth(type_of(df, c))), ignorenulls=True)
@@ -318,6 +324,8 @@ def profile(df: DataFrame, approximate_unique: bool = False) -> DataFrame:
         for c in numeric + strings:
             wanted[(c, "distinct")] = F.approx_count_distinct(q(c))
     stats = fit(df, wanted)
+    if not relative_error:
+        stats.update({(c, "quartiles"): v for c, v in exact_quantiles(df, numeric, QUARTILES).items()})
 
     edges = {c: bin_edges(stats[(c, "low")], stats[(c, "high")]) for c in numeric}
     bins, unique = _bins_and_unique(df, numeric, edges, approximate_unique)
@@ -335,7 +343,7 @@ def profile(df: DataFrame, approximate_unique: bool = False) -> DataFrame:
                 row["unique_count"] = unique.get(c, 0)
         if c in numeric:
             row.update({n: stats[(c, n)] for n in ("mean", "stddev", "min", "max")})
-            if stats[(c, "quartiles")]:
+            if edges[c]:
                 q1, median, q3 = stats[(c, "quartiles")]
                 row.update(q1=q1, median=median, q3=q3, iqr=q3 - q1)
             if edges[c]:

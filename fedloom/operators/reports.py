@@ -280,10 +280,17 @@ def training_result_pivot(long: DataFrame, keys: Sequence[str], rounds: Sequence
 
 
 def server_vs_client(server: DataFrame, client: DataFrame) -> DataFrame:
-    """Server metric per session and round beside each client's own value, which may be missing."""
+    """Server metric per session and round beside each client's own value, which may be missing.
+
+    A left join cannot split a hot round on its right side, so the matches come
+    from an inner join, which can, and the rounds without clients from an anti join.
+    """
     keys = ["session_id", "metric", "round_number"]
     mine = client.select(*keys, "user_id", F.col("value").alias("client_value"))
-    return server.select(*keys, F.col("value").alias("server_value")).join(mine, keys, "left")
+    theirs = server.select(*keys, F.col("value").alias("server_value"))
+    matched = mine.join(theirs, keys).select(*keys, "server_value", "user_id", "client_value")
+    alone = theirs.join(mine.select(*keys).distinct(), keys, "left_anti")
+    return matched.unionByName(alone, allowMissingColumns=True)
 
 
 def tasks_by_dataset(tasks: DataFrame, datasets: DataFrame, dataset_id: int | None = None, filename: str | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.metrics import argmax_class, sign_class, threshold_class
-from ..functions.vectors import linear
+from ..functions.vectors import array_literal, dot, linear
 from .columns import fit, q
 
 MARGIN_LIMIT = 250.0
@@ -54,15 +54,11 @@ ACTIVATIONS = {
 }
 
 
-def _literal(values: Sequence[float]) -> Column:
-    return F.array(*[F.lit(float(v)) for v in values])
-
-
 def _layer(inputs: Column, matrix: Sequence[Sequence[float]], biases: Sequence[float]) -> Column:
     """inputs · matrix + biases; the matrix has one row per input."""
-    by_unit = F.array(*[_literal([row[j] for row in matrix]) for j in range(len(biases))])
-    sums = F.transform(by_unit, lambda w: F.aggregate(F.zip_with(inputs, w, lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x))
-    return F.zip_with(sums, _literal(biases), lambda s, b: s + b)
+    by_unit = F.array(*[array_literal([row[j] for row in matrix]) for j in range(len(biases))])
+    sums = F.transform(by_unit, lambda w: dot(inputs, w))
+    return F.zip_with(sums, array_literal(biases), lambda s, b: s + b)
 
 
 def score_mlp(df: DataFrame, features: Column, weights: Sequence, biases: Sequence, activation: str = "relu", task: str = "classification",
@@ -75,8 +71,8 @@ def score_mlp(df: DataFrame, features: Column, weights: Sequence, biases: Sequen
     act = ACTIVATIONS.get(activation, ACTIVATIONS["relu"])
     level = features.cast("array<double>")
     if mean is not None and scale is not None:
-        centred = F.zip_with(level, _literal(mean), lambda x, m: x - m)
-        level = F.zip_with(centred, _literal(scale), lambda x, s: x / s)
+        centred = F.zip_with(level, array_literal(mean), lambda x, m: x - m)
+        level = F.zip_with(centred, array_literal(scale), lambda x, s: x / s)
     hidden = "_layer"
     out = df.withColumn(hidden, level)
     for i, (matrix, bias) in enumerate(zip(weights, biases, strict=True)):
@@ -119,13 +115,13 @@ def landmark_features(features: Column, landmarks: Sequence[Sequence[float]], ke
                       degree: int = 3, coef0: float = 0.0) -> Column:
     """Kernel value of each row against each landmark, as an array."""
     x = features.cast("array<double>")
-    table = F.array(*[_literal(v) for v in landmarks])
+    table = F.array(*[array_literal(v) for v in landmarks])
 
     def total(products: Column) -> Column:
         return F.aggregate(products, F.lit(0.0), lambda a, v: a + v)
 
     def inner(w: Column) -> Column:
-        return total(F.zip_with(x, w, lambda a, b: a * b))
+        return dot(x, w)
 
     if kernel == "rbf":
         return F.transform(table, lambda w: F.exp(-gamma * total(F.zip_with(x, w, lambda a, b: (a - b) * (a - b)))))

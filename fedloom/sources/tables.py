@@ -116,31 +116,36 @@ def export_features(df: DataFrame, inputs: Sequence[str], outputs: Sequence[str]
     return df.sparkSession.read.parquet(path)
 
 
-def read_client_params(spark: SparkSession, root: str, round_number: int | None = None) -> DataFrame:
-    """Client parameter documents joined with their metadata documents.
+METADATA_SCHEMA = "client_id long, submission_time string, user_id long, round_number int"
 
-    Understands ``<client>.json`` beside ``<client>_metadata.json`` and the
-    partitioned form ``params/client_id=<client>/`` beside
-    ``metadata/client_id=<client>/``.  One row per client: ``client_id,
-    round_number, submission_time, parameters`` (JSON text).
+
+def read_client_params(spark: SparkSession, root: str, round_number: int | None = None, layout: str = "files") -> DataFrame:
+    """Client parameter documents joined with their metadata, optionally of one round.
+
+    ``layout="files"`` reads ``<client>.json`` beside ``<client>_metadata.json``.
+    ``layout="lines"`` reads JSON lines with a ``client_id`` field from
+    ``params/`` and ``metadata/``, the form for many clients: it needs no file
+    per client.  One row per client: ``client_id, round_number,
+    submission_time, parameters`` (JSON text).
     """
-    documents = (
-        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(root, wholetext=True)
-        .select(F.col("value"), F.col("_metadata.file_path").alias("path"))
-    )
-    client = F.coalesce(
-        F.nullif(F.regexp_extract("path", r"client_id=(\d+)/", 1), F.lit("")),
-        F.regexp_extract("path", r"/(\d+)(?:_metadata)?\.json$", 1),
-    ).cast("long")
-    is_metadata = F.col("path").rlike(r"_metadata\.json$|/metadata/client_id=")
-    parsed = F.from_json("value", "submission_time string, user_id long, round_number int")
-    metadata = documents.filter(is_metadata).select(client.alias("client_id"), parsed.alias("m")).select(
-        "client_id", "m.round_number", "m.submission_time"
-    )
+    if layout == "lines":
+        parameters = spark.read.schema("client_id long, parameters string").json(f"{root}/params")
+        metadata = spark.read.schema(METADATA_SCHEMA).json(f"{root}/metadata")
+    elif layout == "files":
+        documents = (
+            spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(root, wholetext=True)
+            .select("value", F.col("_metadata.file_name").alias("file"))
+        )
+        client = F.regexp_extract("file", r"^(\d+)(?:_metadata)?\.json$", 1).try_cast("long").alias("client_id")
+        is_metadata = F.col("file").endswith("_metadata.json")
+        parsed = F.from_json("value", METADATA_SCHEMA.split(", ", 1)[1])
+        metadata = documents.filter(is_metadata).select(client, parsed.alias("m")).select("client_id", "m.*")
+        parameters = documents.filter(~is_metadata).select(client, F.trim("value").alias("parameters"))
+    else:
+        raise ValueError(f"unknown layout {layout!r}")
     if round_number is not None:
         metadata = metadata.filter(F.col("round_number") == round_number)
-    parameters = documents.filter(~is_metadata).select(client.alias("client_id"), F.trim("value").alias("parameters"))
-    return metadata.join(parameters, "client_id")
+    return metadata.select("client_id", "round_number", "submission_time").join(parameters, "client_id")
 
 
 def export_csv(df: DataFrame, path: str) -> str:

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.columns import q
+from ..session import materialize
 
 # Marks in the name of a file that is still being written.
 IN_PROGRESS = r"(_COPYING_|__PROCESSING__)(/|$)"
@@ -93,9 +94,10 @@ def stream_round_ready(submissions: DataFrame, clients: DataFrame, sessions: Dat
     built-in aggregate with partial counts before the shuffle.  A pair that is
     updated again after it got ready is reported once, from its first batch.
     """
-    expected = clients.groupBy("session_id").agg(F.count(F.lit(1)).alias("clients")).join(
+    # one row per session, computed once for all batches of this run
+    expected = materialize(clients.groupBy("session_id").agg(F.count(F.lit(1)).alias("clients")).join(
         sessions.select(F.col("id").alias("session_id"), F.col("no_of_left_clients").cast("long").alias("left_clients")), "session_id"
-    )
+    ))
     received = submissions.groupBy("session_id", "round_number").agg(F.count(F.lit(1)).alias("received"))
 
     def ready(batch: DataFrame) -> DataFrame:
