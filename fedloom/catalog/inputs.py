@@ -36,10 +36,12 @@ def numbers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sessions(spark: SparkSession, d: str) -> DataFrame:
-    layers = """CASE WHEN o_orderkey % 6 = 0 THEN '[{"layer_type":"dense","num_nodes":"4"}]' ELSE
-        '[{"layer_type":"convolution","filters":"64"},{"layer_type":"pooling"},{"layer_type":"convolution","filters":"'
-        || CAST(o_orderkey % 6 * 8 AS STRING) || '"},{"layer_type":"dense"}]' END"""
-    return table(spark, d, "orders").withColumn("layers", F.from_json(F.expr(layers), "array<struct<layer_type: string, filters: string, num_nodes: string>>")).selectExpr(
+    layers = """CASE WHEN o_orderkey % 6 = 0 THEN array(named_struct('layer_type', 'dense', 'filters', CAST(NULL AS STRING), 'num_nodes', '4'))
+        ELSE array(named_struct('layer_type', 'convolution', 'filters', '64', 'num_nodes', CAST(NULL AS STRING)),
+        named_struct('layer_type', 'pooling', 'filters', CAST(NULL AS STRING), 'num_nodes', CAST(NULL AS STRING)),
+        named_struct('layer_type', 'convolution', 'filters', CAST(o_orderkey % 6 * 8 AS STRING), 'num_nodes', CAST(NULL AS STRING)),
+        named_struct('layer_type', 'dense', 'filters', CAST(NULL AS STRING), 'num_nodes', '4')) END"""
+    return table(spark, d, "orders").withColumn("layers", F.expr(layers)).selectExpr(
         "o_orderkey AS id",
         """to_json(named_struct(
             'organisation_name', CASE WHEN o_custkey % 9 = 0 THEN NULL ELSE 'Org ' || CAST(o_custkey % 25 AS STRING) END,

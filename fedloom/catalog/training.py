@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics as M
 from ..operators import federated as A
-from ..operators import models, pricing, rounds, scoring
+from ..operators import models, pricing, reports, rounds, scoring
 from . import inputs
 from .inputs import table
 from .registry import query, rounded, with_
@@ -64,9 +64,7 @@ def stale_round_filter(spark, d):
 @query("task_baseline", with_("tasks", """SELECT task_id, metric, round(benchmark_mean, 6) AS benchmark_mean, benchmark_std,
     CASE WHEN benchmark_mean IS NULL THEN 'missing' ELSE 'ok' END AS status FROM tasks"""))
 def task_baseline(spark, d):
-    from ..operators.reports import task_baseline as baseline
-
-    return rounded(baseline(inputs.tasks(spark, d)))
+    return rounded(reports.task_baseline(inputs.tasks(spark, d)))
 
 
 COHEN = """SELECT l_suppkey, avg(l_extendedprice) FILTER (l_returnflag = 'N') AS m1, avg(l_extendedprice) FILTER (l_returnflag = 'R') AS m2,
@@ -81,9 +79,8 @@ def cohens_d(spark, d):
 
 
 def predictors(spark, d):
-    from ..operators.reports import info
-
-    return inputs.sessions(spark, d).select("id", pricing.num_predictors(info("model_info.layers")).alias("predictors"))
+    layers = F.col("info.model_info.layers")
+    return reports.with_info(inputs.sessions(spark, d), "model_info").select("id", pricing.num_predictors(layers).alias("predictors"))
 
 
 @query("num_predictors", with_("sessions", "SELECT id, predictors FROM sessions"))
@@ -279,9 +276,8 @@ _OUT, _HIDDEN = _net_sql("greatest(0.0::DOUBLE, {z})")
 def score_mlp(spark, d):
     rows = table(spark, d, "lineitem")
     options = {"weights": NET, "biases": NET_BIASES, "mean": NET_MEAN, "scale": NET_SCALE}
-    cells = F.array(*FEATURES)
-    scored = scoring.score_mlp(rows, cells, task="regression", name="value", **options)
-    scored = scoring.score_mlp(scored, cells, task="classification", num_classes=3, name="class", **options)
+    scored = scoring.score_mlp(rows, FEATURES, task="regression", name="value", **options)
+    scored = scoring.score_mlp(scored, FEATURES, task="classification", num_classes=3, name="class", **options)
     return rounded(scored.select(*KEYS, "value", "class"))
 
 

@@ -20,8 +20,9 @@ POWER = 0.80
 MIN_SIZE = 30
 MAX_SIZE = 200
 
-_GRID = 97
-_STEPS = 34
+_GRID = 65
+_STEPS = 60
+_CLOSE = 1e-11
 
 
 def _normal_cdf(z: np.ndarray) -> np.ndarray:
@@ -39,26 +40,35 @@ def _tail_above(limit: np.ndarray, shift: np.ndarray, df: np.ndarray) -> np.ndar
     return (weight * _normal_cdf(shift[:, None] - limit[:, None] * s)).sum(axis=1) / weight.sum(axis=1)
 
 
-def _bisect(function, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """Roots of rising functions, one per element."""
+def _root(function, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Roots of rising functions, one per element: false position with the stale end halved."""
+    at_low, at_high = function(low), function(high)
+    side = np.zeros(low.size)
+    x = low
     for _ in range(_STEPS):
-        middle = (low + high) / 2
-        under = function(middle) < 0
-        low, high = np.where(under, middle, low), np.where(under, high, middle)
-    return (low + high) / 2
+        x = (low * at_high - high * at_low) / (at_high - at_low)
+        value = function(x)
+        if np.all(np.abs(value) < _CLOSE):
+            break
+        under = value < 0
+        at_high = np.where(under & (side < 0), at_high / 2, np.where(under, at_high, value))
+        at_low = np.where(~under & (side > 0), at_low / 2, np.where(under, value, at_low))
+        low, high = np.where(under, x, low), np.where(under, high, x)
+        side = np.where(under, -1, 1)
+    return x
 
 
 def detectable_effects(alpha: float, power: float = POWER) -> list[float]:
     """Smallest effect detected per group size, from MIN_SIZE up to one below MAX_SIZE; falling."""
     n = np.arange(MIN_SIZE, MAX_SIZE, dtype=float)
     df, root, none = 2 * n - 2, np.sqrt(n / 2), np.zeros(n.size)
-    critical = _bisect(lambda t: alpha / 2 - _tail_above(t, none, df), none, none + 40.0)
+    critical = _root(lambda t: alpha / 2 - _tail_above(t, none, df), none, none + 10.0)
 
     def gap(effect: np.ndarray) -> np.ndarray:
         shift = effect * root
         return _tail_above(critical, shift, df) + 1 - _tail_above(-critical, shift, df) - power
 
-    return _bisect(gap, none, (critical + 6) / root).tolist()
+    return _root(gap, none, (critical + 4) / root).tolist()
 
 
 def limits_per_alpha(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

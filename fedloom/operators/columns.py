@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Hashable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,18 +54,32 @@ def as_double(df: DataFrame, name: str) -> Column:
     return present(df, name).cast("double")
 
 
-def replace(df: DataFrame, changed: dict[str, Column]) -> DataFrame:
-    """One projection that swaps the given columns and keeps the order."""
-    return df.select(*[changed[c].alias(c) if c in changed else q(c) for c in df.columns])
+def replace(df: DataFrame, changed: dict[str, Column], hidden: dict[str, Column] | None = None) -> DataFrame:
+    """One projection that swaps the given columns and keeps the order.
 
+    ``hidden`` columns are worked out first, once per row, for use in ``changed``.
+    """
+    base = df.withColumns(hidden) if hidden else df
+    return base.select(*[changed[c].alias(c) if c in changed else q(c) for c in df.columns])
 
-def fit(df: DataFrame, wanted: dict[str, Column]) -> dict:
-    """Evaluate aggregates in one job; one row of statistics comes back."""
-    if not wanted:
-        return {}
+
+# more aggregates than this no longer compile well together
+AGGREGATES_PER_JOB = 256
+
+
+def fit(df: DataFrame, wanted: dict[Hashable, Column]) -> dict:
+    """Evaluate aggregates in one job; one row of statistics comes back.
+
+    Very wide tables are worked off in groups of aggregates.  Callers list them
+    column by column, so each group reads its own columns.
+    """
     names = list(wanted)
-    row = df.agg(*[wanted[n].alias(f"s{i}") for i, n in enumerate(names)]).first()
-    return {n: row[i] for i, n in enumerate(names)}
+    values: dict = {}
+    for start in range(0, len(names), AGGREGATES_PER_JOB):
+        part = names[start:start + AGGREGATES_PER_JOB]
+        row = df.agg(*[wanted[n].alias(f"s{i}") for i, n in enumerate(part)]).first()
+        values.update({n: row[i] for i, n in enumerate(part)})
+    return values
 
 
 def require(df: DataFrame, names: Sequence[str]) -> None:

@@ -6,12 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.power import ALPHA, MIN_SIZE, limits_per_alpha
-from .reports import benchmark_values, info
+from .reports import benchmark_values, task_of, with_info
 
 # Fixed value: price of a session without a measurable effect.
 DEFAULT_PRICE = 100
 
-LAYERS = "array<struct<layer_type: string, filters: string>>"
 
 
 def cohens_d(mean1: Column, mean2: Column, std1: Column, std2: Column) -> Column:
@@ -39,8 +38,8 @@ def group_effect(df: DataFrame, value: str, group: Column, first, second, by: li
 
 
 def num_predictors(layers: Column) -> Column:
-    """Filters of the last convolution layer in a JSON layer list, 0 without one."""
-    convolutions = F.filter(F.from_json(layers, LAYERS), lambda x: x["layer_type"] == "convolution")
+    """Filters of the last convolution in an array of layers, 0 without one."""
+    convolutions = F.filter(layers, lambda x: x["layer_type"] == "convolution")
     return F.coalesce(F.try_element_at(convolutions, F.lit(-1))["filters"].try_cast("int"), F.lit(0))
 
 
@@ -66,12 +65,13 @@ def required_sample_size(df: DataFrame, effect: str, alpha: str, name: str = "sa
 def session_prices(sessions: DataFrame, tasks: DataFrame) -> DataFrame:
     """Price of each session: required sample size against its task's benchmark."""
     baseline = benchmark_values(tasks).filter("benchmark_mean is not null and benchmark_std is not null")
-    quoted = sessions.select(
+    document = with_info(sessions, "task_id", "expected_std_mean", "expected_std_deviation", "model_info")
+    quoted = document.select(
         F.col("id").alias("session_id"),
-        info("task_id").try_cast("int").alias("task_id"),
-        info("expected_std_mean").try_cast("double").alias("new_mean"),
-        info("expected_std_deviation").try_cast("double").alias("new_std"),
-        num_predictors(info("model_info.layers")).alias("predictors"),
+        task_of().alias("task_id"),
+        F.col("info.expected_std_mean").try_cast("double").alias("new_mean"),
+        F.col("info.expected_std_deviation").try_cast("double").alias("new_std"),
+        num_predictors(F.col("info.model_info.layers")).alias("predictors"),
     ).join(baseline.select("task_id", "benchmark_mean", "benchmark_std"), "task_id")
     effect = effect_size(F.col("benchmark_mean"), F.col("new_mean"), F.col("benchmark_std"), F.col("new_std"))
     sized = quoted.withColumns({"effect_size": effect, "alpha": bonferroni_alpha(F.col("predictors"))})

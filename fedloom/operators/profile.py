@@ -1,15 +1,15 @@
 """Dataset profile: one row per column.
 
 The full profile reads the table a fixed number of times, whatever the number
-of columns: one wide aggregate (counts, moments, extremes, sketched quartiles,
-array lengths), one pass over unpivoted numbers (histogram and distinct count
-from the same shuffle), one over unpivoted strings, one per array column.
+of columns: one wide compiled aggregate (counts, moments, extremes, array
+lengths), one pass of quartile sketches, one pass over unpivoted numbers per
+number type (histogram and distinct count from the same shuffle), one over
+unpivoted strings, one per array column.
 The single-purpose functions stay lazy and return long-form rows.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Row
@@ -146,20 +146,23 @@ def bin_edges(low: float | None, high: float | None) -> list[float] | None:
     return [low + i * width for i in range(BINS + 1)]
 
 
-def bin_index(x: Column, edges: list[float]) -> Column:
-    """Position of the last edge not above ``x``; the last bin is closed."""
-    inner = edges[1:-1]
-    return sum(((x >= F.lit(e)).cast("int") for e in inner), F.when(x.isNotNull(), F.lit(0)))
+def bin_index(x: Column, low: Column, width: Column) -> Column:
+    """Position of the last edge ``low + i * width`` not above ``x``; the last bin is closed.
+
+    The division gives a guess; comparing with the edges themselves corrects
+    its rounding, so values on an edge land where the edge list says.
+    """
+    last = F.lit(BINS - 1)
+    step = F.floor(F.coalesce(F.try_divide(x - low, width), F.lit(0.0))).cast("int")
+    guess = F.least(last, F.greatest(F.lit(0), step))
+    back = (x < low + guess * width) & (guess > 0)
+    ahead = (x >= low + (guess + 1) * width) & (guess < last) & (width > 0)
+    return F.when(x.isNotNull(), guess - back.cast("int") + ahead.cast("int"))
 
 
-def placed_bin(x: Column, edges: Column) -> Column:
-    """``bin_index`` for edges held in an array column: a guess, corrected by its neighbours."""
-    last = F.size(edges) - 2
-    step = F.try_divide(x - edges[0], edges[1] - edges[0])
-    guess = F.least(last, F.greatest(F.lit(0), F.floor(F.coalesce(step, F.lit(0.0))).cast("int")))
-    back = (x < F.get(edges, guess)) & (guess > 0)
-    ahead = (x >= F.get(edges, guess + 1)) & (guess < last)
-    return F.when(x.isNotNull() & ~F.isnan(x) & edges.isNotNull(), guess - back.cast("int") + ahead.cast("int"))
+def _start_and_width(edges: list[float]) -> tuple[float, float]:
+    low, high = edges[0], edges[-1]
+    return low, (high - low) / BINS
 
 
 def profile_histogram(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -167,22 +170,31 @@ def profile_histogram(df: DataFrame, columns: Sequence[str] | None = None) -> Da
     names = columns or numeric_columns(df)
     stats = fit(df, {(c, k): f(as_double(df, c)) for c in names for k, f in (("min", F.min), ("max", F.max))})
     edges = {c: bin_edges(stats[(c, "min")], stats[(c, "max")]) for c in names}
-    filled = [c for c in names if edges[c]]
-    spark = df.sparkSession
-    grid = spark.createDataFrame(
-        [(c, i, edges[c][i], edges[c][i + 1]) for c in filled for i in range(len(edges[c]) - 1)],
+    grid = df.sparkSession.createDataFrame(
+        [(c, i, e[i], e[i + 1]) for c, e in edges.items() if e for i in range(len(e) - 1)],
         "name string, bin int, low double, high double",
     )
-    if not filled:
-        return grid.withColumn("count", F.lit(0).cast("long"))
-    slim = df.select(*[bin_index(as_double(df, c), edges[c]).alias(f"c{i}") for i, c in enumerate(filled)])
-    long = slim.unpivot([], [F.col(x) for x in slim.columns], "slot", "bin").filter("bin is not null")
-    counted = long.groupBy("slot", "bin").agg(F.count(F.lit(1)).alias("n")).select(_named(filled).alias("name"), "bin", "n")
+    counted = _bin_counts(df, edges)
     return grid.join(counted, ["name", "bin"], "left").select(
         "name", "bin", "low", "high", F.coalesce("n", F.lit(0)).cast("long").alias("count")
     )
 
 
+def _bin_counts(df: DataFrame, edges: dict[str, list[float] | None]) -> DataFrame:
+    """Rows per column and bin, for columns that hold values."""
+    filled = [c for c, e in edges.items() if e]
+    if not filled:
+        return df.sparkSession.createDataFrame([], "name string, bin int, n long")
+    # the bin is worked out after unpivoting: one small expression that compiles
+    # well, instead of one copy per column
+    cells = [F.lit(len(filled))]
+    for i, c in enumerate(filled):
+        cells += [F.lit(f"c{i}"), as_double(df, c), *map(F.lit, _start_and_width(edges[c]))]
+    long = df.select(F.stack(*cells).alias("slot", "x", "low", "width")).filter("x is not null")
+    placed = long.select("slot", bin_index(F.col("x"), F.col("low"), F.col("width")).alias("bin"))
+    return placed.groupBy("slot", "bin").agg(F.count(F.lit(1)).alias("n")).select(_named(filled).alias("name"), "bin", "n")
+
+
 def shown_value(value: Column) -> Column:
     """Long values are cut to 50 characters with an ellipsis."""
     return F.when(F.length(value) > SHOWN_CHARS, F.concat(F.substring(value, 1, SHOWN_CHARS), F.lit("..."))).otherwise(value)
@@ -315,17 +327,16 @@ def profile(df: DataFrame, approximate_unique: bool = False, relative_error: flo
         x = as_double(df, c)
         wanted.update({(c, n): e for n, e in _moments(df, c).items()})
         wanted[(c, "low")], wanted[(c, "high")] = F.min(x), F.max(x)
-        if relative_error:
-            wanted[(c, "quartiles")] = F.percentile_approx(x, QUARTILES, math.ceil(1 / relative_error))
     for c in arrays:
         wanted.update({(c, n): e for n, e in _length_measures(c).items()})
         wanted[(c, "shape")] = F.first(row_shape(q(c), _depth(type_of(df, c))), ignorenulls=True)
     if approximate_unique:
         for c in numeric + strings:
-            wanted[(c, "distinct")] = F.approx_count_distinct(q(c))
+            wanted[(c, "unique_count")] = F.approx_count_distinct(q(c)) + F.coalesce(F.max(q(c).isNull().cast("long")), F.lit(0))
     stats = fit(df, wanted)
-    if not relative_error:
-        stats.update({(c, "quartiles"): v for c, v in exact_quantiles(df, numeric, QUARTILES).items()})
+    # a pass of its own: sketches would keep the aggregate above from being compiled
+    if numeric:
+        stats.update({(c, "quartiles"): v for c, v in quantiles(df, numeric, QUARTILES, relative_error).items()})
 
     edges = {c: bin_edges(stats[(c, "low")], stats[(c, "high")]) for c in numeric}
     bins, unique = _bins_and_unique(df, numeric, edges, approximate_unique)
@@ -337,10 +348,7 @@ def profile(df: DataFrame, approximate_unique: bool = False, relative_error: flo
         row: dict = dict.fromkeys(PROFILE_FIELDS)
         row.update(name=c, type=type_of(df, c).simpleString(), entries=stats[("", "rows")], null_count=stats[(c, "null_count")])
         if c in numeric or c in strings:
-            if approximate_unique:
-                row["unique_count"] = stats[(c, "distinct")] + min(1, stats[(c, "null_count")])
-            else:
-                row["unique_count"] = unique.get(c, 0)
+            row["unique_count"] = stats[(c, "unique_count")] if approximate_unique else unique.get(c, 0)
         if c in numeric:
             row.update({n: stats[(c, n)] for n in ("mean", "stddev", "min", "max")})
             if edges[c]:
@@ -368,13 +376,13 @@ def _bins_and_unique(df: DataFrame, numeric: list[str], edges: dict, approximate
     bins: dict = {}
     unique: dict = {}
     if approximate:
-        for r in profile_histogram(df, numeric).collect() if numeric else []:
-            bins[(r["name"], r["bin"])] = r["count"]
-        return bins, unique
-    table = df.sparkSession.createDataFrame([(c, edges[c]) for c in numeric], "name string, edges array<double>")
+        return {(r["name"], r["bin"]): r["n"] for r in _bin_counts(df, edges).collect()}, unique
+    starts = [(c, *(_start_and_width(edges[c]) if edges[c] else (None, None))) for c in numeric]
+    table = df.sparkSession.createDataFrame(starts, "name string, low double, width double")
     for frame in value_counts(df, numeric):
         frame = frame.join(F.broadcast(table), "name")  # one row per column
-        place = placed_bin(F.col("value").cast("double"), F.col("edges"))
+        x = F.col("value").cast("double")
+        place = F.when(~F.isnan(x) & F.col("low").isNotNull(), bin_index(x, F.col("low"), F.col("width")))
         folded = frame.groupBy("name", place.alias("bin")).agg(F.sum("count").alias("rows"), F.count(F.lit(1)).alias("values"))
         for r in folded.collect():
             unique[r["name"]] = unique.get(r["name"], 0) + r["values"]

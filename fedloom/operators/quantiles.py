@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,8 +39,7 @@ class _Search:
     """One wanted rank in one column."""
 
     slot: str
-    probability: float
-    rank: int = 0
+    rank: int
     low: float | None = None
     high: float | None = None
     below: int = 0
@@ -47,12 +47,10 @@ class _Search:
     value: float | None = None
     done: bool = False
 
-    def rows(self) -> Column:
-        """The column restricted to the open bracket."""
+    def bracket(self) -> Column:
+        """True for values strictly inside the bracket."""
         x = F.col(self.slot)
-        if self.low is None:
-            return x
-        return F.when((x > self.low) & (x < self.high), x)
+        return x.isNotNull() if self.low is None else (x > self.low) & (x < self.high)
 
     def local_rank(self) -> int:
         return self.rank - self.below
@@ -80,14 +78,14 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequen
                 plans[c].append(None)
                 continue
             low_rank, high_rank, share = _ranks(p, n, interpolate)
-            pair = []
+            found = {}
             for rank in (low_rank, high_rank):
-                search = _Search(s, p, rank, inside=n)
-                if n > EXACT_BELOW:
-                    search.low, search.high = first[(s, "v")][2 * i: 2 * i + 2]
-                pair.append(search)
-            searches += pair
-            plans[c].append((pair, share))
+                if rank not in found:
+                    found[rank] = _Search(s, rank, inside=n)
+                    if n > EXACT_BELOW:
+                        found[rank].low, found[rank].high = first[(s, "v")][2 * i: 2 * i + 2]
+            searches += found.values()
+            plans[c].append(((found[low_rank], found[high_rank]), share))
     _narrow(base, searches)
     return {
         c: [None if item is None else _blend(item) for item in items]
@@ -161,8 +159,9 @@ def _refine(base: DataFrame, searches: list[_Search]) -> None:
     for i, s in enumerate(searches):
         at = (s.local_rank() - 0.5) / s.inside
         points = [at] if s.inside <= EXACT_BELOW else _bracket_points([at])
-        wanted[i] = F.percentile_approx(s.rows(), points, ACCURACY)
-    got = fit(base, wanted)
+        wanted[i] = F.percentile_approx(F.when(s.bracket(), F.col(s.slot)), points, ACCURACY)
+    # the sketches are not compiled; a compiled filter leaves them few rows
+    got = fit(base.filter(reduce(lambda a, b: a | b, [s.bracket() for s in searches])), wanted)
     for i, s in enumerate(searches):
         if s.inside <= EXACT_BELOW:
             s.value, s.done = got[i][0], True

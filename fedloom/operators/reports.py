@@ -19,10 +19,22 @@ from .ordering import row_numbers
 # Metrics where a smaller value is better.
 ERROR_METRICS = ("mae", "mse")
 METRICS = "map<string, double>"
+# Keys of the session document in use.  Numbers are read as text, because
+# documents hold them either way, and cast where they are used.
+INFO = {
+    "organisation_name": "string", "server_filename": "string", "task_id": "string", "model_name": "string",
+    "model_info": "struct<layers: array<struct<layer_type: string, filters: string>>>",
+    "expected_std_mean": "string", "expected_std_deviation": "string", "no_of_rounds": "string",
+}
 
 
-def info(key: str, column: str = "federated_info") -> Column:
-    return F.get_json_object(F.col(column), f"$.{key}")
+def with_info(sessions: DataFrame, *keys: str) -> DataFrame:
+    """Sessions with the given keys of their document as struct ``info``, parsed once per row."""
+    return sessions.withColumn("info", F.from_json("federated_info", ", ".join(f"{k} {INFO[k]}" for k in keys)))
+
+
+def task_of(info: str = "info") -> Column:
+    return F.col(info)["task_id"].try_cast("int")
 
 
 def metrics_of(column: str = "metrics_report") -> Column:
@@ -35,12 +47,12 @@ def is_error_metric(metric: Column) -> Column:
 
 def session_search(sessions: DataFrame, status: str | None = None, search: str | None = None) -> DataFrame:
     """Sessions with a status and a case-insensitive text in organisation or file name."""
-    found = sessions
+    found = with_info(sessions, "organisation_name", "server_filename", "no_of_rounds")
     if status:
         found = found.filter(F.col("training_status") == status)
     if search:
         text = f"%{search}%"
-        found = found.filter(info("organisation_name").ilike(text) | info("server_filename").ilike(text))
+        found = found.filter(F.col("info.organisation_name").ilike(text) | F.col("info.server_filename").ilike(text))
     return found
 
 
@@ -53,8 +65,8 @@ def sessions_page(sessions: DataFrame, page: int = 1, per_page: int = 6, sort_or
     direction = F.asc if sort_order == "asc" else F.desc
     total = found.agg(F.count(F.lit(1)).alias("total")).scalar()
     rows = found.select(
-        "id", "training_status", info("organisation_name").alias("name"), info("server_filename").alias("server_filename"),
-        F.col("createdAt").alias("created_at"), "curr_round", info("no_of_rounds").cast("int").alias("total_rounds"),
+        "id", "training_status", F.col("info.organisation_name").alias("name"), F.col("info.server_filename").alias("server_filename"),
+        F.col("createdAt").alias("created_at"), "curr_round", F.col("info.no_of_rounds").cast("int").alias("total_rounds"),
     )
     rows = rows.orderBy(direction("created_at"), direction("id")).offset((page - 1) * per_page).limit(per_page)
     return rows.withColumn("total", total).withColumn("total_pages", F.ceil(F.col("total") / per_page).cast("long"))
@@ -129,22 +141,24 @@ def leaderboard(sessions: DataFrame, results: DataFrame, users: DataFrame, tasks
 
     All tasks at once unless ``task_id`` is given; sort with ``leaderboard_order``.
     """
-    wanted = sessions.withColumn("task_id", info("task_id").try_cast("int"))
+    # only the named fields of the document travel through the joins
+    wanted = with_info(sessions, "task_id", "organisation_name", "model_name").select(
+        task_of().alias("task_id"), F.col("id").alias("session_id"), "admin_id", "max_round", "createdAt",
+        F.col("info.organisation_name").alias("organisation_name"), F.col("info.model_name").alias("model_name"),
+    )
     if task_id is not None:
         wanted = wanted.filter(F.col("task_id") == task_id)
         tasks = tasks.filter(F.col("task_id") == task_id)
     last = latest_round(results).withColumn("metrics", metrics_of())
     return (
-        wanted.select("task_id", F.col("id").alias("session_id"), "admin_id", "federated_info", "max_round", "createdAt")
-        .join(last, "session_id")
+        wanted.join(last, "session_id")
         .join(benchmark_values(tasks).select("task_id", "task_name", "metric", "benchmark_mean"), "task_id")
         .withColumn("metric_value", F.try_element_at("metrics", F.col("metric")))
         .filter(F.col("metric_value").isNotNull())
         .join(users.select(F.col("id").alias("admin_id"), F.col("name").alias("admin_name")), "admin_id")
         .select(
             "task_id", "task_name", "metric", "session_id", "round_number", "metric_value", "benchmark_mean",
-            info("organisation_name").alias("organisation_name"), info("model_name").alias("model_name"),
-            F.col("max_round").alias("total_rounds"), F.col("createdAt").alias("created_at"), "admin_name",
+            "organisation_name", "model_name", F.col("max_round").alias("total_rounds"), F.col("createdAt").alias("created_at"), "admin_name",
         )
     )
 
@@ -305,9 +319,8 @@ def tasks_by_dataset(tasks: DataFrame, datasets: DataFrame, dataset_id: int | No
 
 def permission_grants(clients: DataFrame, sessions: DataFrame, permissions: DataFrame) -> DataFrame:
     """(user, task) pairs of joined sessions without a permission row yet."""
-    task = info("task_id").try_cast("int")
     joined = clients.select("user_id", "session_id").join(
-        sessions.select(F.col("id").alias("session_id"), task.alias("task_id")), "session_id"
+        with_info(sessions, "task_id").select(F.col("id").alias("session_id"), task_of().alias("task_id")), "session_id"
     )
     pairs = joined.filter("task_id <> 0").select("user_id", "task_id").distinct()
     return pairs.join(permissions.select("user_id", "task_id"), ["user_id", "task_id"], "left_anti")
@@ -315,7 +328,7 @@ def permission_grants(clients: DataFrame, sessions: DataFrame, permissions: Data
 
 def auto_enrol_clients(session_id: int, sessions: DataFrame, clients: DataFrame, permissions: DataFrame) -> DataFrame:
     """Clients permitted for the task of one session that have not joined it yet."""
-    session = sessions.filter(F.col("id") == session_id).select(info("task_id").try_cast("int").alias("task_id"))
+    session = with_info(sessions.filter(F.col("id") == session_id), "task_id").select(task_of().alias("task_id"))
     permitted = permissions.filter("permission").join(session, "task_id", "left_semi").select("user_id").distinct()
     joined = clients.filter(F.col("session_id") == session_id).select("user_id")
     return permitted.join(joined, "user_id", "left_anti").select(F.lit(session_id).cast("long").alias("session_id"), "user_id")

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,43 +59,47 @@ def scale_column(df: DataFrame, column: str, method: str) -> DataFrame:
     return replace(df, {column: column_expression(column, method, stats)})
 
 
-def _complete(df: DataFrame, columns: Sequence[str], result: Column) -> Column:
-    """Fail the job on a row vector with a missing cell."""
-    broken = is_missing(df, columns[0])
-    for c in columns[1:]:
-        broken = broken | is_missing(df, c)
-    return F.when(broken, F.raise_error(F.lit("row vector holds a NULL or NaN")).cast("double")).otherwise(result)
+CHECK = "_row_check"
+
+
+def _broken(df: DataFrame, columns: Sequence[str]) -> Column:
+    """True for a row that cannot form a vector."""
+    return reduce(lambda a, b: a | b, [is_missing(df, c) for c in columns])
+
+
+def row_check(df: DataFrame, columns: Sequence[str], method: str) -> Column:
+    """Per row, once: its norm, or 1.0 for the scalings; a missing cell fails the job."""
+    value = row_norm(columns, method) if method.endswith("Norm") else F.lit(1.0)
+    refusal = F.raise_error(F.lit("row vector holds a NULL or NaN")).cast("double")
+    return F.when(_broken(df, columns), refusal).otherwise(value)
 
 
 def incomplete_rows(df: DataFrame, columns: Sequence[str]) -> Column:
     """Aggregate: rows that cannot form a vector."""
-    broken = is_missing(df, columns[0])
-    for c in columns[1:]:
-        broken = broken | is_missing(df, c)
-    return F.count_if(broken)
+    return F.count_if(_broken(df, columns))
 
 
-def _row_norm(cells: Sequence[Column], method: str) -> Column:
+def row_norm(columns: Sequence[str], method: str) -> Column:
+    cells = [q(c).cast("double") for c in columns]
     if method == "L1 Norm":
-        return sum((F.abs(x) for x in cells[1:]), F.abs(cells[0]))
+        return reduce(lambda a, b: a + b, [F.abs(x) for x in cells])
     if method == "L2 Norm":
-        return F.sqrt(sum((x * x for x in cells[1:]), cells[0] * cells[0]))
+        return F.sqrt(reduce(lambda a, b: a + b, [x * x for x in cells]))
     if method == "L inf Norm":
         return F.abs(cells[0]) if len(cells) == 1 else F.greatest(*[F.abs(x) for x in cells])
     raise ValueError(f"unknown row norm {method!r}")
 
 
-def row_expressions(df: DataFrame, columns: Sequence[str], method: str) -> dict[str, Column]:
-    """Each cell over the norm of its row; an all-zero row stays zero."""
-    cells = [q(c).cast("double") for c in columns]
-    norm = _complete(df, columns, _row_norm(cells, method))
-    return {c: F.when(norm == 0, x).otherwise(x / norm) for c, x in zip(columns, cells)}
+def row_expressions(columns: Sequence[str]) -> dict[str, Column]:
+    """Each cell over the norm in ``CHECK``; an all-zero row stays zero."""
+    norm = F.col(CHECK)
+    return {c: F.when(norm == 0, q(c).cast("double")).otherwise(q(c).cast("double") / norm) for c in columns}
 
 
 def normalize_rows(df: DataFrame, columns: Sequence[str] | None, method: str) -> DataFrame:
     """Divide each row vector by its norm; a row with a missing cell fails the job."""
     names = numeric_columns(df) if columns is None else list(columns)
-    return replace(df, row_expressions(df, names, method)) if names else df
+    return replace(df, row_expressions(names), {CHECK: row_check(df, names, method)}) if names else df
 
 
 def all_statistics(columns: Sequence[str], method: str) -> dict:
@@ -111,7 +116,8 @@ def all_statistics(columns: Sequence[str], method: str) -> dict:
     return wanted
 
 
-def all_expressions(df: DataFrame, columns: Sequence[str], method: str, stats: dict) -> dict[str, Column]:
+def all_expressions(columns: Sequence[str], method: str, stats: dict) -> dict[str, Column]:
+    """Scaled columns, for rows whose ``CHECK`` went well."""
     changed = {}
     for c in columns:
         x = q(c).cast("double")
@@ -121,7 +127,7 @@ def all_expressions(df: DataFrame, columns: Sequence[str], method: str, stats: d
         else:
             spread = stats[(c, "spread")]
             scaled = x / F.lit(spread) if spread else F.lit(0.0)
-        changed[c] = _complete(df, columns, scaled)
+        changed[c] = F.when(F.col(CHECK).isNotNull(), scaled)
     return changed
 
 
@@ -132,7 +138,8 @@ def scale_all(df: DataFrame, columns: Sequence[str] | None, method: str) -> Data
         return df
     if method not in ("Min-Max", "Z-score"):
         return normalize_rows(df, names, method)
-    return replace(df, all_expressions(df, names, method, fit(df, all_statistics(names, method))))
+    expressions = all_expressions(names, method, fit(df, all_statistics(names, method)))
+    return replace(df, expressions, {CHECK: row_check(df, names, method)})
 
 
 def transform_expression(column: str, operation: str) -> Column:

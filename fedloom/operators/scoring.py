@@ -54,37 +54,54 @@ ACTIVATIONS = {
 }
 
 
-def _layer(inputs: Column, matrix: Sequence[Sequence[float]], biases: Sequence[float]) -> Column:
-    """inputs · matrix + biases; the matrix has one row per input."""
+# layers with more weights than this are evaluated on arrays instead of plain columns
+UNROLLED_WEIGHTS = 1_024
+
+
+def _unit_sums(inputs: Sequence[Column], matrix: Sequence[Sequence[float]], biases: Sequence[float]) -> list[Column]:
+    """inputs · matrix + biases as one compiled expression per unit; the matrix has one row per input."""
+    return [linear(inputs, [row[j] for row in matrix], b) for j, b in enumerate(biases)]
+
+
+def _array_sums(inputs: Column, matrix: Sequence[Sequence[float]], biases: Sequence[float]) -> Column:
+    """The same for wide layers, with array expressions."""
     by_unit = F.array(*[array_literal([row[j] for row in matrix]) for j in range(len(biases))])
-    sums = F.transform(by_unit, lambda w: dot(inputs, w))
-    return F.zip_with(sums, array_literal(biases), lambda s, b: s + b)
+    return F.zip_with(F.transform(by_unit, lambda w: dot(inputs, w)), array_literal(biases), lambda s, b: s + b)
 
 
-def score_mlp(df: DataFrame, features: Column, weights: Sequence, biases: Sequence, activation: str = "relu", task: str = "classification",
+def score_mlp(df: DataFrame, columns: Sequence[str], weights: Sequence, biases: Sequence, activation: str = "relu", task: str = "classification",
               num_classes: int = 2, mean: Sequence[float] | None = None, scale: Sequence[float] | None = None, name: str = "prediction") -> DataFrame:
-    """Forward pass of a feed-forward network over an array column.
+    """Forward pass of a feed-forward network over numeric columns.
 
-    Every layer is one projection with array expressions, so the network costs
+    Every layer is one projection of column expressions, so the network costs
     no Python and no shuffle.
     """
     act = ACTIVATIONS.get(activation, ACTIVATIONS["relu"])
-    level = features.cast("array<double>")
+    cells = _cells(columns)
     if mean is not None and scale is not None:
-        centred = F.zip_with(level, array_literal(mean), lambda x, m: x - m)
-        level = F.zip_with(centred, array_literal(scale), lambda x, s: x / s)
-    hidden = "_layer"
-    out = df.withColumn(hidden, level)
+        cells = [(x - m) / F.lit(float(s)) for x, m, s in zip(cells, mean, scale, strict=True)]
+    units = [f"_unit{i}" for i in range(len(cells))]
+    out = df.select("*", *[x.alias(u) for x, u in zip(cells, units)])
     for i, (matrix, bias) in enumerate(zip(weights, biases, strict=True)):
-        z = _layer(F.col(hidden), matrix, bias)
-        out = out.withColumn(hidden, z if i == len(weights) - 1 else F.transform(z, act))
+        last = i == len(weights) - 1
+        level = [F.col(u) for u in units]
+        fresh = [f"_unit{i + 1}_{j}" for j in range(len(bias))]
+        kept = [q(c) for c in df.columns]
+        if len(level) * len(bias) <= UNROLLED_WEIGHTS:
+            sums = _unit_sums(level, matrix, bias)
+            out = out.select(*kept, *[(z if last else act(z)).alias(u) for z, u in zip(sums, fresh)])
+        else:
+            wide = out.select(*kept, _array_sums(F.array(*level), matrix, bias).alias("_wide"))
+            out = wide.select(*kept, *[(F.col("_wide")[j] if last else act(F.col("_wide")[j])).alias(u) for j, u in enumerate(fresh)])
+        units = fresh
+    outputs = [F.col(u) for u in units]
     if task == "regression":
-        result = F.col(hidden)[0]
+        result = outputs[0]
     elif num_classes > 2:
-        result = argmax_class(F.col(hidden))
+        result = argmax_class(F.array(*outputs))
     else:
-        result = threshold_class(sigmoid(F.col(hidden)[0]))
-    return out.withColumn(name, result).drop(hidden)
+        result = threshold_class(sigmoid(outputs[0]))
+    return out.select(*[q(c) for c in df.columns], result.alias(name))
 
 
 def softmax(scores: Column) -> Column:

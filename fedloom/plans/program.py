@@ -59,6 +59,7 @@ class Local:
     targets: list[str]
     needs: dict = field(default_factory=dict)
     build: Callable[[dict], dict[str, Column]] = lambda stats: {}
+    hidden: dict[str, Column] = field(default_factory=dict)
 
 
 def offered_steps(df: DataFrame, column: str) -> tuple[str, ...]:
@@ -108,10 +109,10 @@ def _rows(df: DataFrame, columns: list[str], method: str) -> Local:
         if stats["broken"]:
             raise ValueError(f"{stats['broken']} row(s) hold a NULL or NaN")
         if method in ("Min-Max", "Z-score"):
-            return scale.all_expressions(df, columns, method, stats)
-        return scale.row_expressions(df, columns, method)
+            return scale.all_expressions(columns, method, stats)
+        return scale.row_expressions(columns)
 
-    return Local(list(columns), needs, build)
+    return Local(list(columns), needs, build, {scale.CHECK: scale.row_check(df, columns, method)})
 
 
 def _constant(df: DataFrame, column: str, value) -> Local:
@@ -262,14 +263,16 @@ class _Run:
         wave, self.wave = self.wave, []
         stats = self._fit(wave)
         changed: dict[str, Column] = {}
+        hidden: dict[str, Column] = {}
         for number, step, local in wave:
             def apply(number=number, step=step, local=local) -> None:
                 known = fit(self.df, local.needs) if stats is None else {k: stats[(number, k)] for k in local.needs}
                 changed.update(local.build(known))
+                hidden.update(local.hidden)
                 self._done(number, step)
             self._guard(number, step, apply)
         if changed:
-            self.df = replace(self.df, changed)
+            self.df = replace(self.df, changed, hidden)
 
     def _fit(self, wave: list[tuple[int, dict, Local]]) -> dict | None:
         """Statistics of the whole wave, or None when a failing one must be found step by step."""
