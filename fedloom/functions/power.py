@@ -73,6 +73,7 @@ def detectable_effects(alpha: float, power: float = POWER) -> list[float]:
 
 def limits_per_alpha(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
+        batch = batch.dropna()
         yield pd.DataFrame({"limit_alpha": batch["limit_alpha"], "limits": [detectable_effects(a) for a in batch["limit_alpha"]]})
 
 

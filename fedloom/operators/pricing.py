@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.power import ALPHA, MIN_SIZE, limits_per_alpha
+from ..session import materialize
 from .reports import benchmark_values, task_of, with_info
 
 # Fixed value: price of a session without a measurable effect.
 DEFAULT_PRICE = 100
+# a level brings 170 doubles, so this many stay below 14 MB
+BROADCAST_LEVELS = 10_000
 
 
 
@@ -53,9 +56,13 @@ def required_sample_size(df: DataFrame, effect: str, alpha: str, name: str = "sa
     Only distinct levels reach Python; each gives one array of falling limits.
     The size is 30 plus the number of limits above the effect, found by an
     equi-join on the level and an array expression.  NULL without an effect.
+    Rows share few levels, so a level is a hot key: the limits are counted and
+    sent to the rows, unless there are unusually many of them.
     """
-    levels = df.select(F.col(alpha).alias("limit_alpha")).filter("limit_alpha is not null").distinct()
-    limits = levels.mapInPandas(limits_per_alpha, "limit_alpha double, limits array<double>")
+    levels = df.select(F.col(alpha).alias("limit_alpha")).distinct()
+    limits = materialize(levels.mapInPandas(limits_per_alpha, "limit_alpha double, limits array<double>"))
+    if limits.count() <= BROADCAST_LEVELS:
+        limits = F.broadcast(limits)
     size = F.lit(MIN_SIZE) + F.size(F.filter("limits", lambda limit: limit > F.abs(F.col(effect))))
     usable = F.col(effect).isNotNull() & (F.col(effect) != 0) & F.col("limits").isNotNull()
     joined = df.join(limits, F.col(alpha) == F.col("limit_alpha"), "left")

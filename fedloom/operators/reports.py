@@ -33,8 +33,16 @@ def with_info(sessions: DataFrame, *keys: str) -> DataFrame:
     return sessions.withColumn("info", F.from_json("federated_info", ", ".join(f"{k} {INFO[k]}" for k in keys)))
 
 
-def task_of(info: str = "info") -> Column:
-    return F.col(info)["task_id"].try_cast("int")
+NO_TASK = -1
+
+
+def task_of() -> Column:
+    """Task id of a session document, never NULL.
+
+    A nullable join key would make the optimizer test it below the join and
+    parse every document a second time.
+    """
+    return F.coalesce(F.col("info.task_id").try_cast("int"), F.lit(NO_TASK))
 
 
 def metrics_of(column: str = "metrics_report") -> Column:
@@ -322,7 +330,7 @@ def permission_grants(clients: DataFrame, sessions: DataFrame, permissions: Data
     joined = clients.select("user_id", "session_id").join(
         with_info(sessions, "task_id").select(F.col("id").alias("session_id"), task_of().alias("task_id")), "session_id"
     )
-    pairs = joined.filter("task_id <> 0").select("user_id", "task_id").distinct()
+    pairs = joined.filter(~F.col("task_id").isin(0, NO_TASK)).select("user_id", "task_id").distinct()
     return pairs.join(permissions.select("user_id", "task_id"), ["user_id", "task_id"], "left_anti")
 
 
