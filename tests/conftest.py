@@ -11,7 +11,7 @@ from fedloom.session import get_spark  # noqa: E402
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     session = get_spark("tests", "local[8]", **{
-        "spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g",
+        "spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "4", "spark.driver.memory": "8g",
         "spark.ui.showConsoleProgress": "false", "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),
     })
     session.sparkContext.setLogLevel("OFF")
