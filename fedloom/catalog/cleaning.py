@@ -250,16 +250,13 @@ def reshape_vector(spark, d):
     UNION ALL SELECT 'l_tax', count(DISTINCT l_tax) <= 20 AND bool_and(l_tax = floor(l_tax)) FROM lineitem""")
 def task_type_detect(spark, d):
     rows = table(spark, d, "lineitem")
-    parts = [encode.task_type(rows, c).select(F.lit(c).alias("target"), (F.col("task_type") == "classification").alias("discrete")) for c in ("l_linenumber", "l_quantity", "l_tax")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    found = [(c, encode.task_type(rows, c) == "classification") for c in ("l_linenumber", "l_quantity", "l_tax")]
+    return spark.createDataFrame(found, "target string, discrete boolean")
 
 
-@query("task_type_detect_mlp", "SELECT * FROM (" + " UNION ALL ".join(f"""SELECT '{c}' AS target, count(DISTINCT {c}) AS distinct_values,
-    CASE WHEN NOT bool_and(abs({c} - round_even({c}, 0)) < 1e-8) OR count(DISTINCT {c}) > greatest(50, floor(count(*) * 0.1)) THEN 'regression' ELSE 'classification' END AS task_type FROM {t}"""
+@query("task_type_detect_mlp", "SELECT * FROM (" + " UNION ALL ".join(f"""SELECT '{c}' AS target, CASE WHEN NOT bool_and(abs({c} - round_even({c}, 0)) < 1e-8) OR count(DISTINCT {c}) > greatest(50, floor(count(*) * 0.1)) THEN 'regression' ELSE 'classification' END AS task_type FROM {t}"""
     for c, t in (("l_quantity", "lineitem"), ("l_tax", "lineitem"), ("o_custkey", "orders"))) + ")")
 def task_type_detect_mlp(spark, d):
-    parts = [
-        encode.task_type_network(table(spark, d, t), c).select(F.lit(c).alias("target"), "distinct_values", "task_type")
-        for c, t in (("l_quantity", "lineitem"), ("l_tax", "lineitem"), ("o_custkey", "orders"))
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    targets = (("l_quantity", "lineitem"), ("l_tax", "lineitem"), ("o_custkey", "orders"))
+    found = [(c, encode.task_type_network(table(spark, d, t), c)) for c, t in targets]
+    return spark.createDataFrame(found, "target string, task_type string")

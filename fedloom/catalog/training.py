@@ -46,7 +46,8 @@ def fedavg(spark, d):
 def fedavg_rebuild(spark, d):
     rows = A.fedavg_rebuild(A.fedavg(parameters(spark, d), totals=totals(spark, d)))
     lead = F.coalesce(F.get("lead", F.lit(0)), F.lit(-1)).alias("lead")
-    return rounded(rows.select("session_id", "round", "path", lead, F.posexplode("values").alias("k", "value")))
+    cells = rows.select("session_id", "round", "path", lead, "block", F.posexplode("values").alias("k", "value"))
+    return rounded(cells.withColumn("k", F.col("k") + F.col("block") * A.BLOCK).drop("block"))
 
 
 @query("fedavg_metadata", "SELECT label AS session_id, (vec_id % 3 + 1)::INTEGER AS round, count(DISTINCT vec_id) AS num_clients FROM embeddings GROUP BY ALL")

@@ -60,10 +60,16 @@ def label_encode(df: DataFrame, column: str) -> DataFrame:
     return joined.select(*[F.col(hidden).alias(c) if c == column else q(c) for c in df.columns])
 
 
-def one_hot_encode(df: DataFrame, column: str) -> DataFrame:
+# wider encodings come as sparse structs instead of dense arrays
+DENSE_WIDTH = 4_096
+
+
+def one_hot_encode(df: DataFrame, column: str, dense_width: int = DENSE_WIDTH) -> DataFrame:
     """Array of 0/1 per category, the last category all zero.
 
     Strings are label-encoded first; numbers must be whole and not negative.
+    Above ``dense_width`` categories the result is ``struct<size, indices,
+    values>``, so a row does not grow with the dictionary.
     """
     require(df, [column])
     if isinstance(type_of(df, column), T.StringType):
@@ -78,7 +84,8 @@ def one_hot_encode(df: DataFrame, column: str) -> DataFrame:
         if seen["bad"]:
             raise ValueError(f"column {column!r} holds values that are no category index")
         joined, index, width = df, x, int(seen["top"] or 0)
-    return joined.select(*[_indicator(index, width).alias(c) if c == column else q(c) for c in df.columns])
+    encoded = _indicator(index, width) if width <= dense_width else _sparse(index, width)
+    return joined.select(*[encoded.alias(c) if c == column else q(c) for c in df.columns])
 
 
 def _indicator(index: Column, width: int) -> Column:
@@ -87,30 +94,42 @@ def _indicator(index: Column, width: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.when(index == i, 1.0).otherwise(0.0))
 
 
-def task_type(df: DataFrame, target: str) -> DataFrame:
-    """``classification`` for at most 20 distinct whole-number targets, else ``regression``."""
-    y = q(target).cast("double")
-    seen = _distinct(df, target, 21)
-    whole = F.coalesce(F.bool_and(y == F.floor(y)), F.lit(True))
-    return df.agg(whole.alias("whole")).select(
-        F.lit(seen).cast("long").alias("distinct_seen"),
-        "whole",
-        F.when((F.lit(seen) <= 20) & F.col("whole"), "classification").otherwise("regression").alias("task_type"),
+def _sparse(index: Column, width: int) -> Column:
+    kept = index < width
+    return F.struct(
+        F.lit(width).alias("size"),
+        F.when(kept, F.array(index.cast("int"))).otherwise(F.array().cast("array<int>")).alias("indices"),
+        F.when(kept, F.array(F.lit(1.0))).otherwise(F.array().cast("array<double>")).alias("values"),
     )
 
 
-def _distinct(df: DataFrame, target: str, enough: int) -> int:
-    """Distinct non-NULL values, counted only up to ``enough``."""
-    return df.select(q(target).alias("v")).filter("v is not null").distinct().limit(enough).count()
+CLASSES = 20
+NETWORK_CLASSES = 50
+NETWORK_SHARE = 0.1
+
+
+def task_type(df: DataFrame, target: str) -> str:
+    """``classification`` for at most 20 distinct whole-number targets, else ``regression``."""
+    y = q(target).cast("double")
+    seen = fit(df, {"about": F.approx_count_distinct(y, 0.05), "whole": F.coalesce(F.bool_and(y == F.floor(y)), F.lit(True))})
+    # far above the limit the sketch decides; near it there are few values to count
+    few = seen["about"] <= 4 * CLASSES and _distinct(df, target) <= CLASSES
+    return "classification" if few and seen["whole"] else "regression"
 
 
-def task_type_network(df: DataFrame, target: str) -> DataFrame:
+def task_type_network(df: DataFrame, target: str) -> str:
     """Second rule: continuous when not whole or with more than max(50, 10 % of rows) values."""
     y = q(target).cast("double")
-    whole = F.coalesce(F.bool_and(F.abs(y - F.rint(y)) < 1e-8), F.lit(True))
-    seen = df.agg(whole.alias("whole"), F.count_distinct(y).alias("distinct_values"), F.count(F.lit(1)).alias("rows"))
-    limit = F.greatest(F.lit(50), F.floor(F.col("rows") * 0.1))
-    return seen.select(
-        "distinct_values", "rows", "whole",
-        F.when(~F.col("whole") | (F.col("distinct_values") > limit), "regression").otherwise("classification").alias("task_type"),
-    )
+    seen = fit(df, {
+        "about": F.approx_count_distinct(y, 0.01), "rows": F.count(F.lit(1)),
+        "whole": F.coalesce(F.bool_and(F.abs(y - F.rint(y)) < 1e-8), F.lit(True)),
+    })
+    limit = max(NETWORK_CLASSES, int(NETWORK_SHARE * seen["rows"]))
+    values = seen["about"]
+    if 0.85 * limit < values < 1.15 * limit:
+        values = _distinct(df, target)
+    return "classification" if seen["whole"] and values <= limit else "regression"
+
+
+def _distinct(df: DataFrame, target: str) -> int:
+    return df.select(q(target).alias("v")).filter("v is not null").distinct().count()

@@ -22,6 +22,7 @@ METADATA_KEYS = (
     "task_type", "random_state", "min_samples_split", "min_samples_leaf",
 )
 MAX_DEPTH = 8
+BLOCK = 65_536
 ROUND_KEYS = ("session_id", "round")
 CLIENT = "client_id"
 
@@ -112,13 +113,16 @@ def fedavg_metadata(params: DataFrame, keys: Sequence[str] = ROUND_KEYS) -> Data
 
 
 def fedavg_rebuild(averaged: DataFrame, keys: Sequence[str] = ROUND_KEYS) -> DataFrame:
-    """Innermost arrays put back in order: one row per path and leading position.
+    """Innermost arrays put back in order: one row per path, leading position and block.
 
-    A row of a weight matrix is one array; whole matrices stay distributed.
+    A row of a weight matrix is one array; whole matrices stay distributed, and
+    a longer flat vector comes in numbered blocks, so no group grows without bound.
     """
     depth = F.size("pos")
     numbers = averaged.filter(F.col("value").isNotNull() & (depth > 0))
     lead = F.slice("pos", F.lit(1), depth - 1).alias("lead")
-    cell = F.struct(F.element_at("pos", -1).alias("at"), F.col("value").alias("value"))
-    rows = numbers.groupBy(*keys, "path", lead).agg(F.array_sort(F.collect_list(cell)).alias("cells"))
-    return rows.select(*keys, "path", "lead", F.transform("cells", lambda c: c["value"]).alias("values"))
+    at = F.element_at("pos", -1)
+    block = F.floor(at / BLOCK).cast("int").alias("block")
+    cell = F.struct(at.alias("at"), F.col("value").alias("value"))
+    rows = numbers.groupBy(*keys, "path", lead, block).agg(F.array_sort(F.collect_list(cell)).alias("cells"))
+    return rows.select(*keys, "path", "lead", "block", F.transform("cells", lambda c: c["value"]).alias("values"))

@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 from ..session import materialize
 
 
+BROADCAST_OFFSETS = 200_000
+
+
 def running_totals(df: DataFrame, order: Sequence[Column], totals: dict[str, Column], by: Sequence[str] = ()) -> DataFrame:
     """Add inclusive running sums over a total order, restarted for each ``by`` group.
 
@@ -29,6 +32,10 @@ def running_totals(df: DataFrame, order: Sequence[Column], totals: dict[str, Col
     before = W.partitionBy(*by).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     offsets = slices.groupBy(*keys).agg(*[F.sum(f"_m_{n}").alias(f"_t_{n}") for n in totals])
     offsets = offsets.select(*keys, *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in totals])
+    # one row per slice and group in it; joining null-safe keys would shuffle the rows again
+    offsets = materialize(offsets)
+    if offsets.count() <= BROADCAST_OFFSETS:
+        offsets = F.broadcast(offsets)
     counted = slices.withColumns({f"_r_{n}": F.sum(f"_m_{n}").over(inside) for n in totals})
     joined = counted.alias("rows").join(
         offsets.alias("offsets"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.power import ALPHA, MIN_SIZE, limits_per_alpha
+from ..functions.power import ALPHA, MAX_SIZE, MIN_SIZE, limits_per_alpha
 from ..session import materialize
 from .reports import benchmark_values, task_of, with_info
 
@@ -63,12 +63,30 @@ def required_sample_size(df: DataFrame, effect: str, alpha: str, name: str = "sa
     limits = materialize(levels.mapInPandas(limits_per_alpha, "limit_alpha double, limits array<double>"))
     if limits.count() <= BROADCAST_LEVELS:
         limits = F.broadcast(limits)
-    size = F.lit(MIN_SIZE) + F.size(F.filter("limits", lambda limit: limit > F.abs(F.col(effect))))
+    size = F.lit(MIN_SIZE) + _limits_above(F.col("limits"), F.abs(F.col(effect)))
     usable = F.col(effect).isNotNull() & (F.col(effect) != 0) & F.col("limits").isNotNull()
     joined = df.join(limits, F.col(alpha) == F.col("limit_alpha"), "left")
     return joined.withColumn(name, F.when(usable, size)).drop("limit_alpha", "limits")
 
 
+def _limits_above(limits: Column, effect: Column) -> Column:
+    """How many of the falling limits lie above the effect.
+
+    limit(n) * sqrt(n / 2) falls slowly, so its values at both ends bracket n
+    within a few steps; only the limits inside the bracket are compared.
+    """
+    count = MAX_SIZE - MIN_SIZE
+
+    def steps(limit: Column, n: int) -> Column:
+        n_at = F.least(F.lit(float(MAX_SIZE)), n * (limit / effect) * (limit / effect))
+        return F.greatest(F.lit(0), n_at.cast("int") - MIN_SIZE)
+
+    low = F.least(F.lit(count), steps(limits[count - 1], MAX_SIZE - 1))
+    high = F.least(F.lit(count), steps(limits[0], MIN_SIZE) + 1)
+    inside = F.slice(limits, low + 1, F.greatest(F.lit(0), high - low))
+    return low + F.size(F.filter(inside, lambda limit: limit > effect))
+
+
 def session_prices(sessions: DataFrame, tasks: DataFrame) -> DataFrame:
     """Price of each session: required sample size against its task's benchmark."""
     baseline = benchmark_values(tasks).filter("benchmark_mean is not null and benchmark_std is not null")

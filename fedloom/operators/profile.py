@@ -86,6 +86,8 @@ def value_counts(df: DataFrame, columns: Sequence[str]) -> list[DataFrame]:
 
     Columns of one type are unpivoted together, so each type costs one shuffle;
     counting starts before it, so frequent values travel once per map task.
+    Strings have a further key column ``digest``: a long text travels as its
+    shown beginning and the SHA-256 of the whole.
     """
     classes: dict[str, list[str]] = {}
     for c in columns:
@@ -99,13 +101,24 @@ def value_counts(df: DataFrame, columns: Sequence[str]) -> list[DataFrame]:
         classes.setdefault(target, []).append(c)
     frames = []
     for target, names in classes.items():
-        slim = df.select(*[q(c).cast(target).alias(f"c{i}") for i, c in enumerate(names)])
+        cells = [q(c).cast(target) for c in names]
+        if target == "string":
+            cells = [F.struct(F.substring(x, 1, SHOWN_CHARS).alias("text"), _digest(x).alias("digest")) for x in cells]
+        slim = df.select(*[x.alias(f"c{i}") for i, x in enumerate(cells)])
         long = slim.unpivot([], [F.col(x) for x in slim.columns], "slot", "value")
-        counted = long.groupBy("slot", "value").agg(F.count(F.lit(1)).alias("count"))
-        frames.append(counted.select(_named(names).alias("name"), "value", "count"))
+        if target == "string":
+            long = long.select("slot", F.col("value.text").alias("value"), F.col("value.digest").alias("digest"))
+        keys = [c for c in long.columns if c != "slot"]
+        counted = long.groupBy("slot", *keys).agg(F.count(F.lit(1)).alias("count"))
+        frames.append(counted.select(_named(names).alias("name"), *keys, "count"))
     return frames
 
 
+def _digest(text: Column) -> Column:
+    """SHA-256 of a text longer than what is shown, else empty."""
+    return F.when(F.length(text) > SHOWN_CHARS, F.sha2(text, 256)).otherwise("")
+
+
 def _named(names: Sequence[str]) -> Column:
     """Column name of an unpivot slot ``c<i>``."""
     table = F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (f"c{i}", n)])
@@ -195,21 +208,19 @@ def _bin_counts(df: DataFrame, edges: dict[str, list[float] | None]) -> DataFram
     return placed.groupBy("slot", "bin").agg(F.count(F.lit(1)).alias("n")).select(_named(filled).alias("name"), "bin", "n")
 
 
-def shown_value(value: Column) -> Column:
-    """Long values are cut to 50 characters with an ellipsis."""
-    return F.when(F.length(value) > SHOWN_CHARS, F.concat(F.substring(value, 1, SHOWN_CHARS), F.lit("..."))).otherwise(value)
-
-
 def _top(counts: DataFrame) -> DataFrame:
-    rank = F.row_number().over(W.partitionBy("name").orderBy(F.desc("count"), F.asc_nulls_first("value")))
-    return counts.withColumn("position", rank).filter(F.col("position") <= TOP)
+    """The ten commonest values per column; long ones end in an ellipsis."""
+    order = [F.desc("count"), F.asc_nulls_first("value"), F.asc("digest")]
+    rank = F.row_number().over(W.partitionBy("name").orderBy(*order))
+    best = counts.withColumn("position", rank).filter(F.col("position") <= TOP)
+    shown = F.when(F.col("digest") != "", F.concat("value", F.lit("..."))).otherwise(F.col("value"))
+    return best.select("name", "position", shown.alias("value"), "count")
 
 
 def profile_top_categories(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """The ten most frequent values per string column; ties go to the smaller value."""
     names = columns or string_columns(df)
-    counts = value_counts(df, names)[0]
-    return _top(counts).select("name", "position", shown_value(F.col("value")).alias("value"), "count")
+    return _top(value_counts(df, names)[0])
 
 
 def _depth(kind: T.DataType) -> int:
@@ -398,7 +409,7 @@ def _categories(df: DataFrame, strings: list[str]) -> tuple[dict, dict]:
     if not strings:
         return top, unique
     counts = value_counts(df, strings)[0]
-    best = _top(counts).select("name", "position", shown_value(F.col("value")).alias("value"), "count")
+    best = _top(counts)
     totals = counts.groupBy("name").agg(F.count(F.lit(1)).alias("values"), F.sum("count").alias("rows"))
     totals = totals.select("name", F.lit(0).alias("position"), F.col("rows").cast("string").alias("value"), F.col("values").alias("count"))
     for r in best.unionByName(totals).orderBy("name", "position").collect():

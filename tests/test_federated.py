@@ -34,10 +34,13 @@ def test_average_divides_by_all_clients_and_passes_metadata(spark):
     assert got["n_features", ()] == (None, "2") and got["task_type", ()] == (None, "auto")
 
 
-def test_rebuild_restores_order(spark):
+def test_rebuild_restores_order(spark, monkeypatch):
     doc = {"w": [[float(10 * i + j) for j in range(12)] for i in range(3)]}
     got = {tuple(r["lead"]): r["values"] for r in A.fedavg_rebuild(averaged(spark, [doc, doc])).collect()}
     assert got == {(i,): doc["w"][i] for i in range(3)}
+    monkeypatch.setattr(A, "BLOCK", 5)
+    got = {(*r["lead"], r["block"]): r["values"] for r in A.fedavg_rebuild(averaged(spark, [doc])).collect()}
+    assert got == {(i, b): doc["w"][i][5 * b:5 * b + 5] for i in range(3) for b in range(3)}
 
 
 def test_too_deep_documents_fail(spark):
@@ -76,6 +79,14 @@ def test_sample_sizes(spark, effect, size):
     assert pricing.required_sample_size(df, "e", "a").first()["sample_size"] == size
 
 
+def test_sizes_match_a_scan_of_the_limits(spark):
+    effects = [0.05 + i * 0.0037 for i in range(300)] + [1e-200, 1e200, *detectable_effects(0.05)[::17]]
+    df = spark.createDataFrame([(float(e), a) for e in effects for a in (0.05, 0.05 / 64)], "e double, a double")
+    limits = {a: detectable_effects(a) for a in (0.05, 0.05 / 64)}
+    for r in pricing.required_sample_size(df, "e", "a").collect():
+        assert r["sample_size"] == 30 + sum(v > r["e"] for v in limits[r["a"]])
+
+
 def test_limits_fall_with_the_size():
     limits = detectable_effects(0.05 / 32)
     assert len(limits) == 170 and all(a > b for a, b in zip(limits, limits[1:]))

@@ -110,6 +110,8 @@ def test_one_hot(spark, words):
     assert [r[0] for r in encode.one_hot_encode(df, "n").collect()] == [[0, 1, 0], [0, 0, 1], [0, 0, 0]]
     hot = {tuple(r["w"]) for r in encode.one_hot_encode(words, "w").collect()}
     assert len(hot) == 5 and (0.0,) * 4 in hot
+    sparse = [r["w"] for r in encode.one_hot_encode(words, "w", dense_width=2).orderBy("id").collect()]
+    assert sparse[0]["size"] == 4 and sparse[0]["values"] == [1.0] and {tuple(s["indices"]) for s in sparse} == {(), (0,), (1,), (2,), (3,)}
     with pytest.raises(ValueError, match="no category index"):
         encode.one_hot_encode(spark.createDataFrame([(-1.0,), (2.0,)], "n double"), "n")
 
@@ -124,6 +126,10 @@ def test_vectors(spark):
 
 def test_task_types(spark):
     df = spark.range(300).selectExpr("CAST(id % 3 AS DOUBLE) AS few", "CAST(id AS DOUBLE) AS many", "id % 2 + 0.5D AS half")
-    first = [encode.task_type(df, c).first()["task_type"] for c in df.columns]
-    second = [encode.task_type_network(df, c).first()["task_type"] for c in df.columns]
+    first = [encode.task_type(df, c) for c in df.columns]
+    second = [encode.task_type_network(df, c) for c in df.columns]
     assert first == ["classification", "regression", "regression"] == second
+    for values, kind in ((20, "classification"), (21, "regression")):
+        assert encode.task_type(spark.range(1000).selectExpr(f"id % {values} AS y"), "y") == kind
+    for values, kind in ((100, "classification"), (101, "regression")):
+        assert encode.task_type_network(spark.range(1000).selectExpr(f"id % {values} AS y"), "y") == kind
