@@ -145,7 +145,7 @@ def transfers_page(spark, d):
     (SELECT * FROM logs QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY createdAt DESC, id DESC) <= 5) GROUP BY session_id) l ON l.session_id = s.id"""))
 def session_status(spark, d):
     status = R.session_status(inputs.sessions(spark, d), inputs.clients(spark, d), inputs.logs(spark, d))
-    return status.drop("created_at").withColumn("recent_logs", F.concat_ws("|", "recent_logs"))
+    return status.drop("created_at", "updated_at").withColumn("recent_logs", F.concat_ws("|", "recent_logs"))
 
 
 @query("session_logs", with_("logs", "SELECT id, message, tag, strftime(createdAt, '%Y-%m-%d %H:%M:%S') AS createdAt FROM logs WHERE session_id = 8"))

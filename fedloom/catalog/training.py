@@ -158,7 +158,7 @@ def logistic_regression(spark, d):
 def linear_svm(spark, d):
     rows = labelled(spark, d)
     two = models.linear_svm(rows, FEATURES, "dear", maxIter=10).evaluate(rows, CLASS_METRICS)
-    three = models.linear_svm(rows, FEATURES, "band", binary=False, maxIter=10).evaluate(rows, ["accuracy"])
+    three = models.linear_svm(rows, FEATURES, "band", binary=False, maxIter=10).evaluate(rows, CLASS_METRICS, average="weighted")
     return two.withColumn("target", F.lit("dear")).unionByName(three.withColumn("target", F.lit("band")))
 
 

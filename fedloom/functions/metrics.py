@@ -160,14 +160,21 @@ def auc(df: DataFrame, label: str = "label", score: str = "score", by: Sequence[
     )
 
 
-def metrics_report(df: DataFrame, metrics: Sequence[str], label: str = "label", prediction: str = "prediction", by: Sequence[str] = ()) -> DataFrame:
+AVERAGED = ("precision", "recall", "f1_score")
+
+
+def metrics_report(df: DataFrame, metrics: Sequence[str], label: str = "label", prediction: str = "prediction", by: Sequence[str] = (),
+                   average: str = "binary") -> DataFrame:
     """Requested metrics in long form, rounded half-even to three places.
 
-    All aggregates share one pass; the area under the curve needs its own.  A
-    name that is not known gives a row with ``known`` false and no value.
+    All aggregates share one pass; the area under the curve needs its own, and
+    so do precision, recall and F1 with ``average="weighted"`` (several
+    classes).  A name that is not known gives a row with ``known`` false and no
+    value.
     """
     resolved = [(m, ALIASES.get(m.lower(), m.lower())) for m in metrics]
-    plain = [(m, k) for m, k in resolved if k in AGGREGATES]
+    weighted = [k for _, k in resolved if k in AVERAGED and average == "weighted"]
+    plain = [(m, k) for m, k in resolved if k in AGGREGATES and k not in weighted]
     unknown = [m for m, k in resolved if k not in AGGREGATES and k != "auc"]
     y, p = F.col(label), F.col(prediction)
     wide = df.groupBy(*by).agg(
@@ -178,6 +185,10 @@ def metrics_report(df: DataFrame, metrics: Sequence[str], label: str = "label",
     rows += [F.struct(F.lit(m).alias("metric"), F.lit(None).cast("double").alias("value"), F.lit(False).alias("known")) for m in unknown]
     empty = "array<struct<metric: string, value: double, known: boolean>>"
     long = wide.select(*by, F.inline(F.array(*rows) if rows else F.array().cast(empty)))
+    if weighted:
+        scores = weighted_prf(df, label, prediction, by)
+        cells = [F.struct(F.lit(k).alias("metric"), F.bround(k, 3).alias("value"), F.lit(True).alias("known")) for k in weighted]
+        long = long.unionByName(scores.select(*by, F.inline(F.array(*cells))))
     if any(k == "auc" for _, k in resolved):
         curve = auc(df, label, prediction, by)
         long = long.unionByName(curve.select(*by, F.lit("auc").alias("metric"), F.bround("auc", 3).alias("value"), F.lit(True).alias("known")))

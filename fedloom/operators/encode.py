@@ -121,12 +121,12 @@ def task_type_network(df: DataFrame, target: str) -> str:
     """Second rule: continuous when not whole or with more than max(50, 10 % of rows) values."""
     y = q(target).cast("double")
     seen = fit(df, {
-        "about": F.approx_count_distinct(y, 0.01), "rows": F.count(F.lit(1)),
+        "about": F.approx_count_distinct(y, 0.05), "rows": F.count(F.lit(1)),
         "whole": F.coalesce(F.bool_and(F.abs(y - F.rint(y)) < 1e-8), F.lit(True)),
     })
     limit = max(NETWORK_CLASSES, int(NETWORK_SHARE * seen["rows"]))
     values = seen["about"]
-    if 0.85 * limit < values < 1.15 * limit:
+    if 0.6 * limit < values < 1.6 * limit:
         values = _distinct(df, target)
     return "classification" if seen["whole"] and values <= limit else "regression"
 

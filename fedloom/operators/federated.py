@@ -31,7 +31,8 @@ def flatten_params(df: DataFrame, document: str, keys: Sequence[str], max_depth:
     """Leaves of JSON documents: ``keys..., path, pos, text, value``.
 
     Each level is one narrow ``variant_explode``; a document nested deeper than
-    ``max_depth`` fails instead of losing leaves.
+    ``max_depth`` fails instead of losing leaves.  Parameters too large for one
+    JSON value belong in typed array columns (``flatten_array``).
     """
     spark = df.sparkSession
     level = df.select(

@@ -55,9 +55,9 @@ class Model:
             return df.withColumn(name, score_svm(self.inputs, found["weights"], found["biases"]).cast("double"))
         return _added_prediction(self.pipeline, df, name)
 
-    def evaluate(self, df: DataFrame, metrics: Sequence[str]) -> DataFrame:
+    def evaluate(self, df: DataFrame, metrics: Sequence[str], average: str = "binary") -> DataFrame:
         scored = self.predict(df).select(q(self.label).cast("double").alias("label"), F.col("prediction").cast("double").alias("prediction"))
-        return metrics_report(scored, metrics)
+        return metrics_report(scored, metrics, average=average)
 
     def parameters(self) -> dict:
         """Plain numbers of the model: coefficients, or importances and tree sizes."""

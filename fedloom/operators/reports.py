@@ -271,10 +271,11 @@ def recent_logs(logs: DataFrame, keep: int = 5) -> DataFrame:
 
 def session_status(sessions: DataFrame, clients: DataFrame, logs: DataFrame) -> DataFrame:
     """Session state with the number of clients and the latest log messages."""
+    updated = F.col("updatedAt") if "updatedAt" in sessions.columns else F.lit(None)
     return (
         sessions.select(
             F.col("id").alias("session_id"), "training_status", F.col("curr_round").alias("current_round"),
-            F.col("max_round").alias("max_rounds"), F.col("createdAt").alias("created_at"),
+            F.col("max_round").alias("max_rounds"), F.col("createdAt").alias("created_at"), updated.cast("timestamp").alias("updated_at"),
         )
         .join(client_counts(clients), "session_id", "left")
         .join(recent_logs(logs), "session_id", "left")
@@ -308,7 +309,9 @@ def server_vs_client(server: DataFrame, client: DataFrame) -> DataFrame:
     from an inner join, which can, and the rounds without clients from an anti join.
     """
     keys = ["session_id", "metric", "round_number"]
-    mine = client.select(*keys, "user_id", F.col("value").alias("client_value"))
+    # spelled out, the filter is the same in both branches, so they share the client's shuffle
+    known = client.dropna(subset=keys)
+    mine = known.select(*keys, "user_id", F.col("value").alias("client_value"))
     theirs = server.select(*keys, F.col("value").alias("server_value"))
     matched = mine.join(theirs, keys).select(*keys, "server_value", "user_id", "client_value")
     alone = theirs.join(mine.select(*keys).distinct(), keys, "left_anti")

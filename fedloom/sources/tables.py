@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from ..functions.text import human_size
 from ..operators.columns import q, require
 from ..operators.profile import profile
-from ..session import scratch_path
 
 FORMATS = ("csv", "parquet")
 
@@ -68,9 +67,16 @@ def merge_swap(spark: SparkSession, parent_path: str, extra_path: str, staging_d
     is in place.
     """
     merged = merge_datasets(spark.read.parquet(parent_path), spark.read.parquet(extra_path))
-    staging = f"{staging_dir.rstrip('/')}/{_base(parent_path)}-{uuid.uuid4().hex}" if staging_dir else scratch_path(spark, "merge")
-    merged.write.mode("errorifexists").parquet(staging)
-    _swap(spark, staging, parent_path)
+    # without a folder given, beside the parent: a rename stays within one file system
+    base = f"{staging_dir.rstrip('/')}/{_base(parent_path)}" if staging_dir else f"{parent_path.rstrip('/')}.staging"
+    staging = f"{base}-{uuid.uuid4().hex}"
+    try:
+        merged.write.mode("errorifexists").parquet(staging)
+        _swap(spark, staging, parent_path)
+    except Exception:
+        path = spark._jvm.org.apache.hadoop.fs.Path(staging)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        raise
     spark.catalog.refreshByPath(parent_path)
     return profile(spark.read.parquet(parent_path))
 

@@ -60,6 +60,8 @@ def test_weighted_scores_and_confusion(spark):
     assert got["precision"] == pytest.approx((2 * 0.5 + 1 * 0.5 + 3 * 1.0) / 6)
     f = {"a": 0.5, "b": 2 / 3, "c": 0.5}
     assert got["f1_score"] == pytest.approx((2 * f["a"] + f["b"] + 3 * f["c"]) / 6)
+    report = {r["metric"]: r["value"] for r in M.metrics_report(df, ["accuracy", "f1", "recall"], average="weighted").collect()}
+    assert report == {"accuracy": 0.5, "f1_score": 0.528, "recall": 0.5}
     cells = {(r["label"], r["prediction"]): r["count"] for r in M.confusion_matrix(df).collect()}
     assert len(cells) == 16 and cells["c", "d"] == 1 and cells["d", "d"] == 0 and sum(cells.values()) == 6
 

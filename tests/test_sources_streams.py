@@ -37,11 +37,19 @@ def test_merge(spark, tmp_path):
     parent, extra = str(tmp_path / "p.parquet"), str(tmp_path / "e.parquet")
     left.write.parquet(parent)
     right.write.parquet(extra)
+    with pytest.raises(ValueError, match="empty"):
+        tables.merge_swap(spark, parent, _written(left.limit(0), tmp_path / "none.parquet"))
+    assert tables.merge_swap(spark, _written(left, tmp_path / "q.parquet"), extra).count() == 3
     for size in (2, 3):
         report = {r["name"]: r["entries"] for r in tables.merge_swap(spark, parent, extra, str(tmp_path / "staging")).collect()}
         assert report == {"x": size, "s": size, "t": size}
         assert spark.read.parquet(parent).count() == size
-    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["e.parquet", "p.parquet", "staging"]
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["e.parquet", "none.parquet", "p.parquet", "q.parquet", "staging"]
+
+
+def _written(df, path):
+    df.write.parquet(str(path))
+    return str(path)
 
 
 def test_inventory(spark, tmp_path):
