@@ -100,6 +100,7 @@ def session_prices(sessions: DataFrame, tasks: DataFrame) -> DataFrame:
     ).join(baseline.select("task_id", "benchmark_mean", "benchmark_std"), "task_id")
     effect = effect_size(F.col("benchmark_mean"), F.col("new_mean"), F.col("benchmark_std"), F.col("new_std"))
     sized = quoted.withColumns({"effect_size": effect, "alpha": bonferroni_alpha(F.col("predictors"))})
-    priced = required_sample_size(sized, "effect_size", "alpha")
+    # a few numbers per session, kept so that the documents are not parsed again for the levels
+    priced = required_sample_size(materialize(sized), "effect_size", "alpha")
     price = F.coalesce("sample_size", F.lit(DEFAULT_PRICE)).cast("double")
     return priced.select("session_id", "task_id", "predictors", "alpha", "effect_size", price.alias("price"))

@@ -29,9 +29,9 @@ def quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[flo
     """Value at rank ceil(p*n) per column and probability; None for an empty column."""
     if relative_error == 0:
         return exact_quantiles(df, columns, probabilities)
-    cast = df.select(*[as_double(df, c).alias(f"c{i}") for i, c in enumerate(columns)])
-    found = cast.approxQuantile(cast.columns, [float(p) for p in probabilities], float(relative_error))
-    return {c: (values or [None] * len(probabilities)) for c, values in zip(columns, found)}
+    accuracy = math.ceil(1 / relative_error)
+    found = fit(df, {c: F.percentile_approx(as_double(df, c), [float(p) for p in probabilities], accuracy) for c in columns})
+    return {c: (values or [None] * len(probabilities)) for c, values in found.items()}
 
 
 @dataclass
@@ -40,6 +40,7 @@ class _Search:
 
     slot: str
     rank: int
+    total: int
     low: float | None = None
     high: float | None = None
     below: int = 0
@@ -81,7 +82,7 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequen
             found = {}
             for rank in (low_rank, high_rank):
                 if rank not in found:
-                    found[rank] = _Search(s, rank, inside=n)
+                    found[rank] = _Search(s, rank, n, inside=n)
                     if n > EXACT_BELOW:
                         found[rank].low, found[rank].high = first[(s, "v")][2 * i: 2 * i + 2]
             searches += found.values()
@@ -136,7 +137,6 @@ def _count(base: DataFrame, searches: list[_Search]) -> None:
         wanted[(i, "low")] = F.count_if(x == s.low)
         wanted[(i, "high")] = F.count_if(x == s.high)
         wanted[(i, "inside")] = F.count_if((x > s.low) & (x < s.high))
-        wanted[(i, "all")] = F.count(x)
     got = fit(base, wanted)
     for i, s in enumerate(searches):
         below, at_low = got[(i, "below")], got[(i, "low")]
@@ -151,7 +151,7 @@ def _count(base: DataFrame, searches: list[_Search]) -> None:
             s.below, s.inside = below + at_low, inside
         else:
             s.low = s.high = None
-            s.below, s.inside = 0, got[(i, "all")]
+            s.below, s.inside = 0, s.total
 
 
 def _refine(base: DataFrame, searches: list[_Search]) -> None:

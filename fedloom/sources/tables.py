@@ -96,12 +96,13 @@ def _swap(spark: SparkSession, new: str, target: str) -> None:
 
 def storage_inventory(spark: SparkSession, base: str) -> DataFrame:
     """Bytes, files and display size per entry below ``base``; file contents are not read."""
-    root = base.rstrip("/")
+    path = spark._jvm.org.apache.hadoop.fs.Path(base.rstrip("/"))
+    root = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
         .select(F.col("path"), F.col("length"))
     )
-    below = F.substring_index(F.col("path"), f"{_base(root)}/", -1)
+    below = F.substr("path", F.lit(len(root) + 2))
     entries = files.select(
         F.split_part(below, F.lit("/"), F.lit(1)).alias("dataset"),
         below.contains("/").alias("folder"), "length",

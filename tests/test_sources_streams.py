@@ -53,10 +53,11 @@ def _written(df, path):
 
 
 def test_inventory(spark, tmp_path):
+    deep = tmp_path / "two.parquet" / tmp_path.name
+    deep.mkdir(parents=True)
     (tmp_path / "one.csv").write_text("x" * 2048)
-    (tmp_path / "two.parquet" / "deep").mkdir(parents=True)
     (tmp_path / "two.parquet" / "a").write_text("y" * 10)
-    (tmp_path / "two.parquet" / "deep" / "b").write_text("y" * 5)
+    (deep / "b").write_text("y" * 5)
     got = rows(tables.storage_inventory(spark, str(tmp_path)), "dataset")
     assert got == [("one.csv", "FILE", 2048, 1, "2.00 KB"), ("two.parquet", "DIRECTORY", 15, 2, "15.00 B")]
 
