@@ -165,6 +165,21 @@ def test_classifiers_separate_simple_data(spark):
         assert model.evaluate(df, ["accuracy"]).first()["value"] > 0.95
 
 
+def test_forests_boosting_network_and_landmarks_learn(spark):
+    df = spark.range(300).selectExpr("id", "CAST(id % 20 AS DOUBLE) AS a", "CAST(id % 7 AS DOUBLE) AS b", "CAST(id % 20 >= 10 AS INT) AS y", "id % 20 * 2 + 1.0D AS z")
+    forest = models.random_forest(df, ["a", "b"], "y", numTrees=5, maxDepth=4, seed=1)
+    network = models.mlp_classifier(df, ["a", "b"], "y", hidden=[4], classes=2, maxIter=50, seed=1)
+    for model in (forest, network):
+        assert model.evaluate(df, ["accuracy"]).first()["value"] > 0.95
+    assert forest.parameters()["trees"] == 5 and forest.parameters()["importances"][0] > 0.9
+    boosted = models.gradient_boosting(df, ["a", "b"], "z", maxIter=8, maxDepth=4, seed=1)
+    assert boosted.evaluate(df, ["r2"]).first()["value"] > 0.95
+    points = df.withColumn("v", F.array(F.col("a") / 10, F.col("b") / 10))
+    kernel = models.landmark_svm(points, "v", "y", "id", landmarks=10, maxIter=20)
+    right = kernel.predict(points).agg(F.avg((F.col("prediction") == F.col("y")).cast("int"))).first()[0]
+    assert right > 0.9
+
+
 def test_one_vs_rest_expression_equals_its_transform(spark):
     df = spark.range(90).selectExpr("CAST(id % 30 AS DOUBLE) AS a", "CAST((id * 7) % 11 AS DOUBLE) AS b", "CAST(id % 30 / 10 AS INT) AS y")
     model = models.linear_svm(df, ["a", "b"], "y", binary=False, maxIter=5)
