@@ -7,12 +7,12 @@ import re
 import duckdb
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from fedloom.catalog import QUERIES, SQL
 from tools.check_sql import rows_of
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 SF = "/root/testdata/sf0.001"
-QUERIES, SQL = queries(), oracle_sql()
 PYTHON = ("ArrowEvalPython", "BatchEvalPython", "FlatMapGroupsInPandas", "PythonMapInArrow")
 
 
