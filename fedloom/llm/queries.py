@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontaminate import leaks
+from .licenses import CANONICAL, KNOWN, license_scan
 from .quality import quality_rules
 from .simhash import simhash_groups
+from .urls import BLOCKED_WORDS, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -53,3 +56,50 @@ b AS (SELECT *, (n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_word
 SELECT *, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept FROM b""")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
+
+
+_HOST_SQL = r"CASE WHEN url LIKE '%://%' THEN regexp_extract(url[strpos(url, '://') + 3:], '^[^/?#]*') ELSE '' END"
+_LOW_SQL = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query("op5_url_filters", sql=rf"""
+WITH p AS (SELECT page_id, url, {_HOST_SQL} AS h FROM pages),
+q AS (SELECT page_id, {_LOW_SQL.format('h')} AS host, CASE WHEN url LIKE '%://%' THEN regexp_extract(url[strpos(url, '://') + 3 + length(h):], '^[^?#]*') ELSE '' END AS path FROM p),
+rules AS (SELECT unnest(['block', 'allow', 'block', 'allow']) AS verdict, unnest(['net/', 'example.net/en/', 'example.com/de/', 'org/fr/']) AS rule),
+f AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict FROM q, rules
+    WHERE ('.' || host) LIKE '%.' || split_part(rule, '/', 1) AND starts_with(path, rule[strpos(rule, '/'):]) GROUP BY page_id)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN list_has_any(string_split_regex(host, '[.-]'), [{', '.join(f"'{w}'" for w in BLOCKED_WORDS)}]) THEN 'block' ELSE 'allow' END) AS verdict
+FROM q LEFT JOIN f USING (page_id)""")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter(table(spark, sf_dir, "pages"))
+
+
+def _canonical_sql(line: str) -> str:
+    line = f"lower({line})"
+    for pattern, by in CANONICAL:
+        line = f"regexp_replace({line}, '{pattern}', '{by.replace('$', chr(92))}', 'g')"
+    return f"trim({line})"
+
+
+def _lines_sql(text: str) -> str:
+    return f"list_filter(list_transform(string_split(replace(coalesce({text}, ''), chr(13), chr(10)), chr(10)), lambda x: {_canonical_sql('x')}), lambda x: x <> '')"
+
+
+_KNOWN_SQL = ", ".join("('{}', '{}')".format(k, t.replace("'", "''")) for k, t in KNOWN)
+
+
+@query("op7_license_scans", sql=rf"""
+WITH known AS (SELECT digest, min(license) AS license FROM (SELECT license, sha256(array_to_string({_lines_sql('text')}, ' ')) AS digest FROM (VALUES {_KNOWN_SQL}) k(license, text)) GROUP BY digest),
+d AS (SELECT row_number() OVER () AS rid, doc_id, {_lines_sql('text')} AS lines FROM documents),
+w AS (SELECT rid, doc_id, sha256(array_to_string(lines, ' ')) AS text_digest FROM d),
+l AS (SELECT rid, license FROM (SELECT rid, sha256(unnest(lines)) AS digest FROM d) JOIN known USING (digest)),
+g AS (SELECT rid, count(*) AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS found FROM l GROUP BY rid)
+SELECT doc_id, text_digest, license, coalesce(n, 0) AS n_license_lines, coalesce(found, '') AS line_licenses
+FROM w LEFT JOIN known ON digest = text_digest LEFT JOIN g USING (rid)""")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
+@query("op9_benchmark_decontamination")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
