@@ -229,13 +229,15 @@ def extract(page: str, learned: Weights) -> str:
 
 
 def learn(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", most: int = LABELLED_PAGES) -> Weights:
-    """Weights from the ``most`` labelled pages (with one article or main element) of smallest id.
+    """Weights from the labelled pages (with one article or main element) that have one of the ``most`` smallest ids.
 
     The bounded sample only fits the weights; the feature counts come to the driver, a few dozen numbers, as tag names
     outside HTML's share one feature.
     """
     page = name_of(html_col).cast("string")
-    sample = pages.where(F.lower(page).rlike("<(article|main)[\\s>]")).orderBy(name_of(id_col)).limit(most).select(page.alias("__html"))
+    marked = pages.where(F.lower(page).rlike("<(article|main)[\\s>]")).select(name_of(id_col).alias("__id"), page.alias("__html"))
+    first = marked.select("__id").where("__id IS NOT NULL").distinct().orderBy("__id").limit(most)  # ids alone, as they all meet in one task
+    sample = marked.join(F.broadcast(first), "__id", "left_semi").select("__html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, list[int]] = {}
