@@ -79,13 +79,13 @@ def license_scan(docs: DataFrame, known: DataFrame | None = None, id_col: str =
     NULL, empty and copyright-only texts have the digest of the empty string and no licence.  Repeated rows each get
     their row.  Lines are pre-aggregated beside their document before the only shuffle.
     """
-    known = known_licenses(docs.sparkSession) if known is None else known
+    known = F.broadcast(known_licenses(docs.sparkSession)) if known is None else known  # the built-in list is a few dozen rows
     row = fresh_name(docs, "row")
     rows = docs.select(name_of(id_col).alias(id_col), canonical_lines(name_of(text_col)).alias("__lines"), F.monotonically_increasing_id().alias(row)).select(
         id_col, row, digest(F.array_join("__lines", " ")).alias("text_digest"), F.transform("__lines", digest).alias("__lines")
     )
-    whole = known.select(F.col("digest").alias("__whole"), "license")
-    line = known.select(F.col("digest").alias("__line"), F.col("license").alias("__found"))
+    whole = known.withColumnRenamed("digest", "__whole")
+    line = known.withColumnsRenamed({"digest": "__line", "license": "__found"})
     lines = rows.join(whole, F.col("text_digest") == F.col("__whole"), "left").withColumn("__line", F.explode_outer("__lines"))
     found = lines.join(line, "__line", "left").groupBy(id_col, row, "text_digest", "license").agg(
         F.count("__found").alias("n_license_lines"), F.array_join(F.sort_array(F.collect_set("__found")), ",").alias("line_licenses")
