@@ -13,6 +13,7 @@ from .licenses import CANONICAL, KNOWN, license_scan
 from .packing import pack_documents
 from .quality import quality_rules
 from .simhash import simhash_groups
+from .suffixes import without_repeats
 from .urls import BLOCKED_WORDS, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +116,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_best_fit_packing")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op1_suffix_array_dedup")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(table(spark, sf_dir, "documents"))
