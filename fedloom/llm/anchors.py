@@ -88,7 +88,7 @@ class Words:
     k: int
 
     def anchors(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
-        _, _, hashes, first, _ = words_of(texts)
+        hashes, first = words_of(texts)
         return anchors(lambda a, b: hashes[a:b], first, self.span, self.k)
 
     def units(self, text: bytes) -> list[bytes]:
@@ -109,13 +109,13 @@ class Family:
     def __init__(self):
         self.levels: list[list[np.ndarray]] = []  # hash, row, place, told
 
-    def add(self, hashes: np.ndarray, row: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, place) of everything now known to repeat and not told before."""
+    def add(self, hashes: np.ndarray, row: np.ndarray, place: np.ndarray, sure: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, place) of everything now known to repeat and not told before; ``sure`` suffixes repeat whatever else there is."""
         order = np.argsort(hashes, kind="stable")
-        hashes, row, place = hashes[order], row[order], place[order]
+        hashes, row, place, sure = hashes[order], row[order], place[order], sure[order]
         head = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1])))
         times = np.diff(np.concatenate((head, [len(hashes)])))
-        distinct, again, new = hashes[head], times > 1, np.ones(len(head), bool)
+        distinct, again, new = hashes[head], (times > 1) | np.logical_or.reduceat(sure, head), np.ones(len(head), bool)
         told_row, told_place = [], []
         for h, r, p, told in self.levels:
             at = np.minimum(np.searchsorted(h, distinct), len(h) - 1)
@@ -143,6 +143,23 @@ def prepared(docs: DataFrame, text_col: str, carry: tuple[str, ...]) -> DataFram
     return docs.select(F.monotonically_increasing_id().alias("__row"), text_bytes(text_col).alias("__text"), *[name_of(c).alias(c) for c in carry])
 
 
+def _dealt(hashes: np.ndarray, row: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What of one batch's suffixes goes to which task: the number to deal by, the row, and the place with a mark.
+
+    Of the suffixes that repeat within the batch one goes by its hash, marked as repeating; the others need no
+    comparison any more and are dealt out evenly, so a suffix of very many places does not meet in one task.
+    """
+    order = np.argsort(hashes, kind="stable")
+    hashes, row, place = hashes[order], row[order], place[order]
+    same = np.concatenate(([False], hashes[1:] == hashes[:-1], [False]))
+    mark = np.where(same[:-1], THROUGH, np.where(same[1:], SURE, PLAIN))
+    even = mixed(row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + place.astype(np.uint64))
+    return np.where(same[:-1], even, hashes).view(np.int64), row, place << 2 | mark
+
+
+PLAIN, SURE, THROUGH = 0, 1, 2
+
+
 def repeated_anchors(rows: DataFrame, units: Bytes | Words) -> DataFrame:
     """(__row, places): the anchors of each document that stand in two places of the corpus at least.
 
@@ -152,21 +169,29 @@ def repeated_anchors(rows: DataFrame, units: Bytes | Words) -> DataFrame:
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in pooled(batch_only(batch), "__text"):
+            parts = []
+            for part, texts in pooled([batch], "__text"):
                 doc, at, low, high, hashes = units.anchors(texts)
-                row = part.column("__row").to_numpy()[doc]
-                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(row), pa.array(at << 16 | low << 8 | high)], ["hash", "__row", "place"])
+                parts.append((hashes, part.column("__row").to_numpy()[doc], at << 16 | low << 8 | high))
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in _dealt(*(np.concatenate(x) for x in zip(*parts, strict=True)))], ["deal", "__row", "place"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family = Family()
         held, size = [], 0
 
         def told() -> pa.RecordBatch:
-            row, place = family.add(*(np.concatenate(x) for x in zip(*held, strict=True)))
-            return pa.RecordBatch.from_arrays([pa.array(row), pa.array(place)], ["__row", "place"])
+            deal, row, place = (np.concatenate(x) for x in zip(*held, strict=True))
+            mark, place = place & 3, place >> 2
+            through = mark == THROUGH
+            found = [(row[through], place[through])]
+            if not through.all():
+                own = ~through
+                found.append(family.add(deal[own].view(np.uint64), row[own], place[own], mark[own] == SURE))
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["__row", "place"])
 
         for batch in batches:
-            held.append(tuple(batch.column(c).to_numpy() for c in ("hash", "__row", "place")))
+            held.append(tuple(batch.column(c).to_numpy() for c in ("deal", "__row", "place")))
             size += len(batch)
             if size >= BATCH:
                 yield told()
@@ -175,15 +200,11 @@ def repeated_anchors(rows: DataFrame, units: Bytes | Words) -> DataFrame:
             yield told()
 
     assert units.span - units.k < 256
-    sampled = rows.select("__row", "__text").mapInArrow(sample, "hash long, __row long, place long")
-    found = sampled.repartition("hash").mapInArrow(scan, "__row long, place long")
+    sampled = rows.select("__row", "__text").mapInArrow(sample, "deal long, __row long, place long")
+    found = sampled.repartition("deal").mapInArrow(scan, "__row long, place long")
     return found.groupBy("__row").agg(F.collect_list("place").alias("places"))
 
 
-def batch_only(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    yield batch
-
-
 def contexts(rows: DataFrame, places: DataFrame, units: Bytes | Words, carry: tuple[str, ...]) -> DataFrame:
     """A row for each repeated anchor: digest of its piece, what stands left and right of it inside its windows.
 
@@ -195,7 +216,7 @@ def contexts(rows: DataFrame, places: DataFrame, units: Bytes | Words, carry: tu
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in pooled(batch_only(batch), "__text"):
+            for part, texts in pooled([batch], "__text"):
                 number, keys, lefts, rights, kept = [], [], [], [], []
                 for i, (text, own) in enumerate(zip(texts, part.column("places").to_pylist(), strict=True)):
                     held = units.units(text)

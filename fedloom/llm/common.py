@@ -109,10 +109,9 @@ def span_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mixed((sums[end] - sums[start]) * powers(len(sums))[1][start] + (end - start).astype(np.uint64))
 
 
-def words_of(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
-    """Of the joined texts: each word's start, end and hash, each document's first word (one more at the end), the bytes."""
-    joined = b"\n".join(texts) + b"\n"
-    data = np.frombuffer(joined, np.uint8)
+def words_of(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each word of the joined texts, and each document's first word (one more at the end)."""
+    data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     space = _IS_SPACE[data]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     if not space[0]:
@@ -120,5 +119,10 @@ def words_of(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.nd
     start, end = edge[0::2], edge[1::2]
     ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
     first = np.concatenate(([0], np.searchsorted(start, ends)))
-    sums = prefix_sums((LOWER_VALUES if lower else BYTE_VALUES)[data])
-    return start, end, span_hashes(sums, start, end), first, joined
+    values, hashes, i = LOWER_VALUES if lower else BYTE_VALUES, np.empty(len(start), np.uint64), 0
+    while i < len(start):  # in slices, so that a very long document needs no more room
+        j = max(i + 1, int(np.searchsorted(end, start[i] + POOL_BYTES, "right")))
+        a, b = start[i], end[j - 1]
+        hashes[i:j] = span_hashes(prefix_sums(values[data[a:b]]), start[i:j] - a, end[i:j] - a)
+        i = j
+    return hashes, first
