@@ -11,6 +11,7 @@ from .decontaminate import leaks
 from .html import extract_pages
 from .licenses import CANONICAL, KNOWN, license_scan
 from .packing import pack_documents
+from .phrases import without_later
 from .quality import quality_rules
 from .simhash import simhash_groups
 from .suffixes import without_repeats
@@ -121,3 +122,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_suffix_array_dedup")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(table(spark, sf_dir, "documents"))
+
+
+@query("op10_substring_dedup")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_later(table(spark, sf_dir, "documents"))
