@@ -13,6 +13,7 @@ from .licenses import CANONICAL, KNOWN, license_scan
 from .packing import pack_documents
 from .phrases import without_later
 from .quality import quality_rules
+from .scoring import score
 from .simhash import simhash_groups
 from .suffixes import without_repeats
 from .urls import BLOCKED_WORDS, url_filter
@@ -127,3 +128,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_substring_dedup")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_later(table(spark, sf_dir, "documents"))
+
+
+@query("op2_lm_scoring")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(table(spark, sf_dir, "documents"))
