@@ -163,23 +163,28 @@ def _answer(*values) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds, strict=True)], ["block", "shard", "all", "tuning", "vocabulary", "tokens", "tuning_tokens"])
 
 
-def _counts(texts: list[bytes], answers: pa.Table, order: int, shards: int) -> tuple[np.ndarray, list[list[np.ndarray]], list[list[np.ndarray]]]:
-    """First tokens; for all training and for the tuning fold, the counts of n-grams by length and then of contexts."""
-    begin, keys, contexts = ngrams(texts, order)
+def _counts(texts: list[bytes], answers: pa.Table, order: int, shards: int, without_tuning: bool) -> tuple[np.ndarray, list[np.ndarray]]:
+    """First tokens; the counts of each token's n-grams by length and then of their contexts."""
+    begin, keys, _ = ngrams(texts, order)
     distinct = _distinct(keys, order)[0]
     edge = _shard_edges(distinct, shards)
-    both = []
     by_shard = {s: (a, t) for s, a, t in zip(*(answers.column(c).to_pylist() for c in ("shard", "all", "tuning")), strict=True)}
-    for which in (0, 1):
-        values = np.empty(len(distinct), np.uint64)
-        for s in range(shards):
-            if edge[s] < edge[s + 1]:
-                found = _unpack(by_shard[s][which]) if s in by_shard else ()
-                if len(found) != edge[s + 1] - edge[s]:
-                    raise ValueError("the documents were not the same when they were read again")
-                values[edge[s]:edge[s + 1]] = found
-        both.append([values[np.searchsorted(distinct, k)].astype(np.float64) for k in (*keys, *contexts)])
-    return begin, both[0], both[1]
+    values = np.empty(len(distinct), np.uint64)
+    for s in range(shards):
+        if edge[s] < edge[s + 1]:
+            found = _unpack(by_shard[s][0]) if s in by_shard else ()
+            if len(found) != edge[s + 1] - edge[s]:
+                raise ValueError("the documents were not the same when they were read again")
+            values[edge[s]:edge[s + 1]] = found - _unpack(by_shard[s][1]) if without_tuning else found
+    values = values.astype(np.float64)
+    grams = [values[np.searchsorted(distinct, k)] for k in keys]
+    contexts = []
+    for gram, start in zip(grams[:-1], values[np.searchsorted(distinct, starts(order))], strict=True):
+        context = np.empty(len(gram))  # of a token: what its left neighbour's n-gram one shorter counts
+        context[1:] = gram[:-1]
+        context[begin[:-1]] = start
+        contexts.append(context)
+    return begin, [*grams, *contexts]
 
 
 def estimates(counts: list[np.ndarray], order: int, tokens: float, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
@@ -219,8 +224,7 @@ def _tuned(rows: DataFrame, answers: DataFrame, order: int, shards: int, tokens:
 
     def add(left: pa.Table, right: pa.Table) -> pa.Table:
         texts = left.column("__text").to_pylist()
-        _, total, own = _counts(texts, right, order, shards)
-        p, bucket = estimates([a - b for a, b in zip(total, own, strict=True)], order, tokens, vocabulary)
+        p, bucket = estimates(_counts(texts, right, order, shards, True)[1], order, tokens, vocabulary)
         logs = np.log2(p, out=np.full(p.shape, -np.inf), where=p > 0)
         level = np.where(p > 0, np.round(8 * np.maximum(logs, -100)), 1).astype(np.int64) + 900
         code = bucket
@@ -269,7 +273,7 @@ def score(docs: DataFrame, order: int = 2, id_col: str = "doc_id", text_col: str
     table = np.array([weights[b] for b in buckets.tolist()]).reshape(-1, order + 1)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        begin, total, _ = _counts(left.column("__text").to_pylist(), right, order, shards)
+        begin, total = _counts(left.column("__text").to_pylist(), right, order, shards, False)
         p, bucket = estimates(total, order, tokens, vocabulary)
         if len(buckets):  # a bucket without held-out tokens has the weights of the nearest below it
             mix = table[np.maximum(np.searchsorted(buckets, bucket, "right") - 1, 0)].T
