@@ -17,13 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUES, mixed, name_of, pooled, powers, prefix_sums, schema_of, text_bytes, words_of
+from .common import BYTE_VALUES, MULTIPLIER, mixed, name_of, pooled, powers, prefix_sums, schema_of, text_bytes, words_of
 
 #: Window starts worked on at once, and the low bits that tell their places.
 _SLICE = 1 << 20
 _LOW = np.uint64((1 << 21) - 1)
 #: Rows that become one batch of the index.
 BATCH = 1 << 17
+#: Text whose contexts are compared with each other before they are dealt out.
+CONTEXT_BYTES = 8 << 20
 
 
 def anchors(values: Callable[[int, int], np.ndarray], first: np.ndarray, span: int, k: int) -> tuple[np.ndarray, ...]:
@@ -150,11 +152,11 @@ def _dealt(hashes: np.ndarray, row: np.ndarray, place: np.ndarray) -> tuple[np.n
     comparison any more and are dealt out evenly, so a suffix of very many places does not meet in one task.
     """
     order = np.argsort(hashes, kind="stable")
-    hashes, row, place = hashes[order], row[order], place[order]
-    same = np.concatenate(([False], hashes[1:] == hashes[:-1], [False]))
-    mark = np.where(same[:-1], THROUGH, np.where(same[1:], SURE, PLAIN))
-    even = mixed(row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + place.astype(np.uint64))
-    return np.where(same[:-1], even, hashes).view(np.int64), row, place << 2 | mark
+    same = np.concatenate(([False], hashes[order][1:] == hashes[order][:-1], [False]))
+    mark = np.empty(len(hashes), np.int64)
+    mark[order] = np.where(same[:-1], THROUGH, np.where(same[1:], SURE, PLAIN))
+    even = mixed(row.astype(np.uint64) * np.uint64(MULTIPLIER) + place.astype(np.uint64))
+    return np.where(mark == THROUGH, even, hashes).view(np.int64), row, place << 2 | mark
 
 
 PLAIN, SURE, THROUGH = 0, 1, 2
@@ -205,18 +207,20 @@ def repeated_anchors(rows: DataFrame, units: Bytes | Words) -> DataFrame:
     return found.groupBy("__row").agg(F.collect_list("place").alias("places"))
 
 
-def contexts(rows: DataFrame, places: DataFrame, units: Bytes | Words, carry: tuple[str, ...]) -> DataFrame:
+def contexts(rows: DataFrame, places: DataFrame, units: Bytes | Words, carry: tuple[str, ...], order: str | None = None) -> DataFrame:
     """A row for each repeated anchor: digest of its piece, what stands left and right of it inside its windows.
 
     ``left`` has the greatest distance's units and ``right`` what the least distance leaves, so every window of the
-    anchor, and nothing else, lies in left, piece and right.
+    anchor, and nothing else, lies in left, piece and right.  Equal rows of a batch are compared at once: all but one
+    are marked as settled and dealt out evenly instead of by anchor.  Without ``order`` any two settle each other and
+    the one left is marked as repeating; with it the least in that column settles those above it.
     """
     extra = units.span - units.k
     joined = rows.join(places, "__row").select("__row", "__text", *[name_of(c) for c in carry], "places")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in pooled([batch], "__text"):
+            for part, texts in pooled([batch], "__text", CONTEXT_BYTES):
                 number, keys, lefts, rights, kept = [], [], [], [], []
                 for i, (text, own) in enumerate(zip(texts, part.column("places").to_pylist(), strict=True)):
                     held = units.units(text)
@@ -228,12 +232,35 @@ def contexts(rows: DataFrame, places: DataFrame, units: Bytes | Words, carry: tu
                         lefts.append(units.piece(held, at - high, at))
                         rights.append(units.piece(held, at + units.k, at + units.k + extra - low))
                 own = part.select(["__row", *carry]).take(pa.array(number, pa.int64()))
+                row = own.column("__row").to_pylist()
+                marks = _settled(keys, lefts, rights, kept, own.column(order).to_pylist() if order else None)
+                keys = [b"%d,%d" % (r, p) if m == THROUGH else k for k, r, p, m in zip(keys, row, kept, marks, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys, pa.binary()), *own.columns, pa.array(kept, pa.int64()), pa.array(lefts, pa.binary()), pa.array(rights, pa.binary())],
-                    ["key", "__row", *carry, "place", "left", "right"],
+                    [pa.array(keys, pa.binary()), *own.columns, pa.array(kept, pa.int64()), pa.array(lefts, pa.binary()), pa.array(rights, pa.binary()), pa.array(marks, pa.int32())],
+                    ["key", "__row", *carry, "place", "left", "right", "mark"],
                 )
 
-    return joined.mapInArrow(cut, f"key binary, {schema_of(joined, '__row', *carry)}, place long, left binary, right binary")
+    return joined.mapInArrow(cut, f"key binary, {schema_of(joined, '__row', *carry)}, place long, left binary, right binary, mark int")
+
+
+def _settled(keys: list[bytes], lefts: list[bytes], rights: list[bytes], places: list[int], order: list[int | None] | None) -> list[int]:
+    marks, seen = [PLAIN] * len(keys), {}
+    for i, one in enumerate(zip(keys, lefts, rights, places, strict=True)):
+        seen.setdefault((*one[:3], one[3] & 0xFFFF), []).append(i)
+    for same in seen.values():
+        if len(same) == 1:
+            continue
+        if order is None:
+            for i in same:
+                marks[i] = THROUGH
+            marks[same[0]] = SURE
+        else:
+            value = [float("inf") if order[i] is None else order[i] for i in same]
+            least = min(value)
+            for i, v in zip(same, value, strict=True):
+                if v > least:
+                    marks[i] = THROUGH
+    return marks
 
 
 def grouped(batches: Iterator[pa.RecordBatch], most: int, together: int) -> Iterator[tuple[pa.Table, bool]]:

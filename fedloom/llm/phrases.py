@@ -12,15 +12,16 @@ import hashlib
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .anchors import Words, contexts, grouped, merged, prepared, removals, repeated_anchors, runs
+from .anchors import THROUGH, Words, contexts, grouped, merged, prepared, removals, repeated_anchors, runs
 from .common import schema_of
 
 SPAN = 13
-ANCHOR = 5
+ANCHOR = 6
 #: Passages with one phrase held in a task; more are told apart by digests of their windows, dealt over all tasks.
 MOST = 20_000
 #: Passages that make one shard: their windows have to fit an automaton in a task's memory.
@@ -44,58 +45,104 @@ def spelled(keys: list[bytes], left: list[bytes], right: list[bytes]) -> list[st
     ]
 
 
-def later_windows(passages: list[str], docs: list[int | None], width: int) -> list[list[bool]]:
-    """For each passage and window start whether the window also stands in a passage of a smaller document.
+def later_windows(passages: list[str], docs: list[int | None], width: int) -> list[list[tuple[int, int]]]:
+    """For each passage the runs [first, last) of windows that also stand in a passage of a smaller document.
 
-    NULL documents come after all others and before none.
+    A passage whose windows all have the same first document is one pattern of the automaton; of others each window
+    is.  Equal passages are streamed once.  NULL documents come after all others and before none.
     """
-    order = [float("inf") if d is None else d for d in docs]
     least: dict[str, float] = {}
-    confirmed: set[str] = set()
+    most: dict[str, float] = {}
+    order = [float("inf") if d is None else d for d in docs]
     for passage, doc in zip(passages, order, strict=True):
+        if least.setdefault(passage, doc) > doc:
+            least[passage] = doc
+        if most.setdefault(passage, doc) < doc:
+            most[passage] = doc
+    window_of: dict[str, float] = {}
+    for passage, doc in least.items():
         for i in range(len(passage) - width + 1):
             window = passage[i:i + width]
-            if (known := least.setdefault(window, doc)) != doc:
-                confirmed.add(window)
-                if doc < known:
-                    least[window] = doc
+            if window_of.setdefault(window, doc) > doc:
+                window_of[window] = doc
     automaton = ahocorasick.Automaton()
-    for window in confirmed:
-        automaton.add_word(window, least[window])
-    found = [[False] * max(0, len(p) - width + 1) for p in passages]
-    if confirmed:
-        automaton.make_automaton()
-        for passage, doc, hit in zip(passages, order, found, strict=True):
-            for end, first in automaton.iter(passage):
-                hit[end - width + 1] = first < doc
+    for passage, last in most.items():
+        firsts = [window_of[passage[i:i + width]] for i in range(len(passage) - width + 1)]
+        if firsts and min(firsts) == max(firsts):
+            if firsts[0] < last:
+                automaton.add_word(passage, (len(passage), firsts[0]))
+        else:
+            for i, first in enumerate(firsts):
+                if first < last:
+                    automaton.add_word(passage[i:i + width], (width, first))
+    if not len(automaton):
+        return [[] for _ in passages]
+    automaton.make_automaton()
+    places: dict[str, list[float]] = {}
+    for passage, last in most.items():
+        firsts = None
+        for end, (size, first) in automaton.iter(passage):
+            if firsts is None:
+                firsts = places[passage] = [float("inf")] * (len(passage) - width + 1)
+            begin = end + 1 - size
+            firsts[begin:end + 2 - width] = [first] * (size - width + 1)
+    found = []
+    for passage, doc in zip(passages, order, strict=True):
+        firsts = places.get(passage)
+        if firsts is None:
+            found.append([])
+        elif max(firsts) < doc:
+            found.append([(0, len(firsts))])
+        elif min(firsts) >= doc:
+            found.append([])
+        else:
+            found.append(list(runs([f < doc for f in firsts])))
     return found
 
 
 def later_spans(rows: DataFrame, span: int = SPAN, k: int = ANCHOR, id_col: str = "doc_id", most: int = MOST, together: int = TOGETHER) -> DataFrame:
     """(__row, spans): ranges of words covered by ``span``-word windows that also start in a document with a smaller id."""
     units, extra = Words(span, k), span - k
-    near = contexts(rows, repeated_anchors(rows, units), units, (id_col,))
+    near = contexts(rows, repeated_anchors(rows, units), units, (id_col,), id_col)
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, whole in grouped(batches, most, together):
-            keys, left, right, row, docs, place = (table.column(c).to_pylist() for c in ("key", "left", "right", "__row", id_col, "place"))
-            out = []
+            mark = table.column("mark").to_numpy()
+            if (mark == THROUGH).any():
+                settled = table.filter(pa.array(mark == THROUGH))
+                place = settled.column("place").to_numpy()
+                yield _told(settled.column("__row").to_numpy(), None, (place >> 16) - (place & 255), (place >> 16) - (place >> 8 & 255) + span)
+                table = table.filter(pa.array(mark != THROUGH))
+            if not len(table):
+                continue
+            keys, left, right, docs = (table.column(c).to_pylist() for c in ("key", "left", "right", id_col))
+            row, place = (table.column(c).to_numpy() for c in ("__row", "place"))
+            start, count = (place >> 16) - (place & 255), (place & 255) - (place >> 8 & 255) + 1
             if whole:
-                for i, hit in enumerate(later_windows(spelled(keys, left, right), docs, extra + 1)):
-                    start = (place[i] >> 16) - (place[i] & 255)
-                    out += [(b"%d,%d" % (row[i], start + a), True, row[i], docs[i], start + a, start + b - 1 + span) for a, b in runs(hit)]
+                found = later_windows(spelled(keys, left, right), docs, extra + 1)
+                number = np.repeat(np.arange(len(row)), [len(f) for f in found])
+                run = np.array([r for f in found for r in f], np.int64).reshape(-1, 2)
+                yield _told(row[number], None, start[number] + run[:, 0], start[number] + run[:, 1] - 1 + span)
             else:
-                for i, p in enumerate(place):
+                digests = []
+                for i, (key, n) in enumerate(zip(keys, count.tolist(), strict=True)):
                     before, after = left[i].split(), right[i].split()
-                    for d in range(p >> 8 & 255, (p & 255) + 1):
-                        window = b" ".join([*before[len(before) - d:], b"", keys[i], b"", *after[:extra - d]])
-                        out.append((hashlib.blake2b(bytes([d]) + window, digest_size=16).digest(), False, row[i], docs[i], (p >> 16) - d, (p >> 16) - d + span))
-            kinds = (pa.binary(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], ["digest", "sure", "__row", "doc", "first", "last"])
-
-    told = near.repartition("key").sortWithinPartitions("key").mapInArrow(locate, "digest binary, sure boolean, __row long, doc long, first long, last long")
-    least = F.min("doc").over(Window.partitionBy("digest"))
-    return removals(told.withColumn("least", least).where("sure OR least < doc OR (doc IS NULL AND least IS NOT NULL)"))
+                    for d in range(len(before), len(before) - n, -1):
+                        window = b" ".join([key, *before[len(before) - d:], b"", *after[:extra - d]])
+                        digests.append(hashlib.blake2b(bytes([d]) + window, digest_size=16).digest())
+                number = np.repeat(np.arange(len(row)), count)
+                first = start[number] + np.arange(len(number)) - np.repeat(np.cumsum(count) - count, count)
+                yield _told(row[number], [docs[i] for i in number.tolist()], first, first + span, digests)
+
+    told = near.repartition("key").sortWithinPartitions("key").mapInArrow(locate, "digest binary, __row long, doc long, first long, last long")
+    least = F.min("doc").over(Window.partitionBy("digest", F.when(F.col("digest").isNull(), F.col("__row"))))
+    return removals(told.withColumn("least", least).where("digest IS NULL OR least < doc OR (doc IS NULL AND least IS NOT NULL)"))
+
+
+def _told(row: np.ndarray, docs: list[int | None] | None, first: np.ndarray, last: np.ndarray, digests: list[bytes] | None = None) -> pa.RecordBatch:
+    """Spans to be removed; those with a digest only where a smaller document has it too."""
+    own = [pa.nulls(len(row), t) if v is None else pa.array(v, t) for v, t in ((digests, pa.binary()), (docs, pa.int64()))]
+    return pa.RecordBatch.from_arrays([own[0], pa.array(row), own[1], pa.array(first), pa.array(last)], ["digest", "__row", "doc", "first", "last"])
 
 
 def without_later(docs: DataFrame, span: int = SPAN, k: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text", most: int = MOST, together: int = TOGETHER) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .anchors import Bytes, contexts, grouped, merged, prepared, removals, repeated_anchors
+from .anchors import SURE, THROUGH, Bytes, contexts, grouped, merged, prepared, removals, repeated_anchors
 from .common import schema_of
 
 SPAN = 200
@@ -73,14 +73,23 @@ def repeated_spans(rows: DataFrame, span: int = SPAN, k: int = ANCHOR, carry: tu
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, whole in grouped(batches, most, TOGETHER):
+            mark = table.column("mark").to_numpy()
+            if (mark == THROUGH).any():
+                row, place = (table.filter(pa.array(mark == THROUGH)).column(c).to_numpy() for c in ("__row", "place"))
+                yield _told(row, (place >> 16) - (place & 255), (place >> 16) - (place >> 8 & 255) + span)
+                table, mark = table.filter(pa.array(mark != THROUGH)), mark[mark != THROUGH]
             row, place = (table.column(c).to_numpy() for c in ("__row", "place"))
             keys, left, right = (table.column(c).to_pylist() for c in ("key", "left", "right"))
             at, low, high = place >> 16, place >> 8 & 255, place & 255
-            if whole:
+            if whole and len(keys):
                 group = np.cumsum(np.fromiter((a != b for a, b in zip(keys, [None, *keys], strict=False)), np.int64, len(keys)))
-                out = _spans(row, at, repeated_windows(group, low, high, left, right, extra), span)
-                digests = [b"%d,%d" % (r, a) for r, a in zip(out[0].tolist(), out[1].tolist(), strict=True)]
-            else:
+                found = repeated_windows(group, low, high, left, right, extra)
+                distance = np.arange(extra + 1)
+                found |= (mark == SURE)[:, None] & (low[:, None] <= distance) & (distance <= high[:, None])
+                yield _told(*_spans(row, at, found, span))
+            elif len(keys):
+                sure = mark == SURE
+                yield _told(row[sure], (at - high)[sure], (at - low)[sure] + span)
                 count = high - low + 1
                 number = np.repeat(np.arange(len(row)), count)
                 distance = np.arange(len(number)) - np.repeat(np.cumsum(count) - count, count) + low[number]
@@ -88,12 +97,16 @@ def repeated_spans(rows: DataFrame, span: int = SPAN, k: int = ANCHOR, carry: tu
                     hashlib.blake2b(keys[i] + bytes([d]) + left[i][len(left[i]) - d:] + right[i][:extra - d], digest_size=16).digest()
                     for i, d in zip(number.tolist(), distance.tolist(), strict=True)
                 ]
-                out = row[number], at[number] - distance, at[number] - distance + span
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(np.full(len(digests), whole)), *map(pa.array, out)], ["digest", "sure", "__row", "first", "last"])
+                yield _told(row[number], at[number] - distance, at[number] - distance + span, digests)
 
-    told = near.repartition("key").sortWithinPartitions("key").mapInArrow(confirm, "digest binary, sure boolean, __row long, first long, last long")
-    times = F.count(F.lit(1)).over(Window.partitionBy("digest"))
-    return removals(told.withColumn("times", times).where("sure OR times > 1"))
+    told = near.repartition("key").sortWithinPartitions("key").mapInArrow(confirm, "digest binary, __row long, first long, last long")
+    times = F.count(F.lit(1)).over(Window.partitionBy("digest", F.when(F.col("digest").isNull(), F.col("__row"))))
+    return removals(told.withColumn("times", times).where("digest IS NULL OR times > 1"))
+
+
+def _told(row: np.ndarray, first: np.ndarray, last: np.ndarray, digests: list[bytes] | None = None) -> pa.RecordBatch:
+    """Spans to be removed; those with a digest only if it turns up again."""
+    return pa.RecordBatch.from_arrays([pa.nulls(len(row), pa.binary()) if digests is None else pa.array(digests, pa.binary()), *map(pa.array, (row, first, last))], ["digest", "__row", "first", "last"])
 
 
 def without_repeats(docs: DataFrame, span: int = SPAN, k: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), kept: bool = False, most: int = MOST) -> DataFrame:
