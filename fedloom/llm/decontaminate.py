@@ -165,12 +165,25 @@ def leaks(
     return docs.sparkSession.createDataFrame([], schema) if found is None else found
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, text_col: str = "text", item_text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of ``docs`` that hold no item of the benchmark within the budget, unchanged and without a shuffle."""
+
+    def left(block: list[tuple[object, str]], rows: DataFrame) -> DataFrame:
+        items = [i for _, i in block]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            matcher = Matcher(items, rate)
+            for batch in batches:
+                yield batch.filter(pa.array([not matcher.matches(normal(t)) for t in batch.column(text_col).to_pylist()], pa.bool_()))
+
+        return rows.mapInArrow(run, rows.schema)
+
+    for block in _blocks(benchmark, item_text_col, item_text_col, block_chars):
+        docs = left(block, docs)
+    return docs
+
+
 def _arrow(kind):
     from pyspark.sql.pandas.types import to_arrow_type
 
     return to_arrow_type(kind)
-
-
-def contaminated(pairs: DataFrame, *columns: str) -> DataFrame:
-    """Distinct ``columns`` of the pairs: the rows to be left out."""
-    return pairs.select(*[name_of(c) for c in columns]).distinct()

@@ -135,7 +135,7 @@ def links(fps: DataFrame, radius: int = 2, tile: int = TILE) -> DataFrame:
 
 
 def simhash_groups(docs: DataFrame, width: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """Each row's ``fp`` and ``component_id``, the smallest id among the rows its fingerprint reaches in steps of ``radius`` bits.
+    """Each row's ``fp``, ``component_id``, the smallest id among the rows its fingerprint reaches in steps of ``radius`` bits, and ``component_fp``, the component's smallest fingerprint.
 
     A row for each row of ``docs``; rows with equal texts share everything.  NULL and wordless texts have fingerprint
     0, which is linked like any other.  NULL ids count only where a component has no other id; an empty table gives
@@ -146,5 +146,5 @@ def simhash_groups(docs: DataFrame, width: int = 3, radius: int = 2, id_col: str
     found = components(links(least.select("fp"), radius))
     rooted = least.join(found, F.col("fp") == F.col("node"), "left").select("fp", "__least", F.coalesce("root", "fp").alias("__root"))
     named = rooted.groupBy("__root").agg(F.min("__least").alias("component_id"))
-    groups = rooted.join(named, "__root").select("fp", "component_id")
-    return marked.join(groups, "fp").select(*[name_of(c) for c in (id_col, *carry)], "fp", "component_id")
+    groups = rooted.join(named, "__root").select("fp", "component_id", F.col("__root").alias("component_fp"))
+    return marked.join(groups, "fp").select(*[name_of(c) for c in (id_col, *carry)], "fp", "component_id", "component_fp")
