@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUES, MULTIPLIER, mixed, name_of, pooled, powers, prefix_sums, schema_of, text_bytes, words_of
+from .common import BYTE_VALUES, MULTIPLIER, mixed, name_of, pack, pooled, powers, prefix_sums, schema_of, shard_edges, text_bytes, unpack, words_of
 
 #: Window starts worked on at once, and the low bits that tell their places.
 _SLICE = 1 << 20
@@ -156,7 +156,9 @@ def _dealt(hashes: np.ndarray, row: np.ndarray, place: np.ndarray) -> tuple[np.n
     mark = np.empty(len(hashes), np.int64)
     mark[order] = np.where(same[:-1], THROUGH, np.where(same[1:], SURE, PLAIN))
     even = mixed(row.astype(np.uint64) * np.uint64(MULTIPLIER) + place.astype(np.uint64))
-    return np.where(mark == THROUGH, even, hashes).view(np.int64), row, place << 2 | mark
+    deal = np.where(mark == THROUGH, even, hashes)
+    order = np.argsort(deal)
+    return deal[order], row[order], (place << 2 | mark)[order]
 
 
 PLAIN, SURE, THROUGH = 0, 1, 2
@@ -166,8 +168,9 @@ def repeated_anchors(rows: DataFrame, units: Bytes | Words) -> DataFrame:
     """(__row, places): the anchors of each document that stand in two places of the corpus at least.
 
     A place is the anchor's position and its windows' least and greatest distance, in one number.  The anchors are
-    dealt out by hash; each task feeds them to its family batch by batch.
+    dealt out by ranges of their hashes, packed, and each task feeds them to its family batch by batch.
     """
+    shards = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,8 +178,14 @@ def repeated_anchors(rows: DataFrame, units: Bytes | Words) -> DataFrame:
             for part, texts in pooled([batch], "__text"):
                 doc, at, low, high, hashes = units.anchors(texts)
                 parts.append((hashes, part.column("__row").to_numpy()[doc], at << 16 | low << 8 | high))
-            if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in _dealt(*(np.concatenate(x) for x in zip(*parts, strict=True)))], ["deal", "__row", "place"])
+            if not parts:
+                continue
+            deal, row, place = _dealt(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+            edge = shard_edges(deal, shards)
+            for s in np.flatnonzero(np.diff(edge)).tolist():
+                own = slice(edge[s], edge[s + 1])
+                packed = [pack(np.diff(deal[own], prepend=np.uint64(0))), pack(row[own]), pack(place[own])]
+                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), *(pa.array([x], pa.binary()) for x in packed)], ["shard", "deal", "__row", "place"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family = Family()
@@ -184,26 +193,28 @@ def repeated_anchors(rows: DataFrame, units: Bytes | Words) -> DataFrame:
 
         def told() -> pa.RecordBatch:
             deal, row, place = (np.concatenate(x) for x in zip(*held, strict=True))
+            row, place = row.astype(np.int64), place.astype(np.int64)
             mark, place = place & 3, place >> 2
             through = mark == THROUGH
             found = [(row[through], place[through])]
             if not through.all():
                 own = ~through
-                found.append(family.add(deal[own].view(np.uint64), row[own], place[own], mark[own] == SURE))
+                found.append(family.add(deal[own], row[own], place[own], mark[own] == SURE))
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["__row", "place"])
 
         for batch in batches:
-            held.append(tuple(batch.column(c).to_numpy() for c in ("deal", "__row", "place")))
-            size += len(batch)
-            if size >= BATCH:
-                yield told()
-                held, size = [], 0
+            for deal, row, place in zip(*(batch.column(c).to_pylist() for c in ("deal", "__row", "place")), strict=True):
+                held.append((np.cumsum(unpack(deal), dtype=np.uint64), unpack(row), unpack(place)))
+                size += len(held[-1][0])
+                if size >= BATCH:
+                    yield told()
+                    held, size = [], 0
         if size:
             yield told()
 
     assert units.span - units.k < 256
-    sampled = rows.select("__row", "__text").mapInArrow(sample, "deal long, __row long, place long")
-    found = sampled.repartition("deal").mapInArrow(scan, "__row long, place long")
+    sampled = rows.select("__row", "__text").mapInArrow(sample, "shard int, deal binary, __row binary, place binary")
+    found = sampled.repartitionById(shards, F.col("shard")).mapInArrow(scan, "__row long, place long")
     return found.groupBy("__row").agg(F.collect_list("place").alias("places"))
 
 

@@ -10,6 +10,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -126,3 +127,20 @@ def words_of(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.nd
         hashes[i:j] = span_hashes(prefix_sums(values[data[a:b]]), start[i:j] - a, end[i:j] - a)
         i = j
     return hashes, first
+
+
+def pack(values: np.ndarray) -> bytes:
+    """64-bit numbers byte by byte of equal weight, compressed: small numbers are mostly zero bytes."""
+    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<u8").reshape(-1)
+
+
+def shard_edges(keys: np.ndarray, shards: int) -> np.ndarray:
+    """Where each shard's keys begin; a shard is a range of hashes."""
+    first = [(s << 64) // shards for s in range(1, shards)]
+    return np.concatenate(([0], np.searchsorted(keys, np.array(first, np.uint64)), [len(keys)]))

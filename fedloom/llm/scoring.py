@@ -15,12 +15,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import mixed, name_of, schema_of, text_bytes, words_of
+from .common import mixed, name_of, pack, schema_of, shard_edges, text_bytes, unpack, words_of
 
 #: Text of a block, unless one document is longer.
 BLOCK_BYTES = 8 << 20
@@ -69,23 +68,6 @@ def _distinct(keys: list[np.ndarray], order: int) -> tuple[np.ndarray, np.ndarra
     return joined[head], np.diff(np.concatenate((head, [len(joined)])))
 
 
-def _pack(values: np.ndarray) -> bytes:
-    """64-bit numbers byte by byte of equal weight, compressed: small numbers are mostly zero bytes."""
-    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T)
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
-
-
-def _unpack(packed: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(planes.T).view("<u8").reshape(-1)
-
-
-def _shard_edges(keys: np.ndarray, shards: int) -> np.ndarray:
-    """Where each shard's keys begin; a shard is a range of hashes."""
-    first = [(s << 64) // shards for s in range(1, shards)]
-    return np.concatenate(([0], np.searchsorted(keys, np.array(first, np.uint64)), [len(keys)]))
-
-
 def _blocks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
     """Block number and rows.  Rows of a kind fill one block after the other, in the order in which they are read."""
     held: dict[int, list] = {}
@@ -125,19 +107,19 @@ def _totals(rows: DataFrame, order: int, shards: int, limit: int) -> DataFrame:
             keys, counts = _distinct(ngrams(texts, order)[1], order)
             start = np.isin(keys, starts(order))
             counts = np.where(start, len(texts), counts).astype(np.uint64) * np.uint64(kind % 3 != HELD_OUT)
-            edge = _shard_edges(keys, shards)
+            edge = shard_edges(keys, shards)
             out = []
             for s in range(shards):
                 own = slice(edge[s], edge[s + 1])
                 if edge[s] < edge[s + 1]:
-                    out.append((s, block, _pack(np.diff(keys[own], prepend=np.uint64(0))), _pack(counts[own])))
+                    out.append((s, block, pack(np.diff(keys[own], prepend=np.uint64(0))), pack(counts[own])))
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["shard", "block", "keys", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked: dict[int, list] = {}
         for batch in batches:
             for shard, block, keys, counts in zip(*(batch.column(c).to_pylist() for c in ("shard", "block", "keys", "counts")), strict=True):
-                asked.setdefault(shard, []).append((block, np.cumsum(_unpack(keys), dtype=np.uint64), _unpack(counts)))
+                asked.setdefault(shard, []).append((block, np.cumsum(unpack(keys), dtype=np.uint64), unpack(counts)))
         for shard, blobs in asked.items():
             joined = np.concatenate([k for _, k, _ in blobs])
             known = np.unique(joined)
@@ -150,7 +132,7 @@ def _totals(rows: DataFrame, order: int, shards: int, limit: int) -> DataFrame:
                     tuning[at] += counts
             for block, keys, _ in blobs:
                 at = np.searchsorted(known, keys)
-                yield _answer(block, shard, _pack(total[at]), _pack(tuning[at]), 0, 0, 0)
+                yield _answer(block, shard, pack(total[at]), pack(tuning[at]), 0, 0, 0)
             words = total[(known & _TAG) == 1]
             yield _answer(-1, shard, b"", b"", int(np.count_nonzero(words)), int(words.sum()), int(tuning[(known & _TAG) == 1].sum()))
 
@@ -167,15 +149,15 @@ def _counts(texts: list[bytes], answers: pa.Table, order: int, shards: int, with
     """First tokens; the counts of each token's n-grams by length and then of their contexts."""
     begin, keys, _ = ngrams(texts, order)
     distinct = _distinct(keys, order)[0]
-    edge = _shard_edges(distinct, shards)
+    edge = shard_edges(distinct, shards)
     by_shard = {s: (a, t) for s, a, t in zip(*(answers.column(c).to_pylist() for c in ("shard", "all", "tuning")), strict=True)}
     values = np.empty(len(distinct), np.uint64)
     for s in range(shards):
         if edge[s] < edge[s + 1]:
-            found = _unpack(by_shard[s][0]) if s in by_shard else ()
+            found = unpack(by_shard[s][0]) if s in by_shard else ()
             if len(found) != edge[s + 1] - edge[s]:
                 raise ValueError("the documents were not the same when they were read again")
-            values[edge[s]:edge[s + 1]] = found - _unpack(by_shard[s][1]) if without_tuning else found
+            values[edge[s]:edge[s + 1]] = found - unpack(by_shard[s][1]) if without_tuning else found
     values = values.astype(np.float64)
     grams = [values[np.searchsorted(distinct, k)] for k in keys]
     contexts = []
