@@ -21,7 +21,7 @@ from .anchors import THROUGH, Words, contexts, grouped, merged, prepared, remova
 from .common import schema_of
 
 SPAN = 13
-ANCHOR = 6
+ANCHOR = 5
 #: Passages with one phrase held in a task; more are told apart by digests of their windows, dealt over all tasks.
 MOST = 20_000
 #: Passages that make one shard: their windows have to fit an automaton in a task's memory.
