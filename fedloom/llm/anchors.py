@@ -57,7 +57,8 @@ def anchors(values: Callable[[int, int], np.ndarray], first: np.ndarray, span: i
         cut = np.flatnonzero((at[1:] != at[:-1]) | (np.diff(starts) != 1))
         begin, end = np.concatenate(([0], cut + 1)), np.concatenate((cut, [len(starts) - 1]))
         at, doc = at[begin], doc[starts[begin]]
-        out.append((doc, at + a - first[doc], at - starts[end], at - starts[begin], hashes[at]))
+        # the least of many hashes is small, so they are spread again to be dealt out evenly
+        out.append((doc, at + a - first[doc], at - starts[end], at - starts[begin], mixed(hashes[at])))
     if not out:
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
