@@ -70,7 +70,7 @@ def _pairs(key: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np
     while len(at):
         at = at[at + step < len(key)]
         at = at[key[at] == key[at + step]]
-        near = at[np.bitwise_count(fp[at] ^ fp[at + step]) <= radius]
+        near = at[np.bitwise_count((fp[at] ^ fp[at + step]).view(np.uint64)) <= radius]  # of signed numbers it counts the absolute value
         first.append(near)
         second.append(near + step)
         step += 1
