@@ -226,7 +226,7 @@ def label_encode(spark, d):
     SELECT o_orderkey, i::INTEGER AS i, (label = i)::INTEGER::DOUBLE AS bit FROM orders JOIN l USING (o_orderpriority), unnest(range(0, (SELECT count(*) - 1 FROM l))) r(i)""")
 def one_hot_encode(spark, d):
     hot = encode.one_hot_encode(table(spark, d, "orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority")
-    return hot.select("o_orderkey", F.posexplode("o_orderpriority").alias("i", "bit"))
+    return hot.select("o_orderkey", F.posexplode(encode.dense(F.col("o_orderpriority"))).alias("i", "bit"))
 
 
 @query("parse_vector_string", """SELECT l_orderkey, l_linenumber, l_quantity AS a, l_discount AS b, l_tax AS c, 3 AS size FROM lineitem""")

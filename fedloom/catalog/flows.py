@@ -53,8 +53,10 @@ def flagship(spark, d):
 # --- streams -------------------------------------------------------------------------
 
 def _stream(spark, d, name):
-    schema = table(spark, d, name).schema
-    return feeds.watch(spark, d, schema, pattern=f"{name}.parquet")
+    """The table as a stream of several files, one in each micro-batch."""
+    whole, arriving = table(spark, d, name), scratch_path(spark, "arriving")
+    whole.repartition(4).write.parquet(arriving)
+    return feeds.watch(spark, arriving, whole.schema, files_per_batch=1)
 
 
 @query("stream_ingest", "SELECT event_id, user_id, event_type, value, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts FROM events")

@@ -15,7 +15,7 @@ CLIENT_KEYS = ["session_id", "round", "client_id"]
 
 
 def parameters(spark, d):
-    return A.flatten_params(inputs.parameters(spark, d), "document", CLIENT_KEYS, max_depth=3)
+    return A.flatten_params(inputs.parameters(spark, d), "document", CLIENT_KEYS)
 
 
 def _at(df):

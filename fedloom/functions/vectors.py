@@ -16,8 +16,11 @@ def parse_vector(text: Column) -> Column:
 
 
 def reshape(flat: Column, shape: Sequence[int]) -> Column:
-    """Nested array of the given shape; NULL where the length does not fit."""
-    return F.when(F.size(flat) == prod(shape), _nest(flat, list(shape)))
+    """Nested array of the given shape; NULL stays NULL, a length that does not fit is an error."""
+    misfit = F.raise_error(F.concat(F.lit(f"a vector for shape {list(shape)} has length "), F.size(flat).cast("string")))
+    nested = _nest(flat, list(shape))
+    kind = "array<" * len(shape) + "double" + ">" * len(shape)
+    return F.when(flat.isNull(), None).when(F.size(flat) == prod(shape), nested).otherwise(misfit.cast(kind))
 
 
 def _nest(flat: Column, shape: list[int]) -> Column:

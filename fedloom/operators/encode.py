@@ -60,16 +60,12 @@ def label_encode(df: DataFrame, column: str) -> DataFrame:
     return joined.select(*[F.col(hidden).alias(c) if c == column else q(c) for c in df.columns])
 
 
-# wider encodings come as sparse structs instead of dense arrays
-DENSE_WIDTH = 4_096
-
-
-def one_hot_encode(df: DataFrame, column: str, dense_width: int = DENSE_WIDTH) -> DataFrame:
-    """Array of 0/1 per category, the last category all zero.
+def one_hot_encode(df: DataFrame, column: str) -> DataFrame:
+    """``struct<size, indices, values>`` with the one category set, the last category nothing.
 
     Strings are label-encoded first; numbers must be whole and not negative.
-    Above ``dense_width`` categories the result is ``struct<size, indices,
-    values>``, so a row does not grow with the dictionary.
+    The type does not depend on the data and a row does not grow with the
+    dictionary; ``dense`` gives the plain array of it.
     """
     require(df, [column])
     if isinstance(type_of(df, column), T.StringType):
@@ -84,14 +80,13 @@ def one_hot_encode(df: DataFrame, column: str, dense_width: int = DENSE_WIDTH) -
         if seen["bad"]:
             raise ValueError(f"column {column!r} holds values that are no category index")
         joined, index, width = df, x, int(seen["top"] or 0)
-    encoded = _indicator(index, width) if width <= dense_width else _sparse(index, width)
-    return joined.select(*[encoded.alias(c) if c == column else q(c) for c in df.columns])
+    return joined.select(*[_sparse(index, width).alias(c) if c == column else q(c) for c in df.columns])
 
 
-def _indicator(index: Column, width: int) -> Column:
-    if width <= 0:
-        return F.array().cast("array<double>")
-    return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.when(index == i, 1.0).otherwise(0.0))
+def dense(hot: Column) -> Column:
+    """Array of 0/1 per category of a one-hot struct."""
+    places = F.when(hot["size"] > 0, F.sequence(F.lit(0), hot["size"] - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: F.when(F.array_contains(hot["indices"], i), 1.0).otherwise(0.0))
 
 
 def _sparse(index: Column, width: int) -> Column:
@@ -111,25 +106,21 @@ NETWORK_SHARE = 0.1
 def task_type(df: DataFrame, target: str) -> str:
     """``classification`` for at most 20 distinct whole-number targets, else ``regression``."""
     y = q(target).cast("double")
-    seen = fit(df, {"about": F.approx_count_distinct(y, 0.05), "whole": F.coalesce(F.bool_and(y == F.floor(y)), F.lit(True))})
-    # far above the limit the sketch decides; near it there are few values to count
-    few = seen["about"] <= 4 * CLASSES and _distinct(df, target) <= CLASSES
-    return "classification" if few and seen["whole"] else "regression"
+    whole = fit(df, {"whole": F.coalesce(F.bool_and(y == F.floor(y)), F.lit(True))})["whole"]
+    return "classification" if whole and _at_most(df, target, CLASSES) else "regression"
 
 
 def task_type_network(df: DataFrame, target: str) -> str:
     """Second rule: continuous when not whole or with more than max(50, 10 % of rows) values."""
     y = q(target).cast("double")
     seen = fit(df, {
-        "about": F.approx_count_distinct(y, 0.05), "rows": F.count(F.lit(1)),
+        "rows": F.count(F.lit(1)),
         "whole": F.coalesce(F.bool_and(F.abs(y - F.rint(y)) < 1e-8), F.lit(True)),
     })
     limit = max(NETWORK_CLASSES, int(NETWORK_SHARE * seen["rows"]))
-    values = seen["about"]
-    if 0.6 * limit < values < 1.6 * limit:
-        values = _distinct(df, target)
-    return "classification" if seen["whole"] and values <= limit else "regression"
+    return "classification" if seen["whole"] and _at_most(df, target, limit) else "regression"
 
 
-def _distinct(df: DataFrame, target: str) -> int:
-    return df.select(q(target).alias("v")).filter("v is not null").distinct().count()
+def _at_most(df: DataFrame, target: str, most: int) -> bool:
+    """Whether the target has at most so many distinct values, counted exactly and no further."""
+    return df.select(q(target).alias("v")).filter("v is not null").distinct().limit(most + 1).count() <= most

@@ -21,20 +21,21 @@ METADATA_KEYS = (
     "n_features", "n_classes", "max_depth", "n_leaves", "n_nodes",
     "task_type", "random_state", "min_samples_split", "min_samples_leaf",
 )
-MAX_DEPTH = 8
 BLOCK = 65_536
 ROUND_KEYS = ("session_id", "round")
 CLIENT = "client_id"
 
 
-def flatten_params(df: DataFrame, document: str, keys: Sequence[str], max_depth: int = MAX_DEPTH) -> DataFrame:
+def flatten_params(df: DataFrame, document: str, keys: Sequence[str], max_depth: int | None = None) -> DataFrame:
     """Leaves of JSON documents: ``keys..., path, pos, text, value``.
 
-    Each level is one narrow ``variant_explode``; a document nested deeper than
-    ``max_depth`` fails instead of losing leaves.  Parameters too large for one
-    JSON value belong in typed array columns (``flatten_array``).
+    Each level is one narrow ``variant_explode``.  The number of levels is the deepest document's, found in one pass
+    over the brackets; where it is known, ``max_depth`` saves that pass, and a deeper document fails.  A dot inside a
+    key is escaped.  Parameters too large for one JSON value belong in typed array columns (``flatten_array``).
     """
     spark = df.sparkSession
+    if max_depth is None:
+        max_depth = df.agg(F.max(nesting(q(document)))).first()[0] or 0
     level = df.select(
         *keys, F.lit("").alias("path"), F.array().cast("array<int>").alias("pos"), F.parse_json(q(document)).alias("node")
     )
@@ -48,6 +49,16 @@ def flatten_params(df: DataFrame, document: str, keys: Sequence[str], max_depth:
     return leaves.withColumn("value", F.col("text").try_cast("double"))
 
 
+def nesting(document: Column) -> Column:
+    """How deep objects and arrays of a JSON text are nested; brackets inside strings do not count."""
+    bare = F.regexp_replace(document, r'"(?:[^"\\]|\\.)*"', "")
+    brackets = F.split(F.regexp_replace(F.translate(bare, "{}", "[]"), r"[^\[\]]", ""), "")
+    steps = F.transform(brackets, lambda c: F.when(c == "[", 1).when(c == "]", -1).otherwise(0))
+    zero = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    walk = lambda state, step: F.struct((state["now"] + step).alias("now"), F.greatest(state["most"], state["now"] + step).alias("most"))
+    return F.aggregate(steps, zero, walk)["most"]
+
+
 def _is_open(node: Column) -> Column:
     return F.schema_of_variant(node).rlike("^(ARRAY|OBJECT)")
 
@@ -59,7 +70,8 @@ def _open_level(spark, level: DataFrame, keys: Sequence[str]) -> DataFrame:
     opened = boxed.withColumn("holder", holder).alias("t").lateralJoin(
         spark.tvf.variant_explode(F.col("t.holder").outer()).alias("e")
     )
-    joined_path = F.when(F.col("t.path") == "", F.col("e.key")).otherwise(F.concat_ws(".", "t.path", "e.key"))
+    key = F.regexp_replace("e.key", r"([.\\])", r"\\$1")
+    joined_path = F.when(F.col("t.path") == "", key).otherwise(F.concat_ws(".", "t.path", key))
     is_object = F.col("t.open") & F.col("e.key").isNotNull()
     is_array = F.col("t.open") & F.col("e.key").isNull()
     return opened.select(
@@ -81,8 +93,10 @@ def flatten_array(df: DataFrame, column: str, keys: Sequence[str], path: str | N
     return level.select(*keys, "path", "pos", F.col("node").cast("double").alias("value"))
 
 
-def is_metadata(path: Column) -> Column:
-    return F.substring_index(path, ".", -1).isin(*METADATA_KEYS)
+def is_metadata(path: Column, pos: Column | None = None) -> Column:
+    """Whether a leaf describes the model: a single value, not a list, under one of the metadata names."""
+    pos = F.col("pos") if pos is None else pos
+    return (F.size(pos) == 0) & path.rlike(r"(^|(?<!\\)\.)(" + "|".join(METADATA_KEYS) + ")$")
 
 
 def client_totals(params: DataFrame, keys: Sequence[str] = ROUND_KEYS) -> DataFrame:
@@ -95,17 +109,18 @@ def fedavg(params: DataFrame, keys: Sequence[str] = ROUND_KEYS, totals: DataFram
 
     The divisor is the number of clients of the round, also where a client
     lacks the position; ``totals`` supplies it when it is already known.
-    Metadata values pass through from the smallest client.
+    Metadata and leaves that are no number pass through from the smallest
+    client; a leaf that is a number for some clients only is refused.
     """
     totals = client_totals(params, keys) if totals is None else totals
-    sums = params.filter(~is_metadata(F.col("path")) & F.col("value").isNotNull()).groupBy(*keys, "path", "pos").agg(F.sum("value").alias("total"))
-    averaged = sums.join(totals, list(keys)).select(
-        *keys, "path", "pos", (F.col("total") / F.col("num_clients")).alias("value"), F.lit(None).cast("string").alias("metadata")
+    text = F.col("text") if "text" in params.columns else F.lit(None).cast("string")
+    sums = params.groupBy(*keys, "path", "pos").agg(
+        F.sum("value").alias("total"), F.count("value").alias("numbers"), F.count(F.lit(1)).alias("leaves"), F.min_by(text, CLIENT).alias("text")
     )
-    if "text" not in params.columns:
-        return averaged
-    passed = params.filter(is_metadata(F.col("path"))).groupBy(*keys, "path", "pos").agg(F.min_by("text", CLIENT).alias("metadata"))
-    return averaged.unionByName(passed.withColumn("value", F.lit(None).cast("double")))
+    passed = is_metadata(F.col("path")) | (F.col("numbers") == 0)
+    torn = F.raise_error(F.concat(F.lit("not a number for every client: "), F.col("path")))
+    mean = F.when(passed, None).when(F.col("numbers") < F.col("leaves"), torn.cast("double")).otherwise(F.col("total") / F.col("num_clients"))
+    return sums.join(totals, list(keys)).select(*keys, "path", "pos", mean.alias("value"), F.when(passed, F.col("text")).alias("metadata"))
 
 
 def fedavg_metadata(params: DataFrame, keys: Sequence[str] = ROUND_KEYS) -> DataFrame:
@@ -118,12 +133,19 @@ def fedavg_rebuild(averaged: DataFrame, keys: Sequence[str] = ROUND_KEYS) -> Dat
 
     A row of a weight matrix is one array; whole matrices stay distributed, and
     a longer flat vector comes in numbered blocks, so no group grows without bound.
+    A scalar has no ``lead`` and one value, a leaf that was passed through no
+    ``values`` but its text as ``metadata``.
     """
     depth = F.size("pos")
-    numbers = averaged.filter(F.col("value").isNotNull() & (depth > 0))
-    lead = F.slice("pos", F.lit(1), depth - 1).alias("lead")
-    at = F.element_at("pos", -1)
+    single = depth == 0
+    lead = F.when(~single, F.slice("pos", F.lit(1), F.greatest(depth - 1, F.lit(0)))).alias("lead")
+    at = F.coalesce(F.try_element_at("pos", F.lit(-1)), F.lit(0))
     block = F.floor(at / BLOCK).cast("int").alias("block")
     cell = F.struct(at.alias("at"), F.col("value").alias("value"))
+    numbers = averaged.filter(F.col("value").isNotNull())
     rows = numbers.groupBy(*keys, "path", lead, block).agg(F.array_sort(F.collect_list(cell)).alias("cells"))
-    return rows.select(*keys, "path", "lead", "block", F.transform("cells", lambda c: c["value"]).alias("values"))
+    arrays = rows.select(*keys, "path", "lead", "block", F.transform("cells", lambda c: c["value"]).alias("values"), F.lit(None).cast("string").alias("metadata"))
+    passed = averaged.filter(F.col("value").isNull()).select(
+        *keys, "path", F.when(~single, F.col("pos")).alias("lead"), F.lit(0).alias("block"), F.lit(None).cast("array<double>").alias("values"), "metadata"
+    )
+    return arrays.unionByName(passed)

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml import classification as C
@@ -82,9 +84,13 @@ def _train(kind: str, df: DataFrame, inputs: Sequence[str], label: str, stages:
     """Assemble vectors, fit, keep the pipeline.
 
     Iterative estimators read the slim training table many times, so it is
-    written once to the shared folder.
+    written once to the shared folder.  Rows with a NULL or NaN are refused:
+    they would be missing from the fit and fail in ``predict``.
     """
-    slim = materialize(df.select(*[as_double(df, c).alias(c) for c in inputs], q(label).cast("double").alias(label)).dropna())
+    slim = materialize(df.select(*[as_double(df, c).alias(c) for c in inputs], q(label).cast("double").alias(label)))
+    gaps = slim.agg(F.count_if(reduce(or_, [q(c).isNull() | F.isnan(q(c)) for c in slim.columns]))).first()[0]
+    if gaps:
+        raise ValueError(f"{gaps} rows have a NULL or NaN in {[*inputs, label]}; fill or drop them first")
     assembler = VectorAssembler(inputCols=list(inputs), outputCol=FEATURES)
     return Model(kind, list(inputs), label, Pipeline(stages=[assembler, *stages]).fit(slim), settings or {})
 

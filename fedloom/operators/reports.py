@@ -297,8 +297,11 @@ def metrics_long(table: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def training_result_pivot(long: DataFrame, keys: Sequence[str], rounds: Sequence[int]) -> DataFrame:
-    """Metric rows against ``round_<n>`` columns."""
-    named = long.withColumn("_round", F.concat(F.lit("round_"), F.col("round_number").cast("string")))
+    """Metric rows against ``round_<n>`` columns; a result of a round that is not among ``rounds`` is an error."""
+    number = F.col("round_number")
+    outside = F.raise_error(F.concat(F.lit("result of a round without a column: "), F.coalesce(number.cast("string"), F.lit("NULL"))))
+    name = F.when(number.isin(*rounds), F.concat(F.lit("round_"), number.cast("string"))).otherwise(outside.cast("string"))
+    named = long.withColumn("_round", name)
     return named.groupBy(*keys, "metric").pivot("_round", [f"round_{r}" for r in rounds]).agg(F.first("value", ignorenulls=True))
 
 

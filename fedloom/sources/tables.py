@@ -95,22 +95,19 @@ def _swap(spark: SparkSession, new: str, target: str) -> None:
 
 
 def storage_inventory(spark: SparkSession, base: str) -> DataFrame:
-    """Bytes, files and display size per entry below ``base``; file contents are not read."""
+    """Bytes, files and display size per entry below ``base``; file contents are not read.
+
+    The file system counts each entry as a whole, with hidden files and empty
+    folders; the driver holds one line per entry.
+    """
     path = spark._jvm.org.apache.hadoop.fs.Path(base.rstrip("/"))
-    root = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-        .select(F.col("path"), F.col("length"))
-    )
-    below = F.substr("path", F.lit(len(root) + 2))
-    entries = files.select(
-        F.split_part(below, F.lit("/"), F.lit(1)).alias("dataset"),
-        below.contains("/").alias("folder"), "length",
-    )
-    return entries.groupBy("dataset").agg(
-        F.when(F.bool_or("folder"), "DIRECTORY").otherwise("FILE").alias("type"),
-        F.sum("length").alias("bytes"), F.count(F.lit(1)).alias("files"),
-    ).withColumn("size", human_size(F.col("bytes")))
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = []
+    for entry in fs.listStatus(path):
+        whole = fs.getContentSummary(entry.getPath())
+        found.append((entry.getPath().getName(), "DIRECTORY" if entry.isDirectory() else "FILE", whole.getLength(), whole.getFileCount()))
+    entries = spark.createDataFrame(found, "dataset string, type string, bytes long, files long")
+    return entries.withColumn("size", human_size(F.col("bytes")))
 
 
 def export_features(df: DataFrame, inputs: Sequence[str], outputs: Sequence[str], path: str | None = None) -> DataFrame:
@@ -132,27 +129,32 @@ def read_client_params(spark: SparkSession, root: str, round_number: int | None
     ``layout="files"`` reads ``<client>.json`` beside ``<client>_metadata.json``.
     ``layout="lines"`` reads JSON lines with a ``client_id`` field from
     ``params/`` and ``metadata/``, the form for many clients: it needs no file
-    per client.  One row per client: ``client_id, round_number,
-    submission_time, parameters`` (JSON text).
+    per client.  One row per session and client: ``client_id, round_number,
+    submission_time, parameters`` (JSON text), ``session_id``: the name of the
+    folder with the client's files, or the field of that name in the lines.
     """
+    keys = ["session_id", "client_id"]
     if layout == "lines":
-        parameters = spark.read.schema("client_id long, parameters string").json(f"{root}/params")
-        metadata = spark.read.schema(METADATA_SCHEMA).json(f"{root}/metadata")
+        parameters = spark.read.schema("session_id string, client_id long, parameters string").json(f"{root}/params")
+        metadata = spark.read.schema("session_id string, " + METADATA_SCHEMA).json(f"{root}/metadata")
     elif layout == "files":
         documents = (
             spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(root, wholetext=True)
-            .select("value", F.col("_metadata.file_name").alias("file"))
+            .select("value", F.col("_metadata.file_name").alias("file"), F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("session_id"))
         )
-        client = F.regexp_extract("file", r"^(\d+)(?:_metadata)?\.json$", 1).try_cast("long").alias("client_id")
+        number = F.regexp_extract("file", r"^(\d+)(?:_metadata)?\.json$", 1).try_cast("long")
+        client = F.coalesce(number, F.raise_error(F.concat(F.lit("no client number: "), F.col("file"))).cast("long")).alias("client_id")
         is_metadata = F.col("file").endswith("_metadata.json")
         parsed = F.from_json("value", METADATA_SCHEMA.split(", ", 1)[1])
-        metadata = documents.filter(is_metadata).select(client, parsed.alias("m")).select("client_id", "m.*")
-        parameters = documents.filter(~is_metadata).select(client, F.trim("value").alias("parameters"))
+        metadata = documents.filter(is_metadata).select("session_id", client, parsed.alias("m")).select("session_id", "client_id", "m.*")
+        parameters = documents.filter(~is_metadata).select("session_id", client, F.trim("value").alias("parameters"))
     else:
         raise ValueError(f"unknown layout {layout!r}")
     if round_number is not None:
         metadata = metadata.filter(F.col("round_number") == round_number)
-    return metadata.select("client_id", "round_number", "submission_time").join(parameters, "client_id")
+    same = [F.col(f"m.{k}").eqNullSafe(F.col(f"p.{k}")) for k in keys]
+    joined = metadata.alias("m").join(parameters.alias("p"), same)
+    return joined.select("m.client_id", "m.round_number", "m.submission_time", "p.parameters", "m.session_id")
 
 
 def export_csv(df: DataFrame, path: str) -> str:

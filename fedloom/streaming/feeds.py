@@ -61,52 +61,74 @@ def stream_ingest(spark: SparkSession, uploads: str, schema: T.StructType, raw_d
     return spark.read.schema(schema).parquet(raw_dir)
 
 
-def first_submissions(stream: DataFrame, keys: Sequence[str], time: str, delay: str) -> DataFrame:
-    """First arrival per key within the watermark; later ones are rejected.
+def _per_batch(stream: DataFrame, target: str, checkpoint: str, prepare: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+    """Write ``prepare(batch, number)`` to the batch's own folder; gives all that is written, with its ``batch``."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        prepare(batch, number).write.mode("overwrite").parquet(f"{target.rstrip('/')}/batch={number}")
+
+    _finish(stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    return stream.sparkSession.read.parquet(target)
+
+
+def _opened(spark: SparkSession, target: str, schema: T.StructType) -> Callable[[int], DataFrame]:
+    """What batches before a number have written; an empty first folder lets it be read from the start."""
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{target.rstrip('/')}/batch=-1")
+    known = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
+    return lambda number: spark.read.schema(known).parquet(target).filter(F.col("batch") < number).drop("batch")
 
-    State is partitioned by the whole key, so a busy session is spread by its
-    users and rounds.
-    """
-    timed = stream.withColumn(time, F.col(time).cast("timestamp"))
-    return timed.withWatermark(time, delay).dropDuplicatesWithinWatermark(list(keys))
 
+def _new(batch: DataFrame, earlier: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of a batch whose key, NULLs included, is in no earlier row."""
+    same = [F.col(f"b.`{k}`").eqNullSafe(F.col(f"e.`{k}`")) for k in keys]
+    return batch.alias("b").join(earlier.select(*[q(k) for k in keys]).distinct().alias("e"), same, "left_anti")
 
-def stream_submissions_dedup(stream: DataFrame, target: str, checkpoint: str, time: str = "createdAt", delay: str = "30 days",
+
+def stream_submissions_dedup(stream: DataFrame, target: str, checkpoint: str, time: str = "createdAt",
                              keys: Sequence[str] = ("session_id", "user_id", "round_number")) -> DataFrame:
-    land(first_submissions(stream, keys, time, delay), target, checkpoint)
-    return stream.sparkSession.read.parquet(target)
+    """First arrival per key, without a time limit; later ones are rejected.
 
+    Each batch keeps its earliest row per key and is held against what earlier batches have landed, so there is no
+    running state to expire: a late first submission is taken and a repeat after months is not.
+    """
+    spark, columns = stream.sparkSession, stream.columns
+    timed = stream.withColumn(time, F.col(time).cast("timestamp"))
+    earlier = _opened(spark, target, timed.schema)
 
-def _per_batch(stream: DataFrame, target: str, checkpoint: str, mode: str, prepare: Callable[[DataFrame], DataFrame]) -> None:
-    def write(batch: DataFrame, number: int) -> None:
-        prepare(batch).write.mode("overwrite").parquet(f"{target.rstrip('/')}/batch={number}")
+    def first(batch: DataFrame, number: int) -> DataFrame:
+        others = [F.col(f"`{c}`") for c in columns if c not in (*keys, time)]
+        row = F.struct(q(time).isNull().alias("_none"), q(time), *others) if others else F.struct(q(time).isNull().alias("_none"), q(time))
+        least = batch.groupBy(*[q(k) for k in keys]).agg(F.min(row).alias("_row"))
+        one = least.select(*[q(c) if c in keys else F.col(f"_row.`{c}`").alias(c) for c in columns])
+        return _new(one, earlier(number), keys)
 
-    _finish(
-        stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-        .outputMode(mode).trigger(availableNow=True).start()
-    )
+    return _per_batch(timed, target, checkpoint, first).drop("batch")
 
 
 def stream_round_ready(submissions: DataFrame, clients: DataFrame, sessions: DataFrame, target: str, checkpoint: str) -> DataFrame:
     """(session, round) pairs for which received plus left clients reach the registered ones.
 
-    ``submissions`` is a stream without duplicates.  The running count is a
-    built-in aggregate with partial counts before the shuffle.  A pair that is
-    updated again after it got ready is reported once, from its first batch.
+    ``submissions`` is a stream without duplicates.  Each batch lands its counts per pair; the pairs it touches are
+    added up from all landed counts, so there is no running state.  A pair is reported once, from its first batch.
     """
     # one row per session, computed once for all batches of this run
     expected = materialize(clients.groupBy("session_id").agg(F.count(F.lit(1)).alias("clients")).join(
         sessions.select(F.col("id").alias("session_id"), F.col("no_of_left_clients").cast("long").alias("left_clients")), "session_id"
     ))
-    received = submissions.groupBy("session_id", "round_number").agg(F.count(F.lit(1)).alias("received"))
-
-    def ready(batch: DataFrame) -> DataFrame:
-        state = batch.join(expected, "session_id")
+    pair = ["session_id", "round_number"]
+    kinds = [submissions.schema[c] for c in pair]
+    counts = f"{target.rstrip('/')}/counts"
+    earlier = _opened(submissions.sparkSession, counts, T.StructType([*kinds, T.StructField("received", T.LongType())]))
+
+    def ready(batch: DataFrame, number: int) -> DataFrame:
+        batch.groupBy(*pair).agg(F.count(F.lit(1)).alias("received")).write.mode("overwrite").parquet(f"{counts}/batch={number}")
+        landed = earlier(number + 1)
+        touched = landed.join(batch.select(*pair).distinct(), pair, "left_semi")
+        state = touched.groupBy(*pair).agg(F.sum("received").alias("received")).join(expected, "session_id")
         return state.filter(F.col("received") + F.col("left_clients") >= F.col("clients"))
 
-    _per_batch(received, target, checkpoint, "update", ready)
-    written = submissions.sparkSession.read.parquet(target)
-    return written.groupBy("session_id", "round_number").agg(F.min("batch").cast("int").alias("batch"))
+    written = _per_batch(submissions, f"{target.rstrip('/')}/ready", checkpoint, ready)
+    return written.groupBy(*pair).agg(F.min("batch").cast("int").alias("batch"))
 
 
 def stream_stale_drop(submissions: DataFrame, sessions: DataFrame, target: str, checkpoint: str) -> DataFrame:
@@ -117,7 +139,8 @@ def stream_stale_drop(submissions: DataFrame, sessions: DataFrame, target: str,
 
 
 def stream_notifications(notifications: DataFrame, now: Column, target: str, checkpoint: str) -> DataFrame:
-    """Each open and unexpired notification, delivered once, with its delivery time."""
+    """Each open and unexpired notification, delivered once over all batches, with its delivery time."""
     live = notifications.filter(F.col("notified_at").isNull() & (F.col("valid_until").isNull() | (F.col("valid_until") > now)))
-    _per_batch(live, target, checkpoint, "append", lambda batch: batch.dropDuplicates(["id"]).withColumn("notified_at", now))
-    return notifications.sparkSession.read.parquet(target)
+    marked = live.withColumn("notified_at", now)
+    earlier = _opened(notifications.sparkSession, target, marked.schema)
+    return _per_batch(marked, target, checkpoint, lambda batch, number: _new(batch.dropDuplicates(["id"]), earlier(number), ["id"])).drop("batch")

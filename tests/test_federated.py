@@ -224,3 +224,24 @@ def test_softmax_and_importance(spark):
     assert [r["prediction"] for r in scoring.score_importance(df, ["a"], [2.0]).collect()] == [0.0, 1.0]
     assert [r["prediction"] for r in scoring.score_importance(df.filter("a = 1"), ["a"], [2.0]).collect()] == [0.5]
     assert [r["prediction"] for r in scoring.score_importance(df, ["a"], [2.0], task="regression").collect()] == [2.0, 6.0]
+
+
+def test_scalars_texts_and_lists_under_metadata_names(spark):
+    docs = [{"m": [1.0, 3.0], "c": 3.5, "kernel": "rbf", "n_features": 2, "n_leaves": [2, 4], "a.b": 1, "a": {"b": 3}, "deep": {"x": [[[[5]]]]}},
+            {"m": [3.0, 5.0], "c": 4.5, "kernel": "lin", "n_features": 2, "n_leaves": [4, 8], "a.b": 1, "a": {"b": 3}, "deep": {"x": [[[[7]]]]}}]
+    averaged = A.fedavg(A.flatten_params(documents(spark, docs), "document", KEYS))
+    got = {(r["path"], tuple(r["pos"])): r["value"] if r["metadata"] is None else r["metadata"] for r in averaged.collect()}
+    assert got == {
+        ("m", (0,)): 2.0, ("m", (1,)): 4.0, ("c", ()): 4.0, ("kernel", ()): "rbf", ("n_features", ()): "2", ("n_leaves", (0,)): 3.0, ("n_leaves", (1,)): 6.0,
+        ("a\\.b", ()): 1.0, ("a.b", ()): 3.0, ("deep.x", (0, 0, 0, 0)): 6.0,
+    }
+    rebuilt = {(r["path"], None if r["lead"] is None else tuple(r["lead"])): r["values"] or r["metadata"] for r in A.fedavg_rebuild(averaged).collect()}
+    assert rebuilt[("kernel", None)] == "rbf" and rebuilt[("deep.x", (0, 0, 0))] == [6.0]
+    with pytest.raises(Exception, match="not a number for every client"):
+        A.fedavg(A.flatten_params(documents(spark, [{"c": 1}, {"c": "x"}]), "document", KEYS)).collect()
+
+
+def test_nesting_ignores_brackets_in_strings(spark):
+    texts = ['{"a": [1, {"b": "[[[\\"{"}]}', "3", "[]", '{"x": {}}']
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(A.nesting(F.col("t"))).collect()] == [3, 0, 1, 2]

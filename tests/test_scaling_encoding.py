@@ -107,10 +107,11 @@ def test_encoding_refuses_null(spark):
 
 def test_one_hot(spark, words):
     df = spark.createDataFrame([(1,), (2,), (3,)], "n int")
-    assert [r[0] for r in encode.one_hot_encode(df, "n").collect()] == [[0, 1, 0], [0, 0, 1], [0, 0, 0]]
-    hot = {tuple(r["w"]) for r in encode.one_hot_encode(words, "w").collect()}
+    plain = encode.one_hot_encode(df, "n").select(encode.dense(F.col("n")))
+    assert [r[0] for r in plain.collect()] == [[0, 1, 0], [0, 0, 1], [0, 0, 0]]
+    hot = {tuple(r[0]) for r in encode.one_hot_encode(words, "w").select(encode.dense(F.col("w"))).collect()}
     assert len(hot) == 5 and (0.0,) * 4 in hot
-    sparse = [r["w"] for r in encode.one_hot_encode(words, "w", dense_width=2).orderBy("id").collect()]
+    sparse = [r["w"] for r in encode.one_hot_encode(words, "w").orderBy("id").collect()]
     assert sparse[0]["size"] == 4 and sparse[0]["values"] == [1.0] and {tuple(s["indices"]) for s in sparse} == {(), (0,), (1,), (2,), (3,)}
     with pytest.raises(ValueError, match="no category index"):
         encode.one_hot_encode(spark.createDataFrame([(-1.0,), (2.0,)], "n double"), "n")
@@ -119,9 +120,11 @@ def test_one_hot(spark, words):
 def test_vectors(spark):
     df = spark.createDataFrame([("1, 2.5,, ,3,",)], "t string")
     assert df.select(parse_vector(F.col("t"))).first()[0] == [1.0, 2.5, 3.0]
-    flat = spark.createDataFrame([([1, 2, 3, 4, 5, 6],), ([1, 2],)], "v array<int>")
+    flat = spark.createDataFrame([([1, 2, 3, 4, 5, 6],), (None,)], "v array<int>")
     got = [r[0] for r in flat.select(reshape(F.col("v"), [2, 3, 1])).collect()]
     assert got == [[[[1], [2], [3]], [[4], [5], [6]]], None]
+    with pytest.raises(Exception, match="has length 2"):
+        spark.createDataFrame([([1, 2],)], "v array<int>").select(reshape(F.col("v"), [2, 3, 1])).collect()
 
 
 def test_task_types(spark):

@@ -159,3 +159,47 @@ def test_notifications_are_delivered_once(spark, tmp_path):
 
     assert run() == [(1, T0), (4, T0)]
     assert run() == [(1, T0), (4, T0)]
+
+
+def test_late_firsts_and_old_repeats(spark, tmp_path):
+    folder, out, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
+    year = dt.timedelta(days=365)
+    for batch in (
+        [(1, 10, 1, T0)], [(2, 10, 1, T0 + year)], [(9, 10, 1, T0 - year), (8, 10, 1, T0 - year)],
+        [(1, 10, 1, T0 + year), (3, 10, 1, T0)], [(3, 10, 1, T0 - year), (9, 10, 1, T0 + 2 * year)],
+    ):
+        arrive(spark, folder, *batch)
+    stream = feeds.watch(spark, str(folder), spark.createDataFrame([], SUBMISSION).schema, files_per_batch=1)
+    got = feeds.stream_submissions_dedup(stream, out, state)
+    assert rows(got.select("session_id", "createdAt"), "session_id") == [(1, T0), (2, T0 + year), (3, T0), (8, T0 - year), (9, T0 - year)]
+
+
+def test_notifications_that_come_again(spark, tmp_path):
+    ddl = "id int, user_id int, notified_at timestamp, valid_until timestamp"
+    for _ in range(2):
+        spark.createDataFrame([(7, 5, None, None)], ddl).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = feeds.watch(spark, str(tmp_path / "in"), spark.createDataFrame([], ddl).schema, files_per_batch=1)
+    assert rows(feeds.stream_notifications(stream, F.lit(T0), str(tmp_path / "out"), str(tmp_path / "state")).select("id")) == [(7,)]
+
+
+def test_inventory_counts_hidden_files_and_empty_folders(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "_SUCCESS").write_bytes(b"xy")
+    (tmp_path / "a" / ".part").write_bytes(b"z")
+    (tmp_path / "empty").mkdir()
+    got = tables.storage_inventory(spark, str(tmp_path))
+    assert rows(got.select("dataset", "type", "bytes", "files"), "dataset") == [("a", "DIRECTORY", 3, 2), ("empty", "DIRECTORY", 0, 0)]
+
+
+def test_client_files_of_two_sessions(spark, tmp_path):
+    for session in ("s1", "s2"):
+        (tmp_path / session).mkdir()
+        (tmp_path / session / "5.json").write_text(f'{{"w": "{session}"}}')
+        (tmp_path / session / "5_metadata.json").write_text(f'{{"submission_time": "{session}", "user_id": 5, "round_number": 1}}')
+    got = tables.read_client_params(spark, str(tmp_path))
+    assert rows(got.select("session_id", "client_id", "submission_time", "parameters"), "session_id") == [
+        ("s1", 5, "s1", '{"w": "s1"}'), ("s2", 5, "s2", '{"w": "s2"}'),
+    ]
+    (tmp_path / "s1" / "x.json").write_text("{}")
+    with pytest.raises(Exception, match="no client number"):
+        tables.read_client_params(spark, str(tmp_path)).collect()
