@@ -8,6 +8,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CLIP = 1e-15
 
@@ -105,13 +106,18 @@ def confusion_counts(df: DataFrame, label: str, prediction: str, by: Sequence[st
     return df.groupBy(*by, F.col(label).alias("label"), F.col(prediction).alias("prediction")).agg(F.count(F.lit(1)).alias("count"))
 
 
-def confusion_matrix(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    """Counts for every pair of classes, zero cells included."""
+def confusion_matrix(df: DataFrame, label: str = "label", prediction: str = "prediction", classes: Sequence | None = None) -> DataFrame:
+    """Counts of the pairs of classes that occur; with ``classes`` also the empty cells between those.
+
+    The full matrix is quadratic in the classes, so their list has to be stated.
+    """
     counts = confusion_counts(df, label, prediction)
-    classes = counts.select(F.explode(F.array("label", "prediction")).alias("class")).agg(F.sort_array(F.collect_set("class")).alias("classes"))
-    # the matrix itself is classes x classes, so the class list fits in a row
-    cells = classes.select(F.explode("classes").alias("label"), "classes").select("label", F.explode("classes").alias("prediction"))
-    return cells.join(counts, ["label", "prediction"], "left").select("label", "prediction", F.coalesce("count", F.lit(0)).cast("long").alias("count"))
+    if classes is None:
+        return counts
+    kind = df.schema[label].dataType
+    cells = df.sparkSession.createDataFrame([(a, b) for a in classes for b in classes], T.StructType([T.StructField(c, kind) for c in ("label", "prediction")]))
+    empty = cells.join(counts, ["label", "prediction"], "left_anti").withColumn("count", F.lit(0).cast("long"))
+    return counts.unionByName(empty)
 
 
 def weighted_prf(df: DataFrame, label: str = "label", prediction: str = "prediction", by: Sequence[str] = ()) -> DataFrame:
@@ -164,9 +170,12 @@ AVERAGED = ("precision", "recall", "f1_score")
 
 
 def metrics_report(df: DataFrame, metrics: Sequence[str], label: str = "label", prediction: str = "prediction", by: Sequence[str] = (),
-                   average: str = "binary") -> DataFrame:
+                   average: str = "binary", score: str | None = None) -> DataFrame:
     """Requested metrics in long form, rounded half-even to three places.
 
+    The area under the curve and the log loss take ``score``, a probability or
+    margin, where there is one beside the predicted class.
+
     All aggregates share one pass; the area under the curve needs its own, and
     so do precision, recall and F1 with ``average="weighted"`` (several
     classes).  A name that is not known gives a row with ``known`` false and no
@@ -179,7 +188,7 @@ def metrics_report(df: DataFrame, metrics: Sequence[str], label: str = "label",
     y, p = F.col(label), F.col(prediction)
     wide = df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("_rows"),
-        *[F.bround(AGGREGATES[k](y, p), 3).alias(f"m{i}") for i, (_, k) in enumerate(plain)],
+        *[F.bround(AGGREGATES[k](y, F.col(score) if score and k == "log_loss" else p), 3).alias(f"m{i}") for i, (_, k) in enumerate(plain)],
     )
     rows = [F.struct(F.lit(k).alias("metric"), F.col(f"m{i}").alias("value"), F.lit(True).alias("known")) for i, (_, k) in enumerate(plain)]
     rows += [F.struct(F.lit(m).alias("metric"), F.lit(None).cast("double").alias("value"), F.lit(False).alias("known")) for m in unknown]
@@ -190,7 +199,7 @@ def metrics_report(df: DataFrame, metrics: Sequence[str], label: str = "label",
         cells = [F.struct(F.lit(k).alias("metric"), F.bround(k, 3).alias("value"), F.lit(True).alias("known")) for k in weighted]
         long = long.unionByName(scores.select(*by, F.inline(F.array(*cells))))
     if any(k == "auc" for _, k in resolved):
-        curve = auc(df, label, prediction, by)
+        curve = auc(df, label, score or prediction, by)
         long = long.unionByName(curve.select(*by, F.lit("auc").alias("metric"), F.bround("auc", 3).alias("value"), F.lit(True).alias("known")))
     return long
 

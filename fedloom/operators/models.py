@@ -15,7 +15,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml import classification as C
 from pyspark.ml import regression as R
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,7 +58,13 @@ class Model:
         return _added_prediction(self.pipeline, df, name)
 
     def evaluate(self, df: DataFrame, metrics: Sequence[str], average: str = "binary") -> DataFrame:
-        scored = self.predict(df).select(q(self.label).cast("double").alias("label"), F.col("prediction").cast("double").alias("prediction"))
+        """Metrics of the predictions; area and log loss of a two-class model come from its probabilities."""
+        y = q(self.label).cast("double").alias("label")
+        if getattr(self.fitted, "numClasses", None) == 2 and hasattr(self.fitted, "getProbabilityCol"):
+            out = self.pipeline.transform(df)
+            one = vector_to_array(F.col(self.fitted.getProbabilityCol()))[1]
+            return metrics_report(out.select(y, F.col("prediction").cast("double").alias("prediction"), one.alias("score")), metrics, average=average, score="score")
+        scored = self.predict(df).select(y, F.col("prediction").cast("double").alias("prediction"))
         return metrics_report(scored, metrics, average=average)
 
     def parameters(self) -> dict:

@@ -62,7 +62,8 @@ def test_weighted_scores_and_confusion(spark):
     assert got["f1_score"] == pytest.approx((2 * f["a"] + f["b"] + 3 * f["c"]) / 6)
     report = {r["metric"]: r["value"] for r in M.metrics_report(df, ["accuracy", "f1", "recall"], average="weighted").collect()}
     assert report == {"accuracy": 0.5, "f1_score": 0.528, "recall": 0.5}
-    cells = {(r["label"], r["prediction"]): r["count"] for r in M.confusion_matrix(df).collect()}
+    cells = {(r["label"], r["prediction"]): r["count"] for r in M.confusion_matrix(df, classes="abcd").collect()}
+    assert M.confusion_matrix(df).count() == sum(v > 0 for v in cells.values())
     assert len(cells) == 16 and cells["c", "d"] == 1 and cells["d", "d"] == 0 and sum(cells.values()) == 6
 
 
@@ -93,3 +94,10 @@ def test_texts(spark):
     sizes = {0: "0.00 B", 1023: "1023.00 B", 1024: "1.00 KB", 1536 * 1024: "1.50 MB", 2**50: "1.00 PB", 2**62: "4096.00 PB"}
     df = spark.createDataFrame([(s,) for s in sizes], "s long")
     assert [r[0] for r in df.select(human_size(F.col("s"))).collect()] == list(sizes.values())
+
+
+def test_area_and_log_loss_take_the_probability(spark):
+    df = spark.createDataFrame([(0.0, 0.0, 0.1), (0.0, 0.0, 0.3), (1.0, 0.0, 0.4), (1.0, 1.0, 0.8)], "label double, prediction double, score double")
+    got = {r["metric"]: r["value"] for r in M.metrics_report(df, ["auc", "accuracy"], score="score").collect()}
+    assert got == {"auc": 1.0, "accuracy": 0.75}
+    assert M.metrics_report(df, ["auc"]).first()["value"] == 0.75
