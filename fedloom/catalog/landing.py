@@ -9,22 +9,20 @@ from ..session import scratch_path
 from ..sources import tables
 from . import inputs
 from .inputs import table
-from .registry import query, rounded, with_
+from .registry import query, rounded, stamp, with_
 
-ORDER_COLUMNS = "o_orderkey, o_custkey, o_orderstatus, o_totalprice"
-
-
-@query("read_csv_infer", f"SELECT {ORDER_COLUMNS} FROM orders")
+@query("read_csv_infer", "SELECT * REPLACE (strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate) FROM orders")
 def read_csv_infer(spark, d):
+    """All columns: keys, texts, amounts and dates come back with the types that inference gives them."""
     path = scratch_path(spark, "csv")
-    table(spark, d, "orders").selectExpr(*ORDER_COLUMNS.split(", ")).write.option("header", True).csv(path)
+    table(spark, d, "orders").write.option("header", True).csv(path)
     read = tables.read_table(spark, path, "csv")
-    return read.withColumns({c: F.col(c).cast("long") for c in ("o_orderkey", "o_custkey")})
+    return read.withColumns({c: F.col(c).cast("long") for c in ("o_orderkey", "o_custkey")}).withColumn("o_orderdate", stamp("o_orderdate"))
 
 
-@query("read_parquet", "SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag FROM lineitem")
+@query("read_parquet", "SELECT * REPLACE (strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') AS l_shipdate) FROM lineitem")
 def read_parquet(spark, d):
-    return tables.read_table(spark, f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
+    return tables.read_table(spark, f"{d}/lineitem.parquet").withColumn("l_shipdate", stamp("l_shipdate"))
 
 
 @query("write_parquet", "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")

@@ -47,12 +47,11 @@ def profile_quartiles(spark, d):
 HISTOGRAM = """SELECT '{c}' AS name, b::INTEGER AS bin, low + b * w AS low, low + (b + 1) * w AS high, (SELECT count(*) FROM gaps
     WHERE {c}::DOUBLE >= low + b * w AND ({c}::DOUBLE < low + (b + 1) * w OR b = 9)) AS count
     FROM (SELECT min({c})::DOUBLE AS low, (max({c})::DOUBLE - min({c})::DOUBLE) / 10 AS w FROM gaps), unnest(range(0, 10)) r(b)"""
-MEASURED = [c for c in NUMERIC if c != "l_partkey"]
 
 
-@query("profile_histogram", _each(MEASURED, HISTOGRAM.replace("low + b * w AS low, low + (b + 1) * w AS high", "round(low + b * w, 6) AS low, round(low + (b + 1) * w, 6) AS high")))
+@query("profile_histogram", _each(NUMERIC, HISTOGRAM.replace("low + b * w AS low, low + (b + 1) * w AS high", "round(low + b * w, 6) AS low, round(low + (b + 1) * w, 6) AS high")))
 def profile_histogram(spark, d):
-    return rounded(P.profile_histogram(inputs.gaps(spark, d), MEASURED))
+    return rounded(P.profile_histogram(inputs.gaps(spark, d), NUMERIC))
 
 
 @query("profile_top_categories", with_("gaps", "SELECT * FROM (" + " UNION ALL ".join(f"""SELECT * FROM (SELECT '{c}' AS name,
