@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import metrics as M
 from ..operators import federated as A
 from ..operators import models, pricing, reports, rounds, scoring
+from . import evaluation as E
 from . import inputs
 from .inputs import table
 from .registry import query, rounded, with_
@@ -290,16 +294,42 @@ def score_importance(spark, d):
     return rounded(scoring.score_importance(table(spark, d, "lineitem"), FEATURES, [0.5, 0.3, 0.2]).select(*KEYS, "prediction"))
 
 
-EVALUATED = """SELECT l_extendedprice AS label, l_quantity * 1000.0::DOUBLE + l_discount * 5000.0::DOUBLE + l_tax * 2500.0::DOUBLE + 20000.0::DOUBLE AS prediction FROM lineitem"""
+# stored parameters of one model of each kind, and the metrics of each
+SCORED = ["accuracy", "precision", "recall", "f1", "log_loss", "auc"]
+HIGH = "CASE WHEN l_quantity + l_tax * 100 > 30 THEN 1 ELSE 0 END"
+STORED = {
+    "linear": ({"kind": "linear", "weights": [1000.0, 5000.0, 2500.0], "intercept": 20000.0}, "l_extendedprice", ["mae", "rmse", "r2"]),
+    "logistic": ({"kind": "logistic", "weights": WEIGHTS, "bias": -0.9037}, "high", SCORED),
+    "svm": ({"kind": "svm", "weights": [WEIGHTS], "biases": [-0.9037]}, "high", [m for m in SCORED if m != "log_loss"]),
+    "mlp": ({"kind": "mlp", "weights": [NET[0], [[row[0]] for row in NET[1]]], "biases": [NET_BIASES[0], NET_BIASES[1][:1]], "mean": NET_MEAN, "scale": NET_SCALE}, "high", SCORED),
+    "importance": ({"kind": "importance", "importances": [0.5, 0.3, 0.2]}, "high", SCORED),
+}
+
+
+def _evaluated_sql() -> str:
+    margin = _sql_sum(WEIGHTS, -0.9037, FEATURES)
+    scores = {
+        "logistic": (f"1 / (1 + exp(-({margin})))", 0.5), "svm": (margin, 0.0),
+        "mlp": (f"1 / (1 + exp(-({_OUT[0]})))", 0.5), "importance": ("(imp - min(imp) OVER ()) / (max(imp) OVER () - min(imp) OVER ())", 0.5),
+    }
+    parts = {
+        "rows": f"SELECT *, {HIGH} AS high, {IMPORTANCE} AS imp, [{', '.join(_HIDDEN)}] AS h FROM lineitem",
+        "line": f"SELECT l_extendedprice AS label, {_sql_sum([1000.0, 5000.0, 2500.0], 20000.0, FEATURES)} AS prediction FROM lineitem",
+        "scored": " UNION ALL ".join(f"SELECT '{m}' AS model, high AS label, score, (score >= {cut})::INTEGER AS prediction FROM (SELECT high, {e} AS score FROM rows)" for m, (e, cut) in scores.items()),
+        "ranked": "SELECT *, rank() OVER (PARTITION BY model ORDER BY score) + (count(*) OVER (PARTITION BY model, score) - 1) / 2 AS r FROM scored",
+    }
+    p, r = f"coalesce({E.TP} / nullif({E.PREDICTED}, 0), 0)", f"coalesce({E.TP} / nullif({E.ACTUAL}, 0), 0)"
+    measures = {"accuracy": "avg((label = prediction)::INT)", "precision": p, "recall": r, "f1_score": f"coalesce(2 * {p} * {r} / nullif({p} + {r}, 0), 0)", "log_loss": E.LOG_LOSS, "auc": E.AUC}
+    rows = [f"SELECT 'linear' AS model, '{m}' AS metric, round_even({E.REPORT[m]}, 3) AS value, true AS known FROM line" for m in ("mae", "rmse", "r2_score")]
+    rows += [f"SELECT model, '{m}', round_even({e}, 3), true FROM ranked{' WHERE model <> ' + repr('svm') if m == 'log_loss' else ''} GROUP BY model" for m, e in measures.items()]
+    return with_(" UNION ALL ".join(rows), **parts)
 
 
-@query("evaluate_model", f"""WITH p AS ({EVALUATED}) SELECT 'mae' AS metric, round_even(avg(abs(label - prediction)), 3) AS value, true AS known FROM p
-    UNION ALL SELECT 'rmse', round_even(sqrt(avg((label - prediction) ** 2)), 3), true FROM p
-    UNION ALL SELECT 'r2_score', round_even(1 - var_pop(label - prediction) / var_pop(label), 3), true FROM p""")
+@query("evaluate_model", _evaluated_sql())
 def evaluate_model(spark, d):
-    prediction = scoring.score_linear(FEATURES, [1000.0, 5000.0, 2500.0], 20000.0)
-    scored = table(spark, d, "lineitem").select(F.col("l_extendedprice").alias("label"), prediction.alias("prediction"))
-    return M.metrics_report(scored, ["mae", "rmse", "r2"])
+    rows = table(spark, d, "lineitem").withColumn("high", F.expr(HIGH))
+    reports_ = [scoring.evaluate_model(rows, model, FEATURES, label, wanted).withColumn("model", F.lit(name)) for name, (model, label, wanted) in STORED.items()]
+    return reduce(DataFrame.unionByName, reports_).select("model", "metric", "value", "known")
 
 
 def _rounds_sql(count: int, steps: int, rate: float) -> str:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -133,33 +132,27 @@ def weighted_prf(df: DataFrame, label: str = "label", prediction: str = "predict
     return scored.groupBy(*by).agg(*[(F.sum(F.col(c) * F.col("support")) / F.sum("support")).alias(n) for n, c in weighted.items()])
 
 
-SCORE_BUCKETS = 256
-
-
 def auc(df: DataFrame, label: str = "label", score: str = "score", by: Sequence[str] = ()) -> DataFrame:
     """Area under the ROC curve by trapezoids, tied scores taken together.
 
-    Scores are counted first, so a hot score travels once per map task.  The
-    running counts are then taken inside score buckets (sketched cut points),
-    and bucket totals give each bucket its start: no task sees all scores.
+    Scores are counted first, so a hot score travels once per map task.  Range
+    slices over (group, score) follow the data in number and in place; running
+    counts are taken inside a slice, and slice totals give each slice its
+    start: no task sees all scores, nor all scores of a group.  Rows without a
+    label, or whose score is NULL or NaN, are left out.
     """
     s, y = F.col(score).cast("double"), F.col(label)
     counts = df.filter(s.isNotNull() & ~F.isnan(s) & y.isNotNull()).groupBy(*by, s.alias("s")).agg(
         F.count_if(y == 1).alias("pos"), F.count_if(y != 1).alias("neg")
     )
-    cuts = sorted(set(df.select(s.alias("s")).approxQuantile("s", [i / SCORE_BUCKETS for i in range(1, SCORE_BUCKETS)], 0.002)))
-    splits = [float("-inf"), *cuts, float("inf")]
-    if len(splits) > 2:
-        counts = Bucketizer(splits=splits, inputCol="s", outputCol="bucket").transform(counts)
-    else:
-        counts = counts.withColumn("bucket", F.lit(0.0))
-    inside = W.partitionBy(*by, "bucket").orderBy(F.desc("s")).rowsBetween(W.unboundedPreceding, W.currentRow)
-    stepped = counts.withColumns({"tp": F.sum("pos").over(inside), "pos_here": F.col("pos")})
-    # per bucket: positives, negatives, and the area counted from the bucket's own start
+    sliced = counts.repartitionByRange(*by, F.desc("s")).withColumn("slice", F.spark_partition_id())
+    inside = W.partitionBy(*by, "slice").orderBy(F.desc("s")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    stepped = sliced.withColumn("tp", F.sum("pos").over(inside))
+    # per slice: positives, negatives, and the area counted from the slice's own start
     area = F.col("neg") * (F.col("tp") - F.col("pos") / 2)
-    buckets = stepped.groupBy(*by, "bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum(area).alias("area"))
-    above = W.partitionBy(*by).orderBy(F.desc("bucket")).rowsBetween(W.unboundedPreceding, -1)
-    placed = buckets.withColumn("start", F.coalesce(F.sum("pos").over(above), F.lit(0)))
+    slices = stepped.groupBy(*by, "slice").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum(area).alias("area"))
+    above = W.partitionBy(*by).orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
+    placed = slices.withColumn("start", F.coalesce(F.sum("pos").over(above), F.lit(0)))
     total = F.sum(F.col("area") + F.col("neg") * F.col("start"))
     return placed.groupBy(*by).agg(
         F.coalesce(F.try_divide(total.cast("double"), (F.sum("pos") * F.sum("neg")).cast("double")), F.lit(0.0)).alias("auc")
@@ -167,6 +160,7 @@ def auc(df: DataFrame, label: str = "label", score: str = "score", by: Sequence[
 
 
 AVERAGED = ("precision", "recall", "f1_score")
+REPORTED = AGGREGATES | {"r2_ss": r2_ss}
 
 
 def metrics_report(df: DataFrame, metrics: Sequence[str], label: str = "label", prediction: str = "prediction", by: Sequence[str] = (),
@@ -183,12 +177,12 @@ def metrics_report(df: DataFrame, metrics: Sequence[str], label: str = "label",
     """
     resolved = [(m, ALIASES.get(m.lower(), m.lower())) for m in metrics]
     weighted = [k for _, k in resolved if k in AVERAGED and average == "weighted"]
-    plain = [(m, k) for m, k in resolved if k in AGGREGATES and k not in weighted]
-    unknown = [m for m, k in resolved if k not in AGGREGATES and k != "auc"]
+    plain = [(m, k) for m, k in resolved if k in REPORTED and k not in weighted]
+    unknown = [m for m, k in resolved if k not in REPORTED and k != "auc"]
     y, p = F.col(label), F.col(prediction)
     wide = df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("_rows"),
-        *[F.bround(AGGREGATES[k](y, F.col(score) if score and k == "log_loss" else p), 3).alias(f"m{i}") for i, (_, k) in enumerate(plain)],
+        *[F.bround(REPORTED[k](y, F.col(score) if score and k == "log_loss" else p), 3).alias(f"m{i}") for i, (_, k) in enumerate(plain)],
     )
     rows = [F.struct(F.lit(k).alias("metric"), F.col(f"m{i}").alias("value"), F.lit(True).alias("known")) for i, (_, k) in enumerate(plain)]
     rows += [F.struct(F.lit(m).alias("metric"), F.lit(None).cast("double").alias("value"), F.lit(False).alias("known")) for m in unknown]

@@ -48,5 +48,19 @@ def running_totals(df: DataFrame, order: Sequence[Column], totals: dict[str, Col
 
 
 def row_numbers(df: DataFrame, order: Sequence[Column], name: str, by: Sequence[str] = ()) -> DataFrame:
-    """1-based position in a total order, per ``by`` group when given."""
-    return running_totals(df, order, {name: F.lit(1).cast("long")}, by)
+    """1-based position in a total order, per ``by`` group when given.
+
+    The sorted rows are numbered where they lie, so they are shuffled once; a group's numbers in a slice are then
+    moved to follow those of its earlier slices.
+    """
+    slices = materialize(df.orderBy(*by, *order).withColumn("_at", F.monotonically_increasing_id()))
+    slices = slices.withColumn("_slice", F.shiftright("_at", 33))
+    keys = ["_slice", *by]
+    before = W.partitionBy(*by).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    spans = slices.groupBy(*keys).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    shift = F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first") + 1
+    offsets = materialize(spans.select(*keys, shift.alias("_shift")))
+    if offsets.count() <= BROADCAST_OFFSETS:
+        offsets = F.broadcast(offsets)
+    joined = slices.alias("rows").join(offsets.alias("offsets"), [F.col(f"rows.{k}").eqNullSafe(F.col(f"offsets.{k}")) for k in keys])
+    return joined.select(*[F.col(f"rows.`{c}`") for c in df.columns if c != name], (F.col("rows._at") + F.col("offsets._shift")).alias(name))

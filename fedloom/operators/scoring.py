@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.metrics import argmax_class, sign_class, threshold_class
+from ..functions.metrics import argmax_class, metrics_report, sign_class, threshold_class
 from ..functions.vectors import array_literal, dot, linear
 from .columns import fit, q
 
@@ -70,11 +70,13 @@ def _array_sums(inputs: Column, matrix: Sequence[Sequence[float]], biases: Seque
 
 
 def score_mlp(df: DataFrame, columns: Sequence[str], weights: Sequence, biases: Sequence, activation: str = "relu", task: str = "classification",
-              num_classes: int = 2, mean: Sequence[float] | None = None, scale: Sequence[float] | None = None, name: str = "prediction") -> DataFrame:
+              num_classes: int = 2, mean: Sequence[float] | None = None, scale: Sequence[float] | None = None, name: str = "prediction",
+              probability: str | None = None) -> DataFrame:
     """Forward pass of a feed-forward network over numeric columns.
 
     Every layer is one projection of column expressions, so the network costs
-    no Python and no shuffle.
+    no Python and no shuffle.  ``probability`` names a column for the
+    probability of class 1 of a two-class network.
     """
     act = ACTIVATIONS.get(activation, ACTIVATIONS["relu"])
     cells = _cells(columns)
@@ -101,7 +103,8 @@ def score_mlp(df: DataFrame, columns: Sequence[str], weights: Sequence, biases:
         result = argmax_class(F.array(*outputs))
     else:
         result = threshold_class(sigmoid(outputs[0]))
-    return out.select(*[q(c) for c in df.columns], result.alias(name))
+    chance = [sigmoid(outputs[0]).alias(probability)] if probability else []
+    return out.select(*[q(c) for c in df.columns], result.alias(name), *chance)
 
 
 def softmax(scores: Column) -> Column:
@@ -122,6 +125,44 @@ def score_importance(df: DataFrame, columns: Sequence[str], importances: Sequenc
     return df.withColumn(name, (score - seen["low"]) / F.lit(seen["high"] - seen["low"]))
 
 
+def apply_model(df: DataFrame, model: dict, columns: Sequence[str], prediction: str = "prediction", score: str = "score") -> DataFrame:
+    """``prediction`` and, for two classes, ``score`` (probability of class 1, or the margin of an SVM) from stored parameters.
+
+    ``model["kind"]`` is linear (weights, intercept), logistic (weights, bias,
+    threshold), svm (weights and biases by class), mlp (the arguments of
+    ``score_mlp``) or importance (importances, task).  Where there is no such
+    score the column is NULL.
+    """
+    model = dict(model)
+    kind = model.pop("kind")
+    none = F.lit(None).cast("double")
+    if kind == "linear":
+        return df.withColumns({prediction: score_linear(columns, model["weights"], model["intercept"]), score: none})
+    if kind == "logistic":
+        return df.withColumn(score, score_logistic(columns, model["weights"], model["bias"])).withColumn(prediction, threshold_class(q(score), model.get("threshold", 0.5)))
+    if kind == "svm":
+        two = len(model["weights"]) == 1
+        margin = score_linear(columns, model["weights"][0], model["biases"][0]) if two else none
+        return df.withColumns({prediction: score_svm(columns, model["weights"], model["biases"]), score: margin})
+    if kind == "mlp":
+        two = model.get("task", "classification") != "regression" and model.get("num_classes", 2) <= 2
+        out = score_mlp(df, columns, name=prediction, probability=score if two else None, **model)
+        return out if two else out.withColumn(score, none)
+    if kind == "importance":
+        task = model.get("task", "classification")
+        out = score_importance(df, columns, model["importances"], task, score)
+        return out.withColumn(prediction, threshold_class(q(score))) if task == "classification" else out.withColumnRenamed(score, prediction).withColumn(score, none)
+    raise ValueError(f"unknown model kind {kind!r}")
+
+
+def evaluate_model(df: DataFrame, model: dict, columns: Sequence[str], label: str, metrics: Sequence[str], by: Sequence[str] = (), average: str = "binary") -> DataFrame:
+    """Report of a model given by its stored parameters; area and log loss come from its scores where it has them."""
+    regression = model["kind"] == "linear" or model.get("task") == "regression"
+    several = model.get("num_classes", 2) > 2 or (model["kind"] == "svm" and len(model["weights"]) > 1)
+    scored = apply_model(df.select(*[q(c) for c in dict.fromkeys([*by, label, *columns])]), model, columns, "_prediction", "_score")
+    return metrics_report(scored, metrics, label, "_prediction", by, average, score=None if regression or several else "_score")
+
+
 def pick_landmarks(df: DataFrame, features: str, key: str, count: int = 15) -> list[list[float]]:
     """A repeatable choice of landmark rows: the lowest hashes of the key."""
     order = [F.md5(q(key).cast("string")).asc(), q(key).asc()]

@@ -32,6 +32,11 @@ def test_regression_metrics_match_numpy(spark):
     assert value(df, "r2_ss") == pytest.approx(1 - np.sum((y - p) ** 2) / np.sum((y - y.mean()) ** 2))
 
 
+def test_report_knows_the_sums_of_squares(spark):
+    df = pairs(spark, [1.0, 2.0, 4.0], [1.0, 2.0, 3.0])
+    assert [(r["value"], r["known"]) for r in M.metrics_report(df, ["r2_ss"]).collect()] == [(0.786, True)]
+
+
 def test_zero_denominators(spark):
     df = pairs(spark, [0, 0, 0], [0, 0, 0])
     assert [value(df, m) for m in ("precision", "recall", "f1", "r2_ss")] == [0.0] * 4
@@ -39,9 +44,26 @@ def test_zero_denominators(spark):
     assert value(df, "auc", prediction="prediction") == 0.0
 
 
-@pytest.mark.parametrize("buckets", [2, 256])
-def test_auc_matches_pair_counting(spark, monkeypatch, buckets):
-    monkeypatch.setattr(M, "SCORE_BUCKETS", buckets)
+@pytest.mark.parametrize("slices", ["2", "40"])
+def test_auc_matches_pair_counting(spark, slices):
+    before = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", slices)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        _check_auc(spark)
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+def test_auc_of_more_scores_than_slices(spark):
+    rng = np.random.default_rng(3)
+    s = rng.permutation(3000) / 3000
+    y = (rng.random(3000) < s).astype(int)
+    assert M.auc(pairs(spark, y.tolist(), s.tolist()), score="prediction").first()["auc"] == pytest.approx(brute_auc(y, s))
+
+
+def _check_auc(spark):
     rng = np.random.default_rng(2)
     y = rng.integers(0, 2, 300)
     s = np.where(rng.random(300) < 0.35, 0.5, np.round(rng.random(300) * 0.6 + y * 0.2, 2))
