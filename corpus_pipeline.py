@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from fedloom.llm.common import name_of  # noqa: E402
+from fedloom.llm.common import name_of, steady  # noqa: E402
 from fedloom.llm.decontaminate import clean  # noqa: E402
 from fedloom.llm.packing import pack_documents  # noqa: E402
 from fedloom.llm.quality import BASE, STRICT, fails, ledger  # noqa: E402
@@ -43,7 +43,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one with the smallest id; of repeated rows one."""
     rows, names = _numbered(docs)
-    rows = rows.withColumn("__row", F.monotonically_increasing_id())
+    rows = steady(rows).withColumn("__row", F.monotonically_increasing_id())
     key = names["doc_id"]
     groups = simhash_groups(rows, width=3, radius=2, id_col=key, text_col=names["text"], carry=("__row",))
     first = groups.groupBy("component_fp").agg(F.min(F.struct(F.col(key).isNull().alias("none"), key, "__row"))["__row"].alias("__row"))

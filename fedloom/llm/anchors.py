@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUES, MULTIPLIER, mixed, name_of, pack, pooled, powers, prefix_sums, schema_of, shard_edges, text_bytes, unpack, words_of
+from .common import BYTE_VALUES, MULTIPLIER, mixed, name_of, pack, pooled, powers, prefix_sums, schema_of, shard_edges, steady, text_bytes, unpack, words_of
 
 #: Window starts worked on at once, and the low bits that tell their places.
 _SLICE = 1 << 20
@@ -143,7 +143,7 @@ class Family:
 
 def prepared(docs: DataFrame, text_col: str, carry: tuple[str, ...]) -> DataFrame:
     """Row number, text as bytes and the carried columns."""
-    return docs.select(F.monotonically_increasing_id().alias("__row"), text_bytes(text_col).alias("__text"), *[name_of(c).alias(c) for c in carry])
+    return steady(docs).select(F.monotonically_increasing_id().alias("__row"), text_bytes(text_col).alias("__text"), *[name_of(c).alias(c) for c in carry])
 
 
 def _dealt(hashes: np.ndarray, row: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

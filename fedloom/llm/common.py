@@ -38,6 +38,19 @@ def fresh_name(df: DataFrame, stem: str) -> str:
     return stem
 
 
+def steady(docs: DataFrame) -> DataFrame:
+    """``docs``, whose stored files from now on fall into the same partitions each time the session reads them.
+
+    Spark cuts files by the number of cores there are when it reads them, so a lost executor would give rows other
+    numbers at the second reading.  The number of the first reading stays, unless the session names one of its own.
+    """
+    spark = docs.sparkSession
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        cores = spark.conf.get("spark.sql.leafNodeDefaultParallelism", None) or spark.sparkContext.defaultParallelism
+        spark.conf.set("spark.sql.files.minPartitionNum", str(cores))
+    return docs
+
+
 def schema_of(df: DataFrame, *columns: str) -> str:
     """DDL of some columns, for the result of ``mapInArrow``."""
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}

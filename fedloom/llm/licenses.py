@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_name, name_of
+from .common import fresh_name, name_of, steady
 
 #: (pattern, replacement), in this order, for one line in lower case.  They are applied to both sides of the join.
 CANONICAL = (
@@ -81,7 +81,7 @@ def license_scan(docs: DataFrame, known: DataFrame | None = None, id_col: str =
     """
     known = F.broadcast(known_licenses(docs.sparkSession)) if known is None else known  # the built-in list is a few dozen rows
     row = fresh_name(docs, "row")
-    rows = docs.select(name_of(id_col).alias(id_col), canonical_lines(name_of(text_col)).alias("__lines"), F.monotonically_increasing_id().alias(row)).select(
+    rows = steady(docs).select(name_of(id_col).alias(id_col), canonical_lines(name_of(text_col)).alias("__lines"), F.monotonically_increasing_id().alias(row)).select(
         id_col, row, digest(F.array_join("__lines", " ")).alias("text_digest"), F.transform("__lines", digest).alias("__lines")
     )
     whole = known.withColumnRenamed("digest", "__whole")

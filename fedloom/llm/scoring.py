@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import mixed, name_of, pack, schema_of, shard_edges, text_bytes, unpack, words_of
+from .common import mixed, name_of, pack, schema_of, shard_edges, steady, text_bytes, unpack, words_of
 
 #: Text of a block, unless one document is longer.
 BLOCK_BYTES = 8 << 20
@@ -87,7 +87,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[int
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     left = F.crc32(F.coalesce(name_of(id_col).cast("string"), F.lit("")).cast("binary")) % 10
-    return docs.select(
+    return steady(docs).select(
         name_of(id_col).alias(id_col), text_bytes(text_col).alias("__text"), F.spark_partition_id().alias("__part"),
         F.when(left == 0, HELD_OUT).when(left == 1, TUNING).otherwise(TRAINING).alias("__kind"),
     )

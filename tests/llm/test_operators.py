@@ -415,5 +415,25 @@ def test_queries_equal_their_sql(spark, name):
     assert rows_of(df.columns, df.collect()) == rows_of(columns, cursor.fetchall())
 
 
+@pytest.mark.parametrize("run", [suffixes.without_repeats, phrases.without_later, scoring.score, licenses.license_scan])
+def test_rows_keep_their_numbers_when_cores_are_lost(spark, tmp_path, run):
+    """Eight files are one partition each for eight cores, and fewer for one core."""
+    cores, least = "spark.sql.leafNodeDefaultParallelism", "spark.sql.files.minPartitionNum"
+    path = str(tmp_path / "documents")
+    spark.read.parquet(f"{SF}/documents.parquet").repartition(8, "doc_id").write.parquet(path)
+    docs = spark.read.parquet(path)
+    spark.conf.unset(least)
+    spark.conf.set(cores, "8")
+    try:
+        expected = sorted(map(str, run(docs).collect()))
+        spark.conf.unset(least)
+        found = run(docs)
+        spark.conf.set(cores, "1")
+        assert sorted(map(str, found.collect())) == expected
+    finally:
+        spark.conf.unset(cores)
+        spark.conf.unset(least)
+
+
 def test_all_ten_are_registered():
     assert {int(re.match(r"op(\d+)_", q)[1]) for q in queries.QUERIES} == set(range(1, 11))
