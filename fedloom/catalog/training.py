@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from statistics import NormalDist
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -98,9 +99,36 @@ def bonferroni_alpha(spark, d):
     return rounded(predictors(spark, d).select("id", pricing.bonferroni_alpha(F.col("predictors")).alias("alpha")), 9)
 
 
-@query("required_sample_size")
+#: Normal quantiles of the two-sided levels, by the number of predictors a level is divided by.
+LEVELS = ", ".join(f"({p}, {NormalDist().inv_cdf(1 - 0.05 / max(p, 1) / 2)!r}::DOUBLE)" for p in range(0, 41, 8))
+#: Mean over s = sqrt(chi2 / df), weighted by its density, of the normal tail at z (7.1.26 of Abramowitz and Stegun).
+TAIL = "sum(w * CASE WHEN {z} < 0 THEN 1 - {q} ELSE {q} END) / sum(w)"
+_Q = "(1 - 0.5 * (((((1.061405429 * {t} - 1.453152027) * {t}) + 1.421413741) * {t} - 0.284496736) * {t} + 0.254829592) * {t} * exp(-least({z} * {z} / 2, 700)))"
+
+
+def _tail_sql(z: str) -> str:
+    return TAIL.format(z=z, q=_Q.format(z=z, t=f"(1 / (1 + 0.3275911 * abs({z}) / sqrt(2.0::DOUBLE)))"))
+
+
+@query("required_sample_size", with_("sessions", "tasks", """SELECT p.session_id, p.task_id, p.predictors, round(p.alpha, 6) AS alpha, round(p.effect_size, 6) AS effect_size,
+    CASE WHEN z.size IS NULL THEN 100 ELSE greatest(30, least(200, z.size)) END::DOUBLE AS price FROM priced p LEFT JOIN sized z ON p.predictors = z.predictors AND abs(p.effect_size) = z.e""",
+    priced="""SELECT id AS session_id, task_id, predictors, CASE WHEN predictors > 0 THEN 0.05::DOUBLE / predictors ELSE 0.05::DOUBLE END AS alpha,
+        CASE WHEN new_mean <> benchmark_mean THEN 1.0::DOUBLE / ((new_mean - benchmark_mean) / sqrt((benchmark_std * benchmark_std + new_std * new_std) / 2)) END AS effect_size
+        FROM sessions JOIN tasks USING (task_id) WHERE benchmark_mean IS NOT NULL AND benchmark_std IS NOT NULL""",
+    levels=f"SELECT * FROM (VALUES {LEVELS}) v(predictors, z)",
+    # a normal approximation of the size, and the sizes round it
+    tried="""SELECT predictors, e, z, unnest(range(c - 3, c + 4)) AS n FROM (SELECT predictors, e, z, greatest(27, least(203, ceil(2 * ((z + 0.8416) / e) ** 2 + z * z / 4)))::INTEGER AS c
+        FROM (SELECT DISTINCT predictors, abs(effect_size) AS e FROM priced WHERE effect_size <> 0) JOIN levels USING (predictors))""",
+    # Student's quantile by the expansion 26.7.5 of Abramowitz and Stegun
+    critical="""SELECT predictors, e, n, 2.0::DOUBLE * n - 2 AS v, least(e * sqrt(n / 2.0::DOUBLE), 100) AS shift, z + (z ** 3 + z) / 4 / v + (5 * z ** 5 + 16 * z ** 3 + 3 * z) / 96 / v ** 2
+        + (3 * z ** 7 + 19 * z ** 5 + 17 * z ** 3 - 15 * z) / 384 / v ** 3 + (79 * z ** 9 + 776 * z ** 7 + 1482 * z ** 5 - 1920 * z ** 3 - 945 * z) / 92160 / v ** 4 AS t FROM tried""",
+    grid="""SELECT predictors, e, n, shift - t * s AS above, -shift - t * s AS below, exp((v - 1) * ln(s) - v * (s * s - 1) / 2) AS w
+        FROM (SELECT *, 1 + k * 0.16::DOUBLE / sqrt(2 * v) AS s FROM critical, (SELECT unnest(range(-50, 51)) AS k))""",
+    power=f"SELECT predictors, e, n, {_tail_sql('above')} + {_tail_sql('below')} AS power FROM grid GROUP BY ALL",
+    # no tried size reaches the power only where all of them are beyond the greatest size
+    sized="SELECT predictors, e, coalesce(min(n) FILTER (power >= 0.8), 200) AS size FROM power GROUP BY ALL"))
 def required_sample_size(spark, d):
-    return pricing.session_prices(inputs.sessions(spark, d), inputs.tasks(spark, d))
+    return rounded(pricing.session_prices(inputs.sessions(spark, d), inputs.tasks(spark, d)))
 
 
 # --- training --------------------------------------------------------------------
