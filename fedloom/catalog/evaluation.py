@@ -21,6 +21,9 @@ def _metric_query(key: str, source: str, expression: str, prediction: str = "pre
 GAP = "label - prediction"
 TP = "count(*) FILTER (label = 1 AND prediction = 1)"
 PREDICTED, ACTUAL = "count(*) FILTER (prediction = 1)", "count(*) FILTER (label = 1)"
+_P, _R = f"coalesce({TP} / nullif({PREDICTED}, 0), 0)", f"coalesce({TP} / nullif({ACTUAL}, 0), 0)"
+#: The four metrics of two classes, under their reported names.
+CLASS_VALUES = {"accuracy": "avg((label = prediction)::INT)", "precision": _P, "recall": _R, "f1_score": f"coalesce(2 * {_P} * {_R} / nullif({_P} + {_R}, 0), 0)"}
 CLIPPED = "greatest(1e-15, least(1 - 1e-15, score))"
 LOG_LOSS = f"-avg(label * ln({CLIPPED}) + (1 - label) * ln(1 - {CLIPPED}))"
 R2 = f"1 - var_pop({GAP}) / var_pop(label)"
