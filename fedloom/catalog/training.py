@@ -173,7 +173,7 @@ def labelled(spark, d):
     return table(spark, d, "lineitem").selectExpr(
         *FEATURES, "l_extendedprice", "l_extendedprice / 100000 AS price",
         "CASE WHEN l_extendedprice > 50000 THEN 1 ELSE 0 END AS dear",
-        "CASE WHEN l_extendedprice < 30000 THEN 0 WHEN l_extendedprice < 70000 THEN 1 ELSE 2 END AS band",
+        f"{NOISY} AS high", "CASE WHEN l_extendedprice < 30000 THEN 0 WHEN l_extendedprice < 70000 THEN 1 ELSE 2 END AS band",
     )
 
 
@@ -212,7 +212,7 @@ def _logistic_sql(steps: int = 8) -> str:
     values = E.CLASS_VALUES | {"log_loss": E.LOG_LOSS, "auc": E.AUC}
     rows = [f"SELECT '{m}' AS metric, round_even({e}, 3) AS value FROM ranked" for m, e in values.items()]
     rows += [f"SELECT 'weight_{c}', round(w{i}, 3) FROM b{steps}" for i, c in enumerate(["intercept", *FEATURES])]
-    return with_(" UNION ALL ".join(rows), **parts).replace(" AS (", " AS MATERIALIZED (")
+    return with_(" UNION ALL ".join(rows), **parts).replace(" AS (SELECT", " AS MATERIALIZED (SELECT")
 
 
 @query("logistic_regression", _logistic_sql())
@@ -262,18 +262,50 @@ def landmark_svm(spark, d):
     return M.metrics_report(scored, CLASS_METRICS)
 
 
-def _tree_query(key: str, train) -> None:
-    @query(key)
+def _tree_sql(depth: int) -> str:
+    """Exact greedy splits by Gini impurity on sums of equal feature rows, level by level; sibling leaves of one class are merged."""
+
+    def gini(n: str, s: str) -> str:
+        return f"(1 - ({s} / {n}) ** 2 - (1 - {s} / {n}) ** 2)"
+
+    parts = {"c0": f"SELECT 1 AS node, {', '.join(f'{c}::DOUBLE AS {c}' for c in FEATURES)}, count(*)::DOUBLE AS n, sum({NOISY})::DOUBLE AS s FROM lineitem GROUP BY ALL"}
+    for level in range(depth):
+        long = " UNION ALL ".join(f"SELECT node, '{c}' AS f, {c} AS v, sum(n) AS n, sum(s) AS s FROM c{level} GROUP BY ALL" for c in FEATURES)
+        cut = f"""SELECT node, f, v, sum(n) OVER upto AS ln, sum(s) OVER upto AS ls, sum(n) OVER own AS n, sum(s) OVER own AS s FROM ({long})
+            WINDOW upto AS (PARTITION BY node, f ORDER BY v), own AS (PARTITION BY node, f)"""
+        gain = f"{gini('n', 's')} - ln / n * {gini('ln', 'ls')} - (n - ln) / n * {gini('(n - ln)', '(s - ls)')}"
+        parts[f"s{level}"] = f"""SELECT node, f, v, n * gain AS weight FROM (SELECT *, {gain} AS gain FROM ({cut}) WHERE ln < n)
+            WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, f, v) = 1"""
+        side = " ".join(f"WHEN f = '{c}' AND {c} > v THEN 1" for c in FEATURES)
+        parts[f"c{level + 1}"] = f"SELECT 2 * node + CASE {side} ELSE 0 END AS node, {', '.join(FEATURES)}, n, s FROM c{level} JOIN s{level} USING (node)"
+    parts[f"l{depth}"] = f"SELECT node, (2 * sum(s) > sum(n))::INTEGER AS class FROM c{depth} GROUP BY node"
+    for level in reversed(range(depth)):  # l: nodes that are leaves, i: nodes that stay split
+        parts[f"m{level}"] = f"SELECT node // 2 AS node, min(class) AS class FROM l{level + 1} GROUP BY node // 2 HAVING count(*) = 2 AND min(class) = max(class)"
+        parts[f"l{level}"] = f"""SELECT * FROM m{level} UNION ALL
+            SELECT node, (2 * sum(s) > sum(n))::INTEGER FROM c{level} WHERE node NOT IN (SELECT node FROM s{level}) GROUP BY node"""
+        parts[f"i{level}"] = f"SELECT *, {level + 1} AS depth FROM s{level} WHERE node NOT IN (SELECT node FROM m{level})"
+    parts["inner_nodes"] = " UNION ALL ".join(f"SELECT * FROM i{level}" for level in range(depth))
+    ends = [f"SELECT node, n, s FROM c{depth}", *(f"SELECT node, n, s FROM c{level} WHERE node NOT IN (SELECT node FROM s{level})" for level in range(depth))]
+    parts["ends"] = f"SELECT sum(greatest(s, n - s)) / sum(n) AS hit FROM (SELECT node, sum(n) AS n, sum(s) AS s FROM ({' UNION ALL '.join(ends)}) GROUP BY node)"
+    rows = ["SELECT 'mse' AS metric, round_even(1 - hit, 3) AS value FROM ends", "SELECT 'accuracy', round_even(hit, 3) FROM ends", "SELECT 'trees', 1.0",
+        "SELECT 'average_depth', coalesce(max(depth), 0) FROM inner_nodes", "SELECT 'average_nodes', 1 + 2 * count(*) FROM inner_nodes", "SELECT 'average_leaves', 1 + count(*) FROM inner_nodes"]
+    rows += [f"SELECT 'importance_{c}', round(coalesce(sum(weight) FILTER (f = '{c}'), 0) / sum(weight), 6) FROM inner_nodes" for c in FEATURES]
+    return with_(" UNION ALL ".join(rows), **parts).replace(" AS (SELECT", " AS MATERIALIZED (SELECT")
+
+
+def _tree_query(key: str, train, sql: str | None = None) -> None:
+    @query(key, sql)
     def run(spark, d):
         rows = labelled(spark, d)
         grown = train(rows)
         facts = grown.parameters()
         sizes = [(n, float(v)) for n, v in facts.items() if n != "importances"] + [(f"importance_{c}", v) for c, v in zip(FEATURES, facts["importances"])]
         report = grown.evaluate(rows, ["mse", "accuracy"])
-        return report.select("metric", "value").unionByName(spark.createDataFrame(sizes, "metric string, value double"))
+        return report.select("metric", "value").unionByName(rounded(spark.createDataFrame(sizes, "metric string, value double")))
 
 
-_tree_query("decision_tree", lambda rows: models.decision_tree(rows, FEATURES, "dear", maxDepth=4, seed=7))
+# more bins than values, so every cut between two values is tried
+_tree_query("decision_tree", lambda rows: models.decision_tree(rows, FEATURES, "high", maxDepth=4, maxBins=64, seed=7), _tree_sql(4))
 _tree_query("random_forest", lambda rows: models.random_forest(rows, FEATURES, "price", "regression", numTrees=8, maxDepth=4, seed=7))
 _tree_query("gradient_boosting", lambda rows: models.gradient_boosting(rows, FEATURES, "price", maxIter=5, maxDepth=3, seed=7))
 
