@@ -1,6 +1,6 @@
 """License scans by canonical digests.
 
-A text is brought to a canonical form - lower case, no copyright lines, equivalent spellings, no punctuation - and
+A text is brought to a canonical form - lower case, no copyright clauses, equivalent spellings, no punctuation - and
 its whole digest is hash-joined to the digests of known licence texts.  Each whole line is looked up the same way,
 which finds one-line notices inside other text.
 """
@@ -11,16 +11,32 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fresh_name, name_of, steady
-
-#: (pattern, replacement), in this order, for one line in lower case.  They are applied to both sides of the join.
+from .notices import notices, whole_texts
+
+#: A copyright clause as far as its year, or the place left for one; full stops before it end a short word only.
+_CLAUSE = r"^[^\p{L}\p{N}]*(?:copyright|\(c\)|©)[^.!?\n]*?(?:\p{L}{1,4}[.][^.!?\n]*?){0,4}(?:[0-9][0-9][0-9][0-9]|[\[<{(](?:yyyy|year|date))"
+#: What begins a statement about the licence after such a clause.
+_STATED = (
+    r"(?:this |these |all rights reserved|permission |redistribution |spdx|subject to |use of |code licens|licens[^ ]* *:|"
+    r"(?:licensed|released|distributed|published|available|made available|provided) under |"
+    r"(?:the )?(?:mit|isc|bsd|apache|gnu|gpl|lgpl|agpl|mozilla|mpl|cc|creative commons) [^.!?\n]*licens)"
+)
+#: (pattern, replacement), in this order, for one line in lower case.  They are applied to both sides of the join.  Of
+#: a line that begins with a copyright clause the rest stays: from a statement about the licence on, or else from the
+#: next sentence on.  A full stop ends the clause after a word of five letters or a year, as names are abbreviated.
+#: The beginnings of notices count as one spelling.
 CANONICAL = (
-    (r"^[^a-z0-9]*(copyright|\(c\)|©)[^\n]*[0-9][0-9][0-9][0-9][^\n]*$", ""),
-    (r"^[^a-z0-9]*all rights reserved[^a-z0-9]*$", ""),
     (r"licenc", "licens"),
+    (_CLAUSE + r"[^\n]*?[.,;:|()\]> -] *(" + _STATED + r"[^\n]*)$", "$1"),
+    (_CLAUSE + r"(?:[^\n]*?[\p{L}\p{N}]{5,}|[^\p{L}\n]*?)[.!?] +([^\n]*)$", "$1"),
+    (r"^[^\p{L}\p{N}]*(?:copyright|\(c\)|©)[^\n]*(?:[0-9][0-9][0-9][0-9]|[\[<{(](?:yyyy|year|date))[^\n]*$", ""),
+    (r"^[^\p{L}\p{N}]*all rights reserved(?:[^\p{L}\p{N}]*$|[.,;:|-]+[^\p{L}\p{N}]*)", ""),
+    (r"^[^\p{L}\p{N}]*(?:(?:this|the) [a-z]+ (?:is|are) )?(?:licensed|released|distributed|published|available|made available|provided) under (?:the terms of )?(?:(?:the|an?) )?", "licensed under "),
     (r"is(e|ed|es|ing|ation)([^a-z0-9]|$)", "iz$1$2"),
     (r"our([^a-z0-9]|$)", "or$1"),
     (r"gnu general public license", "gnu gpl"),
     (r"(^|[^a-z0-9])(v\.?|version) ?([0-9])", "$1version $3"),
+    (r"([0-9])[+]([^\p{L}\p{N}]|$)", "$1 or later$2"),
     (r"[^\p{L}\p{N}]+", " "),
 )
 
@@ -32,7 +48,7 @@ THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLI
 _ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
 
 THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
-#: (licence, text): whole public licence texts and the usual one-line notices.
+#: (licence, text): whole public licence texts and one-line notices; ``notices.py`` has most of both.
 KNOWN = (
     ("MIT", _MIT), ("MIT", "MIT License\n\n" + _MIT), ("MIT", "The MIT License (MIT)\n\n" + _MIT), ("ISC", _ISC), ("ISC", "ISC License\n\n" + _ISC),
     ("MIT", "Released under the MIT License."), ("MIT", "Licensed under the MIT License."), ("MIT", "This work is licensed under the MIT License."),
@@ -47,6 +63,7 @@ KNOWN = (
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC0-1.0", "This work is dedicated to the public domain under CC0 1.0 Universal."),
+    *whole_texts(), *notices(),
 )
 
 
@@ -79,7 +96,7 @@ def license_scan(docs: DataFrame, known: DataFrame | None = None, id_col: str =
     NULL, empty and copyright-only texts have the digest of the empty string and no licence.  Repeated rows each get
     their row.  Lines are pre-aggregated beside their document before the only shuffle.
     """
-    known = F.broadcast(known_licenses(docs.sparkSession)) if known is None else known  # the built-in list is a few dozen rows
+    known = F.broadcast(known_licenses(docs.sparkSession)) if known is None else known  # the built-in list is bounded, two short strings a row
     row = fresh_name(docs, "row")
     rows = steady(docs).select(name_of(id_col).alias(id_col), canonical_lines(name_of(text_col)).alias("__lines"), F.monotonically_increasing_id().alias(row)).select(
         id_col, row, digest(F.array_join("__lines", " ")).alias("text_digest"), F.transform("__lines", digest).alias("__lines")

@@ -338,6 +338,36 @@ def test_licences(spark, mixed, none):
     assert licenses.license_scan(mixed[0]).count() == len(mixed[1]) and licenses.license_scan(none).collect() == []
 
 
+def test_licences_of_whole_texts_and_notices(spark):
+    digests = collections.defaultdict(set)
+    known = spark.createDataFrame(list(licenses.KNOWN), "license string, text string")
+    for r in known.select("license", licenses.digest(F.array_join(licenses.canonical_lines(F.col("text")), " ")).alias("d")).collect():
+        digests[r.d].add(r.license)
+    assert all(len(x) == 1 for x in digests.values())
+    texts = {f: open(f"{licenses.__file__[:-len('licenses.py')]}license_texts/{f}.txt").read() for f in ("Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0", "CC-BY-SA-4.0", "CC0-1.0")}
+    filled = texts["Apache-2.0"].replace("[yyyy] [name of copyright owner]", "2020 Some Body, Inc.")
+    bsd = [t for k, t in licenses.KNOWN if k == "BSD-3-Clause" and t.startswith("\n")][0]
+    whole = [*texts.items(), ("Apache-2.0", filled), ("Apache-2.0", texts["Apache-2.0"].split("END OF")[0]), ("GPL-3.0", texts["GPL-3.0"].replace("\n", "\r\n").upper()), ("BSD-3-Clause", "Copyright (c) 1999, J. R. Smith and Sons Ltd.\nAll rights reserved.\n" + bsd)]
+    lines = [
+        ("MIT", "Copyright 2020 X. Licensed under the MIT License."), ("MIT", "(c) 2020 J. R. Smith. All rights reserved. Released under the MIT License."), ("MIT", "Copyright (c) 2001-2020 Acme, Inc., licensed under the MIT licence"),
+        ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."), ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+        ("CC-BY-NC-SA-4.0", "Released under CC BY-NC-SA 4.0"), ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3."), ("LGPL-2.1-or-later", "SPDX-License-Identifier: LGPL-2.1-or-later"),
+    ]
+    rest = [(None, "Copyright 2020 Someone. The price of bread rose."), (None, "Copyright 2020 Someone. The price of bread fell.")]
+    rows = [*whole, *((None, f"words\n{t}\nwords") for _, t in lines), *rest]
+    got = {r.doc_id: r for r in licenses.license_scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")).collect()}
+    assert [got[i].license for i in range(len(rows))] == [k for k, _ in rows]
+    assert [(got[len(whole) + i].n_license_lines, got[len(whole) + i].line_licenses) for i in range(len(lines))] == [(1, k) for k, _ in lines]
+    assert len({got[len(rows) - i].text_digest for i in (1, 2)}) == 2
+
+
+def test_every_notice_of_the_given_tables_is_found(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    notice = F.size(F.filter(F.split("text", "[\r\n]"), lambda x: F.lower(x).rlike("licen[sc]ed under|released under")))
+    wanted = {r.doc_id: r.n for r in docs.select("doc_id", notice.alias("n")).where("n > 0").collect()}
+    assert {r.doc_id: r.n_license_lines for r in licenses.license_scan(docs).where("n_license_lines > 0").collect()} == wanted and len(wanted) > 200
+
+
 def distance_within(item, text):
     row = [0] * (len(text) + 1)
     for i, c in enumerate(item, 1):
