@@ -40,6 +40,8 @@ DROPPED_MARKS = frozenset(
 )
 #: Labelled pages that the weights are learned from, at most.
 LABELLED_PAGES = 2000
+#: The lowest score of a tag.
+LEAST = -8.0
 #: An unended tag stops at the next ``<``, so that the scan stays linear in any text.
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^<>]*>|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/<>]*)(?P<more>(?:[^<>\"']++|\"[^\"<]*\"|'[^'<]*'|[\"'])*+)>",
@@ -180,7 +182,8 @@ def counts(page: str) -> dict[str, list[int]]:
 def weights(found: dict[str, tuple[int, int]], pages: int) -> Weights:
     """Log-odds of standing inside; words at least a little above 0, tags at least a little below.
 
-    A tag that never stands inside the text of any of the labelled pages is a border that no region crosses.
+    A tag that never stands inside the text of any of the labelled pages, but often outside, has the least score, which
+    enough words on both sides outweigh.
     """
     by = {}
     for feature, (inside, outside) in found.items():
@@ -188,9 +191,9 @@ def weights(found: dict[str, tuple[int, int]], pages: int) -> Weights:
         if feature[0] == "w":
             by[feature] = min(3.0, max(0.05, 1 + odds / 4))
         elif not inside and outside >= 20 and outside >= pages:
-            by[feature] = -1e9
+            by[feature] = LEAST
         else:
-            by[feature] = max(-8.0, min(-0.02, -0.5 + odds / 4))
+            by[feature] = max(LEAST, min(-0.02, -0.5 + odds / 4))
     return Weights(by)
 
 
@@ -229,14 +232,14 @@ def extract(page: str, learned: Weights) -> str:
 
 
 def learn(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", most: int = LABELLED_PAGES) -> Weights:
-    """Weights from the labelled pages (with one article or main element) that have one of the ``most`` smallest ids.
+    """Weights from the labelled pages (with one article or main element) whose id has one of the ``most`` smallest hashes.
 
-    The bounded sample only fits the weights; the feature counts come to the driver, a few dozen numbers, as tag names
+    The bounded sample only fits the weights, and hashes take it from all sources alike; the feature counts come to the driver, a few dozen numbers, as tag names
     outside HTML's share one feature.
     """
     page = name_of(html_col).cast("string")
     marked = pages.where(F.lower(page).rlike("<(article|main)[\\s>]")).select(name_of(id_col).alias("__id"), page.alias("__html"))
-    first = marked.select("__id").where("__id IS NOT NULL").distinct().orderBy("__id").limit(most)  # ids alone, as they all meet in one task
+    first = marked.select("__id").where("__id IS NOT NULL").distinct().orderBy(F.xxhash64("__id"), "__id").limit(most)  # ids alone, as they all meet in one task
     sample = marked.join(F.broadcast(first), "__id", "left_semi").select("__html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -298,6 +298,15 @@ def test_extraction_of_odd_pages(page, text):
     assert html.extract(page, html.Weights({})) == text
 
 
+def test_extraction_of_a_layout_absent_from_the_sample(spark):
+    said = [" ".join(f"word{k}x{i}" for i in range(25)) for k in range(4)]
+    seen = [(i, "u", f"<div>one</div><div>two</div><article><p>{said[0]}</p></article><{kind}>x</{kind}>") for i in range(300) for kind in ["dl" if i < 30 else "ul"]]
+    other = "<p>" + "".join(f"<div><p>{x}</p></div>" for x in said)
+    pages = spark.createDataFrame([*seen, (1000, "u", other)], "page_id long, url string, html string")
+    assert html.extract_pages(pages).where("page_id = 1000").first().text == "\n\n".join(said)
+    assert {"t:dl", "t:ul"} <= html.learn(pages, most=100).by_feature.keys() and "t:ul" in html.learn(pages, most=30).by_feature
+
+
 def test_extraction_is_linear_and_takes_odd_rows(spark):
     for bad in ("<a title=\"x ", "<", "<p ", "<script>", "<![CDATA["):
         html.extract(bad * 20_000, html.Weights({}))
