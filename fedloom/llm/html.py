@@ -31,13 +31,16 @@ BLOCK = frozenset(
     "html body main article section div p h1 h2 h3 h4 h5 h6 hgroup ul ol li dl dt dd table caption thead tbody tfoot tr td th blockquote pre "
     "figure figcaption address hr center details summary fieldset legend search".split()
 )
-#: A class, id or role with one of these words marks an element that holds no article text.
+#: A class, id or role with one of these words marks an element that holds no article text; inside an article see ``_dropped``.
 DROPPED_MARKS = frozenset(
     "ad ads advert adverts advertisement advertising advertorial sponsor sponsored promo promos promotion banner sidebar sidebars aside menu menus nav navbar "
     "navigation breadcrumb breadcrumbs cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription "
     "signup login share sharing social related recommended recommendations comment comments disqus respond reply replies footer header masthead toolbar widget "
     "widgets pagination pager search skip hidden contentinfo complementary navigationbar outbrain taboola".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: Elements whose compound classes are names of their content when they stand inside an article.
+TEXTUAL = HEADINGS | frozenset("p section blockquote pre ul ol li dl dt dd table caption tr td th figure figcaption".split())
 #: Labelled pages that the weights are learned from, at most.
 LABELLED_PAGES = 2000
 #: The lowest score of a tag.
@@ -47,8 +50,8 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^<>]*>|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/<>]*)(?P<more>(?:[^<>\"']++|\"[^\"<]*\"|'[^'<]*'|[\"'])*+)>",
     re.S,
 )
-_MARK = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=/\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"']+)))?")
+_NO_DISPLAY = re.compile(r"(?:^|[;\s])display\s*:\s*none", re.I)
 _PARTS = re.compile(r"[^a-z0-9]+")
 
 
@@ -94,14 +97,38 @@ def _match(row: list[Token]) -> None:
             row[open_[t.name].pop()].end = i
 
 
-def _dropped(t: Token) -> bool:
+def _attributes(more: str) -> dict[str, str]:
+    """Attributes by name in lower case, the first of a name; those without a value have an empty one."""
+    found: dict[str, str] = {}
+    for name, *value in _ATTRIBUTE.findall(more):
+        found.setdefault(name.lower(), html.unescape("".join(value)))
+    return found
+
+
+def _dropped(t: Token, inside: bool = False) -> bool:
+    """Whether an element holds no article text.
+
+    Inside an article ids drop nothing, as headings have slugs for ids, and of classes only a whole one counts on
+    headings, paragraphs, sections and the like; on others a part of one counts too, but not "header", as in
+    ``article-header``.
+    """
     if t.name in DROPPED:
         return True
     if not t.marks or t.name in ("html", "body", "main"):
         return False
-    if _HIDDEN.search(t.marks):
+    by = _attributes(t.marks)
+    if "hidden" in by or by.get("aria-hidden", "").strip().lower() == "true" or _NO_DISPLAY.search(by.get("style", "")):
+        return True
+    names = " ".join(by.get(k, "") for k in (("class", "role") if inside else ("class", "id", "role"))).lower()
+    parts = _PARTS.split(names)
+    if DROPPED_MARKS.isdisjoint(parts):
+        return False
+    if not inside:
         return True
-    return any(not DROPPED_MARKS.isdisjoint(_PARTS.split("".join(m).lower())) for m in _MARK.findall(t.marks))
+    whole = set(names.split())
+    if t.name in HEADINGS:
+        whole.discard("header")
+    return not DROPPED_MARKS.isdisjoint(whole) or t.name not in TEXTUAL and not DROPPED_MARKS.isdisjoint(set(parts) - {"header"})
 
 
 def kept(row: list[Token]) -> list[Token]:
@@ -111,12 +138,13 @@ def kept(row: list[Token]) -> list[Token]:
     """
     _match(row)
     articles = [i for i, t in enumerate(row) if t.name in ("article", "main") and not t.close and not _dropped(t)]
-    out, i, a = [], 0, 0
+    out, i, a, until = [], 0, 0, -1
     while i < len(row):
         t = row[i]
         while a < len(articles) and articles[a] <= i:
+            until = max(until, row[articles[a]].end if articles[a] == i else -1)
             a += 1
-        if t.name and not t.close and t.name not in VOID and _dropped(t):
+        if t.name and not t.close and t.name not in VOID and _dropped(t, i < until and t.name not in ("article", "main")):
             if t.end > i and not (a < len(articles) and articles[a] < t.end):
                 i = t.end + 1
                 continue

@@ -298,6 +298,19 @@ def test_extraction_of_odd_pages(page, text):
     assert html.extract(page, html.Weights({})) == text
 
 
+@pytest.mark.parametrize("inner, text", [
+    ("<p title='the old hidden valley'>a b</p>", "a b"), ("<h2 id='related-work'>Related</h2><p id='ad-hoc-networks'>a b</p>", "Related\n\na b"),
+    ("<section id='social-effects' class='related-effects'><p>a b</p></section>", "a b"), ("<div class='article-header'><h1>The title in words</h1></div><p>a b</p>", "The title in words\n\na b"),
+    ("<div data-id='share' data-class=\"hidden\" alt=\"style=display:none\">a b</div>", "a b"),
+    ("<p>a b</p><div class='share'>no</div><p class='x comments'>no</p><div class='share-buttons'>no</div>", "a b"),
+    ("<p>a b</p><p hidden>no</p><p aria-hidden=\"true\">no</p><p style='color:red; DISPLAY : none'>no</p>", "a b"),
+])
+def test_extraction_reads_attributes_inside_the_article(inner, text):
+    for name in ("article", "main"):
+        page = f"<h1 id='share-this'>no</h1><div id='related-links'>no</div><{name}>{inner}</{name}><div class='page-header'>no</div>"
+        assert html.extract(page, html.Weights({})) == text
+
+
 def test_extraction_of_a_layout_absent_from_the_sample(spark):
     said = [" ".join(f"word{k}x{i}" for i in range(25)) for k in range(4)]
     seen = [(i, "u", f"<div>one</div><div>two</div><article><p>{said[0]}</p></article><{kind}>x</{kind}>") for i in range(300) for kind in ["dl" if i < 30 else "ul"]]
