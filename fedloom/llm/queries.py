@@ -132,4 +132,4 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op2_lm_scoring")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score(table(spark, sf_dir, "documents"))
+    return score(table(spark, sf_dir, "documents"), order=3)

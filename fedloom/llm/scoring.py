@@ -201,7 +201,8 @@ def _tuned(rows: DataFrame, answers: DataFrame, order: int, shards: int, tokens:
     """Weights by bucket from the tuning fold, whose own counts are taken out of the model's.
 
     Tokens are added up in cells of nearly equal estimates (an eighth of a power of two), whose number does not depend
-    on the size of the corpus; every token of the fold takes part.
+    on the size of the corpus; every token of the fold takes part.  The cells of a bucket meet in one task, which learns
+    its weights; the driver gets these alone.
     """
 
     def add(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -219,10 +220,15 @@ def _tuned(rows: DataFrame, answers: DataFrame, order: int, shards: int, tokens:
     columns = ["n", *(f"p{i}" for i in range(order + 1))]
     pairs = rows.groupBy("block").cogroup(answers.groupBy("block"))
     cells = pairs.applyInArrow(add, "bucket long, cell long, " + ", ".join(f"{c} double" for c in columns))
-    found: dict[int, list] = {}
-    for bucket, *sums in cells.groupBy("bucket", "cell").agg(*(F.sum(c) for c in columns)).drop("cell").collect():
-        found.setdefault(bucket, []).append([sums[0], *(x / sums[0] for x in sums[1:])])
-    return {b: learn_weights(np.array(c)) for b, c in found.items()}
+    summed = cells.groupBy("bucket", "cell").agg(*(F.sum(c).alias(c) for c in columns))
+
+    def learn(table: pa.Table) -> pa.Table:
+        table = table.sort_by("cell")
+        n, *sums = (table.column(c).to_numpy() for c in columns)
+        weight = learn_weights(np.stack([n, *(x / n for x in sums)], axis=1))
+        return pa.table([table.column("bucket").slice(0, 1), pa.array([weight.tolist()], pa.list_(pa.float64()))], ["bucket", "weights"])
+
+    return {b: np.array(w) for b, w in summed.groupBy("bucket").applyInArrow(learn, "bucket long, weights array<double>").collect()}
 
 
 def score(docs: DataFrame, order: int = 2, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -467,6 +467,12 @@ def test_queries_equal_their_sql(spark, name):
     assert rows_of(df.columns, df.collect()) == rows_of(columns, cursor.fetchall())
 
 
+def test_the_query_scores_trigrams(spark):
+    total = F.sum("score")
+    asked = scoring.score(spark.read.parquet(f"{SF}/documents.parquet"), order=3).agg(total).first()[0]
+    assert math.isclose(queries.op2(spark, SF).agg(total).first()[0], asked, rel_tol=1e-9)
+
+
 @pytest.mark.parametrize("run", [suffixes.without_repeats, phrases.without_later, scoring.score, licenses.license_scan])
 def test_rows_keep_their_numbers_when_cores_are_lost(spark, tmp_path, run):
     """Eight files are one partition each for eight cores, and fewer for one core."""
