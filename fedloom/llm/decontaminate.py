@@ -112,7 +112,7 @@ class Matcher:
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, limit: int) -> Iterator[list[tuple[object, str]]]:
-    """The items, in blocks of about ``limit`` characters; only one block is held at a time."""
+    """The items, in blocks of about ``limit`` characters.  All pass through the driver, and the plan made of them holds them all."""
     block, size = [], 0
     for key, text in benchmark.select(name_of(item_col), name_of(text_col)).toLocalIterator():
         if item := normal(text):
