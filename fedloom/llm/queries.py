@@ -13,6 +13,7 @@ from .licenses import CANONICAL, KNOWN, license_scan
 from .packing import pack_documents
 from .phrases import without_later
 from .quality import quality_rules
+from .runs import periodic_runs
 from .scoring import score
 from .simhash import simhash_groups
 from .suffixes import without_repeats
@@ -133,3 +134,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_lm_scoring")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"), order=3)
+
+
+@query("op11_periodic_run_detection")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs(table(spark, sf_dir, "documents"), seed=F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))

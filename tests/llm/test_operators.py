@@ -493,5 +493,5 @@ def test_rows_keep_their_numbers_when_cores_are_lost(spark, tmp_path, run):
         spark.conf.unset(least)
 
 
-def test_all_ten_are_registered():
-    assert {int(re.match(r"op(\d+)_", q)[1]) for q in queries.QUERIES} == set(range(1, 11))
+def test_all_are_registered():
+    assert {int(re.match(r"op(\d+)_", q)[1]) for q in queries.QUERIES} >= set(range(1, 12))
