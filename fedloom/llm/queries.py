@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import leaks
+from .dialogue import repair_conversations
 from .html import extract_pages
 from .licenses import CANONICAL, KNOWN, license_scan
 from .packing import pack_documents
@@ -139,3 +140,9 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_periodic_run_detection")
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs(table(spark, sf_dir, "documents"), seed=F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
+
+
+@query("op13_conversation_structure_repair")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")])
+    return repair_conversations(table(spark, sf_dir, "conversations"), damage=F.crc32(key.cast("binary")) % 20)
