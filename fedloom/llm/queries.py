@@ -18,6 +18,7 @@ from .runs import periodic_runs
 from .scoring import score
 from .simhash import simhash_groups
 from .suffixes import without_repeats
+from .toxicity import toxicity
 from .urls import BLOCKED_WORDS, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,6 +143,11 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs(table(spark, sf_dir, "documents"), seed=F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
 
 
+@query("op12_toxicity")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op13_conversation_structure_repair")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")])

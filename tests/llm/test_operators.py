@@ -494,4 +494,4 @@ def test_rows_keep_their_numbers_when_cores_are_lost(spark, tmp_path, run):
 
 
 def test_all_are_registered():
-    assert {int(re.match(r"op(\d+)_", q)[1]) for q in queries.QUERIES} >= set(range(1, 12))
+    assert {int(re.match(r"op(\d+)_", q)[1]) for q in queries.QUERIES} == set(range(1, 14))
