@@ -23,6 +23,10 @@ def parameters(spark, d):
     return A.flatten_params(inputs.parameters(spark, d), "document", CLIENT_KEYS)
 
 
+def blocks(spark, d):
+    return A.parameter_blocks(inputs.parameters(spark, d), "document", CLIENT_KEYS)
+
+
 def _at(df):
     """Positions as plain columns; -1 where the level is missing."""
     return df.withColumns({"i": F.coalesce(F.get("pos", F.lit(0)), F.lit(-1)), "j": F.coalesce(F.get("pos", F.lit(1)), F.lit(-1))}).drop("pos")
@@ -42,14 +46,14 @@ def flatten_params(spark, d):
     UNION ALL SELECT label, (vec_id % 3 + 1)::INTEGER, 'n_features', -1, -1, NULL, '64' FROM embeddings GROUP BY 1, 2
     UNION ALL SELECT label, (vec_id % 3 + 1)::INTEGER, 'task_type', -1, -1, NULL, 'client ' || min(vec_id) FROM embeddings GROUP BY 1, 2"""))
 def fedavg(spark, d):
-    averaged = A.fedavg(parameters(spark, d), totals=totals(spark, d))
+    averaged = A.blocks_to_long(A.fedavg_blocks(blocks(spark, d), totals=totals(spark, d)))
     return rounded(_at(averaged).withColumn("metadata", F.coalesce("metadata", F.lit("")))).select("session_id", "round", "path", "i", "j", "value", "metadata")
 
 
 @query("fedavg_rebuild", with_("long_params", """SELECT session_id, round, path, CASE WHEN j >= 0 THEN i ELSE -1 END AS lead, CASE WHEN j >= 0 THEN j ELSE i END AS k,
     round(avg(value), 6) + 0.0 AS value FROM long_params GROUP BY ALL"""))
 def fedavg_rebuild(spark, d):
-    rows = A.fedavg_rebuild(A.fedavg(parameters(spark, d), totals=totals(spark, d)))
+    rows = A.fedavg_blocks(blocks(spark, d), totals=totals(spark, d))
     lead = F.coalesce(F.get("lead", F.lit(0)), F.lit(-1)).alias("lead")
     cells = rows.select("session_id", "round", "path", lead, "block", F.posexplode("values").alias("k", "value"))
     return rounded(cells.withColumn("k", F.col("k") + F.col("block") * A.BLOCK).drop("block"))

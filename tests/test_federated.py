@@ -245,3 +245,63 @@ def test_nesting_ignores_brackets_in_strings(spark):
     texts = ['{"a": [1, {"b": "[[[\\"{"}]}', "3", "[]", '{"x": {}}']
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert [r[0] for r in df.select(A.nesting(F.col("t"))).collect()] == [3, 0, 1, 2]
+
+
+def in_blocks(spark, docs):
+    return A.blocks_to_long(A.fedavg_blocks(A.parameter_blocks(documents(spark, docs), "document", KEYS)))
+
+
+@pytest.mark.parametrize("block", [65_536, 3])
+def test_blocks_average_like_the_long_form(spark, monkeypatch, block):
+    monkeypatch.setattr(A, "BLOCK", block)
+    docs = [
+        {"w": [[1.5, 2, 3, 4, 5, 6, 7], [8.0]], "v": [1, 2, 3, 4], "deep": {"x": [[[[5]]]], "e": []}, "c": 3.5, "s": "7", "kernel": "rbf", "names": ["a", "b"], "n_features": 2, "n_leaves": [2, 4], "a.b": 1, "task_type": None},
+        {"w": [[0.5, 2, 3, 4, 5, 6], [9.25]], "v": [1.0], "deep": {"x": [[[[7]]]], "e": []}, "c": 4.5, "s": "9", "kernel": "lin", "names": ["c", "d"], "n_features": 3, "n_leaves": [4, 8], "a.b": 1, "task_type": "x"},
+        {"w": [[1.0, 2, 3, 4, 5, 6], [1.25]], "v": [1, 1, 1, 1, 2], "c": -2, "s": "1", "kernel": "lin", "names": ["c", "d"], "n_features": 3, "n_leaves": [4, 8], "a.b": 5, "task_type": "x"},
+    ]
+    told = lambda df: sorted((r["path"], r["pos"], None if r["value"] is None else round(r["value"], 9), r["metadata"]) for r in df.collect())
+    assert told(in_blocks(spark, docs)) == told(averaged(spark, docs))
+
+
+def test_blocks_refuse_what_is_no_number(spark):
+    for docs, message in (([{"c": 1}, {"c": "x"}], "not a number for every client"), ([{"w": [1, None]}], "not a number for every client"), ([{"w": [1, "x"]}], "numbers and other things")):
+        with pytest.raises(Exception, match=message):
+            in_blocks(spark, docs).collect()
+
+
+def test_typed_blocks_agree_with_json(spark):
+    df = spark.createDataFrame([(1, 1, 7, [[1.0, 2.0], [3.0]], 4.0)], "session_id int, round int, client_id int, w array<array<float>>, c double")
+    typed = A.array_blocks(df, "w", KEYS).unionByName(A.array_blocks(df, "c", KEYS))
+    parsed = A.parameter_blocks(df.select(*KEYS, F.to_json(F.struct("w", "c")).alias("d")), "d", KEYS)
+    assert rows(typed.drop("text"), "path", "lead") == rows(parsed.drop("text"), "path", "lead")
+
+
+def shuffled_bytes(df):
+    """Bytes written by all exchanges of an executed plan."""
+    def walk(node):
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            yield from walk(node.executedPlan())
+        elif name == "ShuffleQueryStage":
+            yield from walk(node.plan())
+        else:
+            if name == "Exchange":
+                yield node.metrics().apply("shuffleBytesWritten").value()
+            for i in range(node.children().size()):
+                yield from walk(node.children().apply(i))
+    return sum(walk(df._jdf.queryExecution().executedPlan()))
+
+
+def test_a_layer_of_ten_million_weights(spark):
+    size, clients = 10_000_000, 6
+    weights = F.transform(F.sequence(F.lit(1), F.lit(size)), lambda i: F.xxhash64(i, F.col("id")) / 2.0**63)
+    df = spark.range(0, clients, 1, clients).select(F.lit(1).alias("session_id"), F.lit(1).alias("round"), F.col("id").alias("client_id"), weights.alias("w"))
+    path = spark.sparkContext._jsc.sc().getCheckpointDir().get() + "/ten-million"
+    df.write.parquet(path)
+    stored = spark.read.parquet(path)
+    averaged = A.fedavg_blocks(A.array_blocks(stored, "w", KEYS), totals=stored.groupBy("session_id", "round").agg(F.count("client_id").alias("num_clients")))
+    got = {r["block"]: r["values"] for r in averaged.collect()}
+    assert len(got) == -(-size // A.BLOCK) and sum(map(len, got.values())) == size
+    assert shuffled_bytes(averaged) <= 1.2 * 8 * size * clients
+    wanted = stored.select(F.posexplode(F.slice("w", size - 4, 5)).alias("k", "x")).groupBy("k").agg(F.avg("x").alias("x")).orderBy("k").collect()
+    assert got[max(got)][-5:] == pytest.approx([r["x"] for r in wanted])
