@@ -434,6 +434,33 @@ def evaluate_model(spark, d):
     return reduce(DataFrame.unionByName, reports_).select("model", "metric", "value", "known")
 
 
+#: Inputs of one size, a price and a class to fit, the client of a row and whether it is held out.
+SCALED = {"quantity": "l_quantity / 50", "discount": "l_discount * 10", "tax": "l_tax * 10"}
+PLANE_STEPS = {"linear": ("price", 3, 0.1, {"mse": "avg((y - {z}) ** 2)", "mae": "avg(abs(y - {z}))"}), "logistic": ("high", 2, 0.5, {
+    "log_loss": "-avg(y * ln({p} + 1e-15) + (1 - y) * ln(1 - {p} + 1e-15))", "accuracy": "avg((({p} >= 0.5) = (y >= 0.5))::INTEGER)"})}
+
+
+def _plane_sql(model: str, rounds_: int) -> dict[str, str]:
+    """Local steps of every client on its own rows, averages, and metrics, spelt out row by row."""
+    label, steps, rate, measures = PLANE_STEPS[model]
+    names = [*SCALED, "1.0"]
+    z = " + ".join(f"w{i} * {x}" for i, x in enumerate(names))
+    chance = f"(1 / (1 + exp(-({z}))))"
+    slope = [f"2 * sum((({z}) - y) * {x}) / count(*)" if model == "linear" else f"sum(({chance} - y) * {x}) / count(*)" for x in names]
+    parts = {f"{model}_xy": f"SELECT client, test, {', '.join(SCALED)}, {label}::DOUBLE AS y FROM scaled",
+        f"{model}0": f"SELECT 0 AS round, 0::BIGINT AS clients, {', '.join(f'0.0::DOUBLE AS w{i}' for i in range(4))}"}
+    for r in range(1, rounds_ + 1):
+        parts[f"{model}{r}_0"] = f"SELECT DISTINCT client, w0, w1, w2, w3 FROM {model}_xy, {model}{r - 1} WHERE NOT test"
+        for t in range(1, steps + 1):
+            moved = ", ".join(f"w{i} - {rate}::DOUBLE * {g} AS w{i}" for i, g in enumerate(slope))
+            parts[f"{model}{r}_{t}"] = f"SELECT client, {moved} FROM {model}_xy JOIN {model}{r}_{t - 1} USING (client) WHERE NOT test GROUP BY client, w0, w1, w2, w3"
+        parts[f"{model}{r}"] = f"SELECT {r} AS round, count(*) AS clients, {', '.join(f'avg(w{i}) AS w{i}' for i in range(4))} FROM {model}{r}_{steps}"
+    scores = [f"SELECT round, clients, '{n}' AS name, {e.format(z=f'({z})', p=chance)} AS value FROM {model}_xy, {model}{r} WHERE test GROUP BY round, clients" for r in range(1, rounds_ + 1) for n, e in measures.items()]
+    weights = [f"SELECT round, clients, '{n}', w{i} FROM {model}{r}" for r in range(1, rounds_ + 1) for i, n in enumerate([*SCALED, "intercept"])]
+    parts[f"{model}_rows"] = " UNION ALL ".join(scores + weights)
+    return parts
+
+
 def _rounds_sql(count: int, steps: int, rate: float) -> str:
     parts = {
         "xy": f"SELECT l_suppkey AS client, {LINE_X} AS x, {LINE_Y} AS y FROM lineitem WHERE l_linestatus = 'O'",
@@ -444,13 +471,33 @@ def _rounds_sql(count: int, steps: int, rate: float) -> str:
         start = "0.0::DOUBLE AS m, 0.0::DOUBLE AS c" if r == 1 else f"(SELECT m FROM a{r - 1}) AS m, (SELECT c FROM a{r - 1}) AS c"
         parts |= _descent_sql("sums", steps, start, rate, f"g{r}_")
         parts[f"a{r}"] = f"SELECT {r} AS round, count(*) AS clients, avg(m) AS m, avg(c) AS c FROM g{r}_{steps}"
-    rows = " UNION ALL ".join(f"SELECT * FROM a{r}" for r in range(1, count + 1))
-    return with_(f"""SELECT round, clients, round(m, 6) AS m, round(c, 6) AS c, (SELECT round(avg((y - m * x - c) ** 2), 6) FROM test) AS mse,
-        (SELECT round(avg(abs(y - m * x - c)), 6) FROM test) AS mae FROM ({rows})""", **parts)
+    parts["line"] = f"""SELECT *, (SELECT avg((y - m * x - c) ** 2) FROM test) AS mse, (SELECT avg(abs(y - m * x - c)) FROM test) AS mae
+        FROM ({' UNION ALL '.join(f'SELECT * FROM a{r}' for r in range(1, count + 1))})"""
+    parts["scaled"] = f"SELECT l_suppkey AS client, l_linestatus = 'F' AS test, {', '.join(f'({e})::DOUBLE AS {n}' for n, e in SCALED.items())}, {LINE_Y} AS price, {NOISY} AS high FROM lineitem"
+    parts |= _plane_sql("linear", 2) | _plane_sql("logistic", 2)
+    rows = [f"SELECT 'line' AS model, round, clients, '{n}' AS name, round({n}, 6) + 0.0 AS value FROM line" for n in ("m", "c", "mse", "mae")]
+    rows += [f"SELECT '{m}', round, clients, name, round(value, 6) + 0.0 FROM {m}_rows" for m in PLANE_STEPS]
+    return with_(" UNION ALL ".join(rows), **parts).replace(" AS (SELECT", " AS MATERIALIZED (SELECT")
+
+
+def _named(df, model: str, weights: dict, measures: list[str]):
+    """One row per number of a round."""
+    cells = {n: e for n, e in weights.items()} | {n: F.col(n) for n in measures}
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), e.alias("value")) for n, e in cells.items()])).alias("cell")
+    return df.select(F.lit(model).alias("model"), "round", "clients", each).select("model", "round", "clients", "cell.name", "cell.value")
 
 
 @query("federated_rounds", _rounds_sql(3, 4, 0.1))
 def federated_rounds(spark, d):
-    rows = table(spark, d, "lineitem").selectExpr("l_suppkey", "l_linestatus", f"{LINE_X} AS x", f"{LINE_Y} AS y")
-    done = models.federated_rounds(rows.filter("l_linestatus = 'O'"), "l_suppkey", "x", "y", rows.filter("l_linestatus = 'F'"), rounds=3, rate=0.1, steps=4)
+    """A line for three rounds, and planes of three inputs by squared and by logistic loss for two."""
+    rows = table(spark, d, "lineitem").selectExpr(
+        "l_suppkey", "l_linestatus", f"{LINE_X} AS x", f"{LINE_Y} AS y", *[f"{e} AS {n}" for n, e in SCALED.items()], f"{LINE_Y} AS price", f"{NOISY} AS high",
+    )
+    train, test = rows.filter("l_linestatus = 'O'"), rows.filter("l_linestatus = 'F'")
+    line = models.federated_rounds(train, "l_suppkey", "x", "y", test, rounds=3, rate=0.1, steps=4)
+    done = _named(line, "line", {"m": F.col("m"), "c": F.col("c")}, ["mse", "mae"])
+    for model, (label, steps, rate, measures) in PLANE_STEPS.items():
+        plane = models.federated_descent(train, "l_suppkey", list(SCALED), label, test, 2, rate, steps, model)
+        weights = {n: F.col("weights")[i] for i, n in enumerate(SCALED)} | {"intercept": F.col("intercept")}
+        done = done.unionByName(_named(plane, model, weights, list(measures)))
     return rounded(done)

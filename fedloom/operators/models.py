@@ -16,13 +16,14 @@ from pyspark.ml import classification as C
 from pyspark.ml import regression as R
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.metrics import argmax_class, metrics_report, sign_class
 from ..functions.vectors import array_literal, dot
 from ..session import materialize
-from .columns import as_double, fit, q
+from .columns import as_double, q
+from .descent import descend, federated_descent, federated_rounds, linear_gd, moment_sums  # noqa: F401
 from .scoring import landmark_features, pick_landmarks, score_svm
 
 FEATURES = "_features"
@@ -166,74 +167,3 @@ def landmark_svm(df: DataFrame, features: str, label: str, key: str, landmarks:
     svc = C.LinearSVC(featuresCol=FEATURES, labelCol=label, **options)
     stage = svc if binary else C.OneVsRest(classifier=svc, featuresCol=FEATURES, labelCol=label, parallelism=MODELS_AT_ONCE)
     return LandmarkModel(features, label, chosen, kernel, stage.fit(table))
-
-
-# --- one-feature least squares from sufficient statistics -------------------
-
-def moment_sums(x: Column, y: Column) -> dict[str, Column]:
-    """Everything full-batch descent on a line needs, for any number of steps."""
-    both = x.isNotNull() & y.isNotNull()
-    x, y = F.when(both, x), F.when(both, y)
-    return {"n": F.count(x), "sx": F.sum(x), "sy": F.sum(y), "sxy": F.sum(x * y), "sxx": F.sum(x * x)}
-
-
-def descend(sums: dict, rate: float, steps: int, slope: float = 0.0, intercept: float = 0.0) -> tuple[float, float]:
-    """Gradient descent on scalars: the data enter only through their sums."""
-    m, c = slope, intercept
-    for _ in range(steps):
-        dm = -2 / sums["n"] * (sums["sxy"] - m * sums["sxx"] - c * sums["sx"])
-        dc = -2 / sums["n"] * (sums["sy"] - m * sums["sx"] - c * sums["n"])
-        m, c = m - rate * dm, c - rate * dc
-    return m, c
-
-
-def linear_gd(df: DataFrame, x: Column, y: Column, rate: float = 0.01, steps: int = 100) -> dict:
-    """Line by full-batch gradient descent; one pass over the data, however many steps."""
-    sums = fit(df, moment_sums(x.cast("double"), y.cast("double")))
-    if not sums["n"]:
-        raise ValueError("no rows with both values")
-    m, c = descend(sums, rate, steps)
-    return {"m": m, "c": c, "learning_rate": rate, "iterations": steps}
-
-
-def descend_column(rate: float, steps: int, slope: float, intercept: float) -> Column:
-    """``descend`` for a row of sums, as a struct of slope and intercept."""
-    n, start = F.col("n"), F.struct(F.lit(float(slope)).alias("m"), F.lit(float(intercept)).alias("c"))
-
-    def step(line: Column, _: Column) -> Column:
-        m, c = line["m"], line["c"]
-        dm = F.lit(-2.0) / n * (F.col("sxy") - m * F.col("sxx") - c * F.col("sx"))
-        dc = F.lit(-2.0) / n * (F.col("sy") - m * F.col("sx") - c * n)
-        return F.struct((m - F.lit(rate) * dm).alias("m"), (c - F.lit(rate) * dc).alias("c"))
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step)
-
-
-def federated_rounds(train: DataFrame, client: str, x: str, y: str, test: DataFrame, rounds: int, rate: float = 0.01, steps: int = 10) -> DataFrame:
-    """Rounds of local descent per client, averaging, and evaluation on held-out rows.
-
-    The training rows are read once: each client's sums (a few numbers, with
-    map-side partial sums, so a client holding a third of the rows is no
-    hotspot) serve every round.  The test rows are read once for all rounds.
-    """
-    sums = moment_sums(q(x).cast("double"), q(y).cast("double"))
-    clients = materialize(train.groupBy(q(client).alias("client_id")).agg(*[e.alias(n) for n, e in sums.items()]).filter("n > 0"))
-    line, history = (0.0, 0.0), []
-    for number in range(1, rounds + 1):
-        local = clients.select(descend_column(rate, steps, *line).alias("line"))
-        got = local.agg(F.avg("line.m").alias("m"), F.avg("line.c").alias("c"), F.count(F.lit(1)).alias("clients")).first()
-        line = (got["m"], got["c"])
-        history.append((number, got["clients"], *line))
-    target, feature = q(y).cast("double"), q(x).cast("double")
-    measures = []
-    for number, _, m, c in history:
-        gap = target - (F.lit(m) * feature + F.lit(c))
-        measures += [F.avg(gap * gap).alias(f"mse_{number}"), F.avg(F.abs(gap)).alias(f"mae_{number}")]
-    rows = [
-        F.struct(
-            F.lit(number).alias("round"), F.lit(count).cast("long").alias("clients"), F.lit(m).alias("m"), F.lit(c).alias("c"),
-            F.col(f"mse_{number}").alias("mse"), F.col(f"mae_{number}").alias("mae"),
-        )
-        for number, count, m, c in history
-    ]
-    return test.agg(*measures).select(F.inline(F.array(*rows)))

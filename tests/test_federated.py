@@ -305,3 +305,48 @@ def test_a_layer_of_ten_million_weights(spark):
     assert shuffled_bytes(averaged) <= 1.2 * 8 * size * clients
     wanted = stored.select(F.posexplode(F.slice("w", size - 4, 5)).alias("k", "x")).groupBy("k").agg(F.avg("x").alias("x")).orderBy("k").collect()
     assert got[max(got)][-5:] == pytest.approx([r["x"] for r in wanted])
+
+
+@pytest.mark.parametrize("model", ["linear", "logistic"])
+@pytest.mark.parametrize("broadcast", [4_000_000, 0])
+def test_planes_match_numpy_per_client(spark, monkeypatch, model, broadcast):
+    from fedloom.operators import descent as D
+
+    monkeypatch.setattr(D, "BROADCAST_WEIGHTS", broadcast)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(240, 4))
+    y = x @ [1.0, -2.0, 0.5, 0.0] + 0.3 + rng.normal(0, 0.2, 240)
+    y = (y > 0).astype(float) if model == "logistic" else y
+    who = [None if i % 7 == 6 else int(i % 7 % 4) for i in range(240)]
+    df = spark.createDataFrame([(c, *map(float, r), float(t)) for c, r, t in zip(who, x, y)], "client int, a double, b double, `c d` double, e double, y double")
+    got = D.federated_descent(df, "client", ["a", "b", "c d", "e"], "y", df, rounds=3, rate=0.2, steps=3, model=model).orderBy("round").collect()
+    ones, w = np.column_stack([x, np.ones(240)]), np.zeros(5)
+    for r in got:
+        local = []
+        for client in {*who}:
+            own, v = [i for i, c in enumerate(who) if c == client], w
+            for _ in range(3):
+                z = ones[own] @ v
+                gap = z - y[own] if model == "linear" else 1 / (1 + np.exp(-z)) - y[own]
+                v = v - 0.2 * (2 if model == "linear" else 1) * ones[own].T @ gap / len(own)
+            local.append(v)
+        w = np.mean(local, axis=0)
+        assert [*r["weights"], r["intercept"]] == pytest.approx(w.tolist()) and r["clients"] == 5
+        z = ones @ w
+        if model == "linear":
+            assert (r["mse"], r["mae"]) == (pytest.approx(np.mean((y - z) ** 2)), pytest.approx(np.mean(abs(y - z))))
+        else:
+            p = 1 / (1 + np.exp(-z))
+            assert r["log_loss"] == pytest.approx(-np.mean(y * np.log(p) + (1 - y) * np.log(1 - p))) and r["accuracy"] == pytest.approx(np.mean((p >= 0.5) == y))
+
+
+def test_descent_refuses_gaps(spark, line):
+    odd = line.unionByName(spark.createDataFrame([(1, None, 2.0), (2, 1.0, float("nan"))], "client int, x double, y double"))
+    with pytest.raises(ValueError, match="2 rows"):
+        models.linear_gd(odd, F.col("x"), F.col("y"))
+    with pytest.raises(ValueError, match="2 training rows"):
+        models.federated_rounds(odd, "client", "x", "y", line, rounds=1)
+    with pytest.raises(Exception, match="2 test rows"):
+        models.federated_descent(line, "client", ["x"], "y", odd, rounds=1, model="logistic").collect()
+    with pytest.raises(ValueError, match="unknown model"):
+        models.federated_descent(line, "client", ["x"], "y", line, rounds=1, model="cubic")
