@@ -8,7 +8,8 @@ repeated batch overwrites, so a restart never doubles rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,10 @@ from ..session import materialize
 # Marks in the name of a file that is still being written.
 IN_PROGRESS = r"(_COPYING_|__PROCESSING__)(/|$)"
 FILES_PER_BATCH = 1000
+KEYED_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 def watch(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet", pattern: str | None = None,
@@ -61,74 +66,92 @@ def stream_ingest(spark: SparkSession, uploads: str, schema: T.StructType, raw_d
     return spark.read.schema(schema).parquet(raw_dir)
 
 
-def _per_batch(stream: DataFrame, target: str, checkpoint: str, prepare: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
-    """Write ``prepare(batch, number)`` to the batch's own folder; gives all that is written, with its ``batch``."""
+@contextmanager
+def _keyed_state(spark: SparkSession) -> Iterator[None]:
+    """State of streams started inside lives in RocksDB, which spills to disk and checkpoints its changes only."""
+    before = {name: spark.conf.get(name, None) for name in KEYED_STATE}
+    for name, value in KEYED_STATE.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
+def _per_batch(stream: DataFrame, target: str, checkpoint: str, mode: str, prepare: Callable[[DataFrame, int], DataFrame]) -> None:
+    """Write ``prepare(batch, number)`` to the batch's own folder below ``target``."""
 
     def write(batch: DataFrame, number: int) -> None:
         prepare(batch, number).write.mode("overwrite").parquet(f"{target.rstrip('/')}/batch={number}")
 
-    _finish(stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    return stream.sparkSession.read.parquet(target)
+    with _keyed_state(stream.sparkSession):
+        query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    _finish(query)
 
 
-def _opened(spark: SparkSession, target: str, schema: T.StructType) -> Callable[[int], DataFrame]:
-    """What batches before a number have written; an empty first folder lets it be read from the start."""
+def _landed(spark: SparkSession, target: str, schema: T.StructType) -> DataFrame:
+    """What all batches have written, with its ``batch``; an empty first folder lets it be read from the start."""
     spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{target.rstrip('/')}/batch=-1")
     known = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
-    return lambda number: spark.read.schema(known).parquet(target).filter(F.col("batch") < number).drop("batch")
+    return spark.read.schema(known).parquet(target)
+
 
+def _first_arrivals(stream: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """A keyed state over the stream, and what gives a batch's rows whose key, NULLs included, has not come before.
 
-def _new(batch: DataFrame, earlier: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of a batch whose key, NULLs included, is in no earlier row."""
-    same = [F.col(f"b.`{k}`").eqNullSafe(F.col(f"e.`{k}`")) for k in keys]
-    return batch.alias("b").join(earlier.select(*[q(k) for k in keys]).distinct().alias("e"), same, "left_anti")
+    The state of a key is the first and the last batch it came in, told by the batch's time, and its least row in
+    ``order``.  A batch puts out the keys it touches; a key is new where both times are one.  So a batch costs what it
+    touches, not what has come before, and nothing expires.
+    """
+    others = [c for c in stream.columns if c not in keys]
+    row = F.struct(*[e.alias(f"_o{i}") for i, e in enumerate(order)], *[q(c) for c in others])
+    timed = stream.select("*", F.current_timestamp().alias("_arrived"))
+    state = timed.groupBy(*[q(k) for k in keys]).agg(F.min("_arrived").alias("_first"), F.max("_arrived").alias("_last"), F.min(row).alias("_row"))
+    columns = [q(c) if c in keys else F.col(f"_row.`{c}`").alias(c) for c in stream.columns]
+    return state, lambda batch: batch.filter(F.col("_first") == F.col("_last")).select(*columns)
 
 
 def stream_submissions_dedup(stream: DataFrame, target: str, checkpoint: str, time: str = "createdAt",
                              keys: Sequence[str] = ("session_id", "user_id", "round_number")) -> DataFrame:
     """First arrival per key, without a time limit; later ones are rejected.
 
-    Each batch keeps its earliest row per key and is held against what earlier batches have landed, so there is no
-    running state to expire: a late first submission is taken and a repeat after months is not.
+    Of a batch's rows with a new key the earliest is taken (a NULL time comes last).  Keys seen are a keyed state
+    without expiry, so a late first submission is taken and a repeat after months is not.
     """
-    spark, columns = stream.sparkSession, stream.columns
     timed = stream.withColumn(time, F.col(time).cast("timestamp"))
-    earlier = _opened(spark, target, timed.schema)
-
-    def first(batch: DataFrame, number: int) -> DataFrame:
-        others = [F.col(f"`{c}`") for c in columns if c not in (*keys, time)]
-        row = F.struct(q(time).isNull().alias("_none"), q(time), *others) if others else F.struct(q(time).isNull().alias("_none"), q(time))
-        least = batch.groupBy(*[q(k) for k in keys]).agg(F.min(row).alias("_row"))
-        one = least.select(*[q(c) if c in keys else F.col(f"_row.`{c}`").alias(c) for c in columns])
-        return _new(one, earlier(number), keys)
-
-    return _per_batch(timed, target, checkpoint, first).drop("batch")
+    state, new = _first_arrivals(timed, keys, [q(time).isNull(), q(time)])
+    _per_batch(state, target, checkpoint, "update", lambda batch, number: new(batch))
+    return _landed(stream.sparkSession, target, timed.schema).drop("batch")
 
 
 def stream_round_ready(submissions: DataFrame, clients: DataFrame, sessions: DataFrame, target: str, checkpoint: str) -> DataFrame:
     """(session, round) pairs for which received plus left clients reach the registered ones.
 
-    ``submissions`` is a stream without duplicates.  Each batch lands its counts per pair; the pairs it touches are
-    added up from all landed counts, so there is no running state.  A pair is reported once, from its first batch.
+    ``submissions`` is a stream without duplicates.  One keyed state counts each pair and puts out the pairs a batch
+    touches; those that have reached their clients go on to a second one, which passes each pair once, from its first
+    batch.  Both cost what a batch touches.
     """
     # one row per session, computed once for all batches of this run
     expected = materialize(clients.groupBy("session_id").agg(F.count(F.lit(1)).alias("clients")).join(
         sessions.select(F.col("id").alias("session_id"), F.col("no_of_left_clients").cast("long").alias("left_clients")), "session_id"
     ))
-    pair = ["session_id", "round_number"]
-    kinds = [submissions.schema[c] for c in pair]
-    counts = f"{target.rstrip('/')}/counts"
-    earlier = _opened(submissions.sparkSession, counts, T.StructType([*kinds, T.StructField("received", T.LongType())]))
+    spark, pair, base, states = submissions.sparkSession, ["session_id", "round_number"], target.rstrip("/"), checkpoint.rstrip("/")
+    counts = submissions.groupBy(*pair).agg(F.count(F.lit(1)).alias("received"))
 
-    def ready(batch: DataFrame, number: int) -> DataFrame:
-        batch.groupBy(*pair).agg(F.count(F.lit(1)).alias("received")).write.mode("overwrite").parquet(f"{counts}/batch={number}")
-        landed = earlier(number + 1)
-        touched = landed.join(batch.select(*pair).distinct(), pair, "left_semi")
-        state = touched.groupBy(*pair).agg(F.sum("received").alias("received")).join(expected, "session_id")
-        return state.filter(F.col("received") + F.col("left_clients") >= F.col("clients"))
+    def reached(batch: DataFrame, number: int) -> DataFrame:
+        known = batch.join(expected, "session_id").filter(F.col("received") + F.col("left_clients") >= F.col("clients"))
+        return known.select(*pair, F.lit(number).cast("long").alias("since"))
 
-    written = _per_batch(submissions, f"{target.rstrip('/')}/ready", checkpoint, ready)
-    return written.groupBy(*pair).agg(F.min("batch").cast("int").alias("batch"))
+    _per_batch(counts, f"{base}/reached", f"{states}/counts", "update", reached)
+    kinds = T.StructType([*[submissions.schema[c] for c in pair], T.StructField("since", T.LongType())])
+    _landed(spark, f"{base}/reached", kinds)
+    state, new = _first_arrivals(watch(spark, f"{base}/reached", kinds), pair, [F.col("since")])
+    _per_batch(state, f"{base}/ready", f"{states}/ready", "update", lambda batch, number: new(batch))
+    return _landed(spark, f"{base}/ready", kinds).select(*pair, F.col("since").cast("int").alias("batch"))
 
 
 def stream_stale_drop(submissions: DataFrame, sessions: DataFrame, target: str, checkpoint: str) -> DataFrame:
@@ -142,5 +165,6 @@ def stream_notifications(notifications: DataFrame, now: Column, target: str, che
     """Each open and unexpired notification, delivered once over all batches, with its delivery time."""
     live = notifications.filter(F.col("notified_at").isNull() & (F.col("valid_until").isNull() | (F.col("valid_until") > now)))
     marked = live.withColumn("notified_at", now)
-    earlier = _opened(notifications.sparkSession, target, marked.schema)
-    return _per_batch(marked, target, checkpoint, lambda batch, number: _new(batch.dropDuplicates(["id"]), earlier(number), ["id"])).drop("batch")
+    state, new = _first_arrivals(marked, ["id"], [F.lit(0)])
+    _per_batch(state, target, checkpoint, "update", lambda batch, number: new(batch))
+    return _landed(notifications.sparkSession, target, marked.schema).drop("batch")

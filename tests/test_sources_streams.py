@@ -203,3 +203,29 @@ def test_client_files_of_two_sessions(spark, tmp_path):
     (tmp_path / "s1" / "x.json").write_text("{}")
     with pytest.raises(Exception, match="no client number"):
         tables.read_client_params(spark, str(tmp_path)).collect()
+
+
+def test_batches_do_not_read_what_has_landed(spark, tmp_path):
+    """Landed rows can be moved away: what has come before is known from the state alone."""
+    folder, out, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
+    arrive(spark, folder, (1, 10, 1, T0), (None, 11, 1, T0))
+    assert feeds.stream_submissions_dedup(submissions(spark, folder), out, state).count() == 2
+    (tmp_path / "out").rename(tmp_path / "archive")
+    later = T0 + dt.timedelta(hours=1)
+    arrive(spark, folder, (1, 10, 1, later), (None, 11, 1, later), (2, 10, 1, None), (2, 10, 1, later), (2, 10, 1, T0))
+    again = feeds.stream_submissions_dedup(submissions(spark, folder), out, state)
+    assert rows(again.select("session_id", "createdAt")) == [(2, T0)]
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", "").find("RocksDB") < 0
+
+
+def test_rounds_stay_reported_when_more_arrives(spark, tmp_path):
+    folder, out, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
+    clients = spark.createDataFrame([(u, s) for u in (10, 11) for s in (1, 2)], "user_id int, session_id int")
+    sessions = spark.createDataFrame([(1, 0), (2, 0)], "id int, no_of_left_clients int")
+    run = lambda: rows(feeds.stream_round_ready(submissions(spark, folder), clients, sessions, out, state), "session_id")
+    arrive(spark, folder, (1, 10, 1, T0), (1, 11, 1, T0), (2, 10, 1, T0))
+    assert run() == [(1, 1, 0)]
+    arrive(spark, folder, (1, 12, 1, T0), (1, 13, 1, T0))
+    assert run() == [(1, 1, 0)]
+    arrive(spark, folder, (1, 14, 1, T0), (2, 11, 1, T0))
+    assert run() == [(1, 1, 0), (2, 1, 2)]
