@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from operator import or_
+from operator import add, or_
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -23,6 +23,8 @@ from .scoring import MARGIN_LIMIT, sigmoid
 
 #: Numbers of all clients' weights that are broadcast at most; beyond that rows and weights are joined by a shuffle.
 BROADCAST_WEIGHTS = 4_000_000
+#: Up to so many sums are plain columns, which compile; more are one vector.
+UNROLLED_SUMS = 64
 MODELS = ("linear", "logistic")
 #: Keeps the logarithm of a probability finite.
 TINY = 1e-15
@@ -64,46 +66,63 @@ def linear_gd(df: DataFrame, x: Column, y: Column, rate: float = 0.01, steps: in
     return {"m": m, "c": c, "learning_rate": rate, "iterations": steps}
 
 
-def _vector_sum(values: Column) -> Column:
-    return Summarizer.sum(array_to_vector(values))
+def _summed(groups, values: Sequence[Column], vector: Column, *more: Column) -> DataFrame:
+    """``n`` and ``sums`` of each group: the ``values`` one by one where they are few, otherwise as the one ``vector``."""
+    n = F.count(F.lit(1)).alias("n")
+    if len(values) > UNROLLED_SUMS:
+        found = groups.agg(n, Summarizer.sum(array_to_vector(vector)).alias("sums"), *more)
+        return found.withColumn("sums", vector_to_array("sums"))
+    found = groups.agg(n, *[F.sum(v).alias(f"_s{i}") for i, v in enumerate(values)], *more)
+    return found.withColumn("sums", F.array(*[F.col(f"_s{i}") for i in range(len(values))])).drop(*[f"_s{i}" for i in range(len(values))])
 
 
-def _moments(rows: DataFrame) -> DataFrame:
-    """``client, n, moments``: for each input and the constant a row of sums with every input, the constant and the label."""
+def _margin(width: int, weights: Column | Sequence[float]) -> Column:
+    """Inputs times weights, spelt out where they are few."""
+    given = weights if isinstance(weights, Column) else [F.lit(float(w)) for w in weights]
+    if width > UNROLLED_SUMS:
+        return dot(F.col("x"), given if isinstance(given, Column) else F.array(*given))
+    return reduce(add, [F.col("x")[i] * given[i] for i in range(width)])
+
+
+def _moments(rows: DataFrame, width: int) -> DataFrame:
+    """``client, n, sums``: for each input and the constant a row of sums with every input, the constant and the label."""
     all_ = F.concat("x", F.array("y"))
-    products = F.flatten(F.transform("x", lambda a: F.transform(all_, lambda b: a * b)))
-    sums = rows.groupBy("client").agg(F.count(F.lit(1)).alias("n"), _vector_sum(products).alias("moments"))
-    return sums.withColumn("moments", vector_to_array("moments"))
+    cells = [F.col("x")[i] for i in range(width)]
+    values = [a * b for a in cells for b in [*cells, F.col("y")]] if width * (width + 1) <= UNROLLED_SUMS else [F.lit(0)] * (UNROLLED_SUMS + 1)
+    return _summed(rows.groupBy("client"), values, F.flatten(F.transform("x", lambda a: F.transform(all_, lambda b: a * b))))
 
 
 def _plane_step(width: int, rate: float, weights: Column) -> Column:
     """Weights after one step on squared loss, from a client's moments."""
-    each = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.slice("moments", i * (width + 1) + 1, F.lit(width + 1)))
+    each = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.slice("sums", i * (width + 1) + 1, F.lit(width + 1)))
     slope = lambda sums: dot(F.slice(sums, 1, width), weights) - F.element_at(sums, width + 1)
     return F.zip_with(weights, each, lambda w, sums: w - F.lit(2.0 * rate) / F.col("n") * slope(sums))
 
 
-def _logistic_step(rows: DataFrame, weights: DataFrame | None, start: Sequence[float], rate: float) -> DataFrame:
+def _chance(width: int, weights: Column | Sequence[float]) -> Column:
+    return sigmoid(F.greatest(F.lit(-MARGIN_LIMIT), F.least(F.lit(MARGIN_LIMIT), _margin(width, weights))))
+
+
+def _logistic_step(rows: DataFrame, weights: DataFrame | None, start: Sequence[float], rate: float, clients: int) -> DataFrame:
     """``client, w`` after one step on the logistic loss; ``weights`` are the clients' own, if they have left ``start``."""
+    width = len(start)
     if weights is None:
-        own = rows.withColumn("w", array_literal(start))
+        own, before = rows.withColumn("gap", _chance(width, start) - F.col("y")), F.any_value(array_literal(start))
     else:
-        held = F.broadcast(weights) if weights.count() * len(start) <= BROADCAST_WEIGHTS else weights
+        held = F.broadcast(weights) if clients * width <= BROADCAST_WEIGHTS else weights
         same = F.col("r.client").eqNullSafe(F.col("k.client"))
-        own = rows.alias("r").join(held.alias("k"), same).select("r.client", "x", "y", "w")
-    margin = F.greatest(F.lit(-MARGIN_LIMIT), F.least(F.lit(MARGIN_LIMIT), dot(F.col("x"), F.col("w"))))
-    gap = own.withColumn("gap", sigmoid(margin) - F.col("y"))
-    sums = gap.groupBy("client").agg(F.count(F.lit(1)).alias("n"), _vector_sum(F.transform("x", lambda v: v * F.col("gap"))).alias("g"), F.first("w").alias("w"))
-    moved = F.zip_with("w", vector_to_array("g"), lambda w, g: w - F.lit(rate) * g / F.col("n"))
-    return materialize(sums.select("client", moved.alias("w")))
+        joined = rows.alias("r").join(held.alias("k"), same).select("r.client", "x", "y", "w")
+        own, before = joined.withColumn("gap", _chance(width, F.col("w")) - F.col("y")), F.any_value("w")
+    values = [F.col("x")[i] * F.col("gap") for i in range(width)]
+    found = _summed(own.groupBy("client"), values, F.transform("x", lambda v: v * F.col("gap")), before.alias("w"))
+    return materialize(found.select("client", F.zip_with("w", "sums", lambda w, g: w - F.lit(rate) * g / F.col("n")).alias("w")))
 
 
 def _measures(model: str, weights: Sequence[float], label: Column) -> dict[str, Column]:
-    margin = dot(F.col("x"), array_literal(weights))
     if model == "linear":
-        gap = label - margin
+        gap = label - _margin(len(weights), weights)
         return {"mse": F.avg(gap * gap), "mae": F.avg(F.abs(gap))}
-    chance = sigmoid(F.greatest(F.lit(-MARGIN_LIMIT), F.least(F.lit(MARGIN_LIMIT), margin)))
+    chance = _chance(len(weights), weights)
     loss = -(label * F.log(chance + TINY) + (1 - label) * F.log(1 - chance + TINY))
     return {"log_loss": F.avg(loss), "accuracy": F.avg(((chance >= 0.5) == (label >= 0.5)).cast("int"))}
 
@@ -127,10 +146,11 @@ def federated_descent(train: DataFrame, client: str, inputs: Sequence[str], labe
 
     gap = F.count_if(F.exists("x", lambda v: _missing(v)) | _missing(F.col("y")))
     rows = materialize(slim(train, q(client).alias("client")))
-    _refuse(rows.agg(gap).first()[0], "training rows")
+    gaps, clients = rows.agg(gap, F.approx_count_distinct("client")).first()
+    _refuse(gaps, "training rows")
     held_out = slim(test)
     now, history = [0.0] * width, []
-    sums = materialize(_moments(rows)) if model == "linear" else None
+    sums = materialize(_moments(rows, width)) if model == "linear" else None
     for number in range(1, rounds + 1):
         if model == "linear":
             start = array_literal(now)
@@ -139,7 +159,7 @@ def federated_descent(train: DataFrame, client: str, inputs: Sequence[str], labe
         else:
             local = None
             for _ in range(steps):
-                local = _logistic_step(rows, local, now, rate)
+                local = _logistic_step(rows, local, now, rate, 2 * clients)
             if local is None:
                 local = rows.select("client").distinct().withColumn("w", array_literal(now))
         got = local.agg(F.count(F.lit(1)).alias("clients"), Summarizer.mean(array_to_vector("w")).alias("w")).first()

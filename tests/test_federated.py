@@ -308,11 +308,12 @@ def test_a_layer_of_ten_million_weights(spark):
 
 
 @pytest.mark.parametrize("model", ["linear", "logistic"])
-@pytest.mark.parametrize("broadcast", [4_000_000, 0])
-def test_planes_match_numpy_per_client(spark, monkeypatch, model, broadcast):
+@pytest.mark.parametrize("broadcast, unrolled", [(4_000_000, 64), (0, 64), (4_000_000, 2)])
+def test_planes_match_numpy_per_client(spark, monkeypatch, model, broadcast, unrolled):
     from fedloom.operators import descent as D
 
     monkeypatch.setattr(D, "BROADCAST_WEIGHTS", broadcast)
+    monkeypatch.setattr(D, "UNROLLED_SUMS", unrolled)
     rng = np.random.default_rng(3)
     x = rng.normal(size=(240, 4))
     y = x @ [1.0, -2.0, 0.5, 0.0] + 0.3 + rng.normal(0, 0.2, 240)
