@@ -1,24 +1,28 @@
 """Dataset profile: one row per column.
 
 The full profile reads the table a fixed number of times, whatever the number
-of columns: one wide compiled aggregate (counts, moments, extremes, array
-lengths), one pass of quartile sketches, one pass over unpivoted numbers per
-number type (histogram and distinct count from the same shuffle), one over
-unpivoted strings, one per array column.
+of columns: one scan for the mergeable state (counts, moments, extremes,
+sketches, array lengths and values), and side by side one pass over unpivoted
+numbers per number type (histogram and distinct count from the same shuffle),
+one over unpivoted strings, and where exact ranks are asked for those.
 The single-purpose functions stay lazy and return long-form rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .columns import array_columns, as_double, fit, numeric_columns, present, q, string_columns, type_of
-from .quantiles import exact_quantiles, quantiles
+from .profile_state import RANK_BOUND, deviation, depth, flat_values, leaf, profile_state, report_rows, row_shape
+from .quantiles import bracket_points, exact_quantiles, quantiles
 
 BINS = 10
 TOP = 10
@@ -223,23 +227,6 @@ def profile_top_categories(df: DataFrame, columns: Sequence[str] | None = None)
     return _top(value_counts(df, names)[0])
 
 
-def _depth(kind: T.DataType) -> int:
-    return 1 + _depth(kind.elementType) if isinstance(kind, T.ArrayType) else 0
-
-
-def _leaf(kind: T.DataType) -> T.DataType:
-    return _leaf(kind.elementType) if isinstance(kind, T.ArrayType) else kind
-
-
-def row_shape(x: Column, depth: int) -> Column:
-    """Nested lengths along the first elements, cut at the first empty or missing level."""
-    sizes, level = [], x
-    for _ in range(depth):
-        sizes.append(F.when(level.isNotNull(), F.size(level)))
-        level = F.try_element_at(level, F.lit(1))
-    return F.when(x.isNotNull(), F.array_compact(F.array(*sizes)))
-
-
 def array_shape(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Shape of the first non-NULL value and whether every value shares it."""
     names = columns or array_columns(df)
@@ -247,7 +234,7 @@ def array_shape(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
 
 
 def _shape_measures(df: DataFrame, c: str) -> dict[str, Column]:
-    shape = row_shape(q(c), _depth(type_of(df, c)))
+    shape = row_shape(q(c), depth(type_of(df, c)))
     return {"shape": F.first(shape, ignorenulls=True), "uniform": F.min(shape) == F.max(shape)}
 
 
@@ -263,13 +250,9 @@ def array_length_stats(df: DataFrame, columns: Sequence[str] | None = None) -> D
 
 def array_values(df: DataFrame, column: str, sample: float | None = None) -> DataFrame:
     """All innermost numbers of an array column as rows ``v``; a narrow step."""
-    kind = type_of(df, column)
-    if not isinstance(_leaf(kind), T.NumericType):
+    if not isinstance(leaf(type_of(df, column)), T.NumericType):
         raise ValueError(f"column {column!r} is not numeric")
-    flat = q(column)
-    for _ in range(_depth(kind) - 1):
-        flat = F.flatten(flat)
-    rows = df.select(F.explode(flat).alias("v")).select(F.col("v").cast("double"))
+    rows = df.select(F.explode(flat_values(df, column)).alias("v")).select(F.col("v").cast("double"))
     return rows if sample is None else rows.sample(sample)
 
 
@@ -327,68 +310,97 @@ def histogram_labels(histogram: DataFrame) -> DataFrame:
 def profile(df: DataFrame, approximate_unique: bool = False, relative_error: float = RANK_ERROR) -> DataFrame:
     """The whole report; everything brought to the driver has a few values per column.
 
-    ``relative_error`` is the rank error of the quartiles; 0 asks for exact
-    ranks, which cost a few more scans.
+    One scan makes the state of ``profile_state``.  Distinct values, categories and bins are then counted exactly,
+    or, with ``approximate_unique``, read from the state, whose one scan is then the only one.  ``relative_error`` is
+    the rank error of the quartiles, kept by the state's sketch; 0 asks for exact ranks, which cost two more scans.
     """
-    numeric, strings, arrays = numeric_columns(df), string_columns(df), array_columns(df)
-    wanted: dict = {("", "rows"): F.count(F.lit(1))}
-    for c in df.columns:
-        wanted[(c, "null_count")] = _nulls(df, c)
-    for c in numeric:
-        x = as_double(df, c)
-        wanted.update({(c, n): e for n, e in _moments(df, c).items()})
-        wanted[(c, "low")], wanted[(c, "high")] = F.min(x), F.max(x)
-    for c in arrays:
-        wanted.update({(c, n): e for n, e in _length_measures(c).items()})
-        wanted[(c, "shape")] = F.first(row_shape(q(c), _depth(type_of(df, c))), ignorenulls=True)
-    if approximate_unique:
-        for c in numeric + strings:
-            wanted[(c, "unique_count")] = F.approx_count_distinct(q(c)) + F.coalesce(F.max(q(c).isNull().cast("long")), F.lit(0))
-    stats = fit(df, wanted)
-    # a pass of its own: sketches would keep the aggregate above from being compiled
-    if numeric:
-        stats.update({(c, "quartiles"): v for c, v in quantiles(df, numeric, QUARTILES, relative_error).items()})
-
-    edges = {c: bin_edges(stats[(c, "low")], stats[(c, "high")]) for c in numeric}
-    bins, unique = _bins_and_unique(df, numeric, edges, approximate_unique)
-    top, unique_strings = _categories(df, strings)
-    unique.update(unique_strings)
-
+    state = profile_state(df, distinct=approximate_unique, texts=approximate_unique)
+    exact = relative_error == 0
+    facts, values = report_rows(state, BINS, TOP, bracket_points(QUARTILES, RANK_BOUND) if exact else (), histogram=approximate_unique)
+    arrays = {c: r for c, r in values.items() if r["x_n"]}
+    numbers = {r["name"]: r for r in facts if r["x_n"]}
+    tasks = {}
+    if not approximate_unique:
+        numeric = numeric_columns(df)
+        edges = {c: numbers[c]["edges"] if c in numbers else None for c in numeric}
+        tasks["bins"] = lambda: _bins_and_unique(df, numeric, edges)
+        tasks["texts"] = lambda: _categories(df, string_columns(df))
+    if exact and numbers:
+        first = {c: (r["x_n"], r["points"][3:]) for c, r in numbers.items()}
+        tasks["quartiles"] = lambda: exact_quantiles(df, list(numbers), QUARTILES, brackets=first)
+    if exact and arrays:
+        tasks["medians"] = lambda: _exact_medians(df, arrays)
+    # these read the table independently of each other
+    with ThreadPoolExecutor(max(1, len(tasks))) as pool:
+        done = {name: job.result() for name, job in {name: pool.submit(inheritable_thread_target(df.sparkSession)(task)) for name, task in tasks.items()}.items()}
+    return report(df.sparkSession, facts, values, done)
+
+
+def profile_of_state(state: DataFrame) -> DataFrame:
+    """The report a stored or merged state gives, without a look at the data."""
+    facts, values = report_rows(state, BINS, TOP)
+    return report(state.sparkSession, facts, values, {})
+
+
+def _exact_medians(df: DataFrame, arrays: dict[str, dict]) -> dict[str, list]:
+    """Interpolated medians of all array columns' values, unpivoted together."""
+    def marked(i: int):
+        return lambda v: F.struct(F.lit(i).alias("slot"), v.cast("double").alias("x"))
+
+    each = [F.transform(flat_values(df, c), marked(i)) for i, c in enumerate(arrays)]
+    long = df.select(F.explode(F.concat(*[F.coalesce(e, F.array().cast("array<struct<slot: int, x: double>>")) for e in each])).alias("v"))
+    wide = long.select(*[F.when(F.col("v.slot") == i, F.col("v.x")).alias(f"a{i}") for i in range(len(arrays))])
+    found = exact_quantiles(wide, wide.columns, [0.5], interpolate=True)
+    return {c: found[f"a{i}"] for i, c in enumerate(arrays)}
+
+
+def report(spark: SparkSession, facts: list[dict], values: dict[str, dict], exact: dict) -> DataFrame:
+    """Rows of the report from the facts of a state, with what was counted exactly in their place."""
+    bins, unique = exact.get("bins", ({}, {}))
+    top, unique_texts = exact.get("texts", ({}, {}))
+    unique = unique | unique_texts
     rows = []
-    for c in df.columns:
+    for r in facts:
+        c, n, kind = r["name"], r["x_n"], T._parse_datatype_string(r["type"])
         row: dict = dict.fromkeys(PROFILE_FIELDS)
-        row.update(name=c, type=type_of(df, c).simpleString(), entries=stats[("", "rows")], null_count=stats[(c, "null_count")])
-        if c in numeric or c in strings:
-            row["unique_count"] = stats[(c, "unique_count")] if approximate_unique else unique.get(c, 0)
-        if c in numeric:
-            row.update({n: stats[(c, n)] for n in ("mean", "stddev", "min", "max")})
-            if edges[c]:
-                q1, median, q3 = stats[(c, "quartiles")]
-                row.update(q1=q1, median=median, q3=q3, iqr=q3 - q1)
-            if edges[c]:
-                row.update(hist_bins=edges[c], hist_counts=[bins.get((c, i), 0) for i in range(len(edges[c]) - 1)])
-        if c in strings:
-            row["top_categories"] = top.get(c, [])
-        if c in arrays:
-            row.update({n: stats[(c, n)] for n in ("shape", "len_min", "len_max", "len_mean", "len_std")})
-            if isinstance(_leaf(type_of(df, c)), T.NumericType):
-                values = array_value_stats(df, c, exact=False).first().asDict()
-                row.update({n: v for n, v in values.items() if n != "name"})
+        row.update(name=c, type=r["type"], entries=r["entries"], null_count=r["null_count"])
+        number, text = isinstance(kind, T.NumericType), isinstance(kind, T.StringType)
+        if number or text:
+            row["unique_count"] = r["_distinct"] + (r["null_count"] > 0) + (r["nans"] > 0 and not number) if "_distinct" in r else unique.get(c, 0)
+        if number:
+            if r["nans"]:  # arithmetic with NaN is NaN, and NaN is the greatest number
+                row.update(mean=math.nan, stddev=math.nan, min=r["x_min"] if n else math.nan, max=math.nan)
+            else:
+                row.update(mean=r["x_mean"], stddev=deviation(r["x_m2"], n), min=r["x_min"], max=r["x_max"])
+            if n:
+                q1, median, q3 = exact["quartiles"][c] if "quartiles" in exact else r["points"][:3]
+                counts = [bins.get((c, i), 0) for i in range(len(r["edges"]) - 1)] if "bins" in exact else r["histogram"]
+                row.update(q1=q1, median=median, q3=q3, iqr=q3 - q1, hist_bins=r["edges"], hist_counts=counts)
+        if text:
+            row["top_categories"] = [Row(**x) for x in r["categories"] or []] if "categories" in r else top.get(c, [])
+        if isinstance(kind, T.ArrayType):
+            row.update(shape=r["shape"], len_mean=r["length_mean"], len_std=deviation(r["length_m2"], r["length_n"]))
+            row.update({f"len_{m}": None if r[f"length_{m}"] is None else int(r[f"length_{m}"]) for m in ("min", "max")})
+        inner = values.get(c)
+        if inner and inner["nans"]:
+            row.update(val_min=inner["x_min"] if inner["x_n"] else math.nan, val_max=math.nan, val_mean=math.nan, val_std=math.nan)
+        elif inner and inner["x_n"]:
+            row.update(val_min=inner["x_min"], val_max=inner["x_max"], val_mean=inner["x_mean"], val_std=deviation(inner["x_m2"], inner["x_n"], sample=False))
+        if inner and inner["x_n"]:
+            row["val_median"] = exact["medians"][c][0] if "medians" in exact else inner["points"][1]
+        if inner and inner["x_n"] + inner["nans"]:
+            row["val_sparsity"] = inner["zeros"] / (inner["x_n"] + inner["nans"])
         rows.append(Row(**row))
-    return df.sparkSession.createDataFrame(rows, PROFILE_SCHEMA)
+    return spark.createDataFrame(rows, PROFILE_SCHEMA)
 
 
-def _bins_and_unique(df: DataFrame, numeric: list[str], edges: dict, approximate: bool) -> tuple[dict, dict]:
-    """Histogram counts and distinct counts of all numbers.
-
-    Exact: one shuffle of value counts serves both.  Approximate: only the bins
-    are counted, ten groups per column.
-    """
+def _bins_and_unique(df: DataFrame, numeric: list[str], edges: dict) -> tuple[dict, dict]:
+    """Histogram counts and distinct counts of all numbers; one shuffle of value counts serves both."""
     bins: dict = {}
     unique: dict = {}
-    if approximate:
-        return {(r["name"], r["bin"]): r["n"] for r in _bin_counts(df, edges).collect()}, unique
     starts = [(c, *(_start_and_width(edges[c]) if edges[c] else (None, None))) for c in numeric]
+    if not starts:
+        return bins, unique
     table = df.sparkSession.createDataFrame(starts, "name string, low double, width double")
     for frame in value_counts(df, numeric):
         frame = frame.join(F.broadcast(table), "name")  # one row per column

@@ -57,18 +57,26 @@ class _Search:
         return self.rank - self.below
 
 
-def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], interpolate: bool = False) -> dict[str, list]:
-    """Exact quantiles; ``interpolate`` blends the two neighbours of a fractional rank."""
+def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], interpolate: bool = False,
+                    brackets: dict[str, tuple[int, list[float]]] | None = None) -> dict[str, list]:
+    """Exact quantiles; ``interpolate`` blends the two neighbours of a fractional rank.
+
+    ``brackets`` saves the first scan where a sketch is at hand already: each column's number of values, and the
+    values at ``bracket_points(probabilities, ...)``.
+    """
     slots = {c: f"c{i}" for i, c in enumerate(columns)}
     base = df.select(*[as_double(df, c).alias(s) for c, s in slots.items()])
-    first = fit(base, {
-        (s, kind): e
-        for s in slots.values()
-        for kind, e in (
-            ("n", F.count(s)),
-            ("v", F.percentile_approx(s, _bracket_points(probabilities), ACCURACY)),
-        )
-    })
+    if brackets is None:
+        first = fit(base, {
+            (s, kind): e
+            for s in slots.values()
+            for kind, e in (
+                ("n", F.count(s)),
+                ("v", F.percentile_approx(s, bracket_points(probabilities), ACCURACY)),
+            )
+        })
+    else:
+        first = {(s, kind): v for c, s in slots.items() for kind, v in zip("nv", brackets[c], strict=True)}
     searches: list[_Search] = []
     plans: dict[str, list] = {}
     for c, s in slots.items():
@@ -94,10 +102,12 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequen
     }
 
 
-def _bracket_points(probabilities: Sequence[float]) -> list[float]:
+def bracket_points(probabilities: Sequence[float], margin: float | None = None) -> list[float]:
+    """Ranks a margin below and above each probability."""
     points: list[float] = []
+    margin = MARGIN if margin is None else margin
     for p in probabilities:
-        points += [max(0.0, p - MARGIN), min(1.0, p + MARGIN)]
+        points += [max(0.0, p - margin), min(1.0, p + margin)]
     return points
 
 
@@ -158,7 +168,7 @@ def _refine(base: DataFrame, searches: list[_Search]) -> None:
     wanted: dict = {}
     for i, s in enumerate(searches):
         at = (s.local_rank() - 0.5) / s.inside
-        points = [at] if s.inside <= EXACT_BELOW else _bracket_points([at])
+        points = [at] if s.inside <= EXACT_BELOW else bracket_points([at])
         wanted[i] = F.percentile_approx(F.when(s.bracket(), F.col(s.slot)), points, ACCURACY)
     # the sketches are not compiled; a compiled filter leaves them few rows
     got = fit(base.filter(reduce(lambda a, b: a | b, [s.bracket() for s in searches])), wanted)

@@ -149,3 +149,34 @@ def test_wide_tables_are_profiled_in_groups(spark, monkeypatch):
     df = spark.range(20).selectExpr("id", *[f"CAST(id * {i} AS DOUBLE) AS c{i}" for i in range(1, 9)])
     got = by_name(P.profile(df))
     assert got["c8"]["max"] == 152.0 and got["c8"]["unique_count"] == 20 and got["c3"]["mean"] == 28.5
+
+
+def test_states_of_parts_add_up(spark, tmp_path):
+    from fedloom.operators.profile_state import QUANTILE_SIZE, merge_states, profile_state
+
+    r = np.random.default_rng(9)
+    n = 3 * QUANTILE_SIZE
+    whole = spark.createDataFrame(
+        [(i, float(x), None if i % 3 else f"t{i % 7}", [float(i % 5), float(x)], "long " * 20 + str(i % 2)) for i, x in enumerate(r.normal(5, 2, n))],
+        "id long, x double, s string, a array<double>, l string",
+    )
+    left, right = whole.where("id % 4 = 0").drop("l"), whole.where("id % 4 <> 0").select("l", "a", "s", "x", "id")
+    for i, part in enumerate((left, right)):
+        profile_state(part).write.parquet(str(tmp_path / str(i)))
+    merged = merge_states(*[spark.read.parquet(str(tmp_path / str(i))) for i in range(2)])
+    got, wanted = by_name(P.profile_of_state(merged)), by_name(P.profile(whole.withColumn("l", F.when(F.col("id") % 4 != 0, F.col("l"))), relative_error=0))
+    assert list(got) == ["id", "x", "s", "a", "l"]
+    for c, row in wanted.items():
+        for field in ("type", "entries", "null_count", "shape", "len_min", "len_max", "val_min", "val_max", "min", "max", "top_categories", "hist_bins"):
+            assert got[c][field] == row[field], (c, field)
+        for field in ("mean", "stddev", "len_mean", "len_std", "val_mean", "val_std", "val_sparsity"):
+            assert got[c][field] == pytest.approx(row[field], abs=1e-9), (c, field)
+        if row["unique_count"] is not None:
+            assert got[c]["unique_count"] == pytest.approx(row["unique_count"], rel=0.03)
+        if row["hist_counts"]:
+            assert sum(got[c]["hist_counts"]) == n and np.allclose(got[c]["hist_counts"], row["hist_counts"], atol=0.003 * n)
+    for c, p in (("x", 0.25), ("id", 0.75)):
+        values = sorted(v[0] for v in whole.select(c).collect())
+        at = got[c]["q1" if p == 0.25 else "q3"]
+        assert values[int((p - 0.0015) * n)] <= at <= values[int((p + 0.0015) * n) + 1]
+    assert by_name(P.profile(whole, approximate_unique=True))["a"]["val_median"] == pytest.approx(by_name(P.profile(whole, relative_error=0))["a"]["val_median"], abs=0.05)
