@@ -8,9 +8,11 @@ from ..functions.vectors import parse_vector, reshape
 from ..operators import clean, encode, fill, rounds, scale
 from . import inputs
 from .inputs import table
-from .registry import query, rounded, with_
+from .registry import query, rounded, stamp, with_
 
-LINEITEM = "l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus"
+LINEITEM = "l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate"
+#: The same with the time as text, which both engines write alike.
+SHOWN = LINEITEM.replace("l_shipdate", "strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') AS l_shipdate")
 FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 ALL_NUMBERS = ["l_linenumber", *FEATURES, "fixed"]
 
@@ -19,21 +21,26 @@ def lineitem(spark, d):
     return table(spark, d, "lineitem").select(*LINEITEM.split(", "))
 
 
+def shown(df):
+    return df.withColumn("l_shipdate", stamp("l_shipdate"))
+
+
 # --- selection and filters ---------------------------------------------------
 
-@query("drop_column", f"SELECT {LINEITEM.replace(', l_tax', '')} FROM lineitem")
+@query("drop_column", f"SELECT {SHOWN.replace(', l_tax', '')} FROM lineitem")
 def drop_column(spark, d):
-    return clean.drop_column(lineitem(spark, d), "l_tax")
+    return shown(clean.drop_column(lineitem(spark, d), "l_tax"))
 
 
-@query("drop_null_all", with_("gaps", "SELECT * FROM gaps WHERE l_linenumber IS NOT NULL AND l_quantity IS NOT NULL AND l_returnflag IS NOT NULL AND late IS NOT NULL"))
+@query("drop_null_all", with_("gaps", f"""SELECT {SHOWN}, late FROM gaps WHERE l_linenumber IS NOT NULL AND l_quantity IS NOT NULL AND l_returnflag IS NOT NULL
+    AND late IS NOT NULL AND l_shipdate IS NOT NULL"""))
 def drop_null_all(spark, d):
-    return clean.drop_null(inputs.gaps(spark, d))
+    return shown(clean.drop_null(inputs.gaps(spark, d)))
 
 
-@query("drop_null_column", with_("gaps", "SELECT l_orderkey, l_quantity, l_returnflag FROM gaps WHERE l_quantity IS NOT NULL"))
+@query("drop_null_column", with_("gaps", f"SELECT {SHOWN}, late FROM gaps WHERE l_quantity IS NOT NULL"))
 def drop_null_column(spark, d):
-    return clean.drop_null(inputs.gaps(spark, d), ["l_quantity"]).select("l_orderkey", "l_quantity", "l_returnflag")
+    return shown(clean.drop_null(inputs.gaps(spark, d), ["l_quantity"]))
 
 
 def _fences(columns: list[str], source: str) -> str:
@@ -75,9 +82,10 @@ def remove_outliers_column(spark, d):
 # --- fills -------------------------------------------------------------------
 
 @query("fill_defaults_all", with_("gaps", """SELECT l_orderkey, l_partkey, l_suppkey, coalesce(l_linenumber, 0) AS l_linenumber, coalesce(l_quantity, 0) AS l_quantity,
-    l_extendedprice, l_discount, l_tax, coalesce(l_returnflag, 'unknown') AS l_returnflag, l_linestatus, coalesce(late, false) AS late FROM gaps"""))
+    l_extendedprice, l_discount, l_tax, coalesce(l_returnflag, 'unknown') AS l_returnflag, l_linestatus, coalesce(late, false) AS late,
+    strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') AS l_shipdate FROM gaps"""))
 def fill_defaults_all(spark, d):
-    return fill.fill_defaults(inputs.gaps(spark, d))
+    return shown(fill.fill_defaults(inputs.gaps(spark, d)))
 
 
 @query("fill_zero", with_("gaps", "SELECT l_orderkey, coalesce(l_linenumber, 0) AS l_linenumber, l_quantity FROM gaps"))
@@ -132,17 +140,17 @@ def fill_mode_column(spark, d):
 
 # --- duplicates ----------------------------------------------------------------
 
-@query("drop_duplicates_all", f"SELECT DISTINCT {LINEITEM} FROM lineitem")
+@query("drop_duplicates_all", f"SELECT DISTINCT {SHOWN} FROM lineitem")
 def drop_duplicates_all(spark, d):
     rows = lineitem(spark, d)
-    return clean.drop_duplicates(rows.unionByName(rows.filter("l_linenumber = 1")))
+    return shown(clean.drop_duplicates(rows.unionByName(rows.filter("l_linenumber = 1"))))
 
 
-@query("drop_duplicates_column", f"""SELECT {LINEITEM} FROM lineitem QUALIFY row_number() OVER
+@query("drop_duplicates_column", f"""SELECT {SHOWN} FROM lineitem QUALIFY row_number() OVER
     (PARTITION BY l_partkey ORDER BY l_extendedprice, l_orderkey, l_linenumber, l_suppkey, l_quantity) = 1""")
 def drop_duplicates_column(spark, d):
     order = [F.asc(c) for c in ("l_extendedprice", "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity")]
-    return clean.drop_duplicates_by(lineitem(spark, d), ["l_partkey"], order)
+    return shown(clean.drop_duplicates_by(lineitem(spark, d), ["l_partkey"], order))
 
 
 @query("first_submission_wins", with_("submissions", "first_subs", "SELECT session_id, user_id, round_number, part, price FROM first_subs"))

@@ -25,6 +25,7 @@ def gaps(spark: SparkSession, d: str) -> DataFrame:
         "CASE WHEN l_orderkey % 11 = 0 THEN NULL ELSE l_returnflag END AS l_returnflag",
         "l_linestatus",
         "CASE WHEN l_suppkey % 5 = 0 THEN NULL ELSE l_tax > 0.04 END AS late",
+        "CASE WHEN l_partkey % 13 = 0 THEN NULL ELSE l_shipdate END AS l_shipdate",
     )
 
 
@@ -200,7 +201,7 @@ TABLES = {
         CASE WHEN l_orderkey % 7 = 0 THEN NULL ELSE l_quantity END AS l_quantity,
         l_extendedprice, l_discount, l_tax,
         CASE WHEN l_orderkey % 11 = 0 THEN NULL ELSE l_returnflag END AS l_returnflag,
-        l_linestatus, CASE WHEN l_suppkey % 5 = 0 THEN NULL ELSE l_tax > 0.04 END AS late FROM lineitem""",
+        l_linestatus, CASE WHEN l_suppkey % 5 = 0 THEN NULL ELSE l_tax > 0.04 END AS late, CASE WHEN l_partkey % 13 = 0 THEN NULL ELSE l_shipdate END AS l_shipdate FROM lineitem""",
     "numbers": "SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, 1.5::DOUBLE AS fixed FROM lineitem",
     "sessions": """SELECT o_orderkey AS id, o_custkey AS admin_id, CAST(1 + o_orderkey % 7 AS INTEGER) AS curr_round, 7 AS max_round,
         o_totalprice AS session_price,

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import reports
+from ..operators.profile import profile_unique
 from ..session import scratch_path
-from ..sources import tables
+from ..sources import tables, versions
 from . import inputs
 from .inputs import table
 from .registry import query, rounded, stamp, with_
 
+
 @query("read_csv_infer", "SELECT * REPLACE (strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate) FROM orders")
 def read_csv_infer(spark, d):
     """All columns: keys, texts, amounts and dates come back with the types that inference gives them."""
@@ -31,57 +33,74 @@ def write_parquet(spark, d):
     return spark.read.parquet(path)
 
 
-def _profile_sql(source: str, numeric: list[str], strings: list[str]) -> str:
+def _profile_sql(source: str, numeric: list[str], strings: list[str], others: tuple[str, ...] = ()) -> str:
+    counts = "count(*) AS entries, count(*) - count({c}) AS null_count, {unique} AS unique_count"
+    unique = "count(DISTINCT {c}) + max(({c} IS NULL)::INT)"
     parts = [
-        f"""SELECT '{c}' AS name, count(*) AS entries, count(*) - count({c}) AS null_count, count(DISTINCT {c}) + max(({c} IS NULL)::INT) AS unique_count,
+        f"""SELECT '{c}' AS name, {counts.format(c=c, unique=unique.format(c=c))},
         round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS stddev, min({c})::DOUBLE AS min, max({c})::DOUBLE AS max FROM {source}"""
         for c in numeric
-    ] + [
-        f"""SELECT '{c}', count(*), count(*) - count({c}), count(DISTINCT {c}) + max(({c} IS NULL)::INT), NULL, NULL, NULL, NULL FROM {source}"""
-        for c in strings
-    ]
+    ] + [f"SELECT '{c}', {counts.format(c=c, unique=unique.format(c=c))}, NULL, NULL, NULL, NULL FROM {source}" for c in strings]
+    # neither numbers nor texts: entries and NULLs only
+    parts += [f"SELECT '{c}', {counts.format(c=c, unique='NULL')}, NULL, NULL, NULL, NULL FROM {source}" for c in others]
     return " UNION ALL ".join(parts)
 
 
-@query("ingest_dataset", _profile_sql("orders", ["o_orderkey", "o_custkey", "o_totalprice"], ["o_orderstatus", "o_orderpriority"]))
+REPORTED = ["name", "entries", "null_count", "unique_count", "mean", "stddev", "min", "max"]
+
+
+@query("ingest_dataset", _profile_sql("orders", ["o_orderkey", "o_custkey", "o_totalprice"], ["o_orderstatus", "o_orderpriority"], ("o_orderdate",)))
 def ingest_dataset(spark, d):
     source = scratch_path(spark, "upload") + ".csv"
-    table(spark, d, "orders").drop("o_orderdate").write.option("header", True).csv(source)
+    table(spark, d, "orders").write.option("header", True).csv(source)
     report, _ = tables.ingest_dataset(spark, source, "csv", scratch_path(spark, "raw"))
-    return rounded(report.select("name", "entries", "null_count", "unique_count", "mean", "stddev", "min", "max"), 4)
+    return rounded(report.select(*REPORTED), 4)
 
 
-@query("publish_processed", with_("gaps", _profile_sql("gaps", ["l_linenumber", "l_quantity", "l_tax"], ["l_returnflag"])))
+@query("publish_processed", with_("gaps", _profile_sql(
+    "gaps", ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"], ["l_returnflag", "l_linestatus"], ("late", "l_shipdate"))))
 def publish_processed(spark, d):
-    rows = inputs.gaps(spark, d).select("l_linenumber", "l_quantity", "l_tax", "l_returnflag")
-    report, _ = tables.publish_processed(rows, "gaps", scratch_path(spark, "processed"))
-    return rounded(report.select("name", "entries", "null_count", "unique_count", "mean", "stddev", "min", "max"), 4)
+    report, _ = tables.publish_processed(inputs.gaps(spark, d), "gaps", scratch_path(spark, "processed"))
+    return rounded(report.select(*REPORTED), 4)
 
 
-MERGED = """SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority, NULL::VARCHAR AS state FROM orders
-UNION ALL SELECT o_orderkey, NULL, o_totalprice / 2, NULL, o_orderstatus FROM orders WHERE o_totalprice > 100000"""
+MERGED = """SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority, o_orderdate, NULL::VARCHAR AS state FROM orders
+UNION ALL SELECT o_orderkey, NULL, o_totalprice / 2, NULL, NULL, o_orderstatus FROM orders WHERE o_totalprice > 100000"""
 
 
 def _merge_sides(spark, d):
     orders = table(spark, d, "orders")
-    parent = orders.select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority")
+    parent = orders.select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority", "o_orderdate")
     extra = orders.filter("o_totalprice > 100000").selectExpr("o_orderstatus AS state", "o_totalprice / 2 AS o_totalprice", "o_orderkey")
     return parent, extra
 
 
-@query("merge_datasets", f"SELECT o_orderkey, o_custkey::DOUBLE AS o_custkey, round(o_totalprice, 4) AS o_totalprice, o_orderpriority, state FROM ({MERGED})")
+@query("merge_datasets", f"""SELECT o_orderkey, o_custkey::DOUBLE AS o_custkey, round(o_totalprice, 4) AS o_totalprice, o_orderpriority,
+    strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate, state FROM ({MERGED})""")
 def merge_datasets(spark, d):
     merged = tables.merge_datasets(*_merge_sides(spark, d))
-    return rounded(merged.withColumn("o_custkey", F.col("o_custkey").cast("double")), 4)
+    return rounded(merged.withColumn("o_custkey", F.col("o_custkey").cast("double")).withColumn("o_orderdate", stamp("o_orderdate")), 4)
+
+
+_MERGED_SQL = _profile_sql(f"({MERGED})", ["o_orderkey", "o_custkey", "o_totalprice"], ["o_orderpriority", "state"], ("o_orderdate",))
 
 
-@query("merge_swap", _profile_sql(f"({MERGED})", ["o_orderkey", "o_custkey", "o_totalprice"], ["o_orderpriority", "state"]))
+@query("merge_swap", f"SELECT *, 1 AS parts_read, CASE WHEN unique_count IS NOT NULL THEN true END AS unique_within_bound FROM ({_MERGED_SQL})")
 def merge_swap(spark, d):
-    zone = scratch_path(spark, "zone")
-    for name, side in zip(("parent", "extra"), _merge_sides(spark, d)):
-        side.write.parquet(f"{zone}/{name}.parquet")
-    report = tables.merge_swap(spark, f"{zone}/parent.parquet", f"{zone}/extra.parquet")
-    return rounded(report.select("name", "entries", "null_count", "unique_count", "mean", "stddev", "min", "max"), 4)
+    """Two versions of a dataset, the second by a merge, and the profile its merged states give.
+
+    Distinct counts of a state are sketches; they are held against exact ones of the merged rows, which are shown.
+    """
+    dataset = scratch_path(spark, "dataset")
+    parent, extra = _merge_sides(spark, d)
+    versions.create(spark, dataset, parent)
+    before = versions.newest(spark, dataset)["parts"]
+    report = versions.merge(spark, dataset, extra)
+    added = len(set(versions.newest(spark, dataset)["parts"]) - set(before))
+    exact = profile_unique(versions.read(spark, dataset)).withColumnRenamed("unique_count", "exact")
+    near = F.abs(F.col("unique_count") - F.col("exact")) <= 0.03 * F.col("exact")
+    held = report.join(exact, "name", "left").withColumn("unique_within_bound", near).withColumn("unique_count", F.col("exact"))
+    return rounded(held.select(*REPORTED, F.lit(added).alias("parts_read"), "unique_within_bound"), 4)
 
 
 @query("storage_inventory")

@@ -13,6 +13,7 @@ from .registry import query, rounded, with_
 GAPS = {
     "l_orderkey": "bigint", "l_partkey": "bigint", "l_suppkey": "bigint", "l_linenumber": "int", "l_quantity": "double",
     "l_extendedprice": "double", "l_discount": "double", "l_tax": "double", "l_returnflag": "string", "l_linestatus": "string", "late": "boolean",
+    "l_shipdate": "timestamp_ntz",
 }
 NUMERIC = [c for c, t in GAPS.items() if t in ("bigint", "int", "double")]
 STRINGS = [c for c, t in GAPS.items() if t == "string"]
@@ -123,7 +124,7 @@ def profile(spark, d):
     ), 5)
 
 
-LABELLED = ["l_quantity", "l_extendedprice", "l_discount"]
+LABELLED = NUMERIC
 
 
 @query("histogram_labels", with_("gaps", "SELECT * FROM (" + " UNION ALL ".join(f"""SELECT '{c}' AS name, e::INTEGER AS edge,

@@ -1,13 +1,15 @@
 import datetime as dt
 import json
 import shutil
+import threading
 
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
 from fedloom.operators import rounds
-from fedloom.sources import tables
+from fedloom.operators.profile import profile
+from fedloom.sources import tables, versions
 from fedloom.streaming import feeds
 
 T0 = dt.datetime(2024, 3, 1)
@@ -229,3 +231,56 @@ def test_rounds_stay_reported_when_more_arrives(spark, tmp_path):
     assert run() == [(1, 1, 0)]
     arrive(spark, folder, (1, 14, 1, T0), (2, 11, 1, T0))
     assert run() == [(1, 1, 0), (2, 1, 2)]
+
+
+def test_versions_merge_and_stay_readable(spark, tmp_path):
+    dataset = str(tmp_path / "d")
+    versions.create(spark, dataset, spark.range(100).selectExpr("id", "CAST(id AS STRING) AS s"))
+    stop, seen, failed = threading.Event(), [], []
+
+    def look():
+        while not stop.is_set():
+            try:
+                seen.append(versions.read(spark, dataset).count())
+            except Exception as e:  # noqa: BLE001
+                failed.append(e)
+
+    reader = threading.Thread(target=look)
+    reader.start()
+    for i in range(1, 4):
+        report = versions.merge(spark, dataset, spark.range(10 * i).selectExpr("id", "id / 2 AS half", "'x' AS s"))
+    stop.set()
+    reader.join()
+    assert not failed and seen == sorted(seen) and set(seen) <= {100, 110, 130, 160}
+    whole = versions.read(spark, dataset)
+    assert whole.columns == ["id", "s", "half"] and whole.where("half IS NULL").count() == 100
+    got = {r["name"]: r for r in report.collect()}
+    wanted = {r["name"]: r for r in profile(whole, relative_error=0).collect()}
+    for c in whole.columns:
+        assert {k: got[c][k] for k in ("type", "entries", "null_count", "unique_count", "min", "max", "hist_counts", "median")} == {k: wanted[c][k] for k in ("type", "entries", "null_count", "unique_count", "min", "max", "hist_counts", "median")}
+        assert got[c]["mean"] == pytest.approx(wanted[c]["mean"]) and got[c]["stddev"] == pytest.approx(wanted[c]["stddev"])
+    with pytest.raises(ValueError, match="empty"):
+        versions.merge(spark, dataset, spark.range(0).toDF("id"))
+    with pytest.raises(ValueError, match="already"):
+        versions.create(spark, dataset, spark.range(1))
+    with pytest.raises(ValueError, match="no dataset"):
+        versions.read(spark, str(tmp_path / "none"))
+
+
+def test_versions_widen_compact_and_vacuum(spark, tmp_path):
+    dataset = str(tmp_path / "d")
+    versions.create(spark, dataset, spark.createDataFrame([(1, 2)], "a int, b int"))
+    before = versions.read(spark, dataset)
+    versions.merge(spark, dataset, spark.createDataFrame([(3,)], "a int"))
+    assert len(versions.newest(spark, dataset)["parts"]) == 2
+    report = {r["name"]: r["type"] for r in versions.merge(spark, dataset, spark.createDataFrame([(2.5, "t")], "a double, c string")).collect()}
+    assert report == {"a": "double", "b": "int", "c": "string"}
+    assert rows(versions.read(spark, dataset), "a") == [(1.0, 2, None), (2.5, None, "t"), (3.0, None, None)]
+    versions.merge(spark, dataset, spark.createDataFrame([(9,)], "b int"))
+    versions.compact(spark, dataset)
+    assert len(versions.newest(spark, dataset)["parts"]) == 1 and versions.read(spark, dataset).count() == 4
+    assert before.count() == 1
+    assert versions.vacuum(spark, dataset, kept=1) and versions.read(spark, dataset).count() == 4
+    assert versions.profile_of(spark, dataset).where("name = 'b'").first()["entries"] == 4
+    with pytest.raises(OSError, match="exists already"):
+        versions._publish(spark, dataset, versions.newest(spark, dataset))
