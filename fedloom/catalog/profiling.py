@@ -101,26 +101,50 @@ def array_insights(spark, d):
     return P.array_insights(_grids(spark, d), "flat")
 
 
-def _report_sql(c: str) -> str:
-    if c in NUMERIC:
-        counts = f"(SELECT string_agg(count::VARCHAR, ',' ORDER BY bin) FROM ({HISTOGRAM}))"
-        return f"""SELECT '{{c}}' AS name, '{{t}}' AS type, count(*) AS entries, count(*) - count({{c}}) AS null_count,
-            count(DISTINCT {{c}}) + max(({{c}} IS NULL)::INT) AS unique_count, round(avg({{c}}), 5) AS mean, round(stddev_samp({{c}}), 5) AS stddev,
-            min({{c}})::DOUBLE AS min, max({{c}})::DOUBLE AS max, quantile_disc({{c}}, 0.25)::DOUBLE AS q1, quantile_disc({{c}}, 0.5)::DOUBLE AS median,
-            quantile_disc({{c}}, 0.75)::DOUBLE AS q3, {counts} AS hist_counts, '' AS top FROM gaps"""
-    top = "(SELECT string_agg(coalesce(v, 'NULL') || ':' || n, ',' ORDER BY n DESC, v NULLS FIRST) FROM (SELECT {c} AS v, count(*) AS n FROM gaps GROUP BY 1))"
-    unique, top = ("count(DISTINCT {c}) + max(({c} IS NULL)::INT)", top) if c in STRINGS else ("-1", "''")
-    return f"""SELECT '{{c}}', '{{t}}', count(*), count(*) - count({{c}}), {unique}, {', '.join(['NULL'] * 7)}, '', {top} FROM gaps"""
-
-
-@query("profile", with_("gaps", "SELECT * FROM (" + " UNION ALL ".join(_report_sql(c).replace("{c}", c).replace("{t}", GAPS[c]) for c in GAPS) + ")"))
+_LENGTHS = ("len_min", "len_max", "len_mean", "len_std")
+_VALUES = ("val_min", "val_max", "val_mean", "val_std", "val_median", "val_sparsity")
+_NOTHING = ", ".join(f"NULL::DOUBLE AS {n}" for n in (*_LENGTHS, *_VALUES))
+
+
+def _report_sql(c: str, kind: str, source: str) -> str:
+    """One row of the report; bins as their first, last and sum."""
+    if kind in ("bigint", "int", "double"):
+        counts = f"(SELECT string_agg(count::VARCHAR, ',' ORDER BY bin) FROM ({HISTOGRAM}))".replace("FROM gaps", f"FROM {source}")
+        return f"""SELECT '{c}' AS name, '{kind}' AS type, count(*) AS entries, count(*) - count({c}) AS null_count,
+            count(DISTINCT {c}) + max(({c} IS NULL)::INT) AS unique_count, round(avg({c}), 5) AS mean, round(stddev_samp({c}), 5) AS stddev,
+            min({c})::DOUBLE AS min, max({c})::DOUBLE AS max, quantile_disc({c}, 0.25)::DOUBLE AS q1, quantile_disc({c}, 0.5)::DOUBLE AS median,
+            quantile_disc({c}, 0.75)::DOUBLE AS q3, round(quantile_disc({c}, 0.75)::DOUBLE - quantile_disc({c}, 0.25)::DOUBLE, 5) AS iqr,
+            min({c})::DOUBLE AS first_bin, max({c})::DOUBLE AS last_bin, round(11 * (min({c})::DOUBLE + max({c})::DOUBLE) / 2, 3) AS sum_of_bins,
+            {counts} AS hist_counts, '' AS top, '' AS shape, {_NOTHING} FROM {source}""".replace("{c}", c)
+    top = f"(SELECT string_agg(coalesce(v, 'NULL') || ':' || n, ',' ORDER BY n DESC, v NULLS FIRST) FROM (SELECT {c} AS v, count(*) AS n FROM {source} GROUP BY 1))"
+    unique, top = (f"count(DISTINCT {c}) + max(({c} IS NULL)::INT)", top) if kind == "string" else ("-1", "''")
+    common = f"SELECT '{c}', '{kind}', count(*), count(*) - count({c}), {unique}, {', '.join(['NULL'] * 11)}, '', {top}"
+    if not kind.startswith("array"):
+        return f"{common}, '', {_NOTHING} FROM {source}"
+    # both arrays hold the same values, the grid in rows of eight
+    shape, share = ("len(any_value(flat))::VARCHAR", "") if c == "flat" else ("(len(any_value(flat)) // 8)::VARCHAR || 'x8'", " // 8")
+    n, v = f"len(flat){share}", f"(SELECT {{}} FROM (SELECT unnest(flat)::DOUBLE AS v FROM {source}))"
+    lengths = f"min({n}), max({n}), avg({n}), stddev_samp({n})"
+    values = [v.format(e) for e in ("round(min(v), 5)", "round(max(v), 5)", "round(avg(v), 5)", "round(stddev_pop(v), 5)", "round(quantile_cont(v, 0.5), 5)", "avg((v = 0)::INT)")]
+    return f"{common}, {shape}, {lengths}, {', '.join(values)} FROM {source}".replace(f"count({c})", "count(flat)")
+
+
+_REPORTS = [_report_sql(c, t, "gaps") for c, t in GAPS.items()]
+_REPORTS += [_report_sql(c, t, "grids") for c, t in (("vec_id", "bigint"), ("flat", "array<float>"), ("grid", "array<array<double>>"))]
+
+
+@query("profile", with_("gaps", " UNION ALL ".join(_REPORTS), grids=GRIDS))
 def profile(spark, d):
-    """The whole report at rank error 0, with its arrays written out as text."""
-    report = P.profile(inputs.gaps(spark, d), relative_error=0)
+    """The whole report at rank error 0, of a plain table and of one with arrays; lists are written out as text."""
+    report = P.profile(inputs.gaps(spark, d), relative_error=0).unionByName(P.profile(_grids(spark, d), relative_error=0))
     top = F.transform("top_categories", lambda x: F.concat_ws(":", F.coalesce(x["value"], F.lit("NULL")), x["count"].cast("string")))
+    bins = F.col("hist_bins")
     return rounded(report.select(
         "name", "type", "entries", "null_count", F.coalesce("unique_count", F.lit(-1)).alias("unique_count"), "mean", "stddev", "min", "max",
-        "q1", "median", "q3", F.concat_ws(",", F.col("hist_counts").cast("array<string>")).alias("hist_counts"), F.concat_ws(",", top).alias("top"),
+        "q1", "median", "q3", "iqr", bins[0].alias("first_bin"), F.element_at(bins, -1).alias("last_bin"),
+        F.round(F.aggregate(bins, F.lit(0.0), lambda a, x: a + x), 3).alias("sum_of_bins"),
+        F.concat_ws(",", F.col("hist_counts").cast("array<string>")).alias("hist_counts"), F.concat_ws(",", top).alias("top"),
+        F.concat_ws("x", F.col("shape").cast("array<string>")).alias("shape"), *[F.col(n).cast("double") for n in (*_LENGTHS, *_VALUES)],
     ), 5)
 
 

@@ -27,7 +27,8 @@ TRACKED = 1_000
 SHOWN_CHARS = 50
 _LONG = "\x1f"
 SKETCHES = ("quantiles", "distinct", "texts")
-CELL = "struct<slot: int, missing: boolean, x: double, key: bigint, text: string, length: int, shape: array<int>>"
+#: A cell's fields beyond slot, missing and x; those that no column needs are left out of the cells.
+EXTRAS = {"key": "bigint", "text": "string", "length": "int", "shape": "array<int>"}
 MOMENTS = ("x", "length")
 
 
@@ -75,45 +76,61 @@ def parts_of(df: DataFrame) -> list[tuple[int, str, str, str]]:
     return rows + [(len(rows) + i, c, type_of(df, c).simpleString(), "values") for i, c in enumerate(inner)]
 
 
-def _value_cell(slot: int):
-    none = F.lit(None)
-    return lambda v: F.struct(F.lit(slot), v.isNull(), v.cast("double"), none, none, none, none).cast(CELL)
+def _extras(df: DataFrame, distinct: bool, texts: bool) -> dict[str, str]:
+    wanted = {"key": distinct, "text": texts and bool(string_columns(df)), "length": bool(array_columns(df)), "shape": bool(array_columns(df))}
+    return {n: k for n, k in EXTRAS.items() if wanted[n]}
 
 
-def _cells(df: DataFrame, distinct: bool, texts: bool) -> Column:
+def _cell(extras: dict[str, str], slot: int, missing: Column, x: Column | None = None, **more: Column | None) -> Column:
+    cells = {n: more.get(n) for n in extras}
+    return F.struct(
+        F.lit(slot).alias("slot"), missing.alias("missing"), F.lit(None).cast("double").alias("x") if x is None else x.cast("double").alias("x"),
+        *[(F.lit(None) if e is None else e).cast(extras[n]).alias(n) for n, e in cells.items()],
+    )
+
+
+def _value_cell(extras: dict[str, str], slot: int):
+    return lambda v: _cell(extras, slot, v.isNull(), v)
+
+
+def _cells(df: DataFrame, distinct: bool, extras: dict[str, str]) -> Column:
     numbers, strings, arrays = set(numeric_columns(df)), set(string_columns(df)), set(array_columns(df))
-    none = F.lit(None)
     cells, lists = [], []
     for slot, c, _, part in parts_of(df):
         if part == "values":
-            lists.append(F.coalesce(F.transform(flat_values(df, c), _value_cell(slot)), F.array().cast(f"array<{CELL}>")))
+            lists.append(F.coalesce(F.transform(flat_values(df, c), _value_cell(extras, slot)), F.array()))
             continue
         kind = type_of(df, c)
-        key = F.xxhash64(q(c).cast(class_of(kind))) if distinct and c in numbers | strings else none
-        cells.append(F.struct(
-            F.lit(slot), q(c).isNull(), q(c).cast("double") if c in numbers else none, F.when(q(c).isNotNull(), key), shown_text(q(c)) if texts and c in strings else none,
-            F.when(q(c).isNotNull(), F.size(q(c))) if c in arrays else none, row_shape(q(c), depth(kind)) if c in arrays else none,
-        ).cast(CELL))
-    return F.concat(F.array(*cells), *lists)
+        cells.append(_cell(
+            extras, slot, q(c).isNull(), q(c) if c in numbers else None,
+            key=F.when(q(c).isNotNull(), F.xxhash64(q(c).cast(class_of(kind)))) if distinct and c in numbers | strings else None,
+            text=shown_text(q(c)) if c in strings else None,
+            length=F.when(q(c).isNotNull(), F.size(q(c))) if c in arrays else None, shape=row_shape(q(c), depth(kind)) if c in arrays else None,
+        ))
+    return F.concat(F.array(*cells), *lists) if lists else F.array(*cells)
 
 
 def profile_state(df: DataFrame, distinct: bool = True, texts: bool = True) -> DataFrame:
     """State of a table, from one scan; ``distinct`` and ``texts`` can be left out where exact counts follow anyway."""
-    cell = df.select(F.explode(_cells(df, distinct, texts)).alias("c")).select("c.*")
-    x = F.when(~F.isnan("x"), F.col("x"))
-    clean = cell.select("slot", "missing", x.alias("x"), (F.col("x").isNotNull() & F.isnan("x")).alias("nan"), "key", "text", "length", "shape")
-    measures = [
-        F.count(F.lit(1)).alias("entries"), F.count_if("missing").alias("null_count"), F.count_if("nan").alias("nans"), F.count_if(F.col("x") == 0).alias("zeros"),
-        F.any_value("shape", F.lit(True)).alias("shape"),
-    ]
-    for m in MOMENTS:
+    extras = _extras(df, distinct, texts)
+    cell = df.select(F.explode(_cells(df, distinct, extras)).alias("c")).select("c.*")
+    nan = F.col("x").isNotNull() & F.isnan("x")
+    clean = cell.select("slot", "missing", F.when(~nan, F.col("x")).alias("x"), nan.alias("nan"), *extras)
+    measures = [F.count(F.lit(1)).alias("entries"), F.count_if("missing").alias("null_count"), F.count_if("nan").alias("nans"), F.count_if(F.col("x") == 0).alias("zeros")]
+    if "shape" in extras:
+        measures.append(F.any_value("shape", F.lit(True)).alias("shape"))
+    moments = [m for m in MOMENTS if m == "x" or m in extras]
+    for m in moments:
         measures += [F.count(m).alias(f"{m}_n"), F.avg(m).alias(f"{m}_mean"), (F.var_pop(m) * F.count(m)).alias(f"{m}_m2"), F.min(m).cast("double").alias(f"{m}_min"), F.max(m).cast("double").alias(f"{m}_max")]
     measures.append(F.kll_sketch_agg_double("x", QUANTILE_SIZE).alias("quantiles"))
     if distinct:
         measures.append(F.hll_sketch_agg("key", DISTINCT_BITS).alias("distinct"))
     if texts:
-        measures.append(F.expr(f"approx_top_k_accumulate(text, {TRACKED})").alias("texts"))
+        text = "text" if "text" in extras else "CAST(NULL AS STRING)"
+        measures.append(F.expr(f"approx_top_k_accumulate({text}, {TRACKED})").alias("texts"))
     found = clean.groupBy("slot").agg(*measures)
+    for n in [] if "shape" in extras else ["shape", "length_n", *[f"length_{k}" for k in ("mean", "m2", "min", "max")]]:
+        found = found.withColumn(n, F.lit(None).cast({"shape": "array<int>", "length_n": "bigint"}.get(n, "double")))
     names = df.sparkSession.createDataFrame(parts_of(df), "slot int, name string, type string, part string")
     state = names.join(found, "slot", "left")
     counts = ["entries", "null_count", "nans", "zeros", *[f"{m}_n" for m in MOMENTS]]
