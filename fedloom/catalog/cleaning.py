@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.vectors import parse_vector, reshape
+from ..functions.vectors import parse_vector, reshape_or_keep
 from ..operators import clean, encode, fill, rounds, scale
 from . import inputs
 from .inputs import table
@@ -244,13 +244,18 @@ def parse_vector_string(spark, d):
     return vector.selectExpr("l_orderkey", "l_linenumber", "v[0] AS a", "v[1] AS b", "v[2] AS c", "size(v) AS size")
 
 
-@query("reshape_vector", """SELECT vec_id, ((k - 1) // 16)::INTEGER AS i, ((k - 1) // 4 % 4)::INTEGER AS j, ((k - 1) % 4)::INTEGER AS l,
-    round(embedding[k]::DOUBLE, 6) AS value FROM embeddings, unnest(range(1, 65)) r(k)""")
+@query("reshape_vector", """WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 3 THEN embedding[1:50] ELSE embedding END AS e FROM embeddings),
+    c AS (SELECT vec_id, len(e) = 64 AS fits, unnest(range(1, len(e) + 1)) AS k, unnest(e)::DOUBLE AS value FROM v)
+    SELECT vec_id, CASE WHEN fits THEN (k - 1) // 16 ELSE -1 END::INTEGER AS i, CASE WHEN fits THEN (k - 1) // 4 % 4 ELSE -1 END::INTEGER AS j,
+    CASE WHEN fits THEN (k - 1) % 4 ELSE k - 1 END::INTEGER AS l, round(value, 6) AS value FROM c""")
 def reshape_vector(spark, d):
-    cube = table(spark, d, "embeddings").select("vec_id", reshape(F.col("embedding").cast("array<double>"), [4, 4, 4]).alias("cube"))
-    planes = cube.select("vec_id", F.posexplode("cube").alias("i", "plane"))
+    """Vectors of 64 numbers as cubes; every seventh is too short and stays flat."""
+    given = F.expr("CASE WHEN vec_id % 7 = 3 THEN slice(embedding, 1, 50) ELSE embedding END").cast("array<double>")
+    both = table(spark, d, "embeddings").select("vec_id", reshape_or_keep(given, [4, 4, 4]).alias("r")).select("vec_id", "r.*")
+    planes = both.select("vec_id", F.posexplode("shaped").alias("i", "plane"))
     lines = planes.select("vec_id", "i", F.posexplode("plane").alias("j", "line"))
-    return rounded(lines.select("vec_id", "i", "j", F.posexplode("line").alias("l", "value")))
+    flat = both.select("vec_id", F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.posexplode("flat").alias("l", "value"))
+    return rounded(lines.select("vec_id", "i", "j", F.posexplode("line").alias("l", "value")).unionByName(flat))
 
 
 @query("task_type_detect", """SELECT 'l_linenumber' AS target, (count(DISTINCT l_linenumber) <= 20 AND bool_and(l_linenumber = floor(l_linenumber))) AS discrete FROM lineitem

@@ -53,11 +53,14 @@ def weighted_prf(spark, d):
     return rounded(M.weighted_prf(inputs.class_pairs(spark, d)))
 
 
+#: The classes of the given events.
+EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
+
+
 @query("confusion_matrix", with_("class_pairs", """SELECT a.label, b.label AS prediction, (SELECT count(*) FROM class_pairs c WHERE c.label = a.label AND c.prediction = b.label) AS count
     FROM (SELECT DISTINCT label FROM class_pairs) a, (SELECT DISTINCT label FROM class_pairs) b"""))
 def confusion_matrix(spark, d):
-    pairs = inputs.class_pairs(spark, d)
-    return M.confusion_matrix(pairs, classes=sorted(r[0] for r in pairs.select("label").distinct().collect()))
+    return M.confusion_matrix(inputs.class_pairs(spark, d), classes=EVENT_TYPES)
 
 
 AUC = """(sum(r) FILTER (label = 1) - count(*) FILTER (label = 1) * (count(*) FILTER (label = 1) + 1) / 2)

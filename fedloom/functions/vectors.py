@@ -23,6 +23,15 @@ def reshape(flat: Column, shape: Sequence[int]) -> Column:
     return F.when(flat.isNull(), None).when(F.size(flat) == prod(shape), nested).otherwise(misfit.cast(kind))
 
 
+def reshape_or_keep(flat: Column, shape: Sequence[int]) -> Column:
+    """``struct<flat, shaped>``: the nested array where the length fits the shape, otherwise the vector as it is.
+
+    One of the two is NULL, so a column of one type holds both; NULL gives two NULLs.
+    """
+    fits = F.size(flat) == prod(shape)
+    return F.struct(F.when(~fits, flat).alias("flat"), F.when(fits, _nest(flat, list(shape))).alias("shaped"))
+
+
 def _nest(flat: Column, shape: list[int]) -> Column:
     if len(shape) == 1:
         return flat

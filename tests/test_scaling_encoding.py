@@ -6,7 +6,7 @@ from pyspark.ml.feature import MinMaxScaler, Normalizer, StandardScaler, StringI
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from fedloom.functions.vectors import parse_vector, reshape
+from fedloom.functions.vectors import parse_vector, reshape, reshape_or_keep
 from fedloom.operators import encode, scale
 
 
@@ -136,3 +136,9 @@ def test_task_types(spark):
         assert encode.task_type(spark.range(1000).selectExpr(f"id % {values} AS y"), "y") == kind
     for values, kind in ((100, "classification"), (101, "regression")):
         assert encode.task_type_network(spark.range(1000).selectExpr(f"id % {values} AS y"), "y") == kind
+
+
+def test_vectors_that_do_not_fit_stay_flat(spark):
+    df = spark.createDataFrame([([1.0, 2.0, 3.0, 4.0],), ([1.0],), (None,)], "v array<double>")
+    got = [tuple(r[0]) if r[0] else None for r in df.select(reshape_or_keep(F.col("v"), [2, 2])).collect()]
+    assert got == [(None, [[1.0, 2.0], [3.0, 4.0]]), ([1.0], None), (None, None)]
