@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import metrics as M
 from ..operators import federated as A
 from ..operators import models, pricing, reports, rounds, scoring
+from ..operators import trees as T
 from . import evaluation as E
 from . import inputs
 from .inputs import table
@@ -310,8 +311,87 @@ def _tree_query(key: str, train, sql: str | None = None) -> None:
 
 # more bins than values, so every cut between two values is tried
 _tree_query("decision_tree", lambda rows: models.decision_tree(rows, FEATURES, "high", maxDepth=4, maxBins=64, seed=7), _tree_sql(4))
-_tree_query("random_forest", lambda rows: models.random_forest(rows, FEATURES, "price", "regression", numTrees=8, maxDepth=4, seed=7))
-_tree_query("gradient_boosting", lambda rows: models.gradient_boosting(rows, FEATURES, "price", maxIter=5, maxDepth=3, seed=7))
+
+def _grown_sql(first: str, depth: int, ridge: float, rate: float, tried: int, label: str) -> dict[str, str]:
+    """Trees of ``first`` (tree, node, inputs, g, h) grown level by level, as tables of splits and leaves."""
+    parts = {f"{label}c0": first}
+    cells = ", ".join(FEATURES)
+    for level in range(depth):
+        c, long = f"{label}c{level}", []
+        for i, name in enumerate(FEATURES):
+            long.append(f"SELECT tree, node, {i} AS f, {name} AS v, sum(g) AS g, sum(h) AS h FROM {c} GROUP BY ALL")
+        run = f"""SELECT tree, node, f, v, sum(g) OVER upto AS gl, sum(h) OVER upto AS hl, sum(g) OVER own AS g, sum(h) OVER own AS h FROM ({' UNION ALL '.join(long)})
+            WINDOW upto AS (PARTITION BY tree, node, f ORDER BY v), own AS (PARTITION BY tree, node, f)"""
+        gain = f"round(gl * gl / (hl + {ridge}) + (g - gl) ** 2 / (h - hl + {ridge}) - g * g / (h + {ridge}), 6)"
+        parts[f"{label}s{level}"] = f"""SELECT tree, node, f, v, gain FROM (SELECT *, {gain} AS gain FROM ({run}) WHERE hl >= 1 AND h - hl >= 1)
+            WHERE gain > 0 AND f IN (SELECT x FROM (SELECT unnest(range(0, {len(FEATURES)})) AS x) ORDER BY md5(tree || ':' || node || ':' || x) LIMIT {tried})
+            QUALIFY row_number() OVER (PARTITION BY tree, node ORDER BY gain DESC, f, v) = 1"""
+        side = " ".join(f"WHEN f = {i} AND {name} > v THEN 1" for i, name in enumerate(FEATURES))
+        parts[f"{label}c{level + 1}"] = f"SELECT tree, 2 * node + CASE {side} ELSE 0 END AS node, {cells}, g, h FROM {c} JOIN {label}s{level} USING (tree, node)"
+    ends = [f"SELECT * FROM {label}c{depth}"] + [f"SELECT * FROM {label}c{level} ANTI JOIN {label}s{level} USING (tree, node)" for level in range(depth)]
+    parts[f"{label}ends"] = " UNION ALL ".join(ends)
+    parts[f"{label}leaves"] = f"SELECT tree, node, -sum(g) / (sum(h) + {ridge}) * {rate} AS value FROM {label}ends GROUP BY tree, node"
+    parts[f"{label}splits"] = " UNION ALL ".join(f"SELECT * FROM {label}s{level}" for level in range(depth))
+    return parts
+
+
+def _nodes_sql(label: str, tree: str = "tree") -> list[str]:
+    names = "['" + "', '".join(FEATURES) + "']"
+    return [
+        f"SELECT 'split' AS kind, {tree} AS tree, node, {names}[f + 1] AS input, round(v, 6) AS cut, round(gain, 3) AS value FROM {label}splits",
+        f"SELECT 'leaf', {tree}, node, '', NULL, round(value, 6) + 0.0 FROM {label}leaves",
+    ]
+
+
+def _shown_trees(spark, trees, errors):
+    """Nodes and leaves as rows, and errors beside them."""
+    rows = []
+    for t, tree in enumerate(trees):
+        rows += [("split", t, n, FEATURES[i], round(cut, 6), round(tree.gains[n], 3)) for n, (i, cut) in tree.splits.items()]
+        rows += [("leaf", t, n, "", None, round(v, 6) + 0.0) for n, v in tree.leaves.items()]
+    rows += [("error", t, 0, "", None, round(e, 6)) for t, e in enumerate(errors)]
+    return spark.createDataFrame(rows, "kind string, tree int, node int, input string, cut double, value double")
+
+
+def _boosting_sql(trees: int, depth: int, rate: float) -> str:
+    cells = ", ".join(f"{c}::DOUBLE AS {c}" for c in FEATURES)
+    parts = {"m0": f"""SELECT {cells}, count(*)::DOUBLE AS n, sum({LINE_Y}) AS sy, sum(({LINE_Y}) ** 2) AS syy, (SELECT avg({LINE_Y}) FROM lineitem) AS m FROM lineitem GROUP BY ALL"""}
+    rows = []
+    for t in range(trees):
+        parts |= _grown_sql(f"SELECT {t} AS tree, 1 AS node, {', '.join(FEATURES)}, n * m - sy AS g, n AS h FROM m{t}", depth, 1.0, rate, len(FEATURES), f"t{t}")
+        parts[f"m{t + 1}"] = f"SELECT {', '.join('a.' + c for c in FEATURES)}, n, sy, syy, m + value AS m FROM m{t} a JOIN t{t}ends e USING ({', '.join(FEATURES)}) JOIN t{t}leaves USING (tree, node)"
+        rows += _nodes_sql(f"t{t}")
+    rows += [f"SELECT 'error', {t}, 0, '', NULL, round(sum(syy - 2 * m * sy + n * m * m) / sum(n), 6) FROM m{t}" for t in range(trees + 1)]
+    return with_(" UNION ALL ".join(rows), **parts).replace(" AS (SELECT", " AS MATERIALIZED (SELECT")
+
+
+@query("gradient_boosting", _boosting_sql(3, 3, 0.3))
+def gradient_boosting(spark, d):
+    fitted = T.boosted_trees(labelled(spark, d), FEATURES, "price", trees=3, depth=3, rate=0.3)
+    return _shown_trees(spark, fitted.trees, fitted.errors)
+
+
+BAG_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+
+
+def _forest_sql(trees: int, depth: int, tried: int) -> str:
+    bits = f"('0x' || md5({' || chr(58) || '.join(c + '::VARCHAR' for c in BAG_KEY)} || ':' || tree)[1:8])::BIGINT / {float(1 << 32)}"
+    weight = " + ".join(f"({bits} >= {p!r}::DOUBLE)::INTEGER" for p in T.POISSON)
+    cells = ", ".join(FEATURES)
+    parts = {
+        "drawn": f"SELECT row, tree, {', '.join(f'{c}::DOUBLE AS {c}' for c in FEATURES)}, {LINE_Y} AS y, {weight} AS w FROM (SELECT *, row_number() OVER () AS row FROM lineitem), (SELECT unnest(range(0, {trees}))::INTEGER AS tree)",
+        **_grown_sql(f"SELECT tree, 1 AS node, {cells}, -sum(w * y) AS g, sum(w)::DOUBLE AS h FROM drawn GROUP BY ALL", depth, 0.0, 1.0, tried, "b"),
+        "guess": f"SELECT row, any_value(y) AS y, avg(value) AS m FROM drawn JOIN bends USING (tree, {cells}) JOIN bleaves USING (tree, node) WHERE w = 0 GROUP BY row",
+    }
+    rows = [*_nodes_sql("b"), "SELECT 'error', 0, 0, '', NULL, round(avg((y - m) ** 2), 6) FROM guess"]
+    return with_(" UNION ALL ".join(rows), **parts).replace(" AS (SELECT", " AS MATERIALIZED (SELECT")
+
+
+@query("random_forest", _forest_sql(4, 3, 2))
+def random_forest(spark, d):
+    rows = table(spark, d, "lineitem").selectExpr(*BAG_KEY, *FEATURES, f"{LINE_Y} AS price")
+    fitted = T.bagged_trees(rows, FEATURES, "price", BAG_KEY, trees=4, depth=3, tried=2)
+    return _shown_trees(spark, fitted.trees, [fitted.error])
 
 
 @query("mlp_classifier")

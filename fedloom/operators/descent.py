@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import array_literal, dot
-from ..session import materialize
+from ..session import materialize, spread
 from .columns import fit, q
 from .scoring import MARGIN_LIMIT, sigmoid
 
@@ -145,7 +145,7 @@ def federated_descent(train: DataFrame, client: str, inputs: Sequence[str], labe
         return df.select(*kept, F.array(*cells, F.lit(1.0)).alias("x"), q(label).cast("double").alias("y"))
 
     gap = F.count_if(F.exists("x", lambda v: _missing(v)) | _missing(F.col("y")))
-    rows = materialize(slim(train, q(client).alias("client")))
+    rows = materialize(spread(slim(train, q(client).alias("client"))))
     gaps, clients = rows.agg(gap, F.approx_count_distinct("client")).first()
     _refuse(gaps, "training rows")
     held_out = slim(test)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions.metrics import argmax_class, metrics_report, sign_class
 from ..functions.vectors import array_literal, dot
-from ..session import materialize
+from ..session import materialize, spread
 from .columns import as_double, q
 from .descent import descend, federated_descent, federated_rounds, linear_gd, moment_sums  # noqa: F401
 from .scoring import landmark_features, pick_landmarks, score_svm
@@ -94,7 +94,7 @@ def _train(kind: str, df: DataFrame, inputs: Sequence[str], label: str, stages:
     written once to the shared folder.  Rows with a NULL or NaN are refused:
     they would be missing from the fit and fail in ``predict``.
     """
-    slim = materialize(df.select(*[as_double(df, c).alias(c) for c in inputs], q(label).cast("double").alias(label)))
+    slim = materialize(spread(df.select(*[as_double(df, c).alias(c) for c in inputs], q(label).cast("double").alias(label))))
     gaps = slim.agg(F.count_if(reduce(or_, [q(c).isNull() | F.isnan(q(c)) for c in slim.columns]))).first()[0]
     if gaps:
         raise ValueError(f"{gaps} rows have a NULL or NaN in {[*inputs, label]}; fill or drop them first")
@@ -163,7 +163,7 @@ def landmark_svm(df: DataFrame, features: str, label: str, key: str, landmarks:
     chosen = pick_landmarks(df, features, key, landmarks)
     kernel = kernel or {"kernel": "rbf", "gamma": 1.0}
     vectors = array_to_vector(landmark_features(q(features), chosen, **kernel))
-    table = materialize(df.select(vectors.alias(FEATURES), q(label).cast("double").alias(label)))
+    table = materialize(spread(df.select(vectors.alias(FEATURES), q(label).cast("double").alias(label))))
     svc = C.LinearSVC(featuresCol=FEATURES, labelCol=label, **options)
     stage = svc if binary else C.OneVsRest(classifier=svc, featuresCol=FEATURES, labelCol=label, parallelism=MODELS_AT_ONCE)
     return LandmarkModel(features, label, chosen, kernel, stage.fit(table))

@@ -55,3 +55,9 @@ def materialize(df: DataFrame) -> DataFrame:
     """Compute ``df`` once and cut its lineage through a reliable checkpoint."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores before it is stored for many readings, if its files give fewer partitions than that."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
