@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics as M
 from ..operators import federated as A
+from ..operators import hinge as H
 from ..operators import models, pricing, reports, rounds, scoring
+from ..operators import network as N
 from ..operators import trees as T
 from . import evaluation as E
 from . import inputs
@@ -139,6 +141,8 @@ def required_sample_size(spark, d):
 # --- training --------------------------------------------------------------------
 
 FEATURES = ["l_quantity", "l_discount", "l_tax"]
+#: The same inputs at one size.
+SCALED = {"quantity": "l_quantity / 50", "discount": "l_discount * 10", "tax": "l_tax * 10"}
 
 
 @query("linear_regression", "SELECT round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 2) AS intercept FROM lineitem")
@@ -230,12 +234,67 @@ def logistic_regression(spark, d):
     return report.select("metric", "value").unionByName(spark.createDataFrame(weights, "metric string, value double"))
 
 
-@query("linear_svm")
+def _hinge_sql(label: str, rows: str, inputs: list[str], classes: list[int], ridge: float, rate: float, steps: int) -> tuple[dict[str, str], list[str]]:
+    """Subgradient steps of every margin, and its primal and dual value, on a table of inputs and ``label``."""
+    names, parts, out = [*inputs, "1.0::DOUBLE"], {}, []
+    k = len(inputs)
+    margin = " + ".join(f"w{i} * {x}" for i, x in enumerate(names))
+    w = ", ".join(f"w{i}" for i in range(k + 1))
+    for c in classes[1:] if len(classes) == 2 else classes:
+        side, own = f"(CASE WHEN label = {c} THEN 1.0::DOUBLE ELSE -1.0 END)", f"{label}_{c}_"
+        parts[f"{own}0"] = f"SELECT {', '.join(f'0.0::DOUBLE AS w{i}' for i in range(k + 1))}"
+        for t in range(1, steps + 1):
+            inside = f"{side} * ({margin}) < 1"
+            moved = [f"w{i} - {rate / t ** 0.5!r}::DOUBLE * ({f'{ridge} * w{i}' if i < k else '0'} - sum(CASE WHEN {inside} THEN {side} * {x} ELSE 0 END) / count(*)) AS w{i}" for i, x in enumerate(names)]
+            parts[f"{own}{t}"] = f"SELECT {', '.join(moved)} FROM {rows}, {own}{t - 1} GROUP BY {w}"
+        short = "s * z < 1"
+        sums = ", ".join(f"coalesce(sum({x}) FILTER (s > 0 AND {short}), 0) AS p{i}, coalesce(sum({x}) FILTER (s < 0 AND {short}), 0) AS m{i}" for i, x in enumerate(inputs))
+        parts[f"{own}sums"] = f"""SELECT {w}, count(*)::DOUBLE AS n, avg(greatest(0, 1 - s * z)) AS loss, count(*) FILTER (s > 0 AND {short})::DOUBLE AS p, count(*) FILTER (s < 0 AND {short})::DOUBLE AS m, {sums}
+            FROM (SELECT *, {side} AS s, {margin} AS z FROM {rows}, {own}{steps}) GROUP BY {w}"""
+        pull = " + ".join(f"((least(p, m) / p * p{i} - least(p, m) / m * m{i}) / ({ridge} * n)) ** 2" for i in range(k))
+        norm = " + ".join(f"w{i} * w{i}" for i in range(k))
+        parts[f"{own}value"] = f"""SELECT *, primal - dual AS gap FROM (SELECT *, share * mass - share * share * {ridge} / 2 * size AS dual FROM (SELECT *, least(1, mass / ({ridge} * size)) AS share
+            FROM (SELECT *, {ridge} / 2 * ({norm}) + loss AS primal, 2 * least(p, m) / n AS mass, {pull} AS size FROM {own}sums)))"""
+        out += [f"SELECT '{label}' AS target, {c} AS class, '{n}' AS name, round({e}, 6) + 0.0 AS value FROM {own}value" for n, e in
+            [("primal", "primal"), ("dual", "dual"), ("gap", "gap"), *((f"w{i}", f"w{i}") for i in range(k)), ("bias", f"w{k}")]]
+    return parts, out
+
+
+def _certified(spark, target, classes, weights, certificates):
+    """Primal, dual, gap and weights of each margin as rows."""
+    rows = []
+    for c, w, held in zip(classes[1:] if len(classes) == 2 else classes, weights, certificates):
+        values = {"primal": held.primal, "dual": held.dual, "gap": held.gap} | {f"w{i}": v for i, v in enumerate(w[:-1])} | {"bias": w[-1]}
+        rows += [(target, c, n, round(v, 6) + 0.0) for n, v in values.items()]
+    return spark.createDataFrame(rows, "target string, class int, name string, value double")
+
+
+def _svm_sql(steps: int) -> str:
+    scaled = ", ".join(f"({e})::DOUBLE AS {n}" for n, e in SCALED.items())
+    parts, out = {}, []
+    for target, e, classes in SVM_TARGETS:
+        parts[f"{target}_rows"] = f"SELECT {scaled}, {e} AS label FROM lineitem"
+        more, rows = _hinge_sql(target, f"{target}_rows", list(SCALED), classes, 0.01, 1.0, steps)
+        parts, out = parts | more, out + rows
+    return with_(" UNION ALL ".join(out), **parts).replace(" AS (SELECT", " AS MATERIALIZED (SELECT")
+
+
+SVM_TARGETS = [
+    ("dear", "CASE WHEN l_extendedprice > 50000 THEN 1 ELSE 0 END", [0, 1]),
+    ("band", "CASE WHEN l_extendedprice < 30000 THEN 0 WHEN l_extendedprice < 70000 THEN 1 ELSE 2 END", [0, 1, 2]),
+]
+SVM_STEPS = 8
+
+
+@query("linear_svm", _svm_sql(SVM_STEPS))
 def linear_svm(spark, d):
-    rows = labelled(spark, d)
-    two = models.linear_svm(rows, FEATURES, "dear", maxIter=10).evaluate(rows, CLASS_METRICS)
-    three = models.linear_svm(rows, FEATURES, "band", binary=False, maxIter=10).evaluate(rows, CLASS_METRICS, average="weighted")
-    return two.withColumn("target", F.lit("dear")).unionByName(three.withColumn("target", F.lit("band")))
+    """Weights of two and of three classes after some steps, each margin with its primal and dual value and the gap."""
+    rows = table(spark, d, "lineitem").selectExpr(*[f"{e} AS {n}" for n, e in SCALED.items()], *[f"{e} AS {n}" for n, e, _ in SVM_TARGETS])
+    done = []
+    for target, _, classes in SVM_TARGETS:
+        m = H.linear_hinge(rows, list(SCALED), target, classes, ridge=0.01, rate=1.0, steps=SVM_STEPS)
+        done.append(_certified(spark, target, classes, [[*w, b] for w, b in zip(m.weights, m.biases)], m.certificates))
+    return reduce(DataFrame.unionByName, done)
 
 
 LANDMARKS = 6
@@ -259,12 +318,25 @@ def landmark_features(spark, d):
     return rounded(out.select("vec_id", "k", *[F.col("z").getField(n).alias(n) for n in KERNELS]), 5)
 
 
-@query("landmark_svm")
+def _landmark_sql(steps: int) -> str:
+    names = [f"k{i}" for i in range(LANDMARKS)]
+    near = ", ".join(f"exp(-0.5 * list_distance(v, (SELECT v FROM l WHERE k = {i})) ** 2) AS k{i}" for i in range(LANDMARKS))
+    parts = {
+        "l": f"SELECT (row_number() OVER (ORDER BY md5(vec_id::VARCHAR), vec_id) - 1)::INTEGER AS k, embedding::DOUBLE[] AS v FROM embeddings ORDER BY md5(vec_id::VARCHAR), vec_id LIMIT {LANDMARKS}",
+        "near": f"SELECT {near}, label % 2 AS label FROM (SELECT embedding::DOUBLE[] AS v, label FROM embeddings)",
+    }
+    more, rows = _hinge_sql("even", "near", names, [0, 1], 0.01, 1.0, steps)
+    return with_(" UNION ALL ".join(rows), **parts, **more).replace(" AS (SELECT", " AS MATERIALIZED (SELECT")
+
+
+@query("landmark_svm", _landmark_sql(6))
 def landmark_svm(spark, d):
-    rows = table(spark, d, "embeddings").withColumn("even", (F.col("label") % 2).cast("double"))
-    model = models.landmark_svm(rows, "embedding", "even", "vec_id", landmarks=15, maxIter=20)
-    scored = model.predict(rows).select(F.col("even").alias("label"), "prediction")
-    return M.metrics_report(scored, CLASS_METRICS)
+    """Support vectors on kernels against landmark rows, with their certificate."""
+    rows = table(spark, d, "embeddings")
+    chosen = scoring.pick_landmarks(rows, "embedding", "vec_id", LANDMARKS)
+    near = scoring.landmark_features(F.col("embedding"), chosen, "rbf", gamma=0.5)
+    weights, held = H.kernel_hinge(rows, near, LANDMARKS, F.col("label") % 2, [0, 1], ridge=0.01, rate=1.0, steps=6)
+    return _certified(spark, "even", [0, 1], weights, held)
 
 
 def _tree_sql(depth: int) -> str:
@@ -394,12 +466,6 @@ def random_forest(spark, d):
     return _shown_trees(spark, fitted.trees, [fitted.error])
 
 
-@query("mlp_classifier")
-def mlp_classifier(spark, d):
-    rows = labelled(spark, d)
-    return models.mlp_classifier(rows, FEATURES, "band", hidden=[6], classes=3, maxIter=20, seed=7).evaluate(rows, ["accuracy"])
-
-
 # --- scoring -----------------------------------------------------------------------
 
 WEIGHTS, BIAS = [0.04, -2.0, 1.5], -0.9
@@ -469,6 +535,77 @@ def score_mlp(spark, d):
     return rounded(scored.select(*KEYS, "value", "class"))
 
 
+def _step_sql(label: str, target: str, activation: tuple[str, str], weights, biases, classes: int | None, rate: float) -> tuple[dict[str, str], list[str]]:
+    """One full-batch step of backpropagation from stated weights, unit by unit, with the loss before and after."""
+    value, slope = activation
+    cells = [f"({c} - {m}::DOUBLE) / {s}::DOUBLE" for c, m, s in zip(FEATURES, NET_MEAN, NET_SCALE)]
+    hidden, outs = len(weights[0][0]), len(weights[1][0])
+
+    def forward(weight, into: str, source: str) -> dict[str, str]:
+        z1 = ", ".join(f"{' + '.join(f'x{i} * {weight(0, i, j)}' for i in range(3))} + {weight(0, None, j)} AS z{j}" for j in range(hidden))
+        h = ", ".join(f"{value.format(z=f'z{j}')} AS h{j}" for j in range(hidden))
+        o = ", ".join(f"{' + '.join(f'h{j} * {weight(1, j, k)}' for j in range(hidden))} + {weight(1, None, k)} AS o{k}" for k in range(outs))
+        if classes:
+            total = " + ".join(f"exp(o{k})" for k in range(outs))
+            right = " + ".join(f"CASE WHEN y = {k} THEN o{k} ELSE 0 END" for k in range(outs))
+            back, loss = [f"exp(o{k}) / ({total}) - (y = {k})::INTEGER AS d{k}" for k in range(outs)], f"ln({total}) - ({right})"
+        else:
+            back, loss = ["o0 - y AS d0"], "(o0 - y) ** 2 / 2"
+        return {into: f"SELECT *, {', '.join(back)}, {loss} AS loss FROM (SELECT *, {o} FROM (SELECT *, {h} FROM (SELECT *, {z1} FROM {source})))"}
+
+    def given(layer: int, row, col: int) -> str:
+        return f"({biases[layer][col] if row is None else weights[layer][row][col]})::DOUBLE"
+
+    parts = {f"{label}x": f"SELECT {', '.join(f'{c} AS x{i}' for i, c in enumerate(cells))}, ({target})::DOUBLE AS y FROM lineitem"} | forward(given, f"{label}f", f"{label}x")
+    chained = [f"({' + '.join(f'{given(1, j, k)} * d{k}' for k in range(outs))}) * {slope.format(a=f'h{j}')}" for j in range(hidden)]
+    moved = {}
+    for j in range(hidden):
+        moved |= {f"w0_{i}_{j}": f"{given(0, i, j)} - {rate} * avg(x{i} * {chained[j]})" for i in range(3)} | {f"b0_{j}": f"{given(0, None, j)} - {rate} * avg({chained[j]})"}
+    for k in range(outs):
+        moved |= {f"w1_{j}_{k}": f"{given(1, j, k)} - {rate} * avg(h{j} * d{k})" for j in range(hidden)} | {f"b1_{k}": f"{given(1, None, k)} - {rate} * avg(d{k})"}
+    parts[f"{label}w"] = f"SELECT {', '.join(f'{e} AS {n}' for n, e in moved.items())}, avg(loss) AS loss FROM {label}f"
+    parts |= forward(lambda layer, row, col: f"b{layer}_{col}" if row is None else f"w{layer}_{row}_{col}", f"{label}g", f"(SELECT x.*, w.* EXCLUDE (loss) FROM {label}x x, {label}w w)")
+    rows = [f"SELECT '{label}' AS model, '{n}' AS name, round({n}, 6) + 0.0 AS value FROM {label}w" for n in moved]
+    rows += [f"SELECT '{label}', 'loss before', round(loss, 6) FROM {label}w", f"SELECT '{label}', 'loss after', round(avg(loss), 6) FROM {label}g"]
+    return parts, rows
+
+
+#: Per hidden activation: its SQL, its slope from its value, the target, classes or None, and which output units are kept.
+NET_STEPS = {
+    "tanh": (("tanh({z})", "(1 - {a} * {a})"), "CASE WHEN l_extendedprice < 30000 THEN 0 WHEN l_extendedprice < 70000 THEN 1 ELSE 2 END", 3),
+    "logistic": (("(1 / (1 + exp(-({z}))))", "{a} * (1 - {a})"), "CASE WHEN l_extendedprice < 30000 THEN 0 WHEN l_extendedprice < 70000 THEN 1 ELSE 2 END", 3),
+    "relu": (("greatest(0.0::DOUBLE, {z})", "({a} > 0)::INTEGER"), LINE_Y, None),
+    "identity": (("({z})", "1"), LINE_Y, None),
+}
+
+
+def _net_start(classes):
+    """The stated network, or its first output unit for a regression."""
+    last = slice(None) if classes else slice(0, 1)
+    return [NET[0], [row[last] for row in NET[1]]], [NET_BIASES[0], NET_BIASES[1][last]]
+
+
+def _mlp_sql() -> str:
+    parts, rows = {}, []
+    for name, (activation, target, classes) in NET_STEPS.items():
+        more, told = _step_sql(name, target, activation, *_net_start(classes), classes, 0.5)
+        parts, rows = parts | more, rows + told
+    return with_(" UNION ALL ".join(rows), **parts).replace(" AS (SELECT", " AS MATERIALIZED (SELECT")
+
+
+@query("mlp_classifier", _mlp_sql())
+def mlp_classifier(spark, d):
+    """One full-batch step of a classifier and of a regression with each activation, from stated weights."""
+    rows, told = labelled(spark, d), []
+    for name, (_, _, classes) in NET_STEPS.items():
+        label = "band" if classes else "price"
+        net = N.network(rows, FEATURES, label, [4], classes, name, rate=0.5, steps=1, start=_net_start(classes), scaling=(NET_MEAN, NET_SCALE))
+        for layer, (w, b) in enumerate(zip(net.weights, net.biases)):
+            told += [(name, f"w{layer}_{i}_{j}", w[i][j]) for i in range(w.shape[0]) for j in range(w.shape[1])] + [(name, f"b{layer}_{j}", v) for j, v in enumerate(b)]
+        told += [(name, "loss before", net.losses[0]), (name, "loss after", net.losses[1])]
+    return spark.createDataFrame([(m, n, round(float(v), 6) + 0.0) for m, n, v in told], "model string, name string, value double")
+
+
 IMPORTANCE = "l_quantity * 0.5 + l_discount * 0.3 + l_tax * 0.2"
 
 
@@ -514,8 +651,6 @@ def evaluate_model(spark, d):
     return reduce(DataFrame.unionByName, reports_).select("model", "metric", "value", "known")
 
 
-#: Inputs of one size, a price and a class to fit, the client of a row and whether it is held out.
-SCALED = {"quantity": "l_quantity / 50", "discount": "l_discount * 10", "tax": "l_tax * 10"}
 PLANE_STEPS = {"linear": ("price", 3, 0.1, {"mse": "avg((y - {z}) ** 2)", "mae": "avg(abs(y - {z}))"}), "logistic": ("high", 2, 0.5, {
     "log_loss": "-avg(y * ln({p} + 1e-15) + (1 - y) * ln(1 - {p} + 1e-15))", "accuracy": "avg((({p} >= 0.5) = (y >= 0.5))::INTEGER)"})}
 

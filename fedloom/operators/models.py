@@ -162,8 +162,13 @@ def landmark_svm(df: DataFrame, features: str, label: str, key: str, landmarks:
                  kernel: dict | None = None, **options) -> LandmarkModel:
     chosen = pick_landmarks(df, features, key, landmarks)
     kernel = kernel or {"kernel": "rbf", "gamma": 1.0}
-    vectors = array_to_vector(landmark_features(q(features), chosen, **kernel))
+    near = landmark_features(q(features), chosen, **kernel)
+    vectors = F.when(q(features).isNotNull() & ~F.exists(q(features), lambda v: v.isNull()), array_to_vector(near))
     table = materialize(spread(df.select(vectors.alias(FEATURES), q(label).cast("double").alias(label))))
+    bad = q(FEATURES).isNull() | F.exists(vector_to_array(FEATURES), lambda v: v.isNull() | F.isnan(v)) | q(label).isNull() | F.isnan(q(label))
+    gaps = table.agg(F.count_if(bad)).first()[0]
+    if gaps:
+        raise ValueError(f"{gaps} rows have a NULL or NaN in {[features, label]}; fill or drop them first")
     svc = C.LinearSVC(featuresCol=FEATURES, labelCol=label, **options)
     stage = svc if binary else C.OneVsRest(classifier=svc, featuresCol=FEATURES, labelCol=label, parallelism=MODELS_AT_ONCE)
     return LandmarkModel(features, label, chosen, kernel, stage.fit(table))
