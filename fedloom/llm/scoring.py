@@ -68,18 +68,39 @@ def _distinct(keys: list[np.ndarray], order: int) -> tuple[np.ndarray, np.ndarra
     return joined[head], np.diff(np.concatenate((head, [len(joined)])))
 
 
+def _placed(keys: list[np.ndarray], order: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Distinct keys in order, with the start contexts, and the place among them of each key and, last, of the start contexts.
+
+    The order of the one sort also tells the places: looking each n-gram up again would take four times as long.
+    """
+    parts = [*keys, starts(order)]
+    joined = np.concatenate(parts)
+    by = np.argsort(joined)
+    joined = joined[by]
+    head = np.concatenate(([True], joined[1:] != joined[:-1]))
+    place = np.empty(len(joined), np.int32)
+    place[by] = np.cumsum(head, dtype=np.int32) - np.int32(1)
+    return joined[head], np.split(place, np.cumsum([len(p) for p in parts])[:-1])
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
     """Block number and rows.  Rows of a kind fill one block after the other, in the order in which they are read."""
     held: dict[int, list] = {}
     for batch in batches:
         part, kind, text = (batch.column(c).to_pylist() for c in ("__part", "__kind", "__text"))
+        begun: dict[int, int] = {}  # where the run of rows of one kind and block began that may still grow
         for i, (p, k, t) in enumerate(zip(part, kind, text, strict=True)):
             own = held.setdefault(k, [0, 0, [], p])
             if own[1] and own[1] + len(t) > limit:
                 yield (own[3] * 3 + k << 20) + own[0], own[2]
                 own[0], own[1], own[2] = own[0] + 1, 0, []
+                begun.pop(k, None)
             own[1] += len(t)
-            own[2].append(batch.slice(i, 1))
+            if begun.get(k, -1) >= 0 and kind[i - 1] == k:
+                own[2][-1] = batch.slice(begun[k], i + 1 - begun[k])
+            else:
+                begun[k] = i
+                own[2].append(batch.slice(i, 1))
     for k, own in held.items():
         if own[2]:
             yield (own[3] * 3 + k << 20) + own[0], own[2]
@@ -97,7 +118,7 @@ def _totals(rows: DataFrame, order: int, shards: int, limit: int) -> DataFrame:
     """Answers of the shards: (block, shard, all, tuning, vocabulary, tokens); block -1 has the last two, the others the first.
 
     ``all`` and ``tuning`` are the counts, in all training documents and in the tuning fold, of the block's distinct
-    keys in the shard, in order.
+    keys in the shard, in order; ``tuning`` is told to blocks of that fold only.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,14 +146,14 @@ def _totals(rows: DataFrame, order: int, shards: int, limit: int) -> DataFrame:
             known = np.unique(joined)
             total, tuning = np.zeros(len(known), np.uint64), np.zeros(len(known), np.uint64)
             del joined
-            for block, keys, counts in blobs:
+            for i, (block, keys, counts) in enumerate(blobs):
                 at = np.searchsorted(known, keys)
                 total[at] += counts
                 if (block >> 20) % 3 == TUNING:
                     tuning[at] += counts
-            for block, keys, _ in blobs:
-                at = np.searchsorted(known, keys)
-                yield _answer(block, shard, pack(total[at]), pack(tuning[at]), 0, 0, 0)
+                blobs[i] = (block, at.astype(np.int32 if len(known) < 1 << 31 else np.int64))
+            for block, at in blobs:  # only the tuning fold is ever scored without its own counts
+                yield _answer(block, shard, pack(total[at]), pack(tuning[at]) if (block >> 20) % 3 == TUNING else b"", 0, 0, 0)
             words = total[(known & _TAG) == 1]
             yield _answer(-1, shard, b"", b"", int(np.count_nonzero(words)), int(words.sum()), int(tuning[(known & _TAG) == 1].sum()))
 
@@ -148,7 +169,7 @@ def _answer(*values) -> pa.RecordBatch:
 def _counts(texts: list[bytes], answers: pa.Table, order: int, shards: int, without_tuning: bool) -> tuple[np.ndarray, list[np.ndarray]]:
     """First tokens; the counts of each token's n-grams by length and then of their contexts."""
     begin, keys, _ = ngrams(texts, order)
-    distinct = _distinct(keys, order)[0]
+    distinct, places = _placed(keys, order)
     edge = shard_edges(distinct, shards)
     by_shard = {s: (a, t) for s, a, t in zip(*(answers.column(c).to_pylist() for c in ("shard", "all", "tuning")), strict=True)}
     values = np.empty(len(distinct), np.uint64)
@@ -159,9 +180,9 @@ def _counts(texts: list[bytes], answers: pa.Table, order: int, shards: int, with
                 raise ValueError("the documents were not the same when they were read again")
             values[edge[s]:edge[s + 1]] = found - unpack(by_shard[s][1]) if without_tuning else found
     values = values.astype(np.float64)
-    grams = [values[np.searchsorted(distinct, k)] for k in keys]
+    grams = [values[p] for p in places[:-1]]
     contexts = []
-    for gram, start in zip(grams[:-1], values[np.searchsorted(distinct, starts(order))], strict=True):
+    for gram, start in zip(grams[:-1], values[places[-1]], strict=True):
         context = np.empty(len(gram))  # of a token: what its left neighbour's n-gram one shorter counts
         context[1:] = gram[:-1]
         context[begin[:-1]] = start
