@@ -124,19 +124,20 @@ def participated_sessions(spark, d):
     curr_round, 7 AS total_rounds, total, ceil(total / 6)::BIGINT AS total_pages FROM (SELECT *, count(*) OVER () AS total FROM sessions
     WHERE training_status = 'STARTED' AND (organisation_name ILIKE '%urgent%' OR server_filename ILIKE '%urgent%')) ORDER BY createdAt DESC, id DESC LIMIT 6 OFFSET 12"""))
 def sessions_page(spark, d):
-    page = R.sessions_page(inputs.sessions(spark, d), page=3, per_page=6, status="STARTED", search="urgent")
+    index = R.index_sessions(inputs.sessions(spark, d), status="STARTED", search="urgent", slice_rows=500)
+    page = R.sessions_page(index, page=3, per_page=6)
     return page.withColumn("created_at", stamp("created_at"))
 
 
 @query("datasets_page", with_("datasets", "SELECT dataset_id, filename, description FROM datasets ORDER BY dataset_id LIMIT 3 OFFSET 1"))
 def datasets_page(spark, d):
-    return R.datasets_page(inputs.datasets(spark, d), skip=1, limit=3)
+    return R.datasets_page(R.index_datasets(inputs.datasets(spark, d), slice_rows=2), skip=1, limit=3)
 
 
 @query("transfers_page", with_("transfers", """SELECT id, training_name, strftime(transferredAt, '%Y-%m-%d %H:%M:%S') AS transferredAt FROM transfers
     WHERE approvedAt IS NULL ORDER BY transfers.transferredAt DESC, id DESC LIMIT 100 OFFSET 50"""))
 def transfers_page(spark, d):
-    return R.transfers_page(inputs.transfers(spark, d), skip=50, limit=100).select("id", "training_name", stamp("transferredAt"))
+    return R.transfers_page(R.index_transfers(inputs.transfers(spark, d), slice_rows=40), skip=50, limit=100).select("id", "training_name", stamp("transferredAt"))
 
 
 @query("session_status", with_("sessions", "clients", "logs", """SELECT s.id AS session_id, s.training_status, s.curr_round AS current_round, s.max_round AS max_rounds,

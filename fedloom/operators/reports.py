@@ -15,10 +15,13 @@ from pyspark.sql import functions as F
 
 from ..functions.text import pretty_model_name
 from .ordering import row_numbers
+from .paging import PageIndex, index_pages
 
 # Metrics where a smaller value is better.
 ERROR_METRICS = ("mae", "mse")
 METRICS = "map<string, double>"
+# Pages that end by this row are sorted on the fly.
+SHALLOW_ROWS = 10_000
 # Keys of the session document in use.  Numbers are read as text, because
 # documents hold them either way, and cast where they are used.
 INFO = {
@@ -64,19 +67,41 @@ def session_search(sessions: DataFrame, status: str | None = None, search: str |
     return found
 
 
-def sessions_page(sessions: DataFrame, page: int = 1, per_page: int = 6, sort_order: str = "desc",
-                  status: str | None = None, search: str | None = None) -> DataFrame:
-    """One page of the search with its totals; sorted by creation time, then id."""
-    if page < 1 or not 1 <= per_page <= 100 or sort_order not in ("asc", "desc"):
-        raise ValueError("page >= 1, per_page 1 to 100, sort_order asc or desc")
-    found = session_search(sessions, status, search)
-    direction = F.asc if sort_order == "asc" else F.desc
-    total = found.agg(F.count(F.lit(1)).alias("total")).scalar()
-    rows = found.select(
+def _session_rows(sessions: DataFrame, status: str | None, search: str | None) -> DataFrame:
+    return session_search(sessions, status, search).select(
         "id", "training_status", F.col("info.organisation_name").alias("name"), F.col("info.server_filename").alias("server_filename"),
         F.col("createdAt").alias("created_at"), "curr_round", F.col("info.no_of_rounds").cast("int").alias("total_rounds"),
     )
-    rows = rows.orderBy(direction("created_at"), direction("id")).offset((page - 1) * per_page).limit(per_page)
+
+
+def _session_order(sort_order: str) -> list[Column]:
+    if sort_order not in ("asc", "desc"):
+        raise ValueError("sort_order asc or desc")
+    direction = F.asc if sort_order == "asc" else F.desc
+    return [direction("created_at"), direction("id")]
+
+
+def index_sessions(sessions: DataFrame, sort_order: str = "desc", status: str | None = None, search: str | None = None, **options) -> PageIndex:
+    """The search's result, sorted by creation time, then id, ready for pages of any depth."""
+    return index_pages(_session_rows(sessions, status, search), _session_order(sort_order), **options)
+
+
+def sessions_page(sessions: DataFrame | PageIndex, page: int = 1, per_page: int = 6, sort_order: str = "desc",
+                  status: str | None = None, search: str | None = None) -> DataFrame:
+    """One page of the search with its totals; sorted by creation time, then id.
+
+    ``index_sessions`` gives an index for many or deep pages, which takes the place of ``sessions`` and the search.
+    """
+    if page < 1 or not 1 <= per_page <= 100:
+        raise ValueError("page >= 1, per_page 1 to 100")
+    skip = (page - 1) * per_page
+    if isinstance(sessions, PageIndex) or skip + per_page > SHALLOW_ROWS:
+        index = sessions if isinstance(sessions, PageIndex) else index_sessions(sessions, sort_order, status, search)
+        rows, total = index.page(skip, per_page), F.lit(index.total).cast("long")
+    else:
+        found = _session_rows(sessions, status, search)
+        rows = found.orderBy(*_session_order(sort_order)).offset(skip).limit(per_page)
+        total = found.agg(F.count(F.lit(1)).alias("total")).scalar()
     return rows.withColumn("total", total).withColumn("total_pages", F.ceil(F.col("total") / per_page).cast("long"))
 
 
@@ -85,18 +110,43 @@ def transfers(table: DataFrame, include_approved: bool = False) -> DataFrame:
     return table if include_approved else table.filter(F.col("approvedAt").isNull())
 
 
-def page_of(rows: DataFrame, order: Sequence[Column], skip: int = 0, limit: int = 100) -> DataFrame:
-    return rows.orderBy(*order).offset(skip).limit(limit)
+_TRANSFER_ORDER = (("transferredAt", False), ("id", False))
+_DATASET_ORDER = (("dataset_id", True),)
+
+
+def _ordered(names: Sequence[tuple[str, bool]]) -> list[Column]:
+    return [F.asc(n) if up else F.desc(n) for n, up in names]
+
+
+def _page(rows: DataFrame | PageIndex, index, select, order: Sequence[tuple[str, bool]], skip: int, limit: int) -> DataFrame:
+    """A page near the front is the top of each task's rows; a deeper one comes from an index of slices."""
+    if isinstance(rows, PageIndex):
+        return rows.page(skip, limit)
+    if skip + limit > SHALLOW_ROWS:
+        return index(rows).page(skip, limit)
+    return select(rows).orderBy(*_ordered(order)).offset(skip).limit(limit)
+
+
+def index_transfers(table: DataFrame, **options) -> PageIndex:
+    """Pending transfers, newest first, ready for pages of any depth."""
+    return index_pages(transfers(table), _ordered(_TRANSFER_ORDER), **options)
+
+
+def transfers_page(table: DataFrame | PageIndex, skip: int = 0, limit: int = 100) -> DataFrame:
+    """Pending transfers, newest first; ``index_transfers`` serves many pages."""
+    return _page(table, index_transfers, transfers, _TRANSFER_ORDER, skip, limit)
+
+
+def index_datasets(datasets: DataFrame, **options) -> PageIndex:
+    return index_pages(_dataset_rows(datasets), _ordered(_DATASET_ORDER), **options)
 
 
-def transfers_page(table: DataFrame, skip: int = 0, limit: int = 100) -> DataFrame:
-    """Pending transfers, newest first."""
-    return page_of(transfers(table), [F.desc("transferredAt"), F.desc("id")], skip, limit)
+def _dataset_rows(datasets: DataFrame) -> DataFrame:
+    return datasets.select(*[c for c in ("dataset_id", "filename", "description", "created_at") if c in datasets.columns])
 
 
-def datasets_page(datasets: DataFrame, skip: int = 0, limit: int = 100) -> DataFrame:
-    shown = [c for c in ("dataset_id", "filename", "description", "created_at") if c in datasets.columns]
-    return page_of(datasets.select(*shown), [F.asc("dataset_id")], skip, limit)
+def datasets_page(datasets: DataFrame | PageIndex, skip: int = 0, limit: int = 100) -> DataFrame:
+    return _page(datasets, index_datasets, _dataset_rows, _DATASET_ORDER, skip, limit)
 
 
 def undelivered_notifications(notifications: DataFrame, now: Column, user_id: int | None = None) -> DataFrame:

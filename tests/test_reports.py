@@ -108,3 +108,34 @@ def test_transfers_and_datasets(spark):
     assert rows(R.datasets_page(datasets, skip=1)) == [(2, "b", "")]
     tasks = spark.createDataFrame([(7, 2)], "task_id int, dataset_id int")
     assert R.tasks_by_dataset(tasks, datasets, filename="b").count() == 1 and R.tasks_by_dataset(tasks, datasets, dataset_id=1).count() == 0
+
+
+def test_deep_pages_read_their_slices_only(spark, tmp_path):
+    from fedloom.operators.paging import index_pages
+
+    df = spark.range(20_000).selectExpr("id", "CASE WHEN id % 10 = 0 THEN NULL ELSE id % 97 END AS k", "uuid() AS s")
+    order = [F.desc("k"), F.asc("id")]
+    index = index_pages(df, order, str(tmp_path / "p"), slice_rows=1500)
+    wanted = [r["id"] for r in df.orderBy(*order).collect()]
+    assert index.total == 20_000 and len(index.slices) > 8
+    for skip, limit in ((0, 7), (1495, 20), (9_000, 3_200), (19_990, 50), (20_000, 5), (50_000, 5), (3, 0)):
+        assert [r["id"] for r in index.page(skip, limit).collect()] == wanted[skip:skip + limit]
+    files = index.page(15_000, 10).inputFiles()
+    assert len({f.split("_slice=")[1].split("/")[0] for f in files}) >= 1
+    plan = index.page(15_000, 10)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "_slice" in plan.split("PartitionFilters")[1]
+    with pytest.raises(ValueError, match="not negative"):
+        index.page(-1, 5)
+    empty = index_pages(df.limit(0), order, str(tmp_path / "e"))
+    assert empty.total == 0 and empty.page(0, 5).collect() == [] and empty.page(0, 5).columns == df.columns
+
+
+def test_pages_are_the_same_by_index_and_on_the_fly(spark, monkeypatch):
+    datasets = spark.range(50).selectExpr("id AS dataset_id", "'f' AS filename", "'' AS description")
+    transfers = spark.range(60).selectExpr("id", "timestamp_seconds(id % 7) AS transferredAt", "CASE WHEN id % 3 = 0 THEN current_timestamp() END AS approvedAt")
+    for page, index, table in ((R.datasets_page, R.index_datasets, datasets), (R.transfers_page, R.index_transfers, transfers)):
+        near = page(table, 11, 9).collect()
+        assert page(index(table, slice_rows=8), 11, 9).collect() == near and len(near) == 9
+        monkeypatch.setattr(R, "SHALLOW_ROWS", 5)
+        assert page(table, 11, 9).collect() == near
+        monkeypatch.undo()
