@@ -456,6 +456,12 @@ def _forest_sql(trees: int, depth: int, tried: int) -> str:
         "guess": f"SELECT row, any_value(y) AS y, avg(value) AS m FROM drawn JOIN bends USING (tree, {cells}) JOIN bleaves USING (tree, node) WHERE w = 0 GROUP BY row",
     }
     rows = [*_nodes_sql("b"), "SELECT 'error', 0, 0, '', NULL, round(avg((y - m) ** 2), 6) FROM guess"]
+    rows += [f"SELECT 'importance', 0, 0, '{c}', NULL, round(coalesce(sum(gain) FILTER (f = {i}), 0) / sum(gain), 4) FROM bsplits" for i, c in enumerate(FEATURES)]
+    rows += [
+        "SELECT 'average_depth', 0, 0, '', NULL, round(avg(d), 4) FROM (SELECT tree, max(floor(log2(node)) + 1) AS d FROM bsplits GROUP BY tree)",
+        f"SELECT 'average_nodes', 0, 0, '', NULL, ((SELECT count(*) FROM bsplits) + (SELECT count(*) FROM bleaves)) / {float(trees)}",
+        f"SELECT 'average_leaves', 0, 0, '', NULL, (SELECT count(*) FROM bleaves) / {float(trees)}",
+    ]
     return with_(" UNION ALL ".join(rows), **parts).replace(" AS (SELECT", " AS MATERIALIZED (SELECT")
 
 
@@ -463,7 +469,11 @@ def _forest_sql(trees: int, depth: int, tried: int) -> str:
 def random_forest(spark, d):
     rows = table(spark, d, "lineitem").selectExpr(*BAG_KEY, *FEATURES, f"{LINE_Y} AS price")
     fitted = T.bagged_trees(rows, FEATURES, "price", BAG_KEY, trees=4, depth=3, tried=2)
-    return _shown_trees(spark, fitted.trees, [fitted.error])
+    facts = T.facts(fitted.trees, FEATURES)
+    more = [("importance", 0, 0, c, None, round(v, 4)) for c, v in zip(FEATURES, facts["importances"])]
+    more += [(n, 0, 0, "", None, round(facts[n], 4)) for n in ("average_depth", "average_nodes", "average_leaves")]
+    shown = _shown_trees(spark, fitted.trees, [fitted.error])
+    return shown.unionByName(spark.createDataFrame(more, shown.schema))
 
 
 # --- scoring -----------------------------------------------------------------------

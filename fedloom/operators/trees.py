@@ -148,6 +148,16 @@ def _grow(rows: DataFrame, trees: list[Tree], cuts: list[list[float]], depth: in
             trees[t].leaves[n] = -g / (h + ridge) * rate if h + ridge else 0.0
 
 
+def facts(trees: Sequence[Tree], inputs: Sequence[str]) -> dict:
+    """Importances (an input's share of all gains) and average sizes of the trees."""
+    gains = [sum(t.gains[n] for t in trees for n, (i, _) in t.splits.items() if i == j) for j in range(len(inputs))]
+    return {
+        "importances": [g / sum(gains) if sum(gains) else 0.0 for g in gains], "trees": len(trees),
+        "average_depth": sum(t.depth() for t in trees) / len(trees), "average_nodes": sum(len(t.splits) + len(t.leaves) for t in trees) / len(trees),
+        "average_leaves": sum(len(t.leaves) for t in trees) / len(trees),
+    }
+
+
 @dataclass
 class Boosted:
     """Sum of a start value and the leaves of all trees."""
