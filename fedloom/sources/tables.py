@@ -120,13 +120,16 @@ def export_features(df: DataFrame, inputs: Sequence[str], outputs: Sequence[str]
     return df.sparkSession.read.parquet(path)
 
 
+# Fixed value: the folder of a session that holds what its clients sent.
+SUBMITTED = "local"
 METADATA_SCHEMA = "client_id long, submission_time string, user_id long, round_number int"
 
 
 def read_client_params(spark: SparkSession, root: str, round_number: int | None = None, layout: str = "files") -> DataFrame:
     """Client parameter documents joined with their metadata, optionally of one round.
 
-    ``layout="files"`` reads ``<client>.json`` beside ``<client>_metadata.json``.
+    ``layout="files"`` reads ``<client>.json`` beside ``<client>_metadata.json``, in a folder
+    for each session or in its ``local`` folder.
     ``layout="lines"`` reads JSON lines with a ``client_id`` field from
     ``params/`` and ``metadata/``, the form for many clients: it needs no file
     per client.  One row per session and client: ``client_id, round_number,
@@ -140,7 +143,9 @@ def read_client_params(spark: SparkSession, root: str, round_number: int | None
     elif layout == "files":
         documents = (
             spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(root, wholetext=True)
-            .select("value", F.col("_metadata.file_name").alias("file"), F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("session_id"))
+            .select("value", F.col("_metadata.file_name").alias("file"), F.split(F.col("_metadata.file_path"), "/").alias("at"))
+            # the submissions of a session may stand in a folder of their own below it
+            .select("value", "file", F.when(F.element_at("at", -2) == SUBMITTED, F.element_at("at", -3)).otherwise(F.element_at("at", -2)).alias("session_id"))
         )
         number = F.regexp_extract("file", r"^(\d+)(?:_metadata)?\.json$", 1).try_cast("long")
         client = F.coalesce(number, F.raise_error(F.concat(F.lit("no client number: "), F.col("file"))).cast("long")).alias("client_id")
