@@ -20,6 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import evenly
 from .columns import array_columns, as_double, fit, numeric_columns, present, q, string_columns, type_of
 from .profile_state import RANK_BOUND, deviation, depth, flat_values, leaf, profile_state, report_rows, row_shape
 from .quantiles import bracket_points, exact_quantiles, quantiles
@@ -314,6 +315,7 @@ def profile(df: DataFrame, approximate_unique: bool = False, relative_error: flo
     or, with ``approximate_unique``, read from the state, whose one scan is then the only one.  ``relative_error`` is
     the rank error of the quartiles, kept by the state's sketch; 0 asks for exact ranks, which cost two more scans.
     """
+    df = evenly(df)
     state = profile_state(df, distinct=approximate_unique, texts=approximate_unique)
     exact = relative_error == 0
     facts, values = report_rows(state, BINS, TOP, bracket_points(QUARTILES, RANK_BOUND) if exact else (), histogram=approximate_unique)

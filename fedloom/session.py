@@ -61,3 +61,9 @@ def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores before it is stored for many readings, if its files give fewer partitions than that."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def evenly(df: DataFrame) -> DataFrame:
+    """``df`` for several readings: stored once over all cores, if its files give fewer partitions than that."""
+    even = spread(df)
+    return df if even is df else materialize(even)
