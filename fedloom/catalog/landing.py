@@ -160,11 +160,11 @@ RANKED = ("sessions", "users", "tasks", "results", "latest", "board", "report",
 
 @query("export_leaderboard_csv", with_(*RANKED, """SELECT task_id, rank, metric, admin_username AS client_name, model_name,
     round(metric_value, 6) AS metric_value, CASE WHEN meets_benchmark THEN 'Yes' ELSE 'No' END AS meets_benchmark,
-    CASE WHEN is_benchmark THEN 'Yes' ELSE 'No' END AS is_benchmark FROM ranked"""))
+    CASE WHEN is_benchmark THEN 'Yes' ELSE 'No' END AS is_benchmark, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS date FROM ranked"""))
 def export_leaderboard_csv(spark, d):
     from .reporting import ranked_board
 
     shown = reports.leaderboard_rows(ranked_board(spark, d))
     path = tables.export_csv(shown, scratch_path(spark, "leaderboard"))
     read = tables.read_table(spark, path, "csv", "task_id int, rank long, client_name string, model_name string, metric string, metric_value double, meets_benchmark string, date string, is_benchmark string")
-    return rounded(read.drop("date"))
+    return rounded(read)
