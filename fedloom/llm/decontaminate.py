@@ -11,14 +11,17 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
 from .common import name_of, schema_of
 
 #: Edits allowed, as a share of the item's characters.
 ERROR_RATE = 0.05
-#: Characters of items searched for in one pass over the documents; more items make more passes.
+#: Characters of items that a task holds at a time; each block passes over the documents that the task holds.
 BLOCK_CHARS = 1 << 20
 
 
@@ -111,18 +114,64 @@ class Matcher:
         return found
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, limit: int) -> Iterator[list[tuple[object, str]]]:
-    """The items, in blocks of about ``limit`` characters.  All pass through the driver, and the plan made of them holds them all."""
-    block, size = [], 0
-    for key, text in benchmark.select(name_of(item_col), name_of(text_col)).toLocalIterator():
-        if item := normal(text):
-            block.append((key, item))
-            size += len(item)
-        if size >= limit:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
+def store_items(benchmark: DataFrame, item_col: str, text_col: str, block_chars: int = BLOCK_CHARS) -> list[str]:
+    """Files below the shared folder that hold (key, item): the normalised items that are not empty, about a block in each.
+
+    Tasks normalise and write the items; the driver sees the number of characters and the names of the files.  The
+    files have to be in a folder that Arrow can open from a task: a mounted one, or one on HDFS or an object store.
+    """
+    spark = benchmark.sparkSession
+    given = benchmark.select(name_of(item_col).alias("key"), name_of(text_col).cast("string").alias("item")).where("item IS NOT NULL")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            items = [normal(t) for t in batch.column("item").to_pylist()]
+            rows = [r for r, item in enumerate(items) if item]
+            keys = batch.column("key").take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([keys, pa.array([items[r] for r in rows], pa.string())], ["key", "item"])
+
+    chars = given.agg(F.sum(F.length("item"))).first()[0] or 0
+    path = scratch_path(spark, "benchmark-items")
+    schema = schema_of(given, "key", "item")
+    given.mapInArrow(run, schema).repartition(1 + chars // block_chars).write.parquet(path)
+    return sorted(spark.read.schema(schema).parquet(path).inputFiles())
+
+
+class StoredItems:
+    """Matchers of the items in ``files``, one block of about ``block_chars`` characters at a time."""
+
+    def __init__(self, files: list[str], rate: float, block_chars: int):
+        self.files, self.rate, self.block_chars = files, rate, block_chars
+        self.all: list[tuple[list, Matcher]] | None = None
+
+    def _blocks(self) -> Iterator[tuple[list, list[str]]]:
+        keys, items, size = [], [], 0
+        for name in self.files:
+            files, path = FileSystem.from_uri(name.replace("s3a://", "s3://", 1) if name.startswith("s3a://") else name)
+            with files.open_input_file(path) as source:
+                for batch in pq.ParquetFile(source).iter_batches(batch_size=64):
+                    for key, item in zip(batch.column("key").to_pylist(), batch.column("item").to_pylist(), strict=True):
+                        keys.append(key)
+                        items.append(item)
+                        size += len(item)
+                        if size >= self.block_chars:
+                            yield keys, items
+                            keys, items, size = [], [], 0
+        if items:
+            yield keys, items
+
+    def matchers(self) -> Iterator[tuple[list, Matcher]]:
+        """(keys, matcher) of each block; a single block is read once, several are read again at each call."""
+        if self.all is not None:
+            yield from self.all
+            return
+        n, last = 0, []
+        for keys, items in self._blocks():
+            last = [(keys, Matcher(items, self.rate))]
+            n += 1
+            yield last[0]
+        if n <= 1:
+            self.all = last
 
 
 def leaks(
@@ -132,55 +181,47 @@ def leaks(
     """(id, carry..., item, distance, start, end, n_places): a row for each row of ``docs`` and item it holds within the budget.
 
     ``start`` and ``end`` are places in the normalised text.  NULL and empty texts hold nothing; NULL and empty items
-    are in no document; repeated documents or items each get their rows; no hit, no row.
+    are in no document; repeated documents or items each get their rows; no hit, no row.  The documents are read once,
+    without a shuffle, however many items there are.
     """
     keep = (id_col, *carry)
     given = docs.select(*[name_of(c).alias(c) for c in keep], name_of(text_col).cast("string").alias("__text"))
     kind = benchmark.select(name_of(item_col)).schema[0].dataType
     schema = f"{schema_of(given, *keep)}, item_id {kind.simpleString()}, distance int, start long, end long, n_places int"
+    files, key_type = store_items(benchmark, item_col, item_text_col, block_chars), _arrow(kind)
 
-    def search(block: list[tuple[object, str]]) -> DataFrame:
-        keys, items = [k for k, _ in block], [i for _, i in block]
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(items, rate)
-            for batch in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stored = StoredItems(files, rate, block_chars)
+        for batch in batches:
+            texts = batch.column("__text").to_pylist()
+            for keys, matcher in stored.matchers():
                 rows, hits = [], []
-                for r, text in enumerate(batch.column("__text").to_pylist()):
+                for r, text in enumerate(texts):
                     for k, hit in sorted(matcher.matches(normal(text)).items()):
                         rows.append(r)
                         hits.append((k, *hit))
                 own = batch.select(list(keep)).take(pa.array(rows, pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [*own.columns, pa.array([keys[h[0]] for h in hits]).cast(_arrow(kind)), *(pa.array([h[i] for h in hits], t) for i, t in ((1, pa.int32()), (2, pa.int64()), (3, pa.int64()), (4, pa.int32())))],
+                    [*own.columns, pa.array([keys[h[0]] for h in hits]).cast(key_type), *(pa.array([h[i] for h in hits], t) for i, t in ((1, pa.int32()), (2, pa.int64()), (3, pa.int64()), (4, pa.int32())))],
                     [*keep, "item_id", "distance", "start", "end", "n_places"],
                 )
 
-        return given.mapInArrow(run, schema)
-
-    found = None
-    for block in _blocks(benchmark, item_col, item_text_col, block_chars):
-        part = search(block)
-        found = part if found is None else found.unionAll(part)
-    return docs.sparkSession.createDataFrame([], schema) if found is None else found
+    return given.mapInArrow(run, schema)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, text_col: str = "text", item_text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The rows of ``docs`` that hold no item of the benchmark within the budget, unchanged and without a shuffle."""
-
-    def left(block: list[tuple[object, str]], rows: DataFrame) -> DataFrame:
-        items = [i for _, i in block]
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(items, rate)
-            for batch in batches:
-                yield batch.filter(pa.array([not matcher.matches(normal(t)) for t in batch.column(text_col).to_pylist()], pa.bool_()))
-
-        return rows.mapInArrow(run, rows.schema)
-
-    for block in _blocks(benchmark, item_text_col, item_text_col, block_chars):
-        docs = left(block, docs)
-    return docs
+    """The rows of ``docs`` that hold no item of the benchmark within the budget, unchanged, in one reading and without a shuffle."""
+    files = store_items(benchmark, item_text_col, item_text_col, block_chars)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stored = StoredItems(files, rate, block_chars)
+        for batch in batches:
+            texts, left = batch.column(text_col).to_pylist(), range(batch.num_rows)
+            for _, matcher in stored.matchers():
+                left = [r for r in left if not matcher.matches(normal(texts[r]))]
+            yield batch.take(pa.array(left, pa.int64()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def _arrow(kind):
