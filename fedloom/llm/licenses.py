@@ -13,13 +13,18 @@ from pyspark.sql import functions as F
 from .common import fresh_name, name_of, steady
 from .notices import notices, whole_texts
 
-#: A copyright clause as far as its year, or the place left for one; full stops before it end a short word only.
-_CLAUSE = r"^[^\p{L}\p{N}]*(?:copyright|\(c\)|©)[^.!?\n]*?(?:\p{L}{1,4}[.][^.!?\n]*?){0,4}(?:[0-9][0-9][0-9][0-9]|[\[<{(](?:yyyy|year|date))"
+#: Patterns of Java and, without the ``>`` of ``(?>``, of RE2, with the same matches: what such a group found first is
+#: its only find that counts, so none is tried again and the time is linear in the line.  Java needs it, RE2 does not.
+_MARK = r"^(?>[^\p{L}\p{N}]*(?:copyright|\(c\)|©))"
+_YEAR = r"(?:[0-9]{4}|[\[<{(](?:yyyy|year|date))"
+#: A copyright clause as far as its first year, or the place left for one; up to four full stops before it, after a letter each.
+_CLAUSE = _MARK + r"(?>[^.!?\n]*?(?:\p{L}[.][^.!?\n]*?){0,4}" + _YEAR + r")"
 #: What begins a statement about the licence after such a clause.
 _STATED = (
-    r"(?:this |these |all rights reserved|permission |redistribution |spdx|subject to |use of |code licens|licens[^ ]* *:|"
+    r"(?:this |these |all rights reserved|permission |redistribution |spdx|subject to |use of |code licens|"
+    r"licens[^ .,;:|()\]>-]*(?:[-(][^ .,;:|()\]>-]*\)?){0,3} *:|"
     r"(?:licensed|released|distributed|published|available|made available|provided) under |"
-    r"(?:the )?(?:mit|isc|bsd|apache|gnu|gpl|lgpl|agpl|mozilla|mpl|cc|creative commons) [^.!?\n]*licens)"
+    r"(?:the )?(?:mit|isc|bsd|apache|gnu|gpl|lgpl|agpl|mozilla|mpl|cc|creative commons) [^.!?\n]{0,120}licens)"
 )
 #: (pattern, replacement), in this order, for one line in lower case.  They are applied to both sides of the join.  Of
 #: a line that begins with a copyright clause the rest stays: from a statement about the licence on, or else from the
@@ -27,9 +32,9 @@ _STATED = (
 #: The beginnings of notices count as one spelling.
 CANONICAL = (
     (r"licenc", "licens"),
-    (_CLAUSE + r"[^\n]*?[.,;:|()\]> -] *(" + _STATED + r"[^\n]*)$", "$1"),
-    (_CLAUSE + r"(?:[^\n]*?[\p{L}\p{N}]{5,}|[^\p{L}\n]*?)[.!?] +([^\n]*)$", "$1"),
-    (r"^[^\p{L}\p{N}]*(?:copyright|\(c\)|©)[^\n]*(?:[0-9][0-9][0-9][0-9]|[\[<{(](?:yyyy|year|date))[^\n]*$", ""),
+    (_CLAUSE + r"[^\n]*?[.,;:|()\]> -](" + _STATED + r"[^\n]*)$", "$1"),
+    (_CLAUSE + r"(?:[^\n]*?[\p{L}\p{N}]{5}|(?:[^\n]*?" + _YEAR + r")??[0-9]{0,3}(?:[-–/][0-9]{1,2})?[^\p{L}\p{N}\n]{0,8}?)[.!?] +([^\n]*)$", "$1"),
+    (_MARK + r"[^\n]*" + _YEAR + r"[^\n]*$", ""),
     (r"^[^\p{L}\p{N}]*all rights reserved(?:[^\p{L}\p{N}]*$|[.,;:|-]+[^\p{L}\p{N}]*)", ""),
     (r"^[^\p{L}\p{N}]*(?:(?:this|the) [a-z]+ (?:is|are) )?(?:licensed|released|distributed|published|available|made available|provided) under (?:the terms of )?(?:(?:the|an?) )?", "licensed under "),
     (r"is(e|ed|es|ing|ation)([^a-z0-9]|$)", "iz$1$2"),

@@ -85,6 +85,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _canonical_sql(line: str) -> str:
     line = f"lower({line})"
     for pattern, by in CANONICAL:
+        pattern = pattern.replace("(?>", "(?:")  # RE2 has no such groups and needs none
         line = f"regexp_replace({line}, '{pattern}', '{by.replace('$', chr(92))}', 'g')"
     return f"trim({line})"
 

@@ -7,6 +7,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -383,6 +384,48 @@ def test_licences_of_whole_texts_and_notices(spark):
     assert len({got[len(rows) - i].text_digest for i in (1, 2)}) == 2
 
 
+#: Lines and the licence each one states, written by hand.
+STATED = [
+    ("MIT", "Released under the MIT License."), ("MIT", "LICENSED UNDER THE MIT LICENCE"), ("MIT", "# Licensed under the MIT license"), ("MIT", "This file is distributed under the terms of the MIT License."),
+    ("MIT", "Copyright 2020 X. Licensed under the MIT License."), ("MIT", "Copyright (c) 2001-2020 Acme, Inc., licensed under the MIT licence"), ("MIT", "(c) 2020 J. R. Smith. All rights reserved. Released under the MIT License."),
+    ("MIT", "Copyright © [year] [name]. Released under the MIT License."), ("MIT", "Copyright 1999, 2001-05. SPDX-License-Identifier: MIT"), ("MIT", "Copyright 2001 Acme 2002 | License: MIT"),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."), ("Apache-2.0", "Made available under the Apache License v2.0"), ("Apache-2.0", "Copyright 2015 The Authors - licensed under the Apache License, version 2.0"),
+    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."), ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0-only"), ("GPL-2.0-or-later", "SPDX-License-Identifier: GPL-2.0+"),
+    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."), ("CC-BY-4.0", "Licensed under CC BY 4.0."), ("CC-BY-NC-4.0", "Copyright (c) 2020 Someone (licensed under CC BY-NC 4.0)"),
+    ("CC0-1.0", "This work is dedicated to the public domain under CC0 1.0 Universal."), ("MPL-2.0", "Copyright 2011 A. B. Co. Ltd. Licensed under the Mozilla Public License, Version 2.0."),
+    ("", "Copyright 2020 Someone."), ("", "The MIT campus was licensed to nobody."), ("", "All rights reserved."), ("", "Copyright law of 1976 is older than the MIT License text."), ("", "A licence is needed to fish here."),
+]
+
+
+def test_licences_of_lines_written_by_hand(spark):
+    docs = spark.createDataFrame([(i, f"words before\n{t}\nwords behind") for i, (_, t) in enumerate(STATED)], "doc_id long, text string")
+    got = {r.doc_id: r.line_licenses for r in licenses.license_scan(docs).collect()}
+    assert [(got[i], t) for i, (_, t) in enumerate(STATED)] == STATED
+
+
+def test_canonical_lines_are_the_same_in_both_engines(spark):
+    r = random.Random(3)
+    parts = ["copyright", "(c)", "©", "2001", "20012", "2002-05", "[year]", "<date", "acme", "inc.", "x.", "someone.", "2003.", "!", ". ", ", ", "(", ")", "-", "/", "licensed under the mit license", "license:", "licence(s) :", "the mit x license", "this ", "all rights reserved", " ", " ", " ", "  "]
+    lines = sorted({"".join(r.choice(parts[:3] + [""]) if not i else r.choice(parts) for i in range(r.randint(2, 14))) for _ in range(6000)})
+    rows = spark.createDataFrame([(x,) for x in lines], "line string")
+    ours = {x.line: x.c for x in rows.select("line", licenses.canonical_line(F.col("line")).alias("c")).collect()}
+    with duckdb.connect() as con:
+        con.execute("CREATE TABLE t(line VARCHAR)")
+        con.executemany("INSERT INTO t VALUES (?)", [(x,) for x in lines])
+        theirs = dict(con.execute(f"SELECT line, {queries._canonical_sql('line')} FROM t").fetchall())
+    assert {x: (ours[x], theirs[x]) for x in lines if ours[x] != theirs[x]} == {}
+
+
+def test_licences_take_linear_time(spark):
+    shapes = ["(c) 2001 ", "copyright 2001, x ", "© ", "copyright a. ", "(c) 2001 mit ", "(c) 2001 license;", "(c) 2001 " + "a", "copyright 2001" + " ", "(", "2001 ", "all rights reserved "]
+    for n in (1_000, 1_000_000):
+        rows = [(i, (s * n)[:n]) for i, s in enumerate(shapes)] + [(90, "(c) 2001 " + "a" * n), (91, "(c) 2001" + " " * n), (92, "(c) " + "2" * n), (93, "copyright 2001 " + "x. " * (n // 3) + "Licensed under the MIT License.")]
+        began = time.monotonic()
+        assert licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(len(rows))).count() == len(rows)
+        took = time.monotonic() - began
+    assert took < 60
+
+
 def test_every_notice_of_the_given_tables_is_found(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     notice = F.size(F.filter(F.split("text", "[\r\n]"), lambda x: F.lower(x).rlike("licen[sc]ed under|released under")))
@@ -424,6 +467,12 @@ def test_leaks_equal_brute_force(spark):
         assert sorted((f.doc_id, f.item_id, f.distance) for f in found) == sorted(expected)
         left = leak.clean(a, b, rate, block_chars=block)
         assert left.columns == a.columns and sorted(x.doc_id for x in left.collect()) == sorted(i for i, _ in docs if i not in {e[0] for e in expected})
+    files = leak.store_items(b, "item_id", "text", 100)
+    blocks = list(leak.StoredItems(files, rate, 100).matchers())
+    assert len(files) > 3 and len(blocks) > 3 and sorted(k for keys, _ in blocks for k in keys) == sorted(k for k, t in items if leak.normal(t))
+    for one in (leak.leaks(a, b, rate, block_chars=100), leak.clean(a, b, rate, block_chars=100)):  # one reading of the documents, whatever the number of items
+        plan = one._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("MapInArrow") == 1 and "Union" not in plan and "Join" not in plan
     text = dict(docs)
     assert all(distance_within(leak.normal(dict(items)[f.item_id]), leak.normal(text[f.doc_id])[f.start:f.end]) == f.distance for f in found)
     assert leak.leaks(a.limit(0), b).collect() == [] and leak.leaks(a, b.limit(0)).collect() == [] and leak.clean(a, b.limit(0)).count() == len(docs)
