@@ -312,6 +312,50 @@ def test_extraction_reads_attributes_inside_the_article(inner, text):
         assert html.extract(page, html.Weights({})) == text
 
 
+@pytest.mark.parametrize("open_, shut", [
+    ("<section id='comments'>", "section"), ("<div id='comments'>", "div"), ("<ol class='comment-list'><li class='comment-body'>", "ol"), ("<section class='comments-area'>", "section"),
+    ("<p class='notice-box'>", "p"), ("<div id='sidebar'>", "div"), ("<div id='cookie-consent'>", "div"), ("<div class='postComments'>", "div"), ("<div class='row article-share'>", "div"),
+    ("<section id='comments'><article>", "article></section"), ("<span class='ad'>", "span"), ("<h2 id='comments'>", "h2"), ("<div class='ad-728x90'>", "div"),
+])
+def test_extraction_leaves_out_what_is_no_article_text(open_, shut):
+    for page in ("<article><p>one two three four</p>{}<p>five six seven eight</p></article>", "<div><p>one two three four</p>{}<p>five six seven eight</p></div>"):
+        if "<article>" in open_ and "<article>" not in page:
+            continue  # the only article of a page is its article
+        assert html.extract(page.format(f"{open_}no no no</{shut}>"), html.Weights({})) == "one two three four\n\nfive six seven eight"
+
+
+@pytest.mark.parametrize("open_, shut", [
+    ("<span class='ad-hoc'>", "span"), ("<div class='share-price'>", "div"), ("<a class='related'>", "a"), ("<div class='search-algorithms'>", "div"), ("<pre class='menu'>", "pre"),
+    ("<h2 id='related-work'>", "h2"), ("<div id='ad-hoc-networks'>", "div"), ("<section id='social-effects'>", "section"), ("<h3 id='notice-periods'>", "h3"), ("<span class='token comment'>", "span"),
+    ("<div class='entry-header'>", "div"), ("<h2 class='header'>", "h2"), ("<div class='has-sidebar'>", "div"),
+])
+def test_extraction_keeps_article_text_whose_names_look_like_marks(open_, shut):
+    for page in ("<article><p>one two three four</p>{}<p>five six seven eight</p></article>", "<div><p>one two three four</p>{}<p>five six seven eight</p></div>"):
+        assert html.extract(page.format(f"{open_}yes it is text</{shut}>"), html.Weights({})) == "one two three four\n\nyes it is text\n\nfive six seven eight"
+
+
+def test_weights_of_names_are_learned(spark):
+    said = "words that are said in the article of this page"
+    rows = [(i, "u", f"<div class='glimpse'>{said}</div><div class='glimpse-ad'>x</div><article class='a'><p class='notice'>{said}</p><p>{said}</p></article>") for i in range(40)]
+    one = [(100 + i, "u", f"<div class='rare{'x' * i}'>a</div><article><p>{said}</p></article>") for i in range(3)]
+    learned = html.learn(spark.createDataFrame([*rows, *one], "page_id long, url string, html string"))
+    assert learned.of_name("notice") == 0 and learned.of_name("glimpse") < 1 and learned.of_name("ad") == -6 and "n:rare" not in learned.by_feature and learned.of_name("rare") == html.CONTENT
+    page = f"<article><p>{said}</p><p class='notice'>{said}</p><div class='glimpse-ad'>no</div></article>"
+    assert html.extract(page, learned) == f"{said}\n\n{said}" and html.extract(page, html.Weights({})) == f"{said}\n\nno"
+
+
+def test_best_region_equals_all_regions():
+    r = random.Random(8)
+    for _ in range(3000):
+        scores = [r.choice([-2.0, -1.0, -0.5, 0.0, 0.5, 1.0, 2.0]) for _ in range(r.randint(0, 12))]
+        first, last = html.best_region(scores)
+        best = max((sum(scores[a:b]) for a in range(len(scores)) for b in range(a + 1, len(scores) + 1)), default=0.0)
+        assert (first, last) == (0, 0) if best <= 0 else sum(scores[first:last]) == best
+        if best > 0:
+            longest = max(b - a for a in range(len(scores)) for b in range(a + 1, len(scores) + 1) if sum(scores[a:b]) == best)
+            assert last - first == longest
+
+
 def test_extraction_of_a_layout_absent_from_the_sample(spark):
     said = [" ".join(f"word{k}x{i}" for i in range(25)) for k in range(4)]
     seen = [(i, "u", f"<div>one</div><div>two</div><article><p>{said[0]}</p></article><{kind}>x</{kind}>") for i in range(300) for kind in ["dl" if i < 30 else "ul"]]
