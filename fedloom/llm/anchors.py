@@ -163,15 +163,19 @@ def _dealt(hashes: np.ndarray, row: np.ndarray, place: np.ndarray) -> tuple[np.n
 
 
 PLAIN, SURE, THROUGH = 0, 1, 2
+#: Bytes of text whose anchors one family holds, on average: 25 bytes each, for every 51 bytes (or five words) of text.
+SHARD_BYTES = 1 << 29
 
 
 def repeated_anchors(rows: DataFrame, units: Bytes | Words) -> DataFrame:
     """(__row, places): the anchors of each document that stand in two places of the corpus at least.
 
     A place is the anchor's position and its windows' least and greatest distance, in one number.  The anchors are
-    dealt out by ranges of their hashes, packed, and each task feeds them to its family batch by batch.
+    dealt out by ranges of their hashes, packed, and each task feeds them to its family batch by batch.  There is a shard
+    for each ``SHARD_BYTES`` of text at least, so what a task holds does not grow with the corpus.
     """
-    shards = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = rows.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
+    shards = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

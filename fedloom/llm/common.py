@@ -38,6 +38,17 @@ def fresh_name(df: DataFrame, stem: str) -> str:
     return stem
 
 
+def beside(columns: Iterable[str], results: Iterable[str]) -> list[str]:
+    """Names for carried columns beside those of a result: one that is taken, in any letter case, gets ``_`` at its end."""
+    taken, names = {r.lower() for r in results}, []
+    for name in columns:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        names.append(name)
+    return names
+
+
 def steady(docs: DataFrame) -> DataFrame:
     """``docs``, whose stored files from now on fall into the same partitions each time the session reads them.
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ..session import materialize
-from .common import name_of, schema_of
+from .common import beside, name_of, schema_of
 
 CAPACITY = 1024
 END = 2
@@ -196,7 +196,9 @@ def pack(items: DataFrame, capacity: int = CAPACITY, part: int = PART, turns: in
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, end: int = END, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text", part: int = PART) -> DataFrame:
     """A row for each piece: id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    Repeated rows are packed each for itself; NULL ids are kept; an empty table gives no pieces.
+    An id named like a result gets ``_`` behind its name.  Repeated rows are packed each for itself; NULL ids are kept; an empty table gives no pieces.
     """
-    found = materialize(pieces(docs, capacity, end, vocabulary, id_col, text_col).withColumn("key", F.monotonically_increasing_id()))
-    return found.join(pack(found.select("key", "length"), capacity, part), "key").drop("key")
+    given = docs.select(name_of(id_col).alias("__id"), name_of(text_col).alias("__text"))
+    found = materialize(pieces(given, capacity, end, vocabulary, "__id", "__text").withColumn("key", F.monotonically_increasing_id()))
+    packed = found.join(pack(found.select("key", "length"), capacity, part), "key").drop("key")
+    return packed.withColumnRenamed("__id", beside([id_col], packed.columns)[0])

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .anchors import THROUGH, Words, contexts, grouped, merged, prepared, removals, repeated_anchors, runs
-from .common import schema_of
+from .common import beside
 
 SPAN = 13
 ANCHOR = 5
@@ -150,10 +150,11 @@ def without_later(docs: DataFrame, span: int = SPAN, k: int = ANCHOR, id_col: st
 
     A word goes if a ``span``-word window over it also starts in a document with a smaller id (a whole number); the
     document of the smallest id keeps it.  Rows with equal ids are one document's; NULL ids come last and never make
-    another row lose a word.  NULL and empty texts have no words; no rows give none.
+    another row lose a word.  An id named like a result gets ``_`` behind its name.  NULL and empty texts have no words; no rows give none.
     """
-    rows = prepared(docs.withColumn(id_col, F.col(f"`{id_col}`").cast("long")), text_col, (id_col,))
-    joined = rows.join(later_spans(rows, span, k, id_col, most, together), "__row", "left").select("__text", F.col(f"`{id_col}`"), "spans")
+    rows = prepared(docs, text_col, (id_col,)).toDF("__row", "__text", "__id").withColumn("__id", F.col("__id").cast("long"))
+    joined = rows.join(later_spans(rows, span, k, "__id", most, together), "__row", "left").select("__text", "__id", "spans")
+    results = ["n_words", "n_removed", "kept_sha256"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,6 +167,7 @@ def without_later(docs: DataFrame, span: int = SPAN, k: int = ANCHOR, id_col: st
                 left += words[at:]
                 out.append((len(words), len(words) - len(left), hashlib.sha256(b" ".join(left)).hexdigest()))
             columns = [pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string()))]
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), *columns], [id_col, "n_words", "n_removed", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column("__id"), *columns], ["__id", *results])
 
-    return joined.mapInArrow(cut, schema_of(joined, id_col) + ", n_words long, n_removed long, kept_sha256 string")
+    found = joined.mapInArrow(cut, "__id long, n_words long, n_removed long, kept_sha256 string")
+    return found.toDF(*beside([id_col], results), *results)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .anchors import SURE, THROUGH, Bytes, contexts, grouped, merged, prepared, removals, repeated_anchors
-from .common import schema_of
+from .common import beside, schema_of
 
 SPAN = 200
 ANCHOR = 100
@@ -112,11 +112,13 @@ def _told(row: np.ndarray, first: np.ndarray, last: np.ndarray, digests: list[by
 def without_repeats(docs: DataFrame, span: int = SPAN, k: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), kept: bool = False, most: int = MOST) -> DataFrame:
     """Each row's id, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` and, if wanted, the remaining text ``kept``.
 
-    A byte goes if a ``span``-byte string over it also starts elsewhere, in the same document or another; so all places
+    A carried column named like one of these gets ``_`` behind its name.  A byte goes if a ``span``-byte string over it also starts elsewhere, in the same document or another; so all places
     of a repeat lose it.  ``kept`` leaves out what remains of a code point that was cut in two.  NULL and empty texts remove nothing; repeated rows repeat each other; no rows give none.
     """
-    keep = (id_col, *carry)
-    rows = prepared(docs, text_col, keep)
+    given = (id_col, *carry)
+    keep = [f"__c{i}" for i in range(len(given))]
+    rows = prepared(docs, text_col, given).toDF("__row", "__text", *keep)
+    results = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][:4 + kept]
     found = repeated_spans(rows, span, k, keep, most)
     joined = rows.join(found, "__row", "left").select("__text", *[F.col(f"`{c}`") for c in keep], "spans")
 
@@ -131,6 +133,7 @@ def without_repeats(docs: DataFrame, span: int = SPAN, k: int = ANCHOR, id_col:
                 rest = b"".join([*left, text[at:]])
                 out.append((len(text), len(text) - len(rest), len(gone), hashlib.sha256(rest).hexdigest(), *([rest.decode("utf-8", "ignore")] * kept)))
             columns = [pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())[:4 + kept])]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *columns], [*keep, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][:len(keep) + 4 + kept])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *columns], [*keep, *results])
 
-    return joined.mapInArrow(cut, schema_of(joined, *keep) + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * kept)
+    found = joined.mapInArrow(cut, schema_of(joined, *keep) + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * kept)
+    return found.toDF(*beside(given, results), *results)

@@ -20,7 +20,7 @@ import xxhash
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import name_of, schema_of
+from .common import beside, name_of, schema_of
 
 #: (verdict, rule): the host before the first slash, the path from it on.
 CONTRACT_RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -103,12 +103,14 @@ def url_filter(
 
     A rule fits its host and all subdomains if the path starts with the rule's; the longest rule wins, at equal
     length the one with the longer host.  Without a rule a page is blocked if a word of its host is in ``words`` or
-    its host or a parent is in ``hosts``.  NULL and malformed URLs have an empty host, fit no rule and are allowed.
+    its host or a parent is in ``hosts``.  An id named like a result gets ``_`` behind its
+    name.  NULL and malformed URLs have an empty host, fit no rule and are allowed.
     """
     verdicts = {rule: verdict for verdict, rule in rules}
+    results = ["host", "path", "rule", "verdict"]
     lengths = sorted({len(rule) - rule.index("/") for rule in verdicts}, reverse=True)
     name = ship_array(pages.sparkSession, [*(f"r:{r}" for r in verdicts), *(f"w:{w}" for w in words), *(f"h:{h}" for h in hosts)])
-    given = pages.select(name_of(id_col).alias(id_col), name_of(url_col).cast("string").alias("__url"))
+    given = pages.select(name_of(id_col).alias("__id"), name_of(url_col).cast("string").alias("__url"))
 
     def probes(host: str, path: str) -> tuple[list[str], list[str]]:
         labels = host.split(".")
@@ -129,6 +131,6 @@ def url_filter(
                 rule = next((e[2:] for e in fitting if e in known), None)
                 decided[key] = (rule, verdicts[rule] if rule else "block" if not known.isdisjoint(others) else "allow")
             columns = [[k[0] for k in split], [k[1] for k in split], [decided[k][0] for k in split], [decided[k][1] for k in split]]
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), *(pa.array(c, pa.string()) for c in columns)], [id_col, "host", "path", "rule", "verdict"])
+            yield pa.RecordBatch.from_arrays([batch.column("__id"), *(pa.array(c, pa.string()) for c in columns)], ["__id", *results])
 
-    return given.mapInArrow(run, schema_of(given, id_col) + ", host string, path string, rule string, verdict string")
+    return given.mapInArrow(run, schema_of(given, "__id") + ", host string, path string, rule string, verdict string").toDF(*beside([id_col], results), *results)

@@ -428,6 +428,33 @@ def test_licences_of_whole_texts_and_notices(spark):
     assert len({got[len(rows) - i].text_digest for i in (1, 2)}) == 2
 
 
+def test_carried_columns_may_be_named_like_those_inside_and_of_the_result(spark):
+    text = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(300))
+    rows = [(1, text, "a"), (2, "x" + text, "b"), (3, None, "c")]
+    for name in ("key", "left", "right", "mark", "place", "__row", "spans", "Kept", "n_bytes", "sequence_id"):
+        docs = spark.createDataFrame(rows, f"`{name}` long, text string, `first` string")
+        left = suffixes.without_repeats(docs, id_col=name, carry=("first",), kept=True)
+        same = name + "_" * (name in ("Kept", "n_bytes"))
+        assert left.columns == [same, "first", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+        assert sorted(map(tuple, left.select(left.columns[:4]).collect())) == [(1, "a", 300, 300), (2, "b", 301, 300), (3, "c", 0, 0)]
+        later = phrases.without_later(docs.withColumn("text", F.repeat(F.lit("a b c d e f g "), 3)), id_col=name)
+        assert later.columns == [name, "n_words", "n_removed", "kept_sha256"] and sorted(r[:3] for r in map(tuple, later.collect())) == [(1, 21, 0), (2, 21, 21), (3, 21, 21)]
+        packed = packing.pack_documents(docs, id_col=name)
+        assert packed.columns[0] == name + "_" * (name == "sequence_id") and sorted(r[0] for r in packed.collect()) == [1, 2, 3]
+    for name in ("host", "Verdict", "key"):
+        pages = spark.createDataFrame([(1, "http://a.net/"), (2, None)], f"`{name}` long, url string")
+        assert [tuple(r)[0] for r in urls.url_filter(pages, id_col=name).collect()] == [1, 2] and urls.url_filter(pages, id_col=name).columns[0] == name + "_" * (name != "key")
+
+
+def test_more_shards_with_more_text_give_the_same_rows(spark, mixed, monkeypatch):
+    from fedloom.llm import anchors
+
+    runs = [lambda: sorted(map(str, suffixes.without_repeats(mixed[0]).collect())), lambda: sorted(map(str, phrases.without_later(mixed[0]).collect()))]
+    before = [run() for run in runs]
+    monkeypatch.setattr(anchors, "SHARD_BYTES", 1 << 14)
+    assert [run() for run in runs] == before
+
+
 #: Lines and the licence each one states, written by hand.
 STATED = [
     ("MIT", "Released under the MIT License."), ("MIT", "LICENSED UNDER THE MIT LICENCE"), ("MIT", "# Licensed under the MIT license"), ("MIT", "This file is distributed under the terms of the MIT License."),
