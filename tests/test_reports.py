@@ -130,6 +130,19 @@ def test_deep_pages_read_their_slices_only(spark, tmp_path):
     assert empty.total == 0 and empty.page(0, 5).collect() == [] and empty.page(0, 5).columns == df.columns
 
 
+def test_short_slices_do_not_become_as_many_tasks(spark, tmp_path):
+    """Slices of two rows: their number follows the cores, and a page still reads its places only."""
+    from fedloom.operators.paging import SLICES_PER_CORE, index_pages
+
+    df = spark.range(3000).selectExpr("id", "CASE WHEN id % 10 = 0 THEN NULL ELSE id % 7 END AS k")
+    order = [F.desc("k"), F.asc("id")]
+    index = index_pages(df, order, str(tmp_path / "p"), slice_rows=2)
+    assert len(index.slices) <= SLICES_PER_CORE * spark.sparkContext.defaultParallelism and index.total == 3000
+    wanted = [r["id"] for r in df.orderBy(*order).collect()]
+    for skip, limit in ((0, 1), (1, 3), (90, 110), (2_990, 20), (0, 3000), (17, 0)):
+        assert [r["id"] for r in index.page(skip, limit).collect()] == wanted[skip:skip + limit]
+
+
 def test_pages_are_the_same_by_index_and_on_the_fly(spark, monkeypatch):
     datasets = spark.range(50).selectExpr("id AS dataset_id", "'f' AS filename", "'' AS description")
     transfers = spark.range(60).selectExpr("id", "timestamp_seconds(id % 7) AS transferredAt", "CASE WHEN id % 3 = 0 THEN current_timestamp() END AS approvedAt")
