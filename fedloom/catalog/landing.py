@@ -113,29 +113,6 @@ def export_features(spark, d):
     return tables.export_features(table(spark, d, "lineitem"), ["l_quantity", "l_discount"], ["l_extendedprice"], scratch_path(spark, "features"))
 
 
-def _client_files(spark, documents, root: str) -> None:
-    """One file for each client's document and one for its metadata, in the folders of the sessions."""
-    told = F.to_json(F.struct(F.lit("2024-01-01T00:00:00").alias("submission_time"), F.col("client_id").alias("user_id"), F.col("round").alias("round_number")))
-    both = documents.select(
-        F.col("session_id").alias("s"), F.explode(F.array(
-            F.struct(F.col("client_id").cast("string").alias("name"), F.col("document").alias("text")),
-            F.struct(F.concat(F.col("client_id").cast("string"), F.lit("_metadata")).alias("name"), told.alias("text")),
-        )).alias("file"),
-    ).select("s", F.col("file.name").alias("name"), F.col("file.text").alias("text"))
-    parts = f"{root}.parts"
-    both.write.partitionBy("s", "name").text(parts)
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
-    for session in fs.listStatus(path(parts)):
-        if session.isDirectory():
-            folder = f"{root}/{session.getPath().getName()[2:]}/{tables.SUBMITTED}"
-            fs.mkdirs(path(folder))
-            for client in fs.listStatus(session.getPath()):
-                name = client.getPath().getName()[len("name="):]
-                part = next(f.getPath() for f in fs.listStatus(client.getPath()) if f.getPath().getName().startswith("part-"))
-                fs.rename(part, path(f"{folder}/{name}.json"))
-
-
 @query("read_client_params", """SELECT layout, label::VARCHAR AS session_id, vec_id AS client_id, 2 AS round_number, '2024-01-01T00:00:00' AS submission_time, len(embedding)::BIGINT AS numbers
     FROM embeddings, (SELECT unnest(['lines', 'files']) AS layout) WHERE vec_id % 3 + 1 = 2""")
 def read_client_params(spark, d):
@@ -147,7 +124,8 @@ def read_client_params(spark, d):
     documents.select(session, "client_id", parsed.alias("parameters")).write.json(f"{root}/params")
     documents.select(session, "client_id", F.lit("2024-01-01T00:00:00").alias("submission_time"), F.col("client_id").alias("user_id"), F.col("round").alias("round_number")).write.json(f"{root}/metadata")
     files = scratch_path(spark, "client-files")
-    _client_files(spark, documents, files)
+    told = F.to_json(F.struct(F.lit("2024-01-01T00:00:00").alias("submission_time"), F.col("client_id").alias("user_id"), F.col("round").alias("round_number")))
+    tables.write_client_files(documents.select("session_id", "client_id", F.col("document").alias("parameters"), told.alias("metadata")), files)
     weights = F.from_json("parameters", "weights array<array<double>>")["weights"]
     numbers = F.size(F.flatten(weights)).cast("long").alias("numbers")
     both = [tables.read_client_params(spark, where, 2, layout=layout).select(F.lit(layout).alias("layout"), "session_id", "client_id", "round_number", "submission_time", numbers)

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from itertools import groupby
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import human_size
@@ -125,6 +126,50 @@ SUBMITTED = "local"
 METADATA_SCHEMA = "client_id long, submission_time string, user_id long, round_number int"
 
 
+# Hadoop's name of a file system, where Arrow's is another; and of a folder or file without a key.
+ARROW_SCHEMES = {"s3a": "s3", "s3n": "s3"}
+NO_KEY = "__HIVE_DEFAULT_PARTITION__"
+
+
+def write_client_files(documents: DataFrame, root: str) -> None:
+    """``<client>.json`` beside ``<client>_metadata.json`` in the ``local`` folder of each session, as ``read_client_params`` reads them.
+
+    ``documents`` holds ``session_id, client_id, parameters, metadata``, both documents as JSON text; those of one
+    session and client go to one file, as its lines.  The tasks write the files, through Arrow's file systems.  A file
+    gets its name when it is whole, so a task can be repeated.
+    """
+    spark = documents.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toUri()
+    scheme = ARROW_SCHEMES.get(whole.getScheme(), whole.getScheme())
+    base = f"{scheme}://{whole.getAuthority() or ''}{whole.getPath()}"
+    session = F.coalesce(F.col("session_id").cast("string"), F.lit(NO_KEY)).alias("session")
+    client = F.col("client_id").cast("string")
+    both = documents.select(session, F.explode(F.array(
+        F.struct(F.coalesce(client, F.lit(NO_KEY)).alias("name"), F.col("parameters").alias("text")),
+        F.struct(F.coalesce(F.concat(client, F.lit("_metadata")), F.lit(NO_KEY)).alias("name"), F.col("metadata").alias("text")),
+    )).alias("file")).select("session", "file.*")
+    both.repartition("session", "name").sortWithinPartitions("session", "name", "text").foreachPartition(lambda rows: _write_files(rows, base))
+
+
+def _write_files(rows: Iterator[Row], base: str) -> None:
+    """One file for each run of rows with the same session and name."""
+    from pyarrow.fs import FileSystem
+
+    fs, root = FileSystem.from_uri(base)
+    made = set()
+    for (session, name), lines in groupby(rows, lambda r: (r["session"], r["name"])):
+        folder = f"{root}/{session}/{SUBMITTED}"
+        if folder not in made:
+            fs.create_dir(folder, recursive=True)
+            made.add(folder)
+        unfinished = f"{folder}/.{name}.{uuid.uuid4().hex}"
+        with fs.open_output_stream(unfinished) as out:
+            for line in lines:
+                out.write(f"{line['text']}\n".encode())
+        fs.move(unfinished, f"{folder}/{name}.json")
+
+
 def read_client_params(spark: SparkSession, root: str, round_number: int | None = None, layout: str = "files") -> DataFrame:
     """Client parameter documents joined with their metadata, optionally of one round.
 

@@ -207,6 +207,18 @@ def test_client_files_of_two_sessions(spark, tmp_path):
         tables.read_client_params(spark, str(tmp_path)).collect()
 
 
+def test_client_files_are_written_by_tasks(spark, tmp_path):
+    """Files of clients in the folders of their sessions; two documents of one client are two lines of one file."""
+    found = [(s, c, json.dumps({"w": [c]}), json.dumps({"submission_time": s, "user_id": c, "round_number": 1 + c % 2})) for s in ("a", "b") for c in range(40)]
+    documents = spark.createDataFrame([*found, found[0]], "session_id string, client_id long, parameters string, metadata string")
+    root = str(tmp_path / "written")
+    tables.write_client_files(documents.repartition(5), root)
+    assert {p.name for p in (tmp_path / "written" / "a" / tables.SUBMITTED).iterdir()} == {f"{c}{end}.json" for c in range(40) for end in ("", "_metadata")}
+    assert len((tmp_path / "written" / "a" / tables.SUBMITTED / "0.json").read_text().splitlines()) == 2
+    got = tables.read_client_params(spark, root, 2)
+    assert rows(got.select("session_id", "client_id", "submission_time"), "session_id", "client_id") == [(s, c, s) for s in ("a", "b") for c in range(1, 40, 2)]
+
+
 def test_batches_do_not_read_what_has_landed(spark, tmp_path):
     """Landed rows can be moved away: what has come before is known from the state alone."""
     folder, out, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
