@@ -52,11 +52,18 @@ def flagship(spark, d):
 
 # --- streams -------------------------------------------------------------------------
 
+# Micro-batches of a table that arrives, and the most rows of a file in it.
+BATCHES = 4
+FILE_ROWS = 1_000_000
+
+
 def _stream(spark, d, name):
-    """The table as a stream of several files, one in each micro-batch."""
+    """The table as a stream of ``BATCHES`` micro-batches, each of as many files as there are cores, or more of ``FILE_ROWS``."""
     whole, arriving = table(spark, d, name), scratch_path(spark, "arriving")
-    whole.repartition(4).write.parquet(arriving)
-    return feeds.watch(spark, arriving, whole.schema, files_per_batch=1)
+    each = -(-whole.count() // (BATCHES * spark.sparkContext.defaultParallelism))
+    whole.write.option("maxRecordsPerFile", max(1, min(each, FILE_ROWS))).parquet(arriving)
+    files = len(spark.read.schema(whole.schema).parquet(arriving).inputFiles())
+    return feeds.watch(spark, arriving, whole.schema, files_per_batch=max(1, -(-files // BATCHES)))
 
 
 @query("stream_ingest", "SELECT event_id, user_id, event_type, value, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts FROM events")
