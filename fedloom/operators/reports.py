@@ -352,7 +352,9 @@ def training_result_pivot(long: DataFrame, keys: Sequence[str], rounds: Sequence
     outside = F.raise_error(F.concat(F.lit("result of a round without a column: "), F.coalesce(number.cast("string"), F.lit("NULL"))))
     name = F.when(number.isin(*rounds), F.concat(F.lit("round_"), number.cast("string"))).otherwise(outside.cast("string"))
     named = long.withColumn("_round", name)
-    return named.groupBy(*keys, "metric").pivot("_round", [f"round_{r}" for r in rounds]).agg(F.first("value", ignorenulls=True))
+    # one aggregation over rows dealt out by group, so that a task holds whole groups; pivot() makes a group of each round before
+    columns = [F.first(F.when(F.col("_round") == f"round_{r}", F.col("value")), ignorenulls=True).alias(f"round_{r}") for r in rounds]
+    return named.repartition(*keys, "metric").groupBy(*keys, "metric").agg(*columns)
 
 
 def server_vs_client(server: DataFrame, client: DataFrame) -> DataFrame:

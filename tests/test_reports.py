@@ -130,6 +130,16 @@ def test_deep_pages_read_their_slices_only(spark, tmp_path):
     assert empty.total == 0 and empty.page(0, 5).collect() == [] and empty.page(0, 5).columns == df.columns
 
 
+def test_results_become_columns_in_one_aggregation(spark):
+    """No groups of single rounds before; the first value that is not NULL stays, and a round without a column is told."""
+    long = spark.createDataFrame([(1, "mse", 1, None), (1, "mse", 1, 2.0), (1, "mse", 2, 3.0), (None, "mse", 2, 4.0)], "session_id long, metric string, round_number int, value double")
+    pivot = R.training_result_pivot(long, ["session_id"], [1, 2, 3])
+    assert rows(pivot, "session_id") == [(None, "mse", None, 4.0, None), (1, "mse", 2.0, 3.0, None)]
+    assert pivot._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
+    with pytest.raises(Exception, match="without a column: 3"):
+        R.training_result_pivot(long.withColumn("round_number", F.lit(3)), ["session_id"], [1, 2]).collect()
+
+
 def test_short_slices_do_not_become_as_many_tasks(spark, tmp_path):
     """Slices of two rows: their number follows the cores, and a page still reads its places only."""
     from fedloom.operators.paging import SLICES_PER_CORE, index_pages
