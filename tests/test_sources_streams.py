@@ -219,6 +219,27 @@ def test_client_files_are_written_by_tasks(spark, tmp_path):
     assert rows(got.select("session_id", "client_id", "submission_time"), "session_id", "client_id") == [(s, c, s) for s in ("a", "b") for c in range(1, 40, 2)]
 
 
+def test_an_arriving_table_is_files_for_all_tasks(spark, tmp_path, monkeypatch):
+    """Four micro-batches of files that hold no more than so many rows, however long the table."""
+    from fedloom.catalog import flows
+
+    monkeypatch.setattr(flows, "FILE_ROWS", 100)
+    spark.range(10_000).coalesce(1).write.parquet(str(tmp_path / "t.parquet"))
+    target, state = str(tmp_path / "out"), tmp_path / "state"
+    feeds.land(flows._stream(spark, str(tmp_path), "t").select("id", F.col("_metadata.file_path").alias("file")), target, str(state))
+    landed = spark.read.parquet(target)
+    assert rows(landed.select("id")) == [(i,) for i in range(10_000)]
+    assert landed.groupBy("file").count().agg(F.max("count")).first()[0] <= 100
+    assert len([p for p in (state / "commits").iterdir() if not p.name.startswith(".")]) == flows.BATCHES
+
+
+def test_the_state_holds_each_column_once(spark, tmp_path):
+    """What is stored for every key for good is its row, without the order's columns beside it."""
+    keys = ["session_id", "user_id", "round_number"]
+    state, _ = feeds._first_arrivals(submissions(spark, tmp_path), keys, ["createdAt"])
+    assert state.columns == [*keys, "_first", "_last", "_row"] and state.schema["_row"].dataType.names == ["_n0", "createdAt"]
+
+
 def test_batches_do_not_read_what_has_landed(spark, tmp_path):
     """Landed rows can be moved away: what has come before is known from the state alone."""
     folder, out, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
